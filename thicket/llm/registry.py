@@ -1,10 +1,13 @@
 """Queries and oracle SQL of this folder."""
 
-from thicket.llm import quality_rules
+from thicket.llm import hilbert_shards, licenses, quality_rules
 
 QUERIES = {
+    "op7_hilbert_sharding": hilbert_shards.op7_hilbert_sharding,
     "op9_quality_rules": quality_rules.op9_quality_rules,
+    "op10_license_scan": licenses.op10_license_scan,
 }
 ORACLES = {
     "op9_quality_rules": quality_rules.ORACLE,
+    "op10_license_scan": licenses.ORACLE,
 }
