@@ -72,7 +72,9 @@ def thresholds(measures: DataFrame, reach: int = 6, min_group: int = 100) -> Dat
 
     A group of fewer than min_group documents takes the limits of the merged sketch of its language, and a language of fewer those of the merged sketch of all. Documents that fail the base rules aren't counted.
     """
-    cells = measures.where(~base_failed()).select("lang", "source", F.explode(_rates()).alias("r")).groupBy("lang", "source", "r.rule", "r.rate").agg(F.count("*").alias("n"))
+    # no filter on _m, nor one that Spark infers from explode(): either would be pushed below the measures and compute them twice
+    counted = measures.select("lang", "source", F.explode_outer(F.when(~base_failed(), _rates())).alias("r")).where("r is not null")
+    cells = counted.groupBy("lang", "source", "r.rule", "r.rate").agg(F.count("*").alias("n"))
     cells = cut(cells)
     limit = F.col("q3") + F.greatest(reach * (F.col("q3") - F.col("q1")), F.create_map(*[x for k, v in ROOM.items() for x in (F.lit(k), F.lit(v))])[F.col("rule")])
     own = _quartiles(cells, ["lang", "source"]).select("lang", "source", "rule", "n", limit.alias("lim"))

@@ -1,13 +1,20 @@
 """Queries and oracle SQL of this folder."""
 
-from thicket.llm import hilbert_shards, licenses, quality_rules
+from thicket.llm import bpe, chat, hilbert_shards, language_id, licenses, mixing, quality_rules, topk
 
 QUERIES = {
+    "op2_byte_bpe": bpe.op2_byte_bpe,
+    "op3_source_mixing": mixing.op3_source_mixing,
+    "op5_exact_topk": topk.op5_exact_topk,
+    "op6_chat_formatting": chat.op6_chat_formatting,
     "op7_hilbert_sharding": hilbert_shards.op7_hilbert_sharding,
+    "op8_language_id": language_id.op8_language_id,
     "op9_quality_rules": quality_rules.op9_quality_rules,
     "op10_license_scan": licenses.op10_license_scan,
 }
 ORACLES = {
+    "op5_exact_topk": topk.ORACLE,
+    "op6_chat_formatting": chat.ORACLE,
     "op9_quality_rules": quality_rules.ORACLE,
     "op10_license_scan": licenses.ORACLE,
 }
