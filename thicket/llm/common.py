@@ -11,6 +11,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -26,6 +27,47 @@ SPACE = r"[\x20\x09-\x0D]+"
 SPACES = {c: " " for c in range(9, 14)}
 
 
+def mixed(x: np.ndarray) -> np.ndarray:
+    """64-bit finaliser: every bit of the result depends on every bit of x."""
+    x = x.astype(np.uint64, copy=True)
+    for shift, factor in ((30, 0xBF58476D1CE4E5B9), (27, 0x94D049BB133111EB)):
+        x = (x ^ (x >> np.uint64(shift))) * np.uint64(factor)
+    return x ^ (x >> np.uint64(31))
+
+
+class WordHashes(dict):
+    """64-bit hashes of words (bytes), remembered up to a bound."""
+
+    def __missing__(self, word: bytes) -> int:
+        import xxhash
+
+        if len(self) >= 500_000:
+            self.clear()
+        h = self[word] = xxhash.xxh3_64_intdigest(word)
+        return h
+
+
+def word_batches(texts: list, hashes: WordHashes, at_once: int = 300_000) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+    """(first text, one past the last, hashes of their words, ends of the texts among these): lower-cased A-Z, for some `at_once` words at a time."""
+    k = 0
+    while k < len(texts):
+        first, words, ends = k, [], []
+        while k < len(texts) and len(words) < at_once:
+            words += (texts[k] or "").encode().lower().split()  # bytes: A-Z alone, and the six ASCII spaces
+            ends.append(len(words))
+            k += 1
+        yield first, k, np.array(list(map(hashes.__getitem__, words)), np.uint64), np.array(ends, np.int64)
+
+
+def shingles(words: np.ndarray, n: int) -> np.ndarray:
+    """Hashes of the n words from each place on; the last n - 1 places are left out."""
+    m = len(words) - n + 1
+    h = np.zeros(max(m, 0), np.uint64)
+    for i in range(n if m > 0 else 0):
+        h = mixed(h + words[i : i + m] + np.uint64(0x9E3779B97F4A7C15))
+    return h
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -68,48 +110,58 @@ def with_small(left: DataFrame, small: DataFrame, on: Column, how: str = "left",
     return left.join(F.broadcast(small) if small.count() <= limit else small, on, how)
 
 
-#: Rows of an inverted index: a thing (id, pos) under one of its keys, with a tag it carries. With lid set, a link to an earlier thing of the same key, found before the shuffle.
-INDEX = "key long, id long, pos int, tag long, lid long, lpos int, ltag long"
+def index_schema(vals: dict[str, str]) -> str:
+    """Rows of an inverted index: a thing, told by the columns vals, under one of its keys. With the l-columns set, the row is a link to an earlier thing of the same key, found before the shuffle."""
+    return ", ".join(["key long", *(f"{n} {t}" for n, t in vals.items()), *(f"l{n} {t}" for n, t in vals.items())])
 
 
-def combined(key, id_, pos, tag) -> pa.RecordBatch:
-    """Index rows of one batch, pre-aggregated: the first row of each key stays an index row, the others become links to it, so a frequent key costs one shuffled index row a batch."""
-    order = np.lexsort((pos, id_, key))
-    key, id_, pos, tag = key[order], id_[order], pos[order].astype(np.int32), tag[order]
+def _starred(names: list[str], key, vals: list) -> tuple[np.ndarray, np.ndarray]:
+    """For rows sorted by key: the first row of each row's key, and whether the row is a repetition of that one."""
     new = np.ones(len(key), bool)
     new[1:] = key[1:] != key[:-1]
     first = np.maximum.accumulate(np.where(new, np.arange(len(key)), 0))
-    cols = [pa.array(x) for x in (key, id_, pos, tag)] + [pa.array(x[first], mask=new) for x in (id_, pos, tag)]
-    return pa.RecordBatch.from_arrays(cols, names=["key", "id", "pos", "tag", "lid", "lpos", "ltag"])
-
-
-def _lead(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Over rows sorted by key: links of each index row to the first of its key, and the links found before, as they are. Keeps one row between batches."""
-    last = None
-    for b in batches:
-        done = b.filter(b.column("lid").is_valid())
-        if done.num_rows:
-            yield done
-        b = b.filter(b.column("lid").is_null())
-        if not b.num_rows:
-            continue
-        key, id_, pos, tag = (b.column(i).to_numpy(zero_copy_only=False) for i in range(4))
-        if last is not None and last[0] == key[0]:
-            key, id_, pos, tag = (np.concatenate(([x], y)).astype(y.dtype) for x, y in zip(last, (key, id_, pos, tag), strict=True))
-        new = np.ones(len(key), bool)
-        new[1:] = key[1:] != key[:-1]
-        first = np.maximum.accumulate(np.where(new, np.arange(len(key)), 0))
-        f = first[-1]
-        last = (key[f], id_[f], pos[f], tag[f])
-        old = ~new
-        if old.any():
-            cols = [x[old] for x in (key, id_, pos, tag)] + [x[first][old] for x in (id_, pos, tag)]
-            yield pa.RecordBatch.from_arrays([pa.array(x) for x in cols], names=["key", "id", "pos", "tag", "lid", "lpos", "ltag"])
-
-
-def links_by_key(index: DataFrame) -> DataFrame:
-    """One shuffle: every index row linked to the first row of its key (a star per key, so as many links as rows)."""
-    return index.repartition(F.col("key")).sortWithinPartitions("key", "id", "pos").mapInArrow(_lead, INDEX)
+    same = ~new
+    for v in vals:
+        same &= v == v[first]
+    return first, same
+
+
+def combined(names: list[str], key, vals: list) -> pa.RecordBatch:
+    """Index rows of one batch, pre-aggregated: the first row of each key stays an index row, the others become links to it, so a frequent key costs one shuffled index row a batch; repetitions go."""
+    order = np.lexsort((*vals[::-1], key))
+    key, vals = key[order], [v[order] for v in vals]
+    first, same = _starred(names, key, vals)
+    keep = ~same
+    own = first == np.arange(len(key))
+    cols = [pa.array(x[keep]) for x in (key, *vals)] + [pa.array(x[first][keep], mask=own[keep]) for x in vals]
+    return pa.RecordBatch.from_arrays(cols, names=["key", *names, *(f"l{n}" for n in names)])
+
+
+def links_by_key(index: DataFrame, vals: dict[str, str]) -> DataFrame:
+    """One shuffle: every index row linked to the first row of its key (a star for each key, so no more links than rows)."""
+    names = list(vals)
+
+    def lead(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last = None  # the first row of the key at hand, all that is kept between batches
+        for b in batches:
+            found = b.column(f"l{names[0]}").is_valid()
+            done = b.filter(found)
+            if done.num_rows:
+                yield done
+            b = b.filter(pc.invert(found))
+            if not b.num_rows:
+                continue
+            key, *rows = (b.column(i).to_numpy(zero_copy_only=False) for i in range(1 + len(names)))
+            if last is not None and last[0] == key[0]:
+                key, *rows = (np.concatenate(([x], y)).astype(y.dtype) for x, y in zip(last, (key, *rows), strict=True))
+            first, same = _starred(names, key, rows)
+            last = [x[first[-1]] for x in (key, *rows)]
+            old = (first != np.arange(len(key))) & ~same
+            if old.any():
+                cols = [x[old] for x in (key, *rows)] + [x[first][old] for x in rows]
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in cols], names=["key", *names, *(f"l{n}" for n in names)])
+
+    return index.repartition(F.col("key")).sortWithinPartitions("key", *names).mapInArrow(lead, index_schema(vals))
 
 
 def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
