@@ -3,18 +3,61 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from thicket.llm import common
+from thicket.llm import bpe, common, jaccard_join, mixing, substring_dedup
 from thicket.llm.quality_rules import judged
 
+RANKS = "byte_bpe_50k.tiktoken"
+
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that a quality rule rejects go."""
+    """Documents that a quality rule rejects go; null and empty texts fail the base rules."""
     return judged(docs).where("_kept").select(*docs.columns)
 
 
-STAGES = [("quality_rules", quality_rules)]
-#: None: the later stages can't be expressed in SQL; tests hold them against brute force.
+def ngram_jaccard(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each group of linked documents the one of least doc_id stays. Rows that repeat a doc_id and text count as one."""
+    rows = common.cut(jaccard_join.classes(docs))
+    least = F.col("doc_id").eqNullSafe(F.col("component_id"))
+    if rows.select("doc_id").distinct().count() == rows.count():
+        gone = common.cut(rows.where(~least).select(F.col("doc_id").alias("_gone")))
+        return common.with_small(docs, gone, F.col("doc_id") == F.col("_gone"), "left_anti", 200_000)
+    stay = common.cut(rows.where(least).select(F.col("doc_id").alias("_stay")).distinct())
+    return common.with_small(docs, stay, F.col("doc_id").eqNullSafe(F.col("_stay")), "left_semi", 200_000).dropDuplicates(["doc_id", "text"])
+
+
+def dedup_substrings(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Passages that another document keeps are cut out; documents left without a word go."""
+    return substring_dedup.cleaned(docs)
+
+
+def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Every document as often as the mix takes it: 0, 1 or 2 times. Identical rows are each taken as often as the one taken most."""
+    key = F.xxhash64("doc_id", "text", "source")
+    small = common.cut(docs.select("doc_id", "source", key.alias("_key"), mixing.words(F.col("text")).alias("size")))
+    _, targets = mixing.shares(small, F.col("size"))
+    mixed = mixing.mix(small, F.array("source"), F.col("size"), {s: int(t) for s, t in targets.items()})
+    times = common.cut(mixed.where("_times > 0").groupBy(F.col("doc_id").alias("_doc"), F.col("_key").alias("_k")).agg(F.max("_times").alias("_times")))
+    j = common.with_small(docs, times, F.col("doc_id").eqNullSafe(F.col("_doc")) & (key == F.col("_k")), "inner", 100_000)
+    return j.withColumn("_n", F.explode(F.sequence(F.lit(1).cast("long"), "_times"))).select(*docs.columns)
+
+
+def byte_bpe(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The token ids of each document in the place of its text, their number, and whether they decode to the text."""
+    import public_tokenizers
+
+    return bpe.tokenised(docs, bpe.read_ranks(public_tokenizers.path(RANKS)), public_tokenizers.PATTERN)
+
+
+STAGES = [
+    ("quality_rules", quality_rules),
+    ("ngram_jaccard", ngram_jaccard),
+    ("substring_dedup", dedup_substrings),
+    ("mixing", mix_sources),
+    ("byte_bpe", byte_bpe),
+]
+#: None: approximate candidate search, flows and token merges can't be expressed in SQL; tests hold the stages against brute force.
 ORACLE_SQL = None
 
 

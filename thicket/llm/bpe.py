@@ -221,8 +221,8 @@ def read_ranks(path: str) -> bytes:
         return f.read()
 
 
-def _per_text(docs: DataFrame, rank_file: bytes, pattern: str, of: Callable[[Codec, str], tuple], names: list[str], types: str) -> DataFrame:
-    """docs without text, with the columns that `of` makes of each text."""
+def _per_text(docs: DataFrame, rank_file: bytes, pattern: str, of: Callable[[Codec, str, str], tuple], names: list[str], types: str) -> DataFrame:
+    """docs without text, with the columns that `of` makes of the ids (as encode_batch gives them) and the text of each row."""
     rest = [c for c in docs.columns if c != "text" and c not in names]
     sent = docs.sparkSession.sparkContext.broadcast(rank_file)
     fields = ", ".join(f"`{n}` {t}" for n, t in docs.select(*rest).dtypes)
@@ -231,9 +231,10 @@ def _per_text(docs: DataFrame, rank_file: bytes, pattern: str, of: Callable[[Cod
         codec = Codec(sent.value, pattern)
         kinds = None
         for b in batches:
-            made = [of(codec, x) for x in codec.encode_batch([t or "" for t in b.column("text").to_pylist()])]
+            texts = [t or "" for t in b.column("text").to_pylist()]
+            made = [of(codec, x, t) for x, t in zip(codec.encode_batch(texts), texts, strict=True)]
             kept = [b.column(c) for c in rest]
-            kinds = kinds or {"long": pa.int64(), "string": pa.string(), "array<int>": pa.list_(pa.int32()), "binary": pa.binary()}
+            kinds = kinds or {"long": pa.int64(), "string": pa.string(), "array<int>": pa.list_(pa.int32()), "boolean": pa.bool_()}
             cols = [pa.array([m[i] for m in made], kinds[t.split(" ")[1]]) for i, t in enumerate(types.split(", "))]
             yield pa.RecordBatch.from_arrays(kept + cols, names=rest + names)
 
@@ -242,7 +243,16 @@ def _per_text(docs: DataFrame, rank_file: bytes, pattern: str, of: Callable[[Cod
 
 def encode(docs: DataFrame, rank_file: bytes, pattern: str) -> DataFrame:
     """docs with `text` replaced by `ids` array<int> and `n_tokens` long. Null texts count as empty and have no tokens; every other column stays, but for those named ids or n_tokens."""
-    return _per_text(docs, rank_file, pattern, lambda c, x: ((ids := list(map(int, x.split()))), len(ids)), ["ids", "n_tokens"], "ids array<int>, n_tokens long")
+    return _per_text(docs, rank_file, pattern, lambda c, x, t: ((ids := np.fromstring(x, np.int32, sep=" ")), len(ids)), ["ids", "n_tokens"], "ids array<int>, n_tokens long")
+
+
+def tokenised(docs: DataFrame, rank_file: bytes, pattern: str) -> DataFrame:
+    """encode(), with `round_trip`: whether the ids decode to the text."""
+
+    def of(codec: Codec, ids: str, text: str) -> tuple:
+        return (got := np.fromstring(ids, np.int32, sep=" ")), len(got), codec.decode_text(ids) == text.encode()
+
+    return _per_text(docs, rank_file, pattern, of, ["ids", "n_tokens", "round_trip"], "ids array<int>, n_tokens long, round_trip boolean")
 
 
 def decode(encoded: DataFrame, rank_file: bytes) -> DataFrame:
@@ -263,7 +273,7 @@ def decode(encoded: DataFrame, rank_file: bytes) -> DataFrame:
 def digests(docs: DataFrame, rank_file: bytes, pattern: str) -> DataFrame:
     """docs with `text` replaced by n_tokens, ids_sha256 and decoded_sha256: encoded, decoded and digested in one pass, so that the ids needn't leave the worker."""
 
-    def of(codec: Codec, ids: str) -> tuple:
+    def of(codec: Codec, ids: str, text: str) -> tuple:
         return ids.count(" "), hashlib.sha256(ids[1:].encode()).hexdigest(), hashlib.sha256(codec.decode_text(ids)).hexdigest()
 
     return _per_text(docs, rank_file, pattern, of, ["n_tokens", "ids_sha256", "decoded_sha256"], "n_tokens long, ids_sha256 string, decoded_sha256 string")

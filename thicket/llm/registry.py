@@ -1,10 +1,12 @@
 """Queries and oracle SQL of this folder."""
 
-from thicket.llm import bpe, chat, hilbert_shards, language_id, licenses, mixing, quality_rules, topk
+from thicket.llm import bpe, chat, hilbert_shards, jaccard_join, language_id, licenses, mixing, quality_rules, substring_dedup, topk
 
 QUERIES = {
+    "op1_substring_dedup": substring_dedup.op1_substring_dedup,
     "op2_byte_bpe": bpe.op2_byte_bpe,
     "op3_source_mixing": mixing.op3_source_mixing,
+    "op4_ngram_jaccard": jaccard_join.op4_ngram_jaccard,
     "op5_exact_topk": topk.op5_exact_topk,
     "op6_chat_formatting": chat.op6_chat_formatting,
     "op7_hilbert_sharding": hilbert_shards.op7_hilbert_sharding,
