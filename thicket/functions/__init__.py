@@ -1,0 +1 @@
+"""Column functions: extraction, judging, scoring, text rendering."""

@@ -1,0 +1 @@
+"""Relational operators: votes, windows, trees, search, similarity, evaluation."""

@@ -1,4 +1,6 @@
 """Queries over the driver tables, each with DuckDB SQL where SQL can express it."""
 
-QUERIES: dict = {}
-ORACLES: dict = {}
+from thicket.plans import search_queries, step_queries, text_queries
+
+QUERIES = search_queries.QUERIES | step_queries.QUERIES | text_queries.QUERIES
+ORACLES = search_queries.ORACLES | step_queries.ORACLES | text_queries.ORACLES
