@@ -1,0 +1 @@
+"""Readers of example sets and logs, and writers of results."""
