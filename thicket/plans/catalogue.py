@@ -1,6 +1,6 @@
 """Queries over the driver tables, each with DuckDB SQL where SQL can express it."""
 
-from thicket.plans import search_queries, step_queries, text_queries
+from thicket.plans import more_queries, search_queries, step_queries, text_queries
 
-QUERIES = search_queries.QUERIES | step_queries.QUERIES | text_queries.QUERIES
-ORACLES = search_queries.ORACLES | step_queries.ORACLES | text_queries.ORACLES
+QUERIES = search_queries.QUERIES | step_queries.QUERIES | text_queries.QUERIES | more_queries.QUERIES
+ORACLES = search_queries.ORACLES | step_queries.ORACLES | text_queries.ORACLES | more_queries.ORACLES
