@@ -13,7 +13,8 @@ RANKS = "byte_bpe_50k.tiktoken"
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that a quality rule rejects go; null and empty texts fail the base rules."""
-    return judged(docs).where("_kept").select(*docs.columns)
+    keep = [c for c in docs.columns if c not in ("_m", "_base", "_kept")]
+    return judged(docs).where("_kept").select(*keep)
 
 
 def ngram_jaccard(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -22,9 +23,9 @@ def ngram_jaccard(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     least = F.col("doc_id").eqNullSafe(F.col("component_id"))
     if rows.select("doc_id").distinct().count() == rows.count():
         gone = common.cut(rows.where(~least).select(F.col("doc_id").alias("_gone")))
-        return common.with_small(docs, gone, F.col("doc_id") == F.col("_gone"), "left_anti", 200_000)
+        return common.with_small(docs, gone, docs["doc_id"] == gone["_gone"], "left_anti", 200_000)
     stay = common.cut(rows.where(least).select(F.col("doc_id").alias("_stay")).distinct())
-    return common.with_small(docs, stay, F.col("doc_id").eqNullSafe(F.col("_stay")), "left_semi", 200_000).dropDuplicates(["doc_id", "text"])
+    return common.with_small(docs, stay, docs["doc_id"].eqNullSafe(stay["_stay"]), "left_semi", 200_000).dropDuplicates(["doc_id", "text"])
 
 
 def dedup_substrings(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -39,8 +40,9 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     _, targets = mixing.shares(small, F.col("size"))
     mixed = mixing.mix(small, F.array("source"), F.col("size"), {s: int(t) for s, t in targets.items()})
     times = common.cut(mixed.where("_times > 0").groupBy(F.col("doc_id").alias("_doc"), F.col("_key").alias("_k")).agg(F.max("_times").alias("_times")))
-    j = common.with_small(docs, times, F.col("doc_id").eqNullSafe(F.col("_doc")) & (key == F.col("_k")), "inner", 100_000)
-    return j.withColumn("_n", F.explode(F.sequence(F.lit(1).cast("long"), "_times"))).select(*docs.columns)
+    row = common.packed(docs).withColumn("_key", F.xxhash64(*[F.col(f"_row.{c}") for c in ("doc_id", "text", "source")]))
+    j = common.with_small(row, times, F.col("_row.doc_id").eqNullSafe(F.col("_doc")) & (F.col("_key") == F.col("_k")), "inner", 100_000)
+    return common.unpacked(j.withColumn("_n", F.explode(F.sequence(F.lit(1).cast("long"), "_times"))))
 
 
 def byte_bpe(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

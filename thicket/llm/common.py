@@ -5,6 +5,7 @@ Executor-side code must not depend on how the package was installed there, so th
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -23,8 +24,6 @@ cloudpickle.register_pickle_by_value(thicket)
 #: A word is a maximal run of characters other than the six ASCII spaces.
 WORD = r"[^\x20\x09-\x0D]+"
 SPACE = r"[\x20\x09-\x0D]+"
-#: The same spaces for str.translate, which turns them all into U+0020 before str.split(" ").
-SPACES = {c: " " for c in range(9, 14)}
 
 
 def mixed(x: np.ndarray) -> np.ndarray:
@@ -77,6 +76,15 @@ def words_of(text: Column) -> Column:
     return F.array_remove(F.split(F.coalesce(text, F.lit("")), SPACE), "")
 
 
+def packed(docs: DataFrame, *out: str) -> DataFrame:
+    """docs as the one column _row, so that no column of theirs clashes with an operator's own; columns that the operator gives out are left behind."""
+    return docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns if c not in out]).alias("_row"))
+
+
+def unpacked(df: DataFrame, *more: str | Column) -> DataFrame:
+    return df.select("_row.*", *more)
+
+
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
     """body(value), with value computed once however often body names it."""
     return F.transform(F.array(value), body)[0]
@@ -98,6 +106,12 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def tidy(spark: SparkSession) -> None:
+    """Lets Spark drop the shuffle files and checkpoints that nothing refers to any more; it looks for them when the driver collects its garbage."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def written(df: DataFrame) -> DataFrame:
     """df as a compressed Parquet table in the shared folder; for wide tables, and for what is read column by column."""
     path = f"{scratch(df.sparkSession)}/thicket-{uuid.uuid4().hex}"
@@ -115,34 +129,30 @@ def index_schema(vals: dict[str, str]) -> str:
     return ", ".join(["key long", *(f"{n} {t}" for n, t in vals.items()), *(f"l{n} {t}" for n, t in vals.items())])
 
 
-def _starred(names: list[str], key, vals: list) -> tuple[np.ndarray, np.ndarray]:
-    """For rows sorted by key: the first row of each row's key, and whether the row is a repetition of that one."""
-    new = np.ones(len(key), bool)
-    new[1:] = key[1:] != key[:-1]
-    first = np.maximum.accumulate(np.where(new, np.arange(len(key)), 0))
-    same = ~new
-    for v in vals:
-        same &= v == v[first]
-    return first, same
+def _firsts(*cols) -> np.ndarray:
+    """For rows sorted by cols: the place of the first row equal in them to each row."""
+    new = np.ones(len(cols[0]), bool)
+    new[1:] = np.any([c[1:] != c[:-1] for c in cols], axis=0)
+    return np.maximum.accumulate(np.where(new, np.arange(len(new)), 0))
 
 
-def combined(names: list[str], key, vals: list) -> pa.RecordBatch:
-    """Index rows of one batch, pre-aggregated: the first row of each key stays an index row, the others become links to it, so a frequent key costs one shuffled index row a batch; repetitions go."""
+def combined(names: list[str], key, vals: list, runs: bool = False) -> pa.RecordBatch:
+    """Index rows of one batch, pre-aggregated: the first row of each key (with runs: of each key and first value) stays an index row, the others become links to it, so a frequent key costs few shuffled index rows a batch; repetitions go."""
     order = np.lexsort((*vals[::-1], key))
     key, vals = key[order], [v[order] for v in vals]
-    first, same = _starred(names, key, vals)
-    keep = ~same
+    first = _firsts(key, vals[0]) if runs else _firsts(key)
     own = first == np.arange(len(key))
+    keep = own | np.any([v != v[first] for v in vals], axis=0)
     cols = [pa.array(x[keep]) for x in (key, *vals)] + [pa.array(x[first][keep], mask=own[keep]) for x in vals]
     return pa.RecordBatch.from_arrays(cols, names=["key", *names, *(f"l{n}" for n in names)])
 
 
-def links_by_key(index: DataFrame, vals: dict[str, str]) -> DataFrame:
-    """One shuffle: every index row linked to the first row of its key (a star for each key, so no more links than rows)."""
+def links_by_key(index: DataFrame, vals: dict[str, str], runs: bool = False) -> DataFrame:
+    """One shuffle: every index row linked to the first row of its key, so no more links than rows. With runs, rows of a key that are equal in the first value are linked to the first of these (but under keys whose two low bits aren't 0: what these would tell is told already), and that one to the first of the key."""
     names = list(vals)
 
     def lead(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last = None  # the first row of the key at hand, all that is kept between batches
+        held: list = []  # the first rows of the key and of the run at hand, all that is kept between batches
         for b in batches:
             found = b.column(f"l{names[0]}").is_valid()
             done = b.filter(found)
@@ -151,14 +161,20 @@ def links_by_key(index: DataFrame, vals: dict[str, str]) -> DataFrame:
             b = b.filter(pc.invert(found))
             if not b.num_rows:
                 continue
-            key, *rows = (b.column(i).to_numpy(zero_copy_only=False) for i in range(1 + len(names)))
-            if last is not None and last[0] == key[0]:
-                key, *rows = (np.concatenate(([x], y)).astype(y.dtype) for x, y in zip(last, (key, *rows), strict=True))
-            first, same = _starred(names, key, rows)
-            last = [x[first[-1]] for x in (key, *rows)]
-            old = (first != np.arange(len(key))) & ~same
+            rows = [b.column(i).to_numpy(zero_copy_only=False) for i in range(1 + len(names))]
+            before = [h for h in held if h[0] == rows[0][0]]
+            if before:
+                rows = [np.concatenate(([h[i] for h in before], x)).astype(x.dtype) for i, x in enumerate(rows)]
+            of_key = _firsts(rows[0])
+            of_run = _firsts(rows[0], rows[1]) if runs else of_key
+            at = np.arange(len(rows[0]))
+            to = np.where(of_run != at, of_run, of_key)
+            held = [[x[i] for x in rows] for i in dict.fromkeys((int(of_key[-1]), int(of_run[-1])))]
+            old = (at >= len(before)) & (to != at) & np.any([x != x[to] for x in rows[1:]], axis=0)
+            if runs:
+                old &= (of_run == at) | (rows[0] & 3 == 0)
             if old.any():
-                cols = [x[old] for x in (key, *rows)] + [x[first][old] for x in rows]
+                cols = [x[old] for x in rows] + [x[to][old] for x in rows[1:]]
                 yield pa.RecordBatch.from_arrays([pa.array(x) for x in cols], names=["key", *names, *(f"l{n}" for n in names)])
 
     return index.repartition(F.col("key")).sortWithinPartitions("key", *names).mapInArrow(lead, index_schema(vals))
@@ -179,7 +195,18 @@ def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
         small = large.join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(low.select("u", F.col("m").alias("v"))).where("u <> v").distinct()
         edges = cut(small)
         now = edges.agg(F.count("*").alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("h")).first()
+        del both, least, large, low, small
+        tidy(links.sparkSession)
         if now == before or not now["n"]:
             break
         before = now
     return edges.groupBy("u").agg(F.min("v").alias("label")).withColumnRenamed("u", "node").unionByName(edges.select(F.col("v").alias("node"), F.col("v").alias("label")).distinct())
+
+
+def merged(labels: DataFrame, found: DataFrame) -> DataFrame:
+    """labels after more links: the components of the components that these join."""
+    one, two = (labels.select(F.col("node").alias(k), F.col("label").alias(f"l{k}")) for k in "ab")
+    new = found.join(one, "a", "left").join(two, "b", "left").select("a", "b", F.coalesce("la", "a").alias("x"), F.coalesce("lb", "b").alias("y"))
+    ends = new.select(F.col("a").alias("node"), F.col("x").alias("label")).unionByName(new.select(F.col("b").alias("node"), F.col("y").alias("label")))
+    joined = components(new, "x", "y").select(F.col("node").alias("label"), F.col("label").alias("to"))
+    return cut(labels.unionByName(ends).distinct().join(joined, "label", "left").select("node", F.coalesce("to", "label").alias("label")))

@@ -9,7 +9,7 @@ from fractions import Fraction
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from thicket.llm.common import WORD, cut, table
+from thicket.llm.common import WORD, cut, table, unpacked
 
 WEIGHTS = (3, 1, 2)
 
@@ -90,9 +90,9 @@ def mix(docs: DataFrame, members: Column, size: Column, quota: dict, seed: int =
     The order is found without sorting a pattern in one task: words by pattern and hash bucket give the bucket that straddles the cut, and only that bucket is ranked.
     """
     spark = docs.sparkSession
-    cols = docs.columns
-    d = docs.withColumn("_members", F.array_sort(F.array_distinct(F.transform(members, lambda s: F.struct(s.isNull().alias("n"), s.alias("s")))))).withColumn("_size", size.cast("long"))
-    d = d.withColumn("_p", F.to_json(F.struct("_members"))).withColumn("_h", F.shiftright(F.xxhash64(F.lit(seed), *[c for c in cols]), 1).bitwiseAND((1 << 62) - 1))
+    d = docs.select(members.alias("_members"), size.cast("long").alias("_size"), F.xxhash64(F.lit(seed), *[F.col(f"`{c}`") for c in docs.columns]).alias("_h"), F.struct(*[F.col(f"`{c}`") for c in docs.columns if c not in ("_size", "_times")]).alias("_row"))
+    d = d.withColumn("_members", F.array_sort(F.array_distinct(F.transform("_members", lambda s: F.struct(s.isNull().alias("n"), s.alias("s"))))))
+    d = d.withColumn("_p", F.to_json(F.struct("_members"))).withColumn("_h", F.shiftright("_h", 1).bitwiseAND((1 << 62) - 1))
     d = cut(d.withColumn("_uid", F.monotonically_increasing_id()))
     patterns = d.groupBy("_p").agg(F.first("_members").alias("m"), F.sum("_size").alias("s"), F.count("*").alias("n")).orderBy("_p").collect()
     flow = min_cost_flow([(tuple(x["s"] for x in r["m"]), r["s"]) for r in patterns], quota, epochs)
@@ -129,7 +129,7 @@ def mix(docs: DataFrame, members: Column, size: Column, quota: dict, seed: int =
     if picked is not None:
         d = d.join(bound(picked.select("_p", "_uid", F.lit(1).alias("_fill"))), ["_p", "_uid"], "left")
     times = F.when(F.col("_size") > 0, F.col("_full") + F.col("_more") + F.coalesce("_fill", F.lit(0))).otherwise(0)
-    return d.select(*cols, "_size", times.cast("long").alias("_times"))
+    return unpacked(d, "_size", times.cast("long").alias("_times"))
 
 
 def shares(docs: DataFrame, size: Column, percent: int = 150, weights: Sequence[int] = WEIGHTS, most: int = 2) -> tuple[dict, dict]:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from thicket.llm.common import SPACE, cut, let, table, with_small, words_of
+from thicket.llm.common import SPACE, cut, let, packed, table, unpacked, with_small, words_of
 
 #: The rates, in thousandths (word length: tenths of a character), that the adaptive thresholds bound from above. A sketch is the count of each whole rate, so its size is bounded and sketches merge by addition.
 RATES = ("symbol_rate", "dup_line_rate", "repeat_rate", "word_len")
@@ -28,7 +28,7 @@ def _repeated(w: Column) -> Column:
 
 
 def measured(docs: DataFrame) -> DataFrame:
-    """docs with the struct column `_m` of counts; a null text counts as one without words."""
+    """docs (text at least) with the struct column `_m` of counts; a null text counts as one without words."""
     text = F.coalesce(F.col("text"), F.lit(""))
     lines = F.filter(F.split(text, "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]"))
     counts = let(words_of(F.col("text")), lambda w: F.struct(F.size(w).cast("long").alias("n_words"), _repeated(w).alias("n_repeat_words")))
@@ -90,12 +90,12 @@ def judged(docs: DataFrame, reach: int = 6, min_group: int = 100) -> DataFrame:
 
     docs needs text, lang and source; null languages and sources are groups of their own. A document is kept if it passes the base rules and no rate is over its group's limit. Repeated rows are judged alike; an empty table gives an empty result.
     """
-    m = measured(docs)
+    m = measured(packed(docs, "_m", "_base", "_kept").select("_row", *[F.col(f"_row.{c}").alias(c) for c in ("text", "lang", "source")]))
     lim = cut(thresholds(measured(docs.select("text", "lang", "source")), reach, min_group)).select(F.col("lang").alias("_lang"), F.col("source").alias("_source"), "limits")
     m = m.withColumn("_base", base_failed()).withColumn("_rates", _rates())
     j = with_small(m, lim, F.col("lang").eqNullSafe(F.col("_lang")) & F.col("source").eqNullSafe(F.col("_source")))
     over = F.exists("_rates", lambda r: r["rate"] > F.coalesce(F.try_element_at("limits", r["rule"]), F.lit(1000)))
-    return j.withColumn("_kept", ~F.col("_base") & ~over).drop("_lang", "_source", "limits", "_rates")
+    return unpacked(j, "_m", "_base", (~F.col("_base") & ~over).alias("_kept"))
 
 
 def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
