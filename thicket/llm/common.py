@@ -177,7 +177,9 @@ def links_by_key(index: DataFrame, vals: dict[str, str], runs: bool = False) ->
                 cols = [x[old] for x in rows] + [x[to][old] for x in rows[1:]]
                 yield pa.RecordBatch.from_arrays([pa.array(x) for x in cols], names=["key", *names, *(f"l{n}" for n in names)])
 
-    return index.repartition(F.col("key")).sortWithinPartitions("key", *names).mapInArrow(lead, index_schema(vals))
+    # links found before the shuffle need not meet the other rows of their key: they go anywhere, so that a frequent key's don't meet in one task
+    place = F.when(F.col(f"l{names[0]}").isNull(), F.col("key")).otherwise(F.xxhash64(*names))
+    return index.repartition(place).sortWithinPartitions("key", *names).mapInArrow(lead, index_schema(vals))
 
 
 def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:

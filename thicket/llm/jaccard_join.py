@@ -12,11 +12,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from thicket.llm.common import WordHashes, combined, components, cut, index_schema, links_by_key, mixed, shingles, table, with_small, word_batches, written
+from thicket.llm.common import WordHashes, combined, components, cut, index_schema, links_by_key, merged, mixed, shingles, table, tidy, with_small, word_batches, written
 
 VALS = {"id": "long"}
 #: Bits of a set's parity sketch: each element flips one bit, so two sets differ in no fewer elements than their sketches in bits.
 SKETCH = 512
+#: Turns at most in which keys with several components try another node of each key, before all pairs are compared. More or fewer change the work, not the result.
+LEADERS = 2
 
 
 @dataclass(frozen=True)
@@ -209,32 +211,41 @@ def _elements(n: int):
 
 
 def _cross(percent: int):
-    """Pairs of rows (key, id, label, n, sketch), sorted by key, of one key but different components that size and sketch don't rule out. Compares blocks; nothing is left out."""
-
-    def pairs(rows: list[tuple]) -> Iterator[pa.RecordBatch]:
-        id_, label, n = (np.array(x, np.int64) for x in list(zip(*rows, strict=True))[:3])
-        sketch = np.frombuffer(b"".join(r[3] for r in rows), np.uint64).reshape(len(rows), SKETCH // 64)
-        for i in range(len(rows) - 1):
-            for k in range(i + 1, len(rows), 65_536):
-                s = slice(k, min(len(rows), k + 65_536))
-                both = n[i] + n[s]
-                ok = (label[s] != label[i]) & (100 * np.minimum(n[i], n[s]) >= percent * np.maximum(n[i], n[s]))
-                ok &= np.bitwise_count(sketch[s] ^ sketch[i]).sum(1) <= both * (100 - percent) // (100 + percent)
-                if ok.any():
-                    other = id_[s][ok]
-                    yield pa.RecordBatch.from_arrays([pa.array(np.minimum(other, id_[i])), pa.array(np.maximum(other, id_[i]))], names=["a", "b"])
+    """Pairs of rows (key, id, label, n, sketch), sorted by key, of one key but different components that size and sketch don't rule out. Each row is compared with the d-th after it of its key, for every d and all keys at once; nothing is left out. Keeps the rows of one key between batches."""
+
+    def pairs(key, id_, label, n, sketch) -> Iterator[pa.RecordBatch]:
+        at = np.arange(len(key))
+        d = 0
+        while True:
+            d += 1
+            at = at[at + d < len(key)]
+            at = at[key[at] == key[at + d]]
+            if not len(at):
+                return
+            for k in range(0, len(at), 1 << 18):
+                i = at[k : k + (1 << 18)]
+                j = i + d
+                ok = (label[i] != label[j]) & (100 * np.minimum(n[i], n[j]) >= percent * np.maximum(n[i], n[j]))
+                i, j = i[ok], j[ok]
+                ok = np.bitwise_count(sketch[i] ^ sketch[j]).sum(1) <= (n[i] + n[j]) * (100 - percent) // (100 + percent)
+                x, y = id_[i[ok]], id_[j[ok]]
+                if len(x):
+                    yield pa.RecordBatch.from_arrays([pa.array(np.minimum(x, y)), pa.array(np.maximum(x, y))], names=["a", "b"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last, rows = None, []
+        kept = None
         for b in batches:
-            for key, *row in zip(*(b.column(i).to_pylist() for i in range(5)), strict=True):
-                if key != last:
-                    if len(rows) > 1:
-                        yield from pairs(rows)
-                    last, rows = key, []
-                rows.append(row)
-        if len(rows) > 1:
-            yield from pairs(rows)
+            if not b.num_rows:
+                continue
+            cols = [b.column(i).to_numpy(zero_copy_only=False) for i in range(4)]
+            cols.append(np.frombuffer(b"".join(b.column(4).to_pylist()), np.uint64).reshape(-1, SKETCH // 64))
+            if kept is not None:
+                cols = [np.concatenate(x) for x in zip(kept, cols, strict=True)]
+            cut_at = int(np.searchsorted(cols[0], cols[0][-1]))
+            yield from pairs(*(c[:cut_at] for c in cols))
+            kept = [c[cut_at:] for c in cols]
+        if kept is not None:
+            yield from pairs(*kept)
 
     return run
 
@@ -261,9 +272,9 @@ def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 def classes(docs: DataFrame, n: int = 4, percent: int = 85) -> DataFrame:
     """(doc_id, n_shingles, component_id) of every row of docs: the size of its set of distinct n-word shingles, and the least doc_id that links reach from it, its own included. Two sets link when 100 * intersection >= percent * union.
 
-    Words are runs of other than the six ASCII spaces, A-Z lower-cased. A text of fewer than n words is one shingle; without words, or null, it has none and links with nothing. Repeated rows and equal sets are one class; a null doc_id counts only where its class has no other. Other columns aren't looked at; an empty table gives an empty result. Elements are 64-bit hashes of shingles.
+    Words are runs of other than the six ASCII spaces, A-Z lower-cased. A text of fewer than n words is one shingle; without words, or null, it has none and links with nothing. Repeated rows and equal sets are one class; a row without doc_id is in one class with rows of an equal set, but isn't compared with others. Other columns aren't looked at; an empty table gives an empty result. Elements are 64-bit hashes of shingles.
 
-    1. Equal sets become one node. 2. Nodes go by their segment keys into stars, a first node of each key, so that a group of k costs k links; copies and frequent keys are combined before the shuffle. 3. Links to the likeliest first node are verified, then those that still join two components. 4. Where a key holds several components, all pairs between components are compared by size and sketch, and the rest verified. No link between components is left out.
+    1. Equal sets become one node. 2. Nodes go by their segment keys into stars, a first node of each key, so that a group of k costs k links; copies and frequent keys are combined before the shuffle. 3. Each node's link to its likeliest first node is verified. 4. Where a key holds several components, its nodes are tried against another node of the key, and at last all pairs between its components are compared by size and sketch, and the rest verified. No link between components is left out.
     """
     d = docs.select("doc_id", "text")
     info = cut(d.mapInArrow(_measured(n), "doc_id " + dict(d.dtypes)["doc_id"] + ", id long, n_shingles long"))
@@ -278,18 +289,25 @@ def classes(docs: DataFrame, n: int = 4, percent: int = 85) -> DataFrame:
     wanted = cut(info.join(wanted, "id").groupBy("id").agg(F.min("doc_id").alias("w_id")))
     sets = with_small(d.where("doc_id is not null"), wanted, F.col("doc_id") == F.col("w_id"), "inner", 200_000).select("id", "text").mapInArrow(_elements(n), "id long, n long, sketch binary, el array<long>")
     sets = written(sets.dropDuplicates(["id"]))
+    tidy(docs.sparkSession)
     # the likeliest partner first
     best = pairs.groupBy("b").agg(F.max(F.struct("c", "a")).alias("m")).select(F.col("m.a").alias("a"), "b")
-    links = cut(_verified(best, sets, percent))
-    labels = cut(components(links))
-    tried = best
-    for more in (lambda: pairs.select("a", "b"), lambda: _between(meets, sets, labels, percent)):
-        rest = more().join(tried, ["a", "b"], "left_anti")
-        rest = rest.join(labels.select(F.col("node").alias("a"), F.col("label").alias("la")), "a", "left").join(labels.select(F.col("node").alias("b"), F.col("label").alias("lb")), "b", "left").where(F.coalesce("la", "a") != F.coalesce("lb", "b")).select("a", "b")
-        rest = cut(rest)
-        links = cut(links.unionByName(_verified(rest, sets, percent)))
-        labels = cut(components(links))
-        tried = tried.unionByName(rest)
+    labels = cut(components(_verified(best, sets, percent)))
+    # then other nodes of each key that holds several components, while that joins any, last all pairs between components
+    members = meets.select("key", "id").unionByName(meets.select("key", F.col("lid").alias("id"))).distinct()
+    turn, n_links = 0, 1
+    while True:
+        turn += 1
+        last = turn > LEADERS or not n_links
+        members = cut(_several(members, labels))  # components only merge, so keys only leave
+        found = cut(_verified(_between(members, sets, percent) if last else _to_leaders(members, turn), sets, percent))
+        n_links = found.count()
+        if n_links:
+            labels = merged(labels, found)
+        members = members.select("key", "id")
+        tidy(docs.sparkSession)
+        if last:
+            break
     nodes = info.groupBy("id").agg(F.min("doc_id").alias("first")).join(labels, F.col("id") == F.col("node"), "left").select("id", "first", F.coalesce("label", "id").alias("label"))
     nodes = cut(nodes)
     least = nodes.groupBy("label").agg(F.min("first").alias("component_id"))
@@ -301,13 +319,23 @@ def _sized(info: DataFrame, k: str) -> tuple[DataFrame, str]:
     return info.groupBy(F.col("id").alias(k)).agg(F.max("n_shingles").alias(f"n{k}")), k
 
 
-def _between(meets: DataFrame, sets: DataFrame, labels: DataFrame, percent: int) -> DataFrame:
-    """Likely pairs of one key in different components."""
-    members = meets.select("key", "id").unionByName(meets.select("key", F.col("lid").alias("id"))).distinct()
+def _several(members: DataFrame, labels: DataFrame) -> DataFrame:
+    """(key, id, label) of the keys that hold several components."""
     members = members.join(labels, F.col("id") == F.col("node"), "left").select("key", "id", F.coalesce("label", "id").alias("label"))
-    members = cut(members)
     several = members.groupBy("key").agg(F.min("label").alias("x"), F.max("label").alias("y")).where("x <> y").select("key")
-    rows = members.join(several, "key", "left_semi").join(sets.select("id", "n", "sketch"), "id").select("key", "id", "label", "n", "sketch")
+    return members.join(several, "key", "left_semi")
+
+
+def _to_leaders(members: DataFrame, turn: int) -> DataFrame:
+    """(a, b): each node of a key with another node of the key, the same for all, picked by a hash that differs from turn to turn. As many pairs as members."""
+    lead = members.groupBy("key").agg(F.min(F.struct(F.xxhash64(F.lit(turn), "key", "id").alias("h"), "id", "label")).alias("l"))
+    j = members.join(lead, "key").where(F.col("label") != F.col("l.label"))
+    return j.select(F.least("id", "l.id").alias("a"), F.greatest("id", "l.id").alias("b")).distinct()
+
+
+def _between(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Likely pairs of one key in different components."""
+    rows = members.join(sets.select("id", "n", "sketch"), "id").select("key", "id", "label", "n", "sketch")
     return rows.repartition("key").sortWithinPartitions("key").mapInArrow(_cross(percent), "a long, b long").distinct()
 
 
