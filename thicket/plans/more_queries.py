@@ -107,7 +107,7 @@ def critic_mean(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read(spark, sf_dir, "events").groupBy("user_id").agg(F.round(F.avg(critic(verdict)), 6).alias("critic"))
 
 
-@query("SELECT user_id, round(sum(CASE event_type WHEN 'purchase' THEN 1.0 WHEN 'click' THEN 0.1 WHEN 'error' THEN 0.0001 ELSE 0 END), 4) AS worth FROM events GROUP BY user_id")
+@query("SELECT user_id, round(CAST(sum(CASE event_type WHEN 'purchase' THEN 1.0 WHEN 'click' THEN 0.1 WHEN 'error' THEN 0.0001 ELSE 0 END) AS DOUBLE), 4) AS worth FROM events GROUP BY user_id")
 def verdict_worth(spark: SparkSession, sf_dir: str) -> DataFrame:
     word = F.when(F.col("event_type") == "purchase", "sure").when(F.col("event_type") == "click", "likely").when(F.col("event_type") == "error", "impossible").otherwise("other")
     g = read(spark, sf_dir, "events").groupBy("user_id").agg(F.collect_list(word).alias("v"))
