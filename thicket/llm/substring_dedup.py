@@ -12,10 +12,10 @@ from pyspark.sql import functions as F
 
 from thicket.llm.common import WORD, WordHashes, combined, components, cut, index_schema, links_by_key, mixed, packed, shingles, table, tidy, unpacked, with_small, word_batches, written
 
-#: Words of a unit, and the window from which one start is picked: passages of UNIT + WINDOW - 1 words or more share a whole unit wherever they stand. Documents don't mark where a passage begins, so content does.
-UNIT, WINDOW = 20, 32
-#: Bands and rows: units of similarity 0.8 share a band with probability 1 - (1 - 0.8^3)^3 = 0.88, of 0.9 with 0.98, equal ones always, and a passage has several units.
-BANDS, ROWS = 3, 3
+#: Words of a unit, and the window from which one start is picked: passages of UNIT + WINDOW - 1 words or more share a whole unit wherever they stand, and starts are at most UNIT apart, so no words lie between units. Documents don't mark where a passage begins, so content does.
+UNIT, WINDOW = 20, 20
+#: Bands and rows: units of similarity 0.8 share a band with probability 1 - (1 - 0.8^3)^5 = 0.97, of 0.9 with 0.999, equal ones always, and a passage has several units.
+BANDS, ROWS = 5, 3
 VALS = {"h": "long", "id": "long", "pos": "int"}
 SHINGLE = 5
 
@@ -57,12 +57,12 @@ def _units(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             h, ids, pos = whole.view(np.int64), ids[text], (at - np.concatenate(([0], ends[:-1]))[text]).astype(np.int32)
             fresh = np.sort(np.unique(h, return_index=True)[1])
             keys, which = [], []
-            for k in range(BANDS):  # the band is in the key's low bits; all bands but the first see each text of a unit once
+            for k in range(BANDS):  # the key's low bits are 0 in the first band alone; all other bands see each text of a unit once
                 key = np.full(len(at), k + 1, np.uint64)
                 for r in range(ROWS):
                     key = mixed(key + (h5 * odd[k * ROWS + r]).min(1))
                 rows = fresh if k else np.arange(len(at))
-                keys.append(((key >> np.uint64(2) << np.uint64(2)) | np.uint64(k)).view(np.int64)[rows])
+                keys.append(((key >> np.uint64(2) << np.uint64(2)) | np.uint64(k > 0)).view(np.int64)[rows])
                 which.append(rows)
             rows = np.concatenate(which)
             yield combined(list(VALS), np.concatenate(keys), [h[rows], ids[rows], pos[rows]], runs=True)
