@@ -9,8 +9,8 @@ from thicket.llm import common, substring_dedup
 DOC = "doc_id long, text string, lang string, source string, n_chars long"
 
 
-def prose(rng, n, words=10**6):
-    return [f"w{rng.randrange(words)}" for _ in range(n)]
+def prose(rng, n, of="w"):
+    return [f"{of}{i}" for i in rng.sample(range(10**6), n)]
 
 
 def docs_of(spark, texts):
@@ -22,3 +22,19 @@ def test_units_are_dense_and_bands_find_similar_ones():
     at = substring_dedup.starts_of(words, np.array([len(words)]))
     assert np.diff(at).max() <= substring_dedup.UNIT  # no words between units
     assert 1 - (1 - 0.8**substring_dedup.ROWS) ** substring_dedup.BANDS >= 0.97
+
+
+def test_no_words_of_a_passage_stay(spark):
+    rng = random.Random(2)
+    texts, passages = [], []
+    for n in (51, 80, 120, 300) * 5:
+        p = prose(rng, n)
+        passages.append(set(p))
+        for _ in range(2):
+            texts.append(" ".join(prose(rng, rng.randrange(30, 90), "x") + p + prose(rng, rng.randrange(30, 90), "x")))
+    clean = {r["doc_id"]: r["text"].split() for r in substring_dedup.cleaned(docs_of(spark, texts)).collect()}
+    for i, text in enumerate(texts):
+        left = sum(w in passages[i // 2] for w in clean[i])
+        assert left == (0 if i % 2 else len(passages[i // 2]))
+        lost = [w for w in text.split() if w not in passages[i // 2] and w not in clean[i]]
+        assert len(lost) <= 2 * (i % 2)  # a unit over an end of the passage is similar if one word of it is outside

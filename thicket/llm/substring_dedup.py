@@ -7,7 +7,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from thicket.llm.common import WORD, WordHashes, combined, components, cut, index_schema, links_by_key, mixed, packed, shingles, table, tidy, unpacked, with_small, word_batches, written
@@ -18,6 +18,8 @@ UNIT, WINDOW = 20, 20
 BANDS, ROWS = 5, 3
 VALS = {"h": "long", "id": "long", "pos": "int"}
 SHINGLE = 5
+#: Words beside a match that are compared when it grows. Where a shared run goes on for longer, its next unit is shared too and grows from there.
+REACH = UNIT + WINDOW + 2
 
 
 def starts_of(words: np.ndarray, ends: np.ndarray) -> np.ndarray:
@@ -82,10 +84,97 @@ def _shingle_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
                 yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.int32()), pa.array([r[2] for r in rows], pa.list_(pa.int64()))], names=["id", "pos", "sh"])
 
 
+def _asked(d: DataFrame, first: DataFrame, asks: DataFrame) -> DataFrame:
+    """(id, text, asks) of the texts in asks (id, asks), one row of d for each text."""
+    asks = cut(asks.join(first, "id").select(F.col("id").alias("w_id"), "asks", "first_doc"))
+    on = F.col("doc_id").eqNullSafe(F.col("first_doc")) & (F.col("id") == F.col("w_id"))
+    return with_small(d, asks, on, "inner").select("id", "text", "asks")
+
+
+def _listed(values: np.ndarray) -> pa.Array:
+    return pa.ListArray.from_arrays(pa.array(np.arange(len(values) + 1, dtype=np.int32) * values.shape[1]), pa.array(values.ravel()))
+
+
+def _beside(words: np.ndarray, begin: np.ndarray, end: np.ndarray, at: np.ndarray, step: int, none: int) -> np.ndarray:
+    """The REACH words before (step -1, nearest first) or from (step 1) each place; none outside the text, which goes from begin to end."""
+    i = at[:, None] + (np.arange(REACH) if step > 0 else -1 - np.arange(REACH))
+    return np.where((i >= begin[:, None]) & (i < end[:, None]), words[np.clip(i, 0, len(words) - 1)].view(np.int64), none)
+
+
+def _asks_of(b: pa.RecordBatch, hashes: WordHashes) -> Iterator[tuple]:
+    """For some texts of the batch at a time: (words, the asks' columns, each ask's text, its begin and end among the words), at most 4,096 asks a time."""
+    lists = b.column("asks")
+    size = np.diff(lists.offsets.to_numpy())
+    cols = lists.flatten().flatten()
+    upto = np.concatenate(([0], np.cumsum(size)))
+    for first, last, words, ends in word_batches(b.column("text").to_pylist(), hashes):
+        text = np.repeat(np.arange(last - first), size[first:last])
+        begin = np.concatenate(([0], ends[:-1]))
+        for k in range(0, len(text), 4096):
+            t = text[k : k + 4096]
+            yield words, [c.slice(upto[first] + k, len(t)) for c in cols], first + t, begin[t], ends[t]
+
+
+def _around(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(kid, kpos, kn, left, right): hashes of the words beside each stretch asked for."""
+    hashes = WordHashes()
+    for b in batches:
+        ids = b.column("id").to_numpy(zero_copy_only=False)
+        for words, (pos, n), text, begin, end in _asks_of(b, hashes):
+            at = begin + pos.to_numpy()
+            sides = [_listed(_beside(words, begin, end, at, -1, 0)), _listed(_beside(words, begin, end, at + n.to_numpy(), 1, 0))]
+            yield pa.RecordBatch.from_arrays([pa.array(ids[text]), pos, n, *sides], names=["kid", "kpos", "kn", "left", "right"])
+
+
+def _grown(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(id, first, words): each stretch asked for, longer by the words on either side that equal those beside what it matches."""
+    hashes = WordHashes()
+    for b in batches:
+        ids = b.column("id").to_numpy(zero_copy_only=False)
+        for words, (pos, n, left, right), text, begin, end in _asks_of(b, hashes):
+            at, to = begin + pos.to_numpy(), begin + pos.to_numpy() + n.to_numpy()
+            more = []
+            for place, step, theirs in ((at, -1, left), (to, 1, right)):
+                same = _beside(words, begin, end, place, step, 1) == theirs.flatten().to_numpy().reshape(-1, REACH)
+                more.append(np.logical_and.accumulate(same, axis=1).sum(1))
+            yield pa.RecordBatch.from_arrays([pa.array(ids[text]), pa.array((at - begin - more[0]).astype(np.int32)), pa.array((to - at + more[0] + more[1]).astype(np.int32))], names=["id", "first", "words"])
+
+
+def _spans(d: DataFrame, first: DataFrame, gone: DataFrame) -> DataFrame:
+    """(id, spans): what goes from each text, for units gone (id, pos, n) that match (kid, kpos, kn). Each match is grown to the whole run of words that both texts share there; units that follow each other in both texts grow as one."""
+    run = Window.partitionBy("id", "kid", F.col("kpos") - F.col("pos"), F.when(F.col("n") != F.col("kn"), F.col("pos"))).orderBy("pos", "n")
+    before = F.max(F.col("pos") + F.col("n")).over(run.rowsBetween(Window.unboundedPreceding, -1))
+    runs = gone.distinct().withColumn("new", F.when(F.col("pos") <= before, 0).otherwise(1)).withColumn("run", F.sum("new").over(run.rowsBetween(Window.unboundedPreceding, 0)))
+    long = lambda p, n: (F.max(F.col(p) + F.col(n)) - F.min(p)).alias(n)
+    runs = runs.groupBy("id", "kid", F.col("kpos") - F.col("pos"), F.when(F.col("n") != F.col("kn"), F.col("pos")), "run").agg(F.min("pos").alias("pos"), long("pos", "n"), F.min("kpos").alias("kpos"), long("kpos", "kn"))
+    runs = cut(runs.select("id", "pos", "n", "kid", "kpos", "kn").distinct())
+    kept = runs.select("kid", "kpos", "kn").distinct().groupBy(F.col("kid").alias("id")).agg(F.collect_list(F.struct("kpos", "kn")).alias("asks"))
+    around = written(_asked(d, first, kept).mapInArrow(_around, "kid long, kpos int, kn int, left array<long>, right array<long>").dropDuplicates(["kid", "kpos", "kn"]))
+    asks = runs.join(around, ["kid", "kpos", "kn"]).groupBy("id").agg(F.collect_list(F.struct("pos", "n", "left", "right")).alias("asks"))
+    grown = _asked(d, first, asks).mapInArrow(_grown, "id long, first int, words int")
+
+    @F.pandas_udf("array<struct<first:int,words:int>>")
+    def joined(parts):
+        import pandas as pd
+
+        def one(p) -> list[dict]:
+            out: list[list[int]] = []
+            for x, n in p:
+                if out and x <= out[-1][1]:
+                    out[-1][1] = max(out[-1][1], x + n)
+                else:
+                    out.append([x, x + n])
+            return [{"first": int(a), "words": int(b - a)} for a, b in out]
+
+        return pd.Series([one(p) for p in parts])
+
+    return grown.groupBy("id").agg(F.sort_array(F.collect_set(F.array("first", "words"))).alias("parts")).select("id", joined("parts").alias("spans"))
+
+
 def repeats(docs: DataFrame, similarity_percent: int = 80) -> DataFrame:
     """(doc_id, id, spans, kept, copy): one row for each document that repeats what another holds. spans: array of (first word, words) to remove, in order, apart from each other; kept: doc_ids of the documents that keep it, sorted; copy: the whole text is a copy of the document kept.
 
-    A unit is UNIT words from a place that the content picks. Units that share a MinHash band are compared by exact Jaccard similarity of their 5-word shingles (equal ones by hash), linked, and each component of links is kept in the document of least doc_id alone. Equal texts are one; all but the least doc_id are copies if they have UNIT words. Repeats inside one document stay. Texts that are null or shorter than UNIT words have no units; null doc_ids come first, as least. id: hash of the text.
+    A unit is UNIT words from a place that the content picks. Units that share a MinHash band are compared by exact Jaccard similarity of their 5-word shingles (equal ones by hash), linked, and each component of links is kept in the document of least doc_id alone. Equal texts are one; all but the least doc_id are copies if they have UNIT words. Each match with the kept document is grown to the whole run of words shared there. Repeats inside one document stay. Texts that are null or shorter than UNIT words have no units; null doc_ids come first, as least. id: hash of the text.
 
     Each band key links its units to a first one, so a passage in k documents costs k links; keys of a batch are combined before the shuffle.
     """
@@ -109,28 +198,13 @@ def repeats(docs: DataFrame, similarity_percent: int = 80) -> DataFrame:
     labels = cut(components(alike))
     same = meets.where("h = lh")
     units = same.select("h", "id", "pos").unionByName(same.select("h", F.col("lid").alias("id"), F.col("lpos").alias("pos"))).unionByName(ends.join(labels, F.col("h") == F.col("node"), "left_semi")).distinct()
-    units = units.join(labels, F.col("h") == F.col("node"), "left").join(first, "id").select("id", "pos", F.coalesce("label", "h").alias("label"), "first_doc")
+    units = units.join(labels, F.col("h") == F.col("node"), "left").join(first, "id").select("id", "pos", F.lit(UNIT).alias("n"), F.coalesce("label", "h").alias("label"), "first_doc")
     units = written(units)
     tidy(docs.sparkSession)
-    keep = units.groupBy("label").agg(F.min(F.struct("first_doc", "id")).alias("k")).select("label", F.col("k.first_doc").alias("kept_doc"), F.col("k.id").alias("kept_id"))
-    gone = units.join(keep, "label").where("id <> kept_id").groupBy("id").agg(F.sort_array(F.collect_set("pos")).alias("at"), F.sort_array(F.collect_set("kept_doc")).alias("kept"))
-
-    @F.pandas_udf("array<struct<first:int,words:int>>")
-    def joined(at):
-        import pandas as pd
-
-        def one(p) -> list[dict]:
-            out: list[list[int]] = []
-            for x in p:
-                if out and x <= out[-1][1]:
-                    out[-1][1] = x + UNIT
-                else:
-                    out.append([x, x + UNIT])
-            return [{"first": int(a), "words": int(b - a)} for a, b in out]
-
-        return pd.Series([one(p) for p in at])
-
-    spans = gone.select(F.col("id").alias("g_id"), joined("at").alias("spans"), "kept").withColumnRenamed("kept", "g_kept")
+    keep = units.groupBy("label").agg(F.min(F.struct("first_doc", "id", "pos", "n")).alias("k")).select("label", F.col("k.first_doc").alias("kept_doc"), F.col("k.id").alias("kid"), F.col("k.pos").alias("kpos"), F.col("k.n").alias("kn"))
+    gone = cut(units.join(keep, "label").where("id <> kid").select("id", "pos", "n", "kid", "kpos", "kn", "kept_doc"))
+    kept = gone.groupBy(F.col("id").alias("k_id")).agg(F.sort_array(F.collect_set("kept_doc")).alias("g_kept"))
+    spans = _spans(d, first, gone).join(kept, F.col("id") == F.col("k_id")).select(F.col("id").alias("g_id"), "spans", "g_kept")
     rows = info.join(first.select(F.col("id").alias("f_id"), "first_doc"), F.col("id") == F.col("f_id")).withColumn("copy", ~F.col("doc_id").eqNullSafe(F.col("first_doc")))
     rows = rows.join(spans, F.col("id") == F.col("g_id"), "left").where("copy or g_id is not null")
     whole = F.array(F.struct(F.lit(0).alias("first"), F.col("n_words").cast("int").alias("words")))
