@@ -4,7 +4,7 @@ import random
 
 import numpy as np
 
-from thicket.llm import common, substring_dedup
+from thicket.llm import substring_dedup
 
 DOC = "doc_id long, text string, lang string, source string, n_chars long"
 
@@ -38,3 +38,15 @@ def test_no_words_of_a_passage_stay(spark):
         assert left == (0 if i % 2 else len(passages[i // 2]))
         lost = [w for w in text.split() if w not in passages[i // 2] and w not in clean[i]]
         assert len(lost) <= 2 * (i % 2)  # a unit over an end of the passage is similar if one word of it is outside
+
+
+def test_every_two_units_of_a_key_are_compared(spark, monkeypatch):
+    rng = random.Random(3)
+    texts = []
+    for _ in range(12):  # pairs that differ in the last word; of no likeness to other pairs
+        p = prose(rng, 20)
+        texts += [" ".join(p), " ".join(p[:-1] + ["other" + p[0]])]
+    monkeypatch.setattr(substring_dedup, "ROWS", 0)  # one key for all in each band
+    monkeypatch.setattr(substring_dedup, "WINDOW", 1)  # every 20 words are a unit
+    found = {r["doc_id"]: r["kept"] for r in substring_dedup.repeats(docs_of(spark, texts)).collect()}
+    assert found == {i: [i - 1] for i in range(1, 24, 2)}

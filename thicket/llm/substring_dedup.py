@@ -10,13 +10,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from thicket.llm.common import WORD, WordHashes, combined, components, cut, index_schema, links_by_key, mixed, packed, shingles, table, tidy, unpacked, with_small, word_batches, written
+from thicket.llm import jaccard_join
+from thicket.llm.common import WORD, WordHashes, combined, components, cut, index_schema, links_by_key, merged, mixed, packed, shingles, table, tidy, unpacked, with_small, word_batches, written
 
 #: Words of a unit, and the window from which one start is picked: passages of UNIT + WINDOW - 1 words or more share a whole unit wherever they stand, and starts are at most UNIT apart, so no words lie between units. Documents don't mark where a passage begins, so content does.
 UNIT, WINDOW = 20, 20
 #: Bands and rows: units of similarity 0.8 share a band with probability 1 - (1 - 0.8^3)^5 = 0.97, of 0.9 with 0.999, equal ones always, and a passage has several units.
 BANDS, ROWS = 5, 3
-VALS = {"h": "long", "id": "long", "pos": "int"}
+VALS = {"h": "long"}
 SHINGLE = 5
 #: Words beside a match that are compared when it grows. Where a shared run goes on for longer, its next unit is shared too and grows from there.
 REACH = UNIT + WINDOW + 2
@@ -37,51 +38,121 @@ def starts_of(words: np.ndarray, ends: np.ndarray) -> np.ndarray:
     return at[at + UNIT <= ends[text[at]]]
 
 
-def _units(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def units_of(texts: list, words: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(place over all texts, words) of the units of texts."""
+    at = starts_of(words, ends)
+    return at, np.full(len(at), UNIT)
+
+
+def _told(b: pa.RecordBatch, hashes: WordHashes) -> Iterator[tuple]:
+    """For some texts of the batch at a time: (words, places of the units, their words, hashes of their texts, their texts' numbers in the batch, positions in these). Copies in the batch give their units once."""
+    texts = b.column("text").to_pylist()
+    ids_all = b.column("id").to_numpy(zero_copy_only=False)
+    for first, last, words, ends in word_batches(texts, hashes):
+        at, n = units_of(texts[first:last], words, ends)
+        text = np.searchsorted(ends, at, side="right")
+        once = np.zeros(last - first, bool)
+        once[np.unique(ids_all[first:last], return_index=True)[1]] = True
+        at, n, text = at[once[text]], n[once[text]], text[once[text]]
+        if len(at):
+            yield words, at, n, _texts(words, at, n), first + text, (at - np.concatenate(([0], ends[:-1]))[text]).astype(np.int32)
+
+
+def _texts(words: np.ndarray, at: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """A hash of the words of each unit, in order."""
+    h = mixed(n.astype(np.uint64))
+    for k in np.unique(n):
+        i = np.flatnonzero(n == k)
+        if k <= 4 * UNIT:
+            for j in range(k):
+                h[i] = mixed(h[i] + words[at[i] + j] + np.uint64(0x9E3779B97F4A7C15))
+        else:
+            place = np.arange(k, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+            for x in i:
+                h[x] = mixed(h[x : x + 1] + mixed(words[at[x] : at[x] + k] ^ mixed(place)).sum(dtype=np.uint64))[0]
+    return h.view(np.int64)
+
+
+def _places(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(h, id, pos, n) of all units: the hash of a unit's text, and where it is."""
     hashes = WordHashes()
-    rng = np.random.default_rng(1)
-    odd = rng.integers(1, 1 << 62, BANDS * ROWS, dtype=np.uint64) | np.uint64(1)
     for b in batches:
-        ids_all = b.column("id").to_numpy(zero_copy_only=False)
-        for first, last, words, ends in word_batches(b.column("text").to_pylist(), hashes):
-            at = starts_of(words, ends)
-            ids = ids_all[first:last]
-            text = np.searchsorted(ends, at, side="right")
-            once = np.zeros(len(ids), bool)
-            once[np.unique(ids, return_index=True)[1]] = True  # copies in the batch give their units once
-            at, text = at[once[text]], text[once[text]]
-            if not len(at):
-                continue
-            h5 = shingles(words, SHINGLE)[at[:, None] + np.arange(UNIT - SHINGLE + 1)]
-            whole = np.zeros(len(at), np.uint64)
-            for i in range(UNIT):
-                whole = mixed(whole + words[at + i] + np.uint64(0x9E3779B97F4A7C15))
-            h, ids, pos = whole.view(np.int64), ids[text], (at - np.concatenate(([0], ends[:-1]))[text]).astype(np.int32)
-            fresh = np.sort(np.unique(h, return_index=True)[1])
-            keys, which = [], []
-            for k in range(BANDS):  # the key's low bits are 0 in the first band alone; all other bands see each text of a unit once
-                key = np.full(len(at), k + 1, np.uint64)
-                for r in range(ROWS):
-                    key = mixed(key + (h5 * odd[k * ROWS + r]).min(1))
-                rows = fresh if k else np.arange(len(at))
-                keys.append(((key >> np.uint64(2) << np.uint64(2)) | np.uint64(k > 0)).view(np.int64)[rows])
-                which.append(rows)
-            rows = np.concatenate(which)
-            yield combined(list(VALS), np.concatenate(keys), [h[rows], ids[rows], pos[rows]], runs=True)
-
-
-def _shingle_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(id, pos, sh) of the units asked for, the distinct 5-word shingles of each."""
+        ids = b.column("id").to_numpy(zero_copy_only=False)
+        for _, _, n, h, text, pos in _told(b, hashes):
+            yield pa.RecordBatch.from_arrays([pa.array(h), pa.array(ids[text]), pa.array(pos), pa.array(n.astype(np.int32))], names=["h", "id", "pos", "n"])
+
+
+def _of_bands(bands: range):
+    """Index rows of the units' texts under their keys in these bands."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hashes = WordHashes()
+        odd = np.random.default_rng(1).integers(1, 1 << 62, BANDS * ROWS, dtype=np.uint64) | np.uint64(1)
+        for b in batches:
+            for words, at, n, h, _, _ in _told(b, hashes):
+                fresh = np.unique(h, return_index=True)[1]
+                h, at, size = h[fresh], at[fresh], np.maximum(n[fresh] - SHINGLE + 1, 1)
+                # the shingles of all units one after the other; a unit of fewer than SHINGLE words is one, its text
+                starts = np.concatenate(([0], np.cumsum(size)[:-1]))
+                place = np.repeat(at - starts, size) + np.arange(size.sum())
+                h5 = shingles(words, SHINGLE)
+                h5 = h5[np.minimum(place, len(h5) - 1)] if len(h5) else np.zeros(len(place), np.uint64)
+                short = n[fresh] < SHINGLE
+                h5[starts[short]] = h[short].view(np.uint64)
+                keys = []
+                for k in bands:
+                    key = np.full(len(h), k + 1, np.uint64)
+                    for r in range(ROWS):
+                        key = mixed(key + np.minimum.reduceat(h5 * odd[k * ROWS + r], starts))
+                    keys.append(key.view(np.int64))
+                yield combined(list(VALS), np.concatenate(keys), [np.tile(h, len(bands))])
+
+    return run
+
+
+def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(id, n, sketch, el) of the units asked for: id is the hash of a unit's text, el its distinct 5-word shingles, n their number."""
     hashes = WordHashes()
     for b in batches:
-        places = b.column("places").to_pylist()
-        ids = b.column("id").to_pylist()
+        asks = b.column("asks").to_pylist()
         for first, last, words, ends in word_batches(b.column("text").to_pylist(), hashes):
             h5 = shingles(words, SHINGLE).view(np.int64)
             begin = np.concatenate(([0], ends[:-1]))
-            rows = [(ids[first + i], p, np.unique(h5[begin[i] + p : begin[i] + p + UNIT - SHINGLE + 1])) for i in range(last - first) for p in places[first + i]]
-            if rows:
-                yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.int32()), pa.array([r[2] for r in rows], pa.list_(pa.int64()))], names=["id", "pos", "sh"])
+            units = [(begin[i] + a["pos"], a["n"], a["h"]) for i in range(last - first) for a in asks[first + i]]
+            for k in range(0, len(units), 4096):
+                sets = [np.unique(h5[at : at + n - SHINGLE + 1]) if n >= SHINGLE else np.array([h]) for at, n, h in units[k : k + 4096]]
+                bits = np.zeros((len(sets), jaccard_join.SKETCH), np.uint8)
+                own = np.repeat(np.arange(len(sets)), [len(x) for x in sets])
+                np.add.at(bits, (own, (np.concatenate(sets) >> 8) & (jaccard_join.SKETCH - 1)), 1)
+                sketch = np.packbits(bits & 1, axis=1)
+                yield pa.RecordBatch.from_arrays([pa.array([u[2] for u in units[k : k + 4096]], pa.int64()), pa.array([len(x) for x in sets], pa.int64()), pa.array([x.tobytes() for x in sketch], pa.binary()), pa.array(sets, pa.list_(pa.int64()))], names=["id", "n", "sketch", "el"])
+
+
+def _alike(d: DataFrame, first: DataFrame, places: DataFrame, percent: int) -> DataFrame:
+    """(node, label): components of different unit texts that share a band and are similar. No link between texts that share a band is left out: where a key holds several components, its texts are tried against another of the key, and at last all pairs between its components, as in the Jaccard join."""
+    # the bands go in two passes, so that the shuffle files of one alone are on disk
+    meets = [cut(links_by_key(d.select("id", "text").mapInArrow(_of_bands(bands), index_schema(VALS)), VALS)) for bands in (range(0, BANDS // 2), range(BANDS // 2, BANDS)) if not tidy(d.sparkSession)]
+    meets = meets[0].unionByName(meets[1])
+    members = cut(meets.select("key", F.col("h").alias("id")).unionByName(meets.select("key", F.col("lh").alias("id"))).distinct())
+    wanted = members.select(F.col("id").alias("h")).distinct()
+    asks = places.join(wanted, "h", "left_semi").groupBy("h").agg(F.min(F.struct("id", "pos", "n")).alias("p")).groupBy("p.id").agg(F.collect_list(F.struct("h", "p.pos", "p.n")).alias("asks"))
+    sets = written(_asked(d, first, asks).mapInArrow(_sets, "id long, n long, sketch binary, el array<long>").dropDuplicates(["id"]))
+    tidy(d.sparkSession)
+    pairs = meets.select(F.least("h", "lh").alias("a"), F.greatest("h", "lh").alias("b")).distinct()
+    labels = cut(components(jaccard_join._verified(pairs, sets, percent)))
+    turn, n_links = 0, 1
+    while True:
+        turn += 1
+        last = turn > jaccard_join.LEADERS or not n_links
+        members = cut(jaccard_join._several(members, labels))
+        found = cut(jaccard_join._verified(jaccard_join._between(members, sets, percent) if last else jaccard_join._to_leaders(members, turn), sets, percent))
+        n_links = found.count()
+        if n_links:
+            labels = merged(labels, found)
+        members = members.select("key", "id")
+        tidy(d.sparkSession)
+        if last:
+            return labels
 
 
 def _asked(d: DataFrame, first: DataFrame, asks: DataFrame) -> DataFrame:
@@ -176,30 +247,18 @@ def repeats(docs: DataFrame, similarity_percent: int = 80) -> DataFrame:
 
     A unit is UNIT words from a place that the content picks. Units that share a MinHash band are compared by exact Jaccard similarity of their 5-word shingles (equal ones by hash), linked, and each component of links is kept in the document of least doc_id alone. Equal texts are one; all but the least doc_id are copies if they have UNIT words. Each match with the kept document is grown to the whole run of words shared there. Repeats inside one document stay. Texts that are null or shorter than UNIT words have no units; null doc_ids come first, as least. id: hash of the text.
 
-    Each band key links its units to a first one, so a passage in k documents costs k links; keys of a batch are combined before the shuffle.
+    Each band key links its units' texts to a first one; equal units meet by their text alone, so a passage in k documents costs k rows. Keys that still hold several components compare all their members.
     """
     d = docs.select("doc_id", F.xxhash64(F.coalesce("text", F.lit(""))).alias("id"), F.coalesce("text", F.lit("")).alias("text"))
     info = cut(d.select("doc_id", "id", F.regexp_count("text", F.lit(WORD)).alias("n_words")).where(F.col("n_words") >= UNIT))
     first = info.groupBy("id").agg(F.min(F.struct("doc_id", "n_words")).alias("f")).select("id", F.col("f.doc_id").alias("first_doc"))
     first = cut(first)
-    meets = written(links_by_key(d.select("id", "text").mapInArrow(_units, index_schema(VALS)), VALS, runs=True))
-    tidy(docs.sparkSession)
-    # a unit's text is its node; near pairs, one for each two texts
-    pair = F.min(F.struct("h", "id", "pos", "lh", "lid", "lpos"))
-    near = cut(meets.where("h <> lh").groupBy(F.least("h", "lh").alias("x"), F.greatest("h", "lh").alias("y")).agg(pair.alias("p")).select("x", "y", "p.*"))
-    ends = near.select("h", "id", "pos").unionByName(near.select(F.col("lh").alias("h"), F.col("lid").alias("id"), F.col("lpos").alias("pos")))
-    places = cut(ends.groupBy("id").agg(F.collect_set("pos").alias("places")).join(first, "id").select(F.col("id").alias("w_id"), "places", "first_doc"))
-    on = F.col("doc_id").eqNullSafe(F.col("first_doc")) & (F.col("id") == F.col("w_id"))
-    sets = written(with_small(d, places, on, "inner").select("id", "text", "places").mapInArrow(_shingle_sets, "id long, pos int, sh array<long>"))
-    both = near.join(sets.withColumnRenamed("sh", "sa"), ["id", "pos"]).join(sets.select(F.col("id").alias("lid"), F.col("pos").alias("lpos"), F.col("sh").alias("sb")), ["lid", "lpos"])
-    inter = both.withColumn("i", F.size(F.array_intersect("sa", "sb")))
-    alike = cut(inter.where(100 * F.col("i") >= similarity_percent * (F.size("sa") + F.size("sb") - F.col("i"))).select(F.col("x").alias("a"), F.col("y").alias("b")).distinct())
-    tidy(docs.sparkSession)
-    labels = cut(components(alike))
-    same = meets.where("h = lh")
-    units = same.select("h", "id", "pos").unionByName(same.select("h", F.col("lid").alias("id"), F.col("lpos").alias("pos"))).unionByName(ends.join(labels, F.col("h") == F.col("node"), "left_semi")).distinct()
-    units = units.join(labels, F.col("h") == F.col("node"), "left").join(first, "id").select("id", "pos", F.lit(UNIT).alias("n"), F.coalesce("label", "h").alias("label"), "first_doc")
-    units = written(units)
+    places = written(d.select("id", "text").mapInArrow(_places, "h long, id long, pos int, n int"))
+    # a unit's text is its node
+    labels = _alike(d, first, places, similarity_percent)
+    several = places.groupBy("h").agg(F.min("id").alias("x"), F.max("id").alias("y")).where("x <> y").select("h")
+    shared = cut(several.join(labels, F.col("h") == F.col("node"), "full").select(F.coalesce("h", "node").alias("h"), F.coalesce("label", "h").alias("label")))
+    units = written(places.distinct().join(shared, "h").join(first, "id").select("id", "pos", "n", "label", "first_doc"))
     tidy(docs.sparkSession)
     keep = units.groupBy("label").agg(F.min(F.struct("first_doc", "id", "pos", "n")).alias("k")).select("label", F.col("k.first_doc").alias("kept_doc"), F.col("k.id").alias("kid"), F.col("k.pos").alias("kpos"), F.col("k.n").alias("kn"))
     gone = cut(units.join(keep, "label").where("id <> kid").select("id", "pos", "n", "kid", "kpos", "kn", "kept_doc"))
