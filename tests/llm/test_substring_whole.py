@@ -50,3 +50,18 @@ def test_every_two_units_of_a_key_are_compared(spark, monkeypatch):
     monkeypatch.setattr(substring_dedup, "WINDOW", 1)  # every 20 words are a unit
     found = {r["doc_id"]: r["kept"] for r in substring_dedup.repeats(docs_of(spark, texts)).collect()}
     assert found == {i: [i - 1] for i in range(1, 24, 2)}
+
+
+def test_near_copies_of_paragraphs(spark):
+    rng = random.Random(4)
+    texts, similar = [], []
+    for n in (51, 60, 80, 100) * 10:
+        p = prose(rng, n)
+        q = p[: n // 2] + ["changed"] + p[n // 2 + 1 :]
+        a, b = ({tuple(x[i : i + 5]) for i in range(n - 4)} for x in (p, q))
+        similar.append(len(a & b) / len(a | b))
+        texts += ["\n".join([" ".join(prose(rng, 45, "x")), " ".join(x), " ".join(prose(rng, 45, "x"))]) for x in (p, q)]
+    assert 0.8 <= min(similar) and max(similar) <= 0.91
+    clean = {r["doc_id"]: r["text"].split() for r in substring_dedup.cleaned(docs_of(spark, texts)).collect()}
+    gone = sum(all(w.startswith("x") for w in clean[i]) for i in range(1, len(texts), 2))
+    assert gone >= 38 and all(len(clean[i]) == len(texts[i].split()) for i in range(0, len(texts), 2))
