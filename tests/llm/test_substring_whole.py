@@ -65,3 +65,13 @@ def test_near_copies_of_paragraphs(spark):
     clean = {r["doc_id"]: r["text"].split() for r in substring_dedup.cleaned(docs_of(spark, texts)).collect()}
     gone = sum(all(w.startswith("x") for w in clean[i]) for i in range(1, len(texts), 2))
     assert gone >= 38 and all(len(clean[i]) == len(texts[i].split()) for i in range(0, len(texts), 2))
+
+
+def test_short_texts(spark):
+    rng = random.Random(5)
+    texts = ["yes", "yes", "a b c d e f g h i j", "a b c d e f g h i j"]
+    for n in (25, 33, 40):
+        p = prose(rng, n)
+        texts += [" ".join(p), " ".join(p[:-1] + ["changed"])]
+    found = {r["doc_id"]: r["kept"] for r in substring_dedup.repeats(docs_of(spark, texts)).collect()}
+    assert found == {i: [i - 1] for i in range(1, len(texts), 2)}

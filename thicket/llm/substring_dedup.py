@@ -39,7 +39,7 @@ def starts_of(words: np.ndarray, ends: np.ndarray) -> np.ndarray:
 
 
 def units_of(texts: list, words: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(place over all texts, words) of the units of texts: stretches of UNIT words from the starts the content picks, and lines of UNIT words or more."""
+    """(place over all texts, words) of the units of texts: stretches of UNIT words from the starts the content picks, lines of UNIT words or more, and the whole of each text that may be too short for a start."""
     at, n = [starts_of(words, ends)], []
     n.append(np.full(len(at[0]), UNIT))
     size = [[len(x.split()) for x in (t or "").encode().split(b"\n")] for t in texts]
@@ -47,6 +47,10 @@ def units_of(texts: list, words: np.ndarray, ends: np.ndarray) -> tuple[np.ndarr
     long = size >= UNIT
     at.append((np.cumsum(size) - size)[long])
     n.append(size[long])
+    begin = np.concatenate(([0], ends[:-1]))
+    short = (ends > begin) & (ends - begin < UNIT + WINDOW + 2)
+    at.append(begin[short])
+    n.append((ends - begin)[short])
     at, n = np.unique(np.stack((np.concatenate(at), np.concatenate(n))), axis=1)
     return at, n
 
@@ -252,12 +256,12 @@ def _spans(d: DataFrame, first: DataFrame, gone: DataFrame) -> DataFrame:
 def repeats(docs: DataFrame, similarity_percent: int = 80) -> DataFrame:
     """(doc_id, id, spans, kept, copy): one row for each document that repeats what another holds. spans: array of (first word, words) to remove, in order, apart from each other; kept: doc_ids of the documents that keep it, sorted; copy: the whole text is a copy of the document kept.
 
-    A unit is UNIT words from a place that the content picks, or a line (paragraph) of UNIT words or more. Units that share a MinHash band are compared by exact Jaccard similarity of their 5-word shingles (equal ones by hash), linked, and each component of links is kept in the document of least doc_id alone. Equal texts are one; all but the least doc_id are copies if they have UNIT words. Each match with the kept document is grown to the whole run of words shared there. Repeats inside one document stay. Texts that are null or shorter than UNIT words have no units; null doc_ids come first, as least. id: hash of the text.
+    A unit is UNIT words from a place that the content picks, a line (paragraph) of UNIT words or more, or the whole of a text of fewer than UNIT + WINDOW + 2 words. Units that share a MinHash band are compared by exact Jaccard similarity of their 5-word shingles (equal ones by hash), linked, and each component of links is kept in the document of least doc_id alone. Equal texts are one; all but the least doc_id are copies if they have a word. Each match with the kept document is grown to the whole run of words shared there. Repeats inside one document stay. Texts that are null or without words have no units; null doc_ids come first, as least. id: hash of the text.
 
     Each band key links its units' texts to a first one; equal units meet by their text alone, so a passage in k documents costs k rows. Keys that still hold several components compare all their members.
     """
     d = docs.select("doc_id", F.xxhash64(F.coalesce("text", F.lit(""))).alias("id"), F.coalesce("text", F.lit("")).alias("text"))
-    info = cut(d.select("doc_id", "id", F.regexp_count("text", F.lit(WORD)).alias("n_words")).where(F.col("n_words") >= UNIT))
+    info = cut(d.select("doc_id", "id", F.regexp_count("text", F.lit(WORD)).alias("n_words")).where(F.col("n_words") > 0))
     first = info.groupBy("id").agg(F.min(F.struct("doc_id", "n_words")).alias("f")).select("id", F.col("f.doc_id").alias("first_doc"))
     first = cut(first)
     places = written(d.select("id", "text").mapInArrow(_places, "h long, id long, pos int, n int"))
