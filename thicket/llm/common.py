@@ -34,37 +34,75 @@ def mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-class WordHashes(dict):
-    """64-bit hashes of words (bytes), remembered up to a bound."""
-
-    def __missing__(self, word: bytes) -> int:
-        import xxhash
-
-        if len(self) >= 500_000:
-            self.clear()
-        h = self[word] = xxhash.xxh3_64_intdigest(word)
-        return h
+GOLDEN = np.uint64(0x9E3779B97F4A7C15)
+#: Of a block of 8 bytes, the first k.
+_FIRST = np.array([(1 << 8 * k) - 1 for k in range(9)], np.uint64)
+_IS_SPACE = np.isin(np.arange(256), [9, 10, 11, 12, 13, 32])
+
+
+def word_hashes(text: bytes, cuts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(64-bit hash of each word, where it starts, whether it is the first of its line or text) of texts that follow each other in `text`, A-Z lower-cased; cuts: where texts begin and end. Words go by blocks of 8 bytes, all at once."""
+    low = np.frombuffer(text.lower() + b" " * 8, np.uint8)
+    space = _IS_SPACE[low]
+    inside = ~space
+    begins, ends = inside.copy(), space.copy()
+    begins[1:] &= space[:-1]
+    ends[1:] &= inside[:-1]
+    ends[0] = False
+    cut = cuts[(cuts > 0) & (cuts < len(text))]
+    begins[cut] = inside[cut]
+    ends[cut] = inside[cut - 1]
+    first = np.flatnonzero(begins)
+    left = np.flatnonzero(ends) - first
+    h = left.astype(np.uint64)
+    at, of = first, np.arange(len(first))
+    blocks = np.lib.stride_tricks.as_strided(low, shape=(max(len(low) - 7, 0), 8), strides=(1, 1))
+    while len(of):
+        block = np.frombuffer(blocks[at].tobytes(), np.uint64) & _FIRST[np.minimum(left, 8)]
+        h[of] = mixed(h[of] * GOLDEN + block + np.uint64(1))
+        more = left > 8
+        of, at, left = of[more], at[more] + 8, left[more] - 8
+    breaks = np.concatenate((np.flatnonzero(low == 10), cuts))
+    line = np.zeros(len(first), bool)
+    after = np.searchsorted(first, breaks)
+    line[after[after < len(first)]] = True
+    return h, first, line
+
+
+def word_batches(texts: pa.Array, at_once: int = 2_000_000) -> Iterator[tuple[int, int, np.ndarray, np.ndarray, np.ndarray]]:
+    """(first text, one past the last, hashes of their words, ends of the texts among these, which words begin a line) for some `at_once` bytes of texts at a time, read from the column's buffer; null texts have no words."""
+    texts = pc.fill_null(texts, "")
+    wide = pa.types.is_large_string(texts.type)
+    offsets = np.frombuffer(texts.buffers()[1], np.int64 if wide else np.int32)[texts.offset : texts.offset + len(texts) + 1] if len(texts) else np.zeros(1, np.int32)
+    data = texts.buffers()[2]
+    k = 0
+    while k < len(texts):
+        end = max(k + 1, int(np.searchsorted(offsets, int(offsets[k]) + at_once, side="right")) - 1)
+        lo, hi = int(offsets[k]), int(offsets[end])
+        cuts = offsets[k : end + 1].astype(np.int64) - lo
+        words, first, line = word_hashes(data[lo:hi].to_pybytes() if hi > lo else b"", cuts)
+        yield k, end, words, np.searchsorted(first, cuts[1:]), line
+        k = end
 
 
-def word_batches(texts: list, hashes: WordHashes, at_once: int = 300_000) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
-    """(first text, one past the last, hashes of their words, ends of the texts among these): lower-cased A-Z, for some `at_once` words at a time."""
+def slices(b: pa.RecordBatch, column: str, at_once: int = 2_000_000) -> Iterator[pa.RecordBatch]:
+    """The batch in runs of rows whose texts have some `at_once` bytes together, so that a worker's memory doesn't follow the batch; a longer text is a run of its own."""
+    size = np.cumsum(pc.fill_null(pc.binary_length(b.column(column)), 0).to_numpy(zero_copy_only=False).astype(np.int64))
     k = 0
-    while k < len(texts):
-        first, words, ends = k, [], []
-        while k < len(texts) and len(words) < at_once:
-            words += (texts[k] or "").encode().lower().split()  # bytes: A-Z alone, and the six ASCII spaces
-            ends.append(len(words))
-            k += 1
-        yield first, k, np.array(list(map(hashes.__getitem__, words)), np.uint64), np.array(ends, np.int64)
+    while k < b.num_rows:
+        end = max(k + 1, int(np.searchsorted(size, (size[k - 1] if k else 0) + at_once, side="right")))
+        yield b.slice(k, end - k)
+        k = end
 
 
 def shingles(words: np.ndarray, n: int) -> np.ndarray:
     """Hashes of the n words from each place on; the last n - 1 places are left out."""
-    m = len(words) - n + 1
-    h = np.zeros(max(m, 0), np.uint64)
-    for i in range(n if m > 0 else 0):
-        h = mixed(h + words[i : i + m] + np.uint64(0x9E3779B97F4A7C15))
-    return h
+    m = max(len(words) - n + 1, 0)
+    odd = mixed(np.arange(1, n + 1, dtype=np.uint64)) | np.uint64(1)
+    h = np.zeros(m, np.uint64)
+    for i in range(n if m else 0):
+        h += words[i : i + m] * odd[i]
+    return mixed(h)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -91,11 +129,14 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
 
 
 def scratch(spark: SparkSession) -> str:
-    """The shared folder for checkpoints and written tables: the session's spark.checkpoint.dir, or a new folder where it is unset (tests)."""
+    """The shared folder for checkpoints and written tables: the session's spark.checkpoint.dir. Where it is unset a new temporary folder serves a local session (tests); on a cluster, whose machines don't share one, that is an error."""
     sc = spark.sparkContext
     there = sc.getCheckpointDir()
     if there is None:
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="thicket-"))
+        shared = spark.conf.get("spark.checkpoint.dir", None)
+        if shared is None and not (sc.master == "local" or sc.master.startswith("local[")):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+        sc.setCheckpointDir(shared or tempfile.mkdtemp(prefix="thicket-"))
         there = sc.getCheckpointDir()
     return there
 
@@ -113,15 +154,30 @@ def tidy(spark: SparkSession) -> None:
 
 
 def written(df: DataFrame) -> DataFrame:
-    """df as a compressed Parquet table in the shared folder; for wide tables, and for what is read column by column."""
-    path = f"{scratch(df.sparkSession)}/thicket-{uuid.uuid4().hex}"
+    """df as a compressed Parquet table in the shared folder; for wide tables, and for what is read column by column. The table goes when the session ends: what is lazily read from it may be read at any time before."""
+    spark = df.sparkSession
+    path = f"{scratch(spark)}/thicket-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
-def with_small(left: DataFrame, small: DataFrame, on: Column, how: str = "left", limit: int = 50_000) -> DataFrame:
-    """Joins a cut table; it is broadcast only if it holds at most `limit` rows, else Spark plans a shuffle join."""
-    return left.join(F.broadcast(small) if small.count() <= limit else small, on, how)
+    there = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    there.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(there)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def bytes_of(df: DataFrame) -> int:
+    """About how many bytes a broadcast of df takes, by what its rows hold."""
+    each: Column = F.lit(64)
+    for f in df.schema.fields:
+        c, kind = F.col(f"`{f.name}`"), f.dataType.typeName()
+        if kind in ("string", "binary"):
+            each += F.coalesce(F.octet_length(c), F.lit(0))
+        else:
+            each += F.coalesce(F.octet_length(F.to_json(F.struct(c))), F.lit(0)) if kind in ("array", "map", "struct") else F.lit(8)
+    return df.agg(F.sum(each.cast("long"))).first()[0] or 0
+
+
+def with_small(left: DataFrame, small: DataFrame, on: Column, how: str = "left", limit: int = 32 << 20) -> DataFrame:
+    """Joins a cut table; it is broadcast only if its rows hold at most `limit` bytes, else Spark plans a shuffle join."""
+    return left.join(F.broadcast(small) if bytes_of(small) <= limit else small, on, how)
 
 
 def index_schema(vals: dict[str, str]) -> str:

@@ -12,11 +12,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from thicket.llm.common import WordHashes, combined, components, cut, index_schema, links_by_key, merged, mixed, shingles, table, tidy, with_small, word_batches, written
+from thicket.llm.common import combined, components, cut, index_schema, links_by_key, merged, mixed, shingles, table, tidy, with_small, word_batches, written
 
 VALS = {"id": "long"}
 #: Bits of a set's parity sketch: each element flips one bit, so two sets differ in no fewer elements than their sketches in bits.
 SKETCH = 512
+#: Sets of one key in one block: beyond that, the all-pairs step deals the pairs of blocks to tasks.
+IN_BLOCK = 1000
 #: Turns at most in which keys with several components try another node of each key, before all pairs are compared. More or fewer change the work, not the result.
 LEADERS = 2
 
@@ -69,9 +71,9 @@ def schemes(sizes: dict[int, int], percent: int, shared: float = 0.05) -> list[S
     return out
 
 
-def sets_of(texts: list, hashes: WordHashes, n: int) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+def sets_of(texts: pa.Array, n: int) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
     """(first text, one past the last, owner of each element counted from the first, element): the distinct n-word shingles of each text; fewer words are one shingle."""
-    for first, last, words, ends in word_batches(texts, hashes):
+    for first, last, words, ends, _ in word_batches(texts):
         starts = np.concatenate(([0], ends[:-1]))
         sizes = ends - starts
         h = shingles(words, n)
@@ -102,12 +104,11 @@ def _ids(own: np.ndarray, el: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarra
 
 def _measured(n: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes = WordHashes()
         for b in batches:
-            parts = [(*_ids(own, el, last - first),) for first, last, own, el in sets_of(b.column("text").to_pylist(), hashes, n)]
+            parts = [(*_ids(own, el, last - first),) for first, last, own, el in sets_of(b.column("text"), n)]
             if parts:
                 sizes, ids = (np.concatenate(x) for x in zip(*parts, strict=True))
-                yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(ids), pa.array(sizes.astype(np.int64))], names=["doc_id", "id", "n_shingles"])
+                yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("text_hash"), pa.array(ids), pa.array(sizes.astype(np.int64))], names=["doc_id", "text_hash", "id", "n_shingles"])
 
     return run
 
@@ -176,9 +177,8 @@ def signatures(own: np.ndarray, el: np.ndarray, ids: np.ndarray, sizes: np.ndarr
 
 def _indexed(n: int, plan: list[Scheme], percent: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes = WordHashes()
         for b in batches:
-            for first, last, own, el in sets_of(b.column("text").to_pylist(), hashes, n):
+            for first, last, own, el in sets_of(b.column("text"), n):
                 sizes, ids = _ids(own, el, last - first)
                 # copies in the batch give their rows once
                 once = np.zeros(len(ids), bool)
@@ -195,10 +195,9 @@ def _elements(n: int):
     """(id, n, sketch, elements) of rows whose set has the id asked for."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes = WordHashes()
         for b in batches:
             want = b.column("id").to_numpy(zero_copy_only=False)
-            for first, last, own, el in sets_of(b.column("text").to_pylist(), hashes, n):
+            for first, last, own, el in sets_of(b.column("text"), n):
                 sizes, ids = _ids(own, el, last - first)
                 ok = np.flatnonzero((ids == want[first:last]) & (sizes > 0))
                 bits = np.zeros((last - first, SKETCH), np.uint8)
@@ -211,21 +210,22 @@ def _elements(n: int):
 
 
 def _cross(percent: int):
-    """Pairs of rows (key, id, label, n, sketch), sorted by key, of one key but different components that size and sketch don't rule out. Each row is compared with the d-th after it of its key, for every d and all keys at once; nothing is left out. Keeps the rows of one key between batches."""
+    """Pairs of rows (key, one, two, id, label, n, sketch, block), sorted by the first three, of one key and pair of blocks (one, two) but different components that size and sketch don't rule out. Each row is compared with the d-th after it, for every d and all keys at once; nothing is left out. Keeps the rows of one key and pair of blocks between batches."""
 
-    def pairs(key, id_, label, n, sketch) -> Iterator[pa.RecordBatch]:
-        at = np.arange(len(key))
+    def pairs(group, one, two, id_, label, n, sketch, block) -> Iterator[pa.RecordBatch]:
+        at = np.arange(len(group))
         d = 0
         while True:
             d += 1
-            at = at[at + d < len(key)]
-            at = at[key[at] == key[at + d]]
+            at = at[at + d < len(group)]
+            at = at[group[at] == group[at + d]]
             if not len(at):
                 return
             for k in range(0, len(at), 1 << 18):
                 i = at[k : k + (1 << 18)]
                 j = i + d
                 ok = (label[i] != label[j]) & (100 * np.minimum(n[i], n[j]) >= percent * np.maximum(n[i], n[j]))
+                ok &= (one[i] == two[i]) | (block[i] != block[j])  # pairs inside a block are that block's own
                 i, j = i[ok], j[ok]
                 ok = np.bitwise_count(sketch[i] ^ sketch[j]).sum(1) <= (n[i] + n[j]) * (100 - percent) // (100 + percent)
                 x, y = id_[i[ok]], id_[j[ok]]
@@ -237,15 +237,18 @@ def _cross(percent: int):
         for b in batches:
             if not b.num_rows:
                 continue
-            cols = [b.column(i).to_numpy(zero_copy_only=False) for i in range(4)]
-            cols.append(np.frombuffer(b"".join(b.column(4).to_pylist()), np.uint64).reshape(-1, SKETCH // 64))
+            key, one, two, id_, label, n, block = (b.column(i).to_numpy(zero_copy_only=False) for i in (0, 1, 2, 3, 4, 5, 7))
+            sketch = np.frombuffer(b"".join(b.column(6).to_pylist()), np.uint64).reshape(-1, SKETCH // 64)
+            cols = [key, one, two, id_, label, n, sketch, block]
             if kept is not None:
                 cols = [np.concatenate(x) for x in zip(kept, cols, strict=True)]
-            cut_at = int(np.searchsorted(cols[0], cols[0][-1]))
-            yield from pairs(*(c[:cut_at] for c in cols))
+            new = np.concatenate(([False], (cols[0][1:] != cols[0][:-1]) | (cols[1][1:] != cols[1][:-1]) | (cols[2][1:] != cols[2][:-1])))
+            group = np.cumsum(new)
+            cut_at = int(np.searchsorted(group, group[-1]))
+            yield from pairs(*(c[:cut_at] for c in (group, *cols[1:])))
             kept = [c[cut_at:] for c in cols]
         if kept is not None:
-            yield from pairs(*kept)
+            yield from pairs(np.zeros(len(kept[0]), np.int64), *kept[1:])
 
     return run
 
@@ -269,25 +272,26 @@ def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return p.withColumn("i", both).where(100 * F.col("i") >= percent * (F.col("na") + F.col("nb") - F.col("i"))).select("a", "b")
 
 
-def classes(docs: DataFrame, n: int = 4, percent: int = 85) -> DataFrame:
-    """(doc_id, n_shingles, component_id) of every row of docs: the size of its set of distinct n-word shingles, and the least doc_id that links reach from it, its own included. Two sets link when 100 * intersection >= percent * union.
+def classes(docs: DataFrame, n: int = 4, percent: int = 85, tell_text: bool = False) -> DataFrame:
+    """(doc_id, n_shingles, component_id) of every row of docs: the size of its set of distinct n-word shingles, and the least doc_id that links reach from it, its own included. Two sets link when 100 * intersection >= percent * union. With tell_text also text_hash, the xxhash64 of the text (null: empty), which tells rows of a doc_id apart.
 
-    Words are runs of other than the six ASCII spaces, A-Z lower-cased. A text of fewer than n words is one shingle; without words, or null, it has none and links with nothing. Repeated rows and equal sets are one class; a row without doc_id is in one class with rows of an equal set, but isn't compared with others. Other columns aren't looked at; an empty table gives an empty result. Elements are 64-bit hashes of shingles.
+    Words are runs of other than the six ASCII spaces, A-Z lower-cased. A text of fewer than n words is one shingle; without words, or null, it has none and links with nothing. Repeated rows and equal sets are one class. A row without doc_id links like any other, but is no class's least doc_id; a class of such rows alone has null. Other columns aren't looked at; an empty table gives an empty result. Elements are 64-bit hashes of shingles.
 
-    1. Equal sets become one node. 2. Nodes go by their segment keys into stars, a first node of each key, so that a group of k costs k links; copies and frequent keys are combined before the shuffle. 3. Each node's link to its likeliest first node is verified. 4. Where a key holds several components, its nodes are tried against another node of the key, and at last all pairs between its components are compared by size and sketch, and the rest verified. No link between components is left out.
+    1. Equal sets become one node. 2. Nodes go by their segment keys into stars, a first node of each key, so that a group of k costs k links; copies and frequent keys are combined before the shuffle. 3. Each node's link to its likeliest first node is verified. 4. Where a key holds several components, its nodes are tried against another node of the key, and at last all pairs between its components are compared by size and sketch, block by block, and the rest verified. No link between components is left out.
     """
-    d = docs.select("doc_id", "text")
-    info = cut(d.mapInArrow(_measured(n), "doc_id " + dict(d.dtypes)["doc_id"] + ", id long, n_shingles long"))
+    d = docs.select("doc_id", "text", F.xxhash64(F.coalesce("text", F.lit(""))).alias("text_hash"))
+    info = cut(d.mapInArrow(_measured(n), "doc_id " + dict(d.dtypes)["doc_id"] + ", text_hash long, id long, n_shingles long"))
     sizes = {r["n_shingles"]: r["c"] for r in info.where("n_shingles > 0").groupBy("n_shingles").agg(F.count("*").alias("c")).collect()}  # one row a size
     plan = schemes(sizes, percent)
-    index = d.mapInArrow(_indexed(n, plan, percent), index_schema(VALS))
+    index = d.select("text").mapInArrow(_indexed(n, plan, percent), index_schema(VALS))
     meets = cut(links_by_key(index, VALS))
     pairs = meets.groupBy(F.least("id", "lid").alias("a"), F.greatest("id", "lid").alias("b")).agg(F.count("*").alias("c")).join(*_sized(info, "a")).join(*_sized(info, "b")).where(100 * F.least("na", "nb") >= percent * F.greatest("na", "nb")).select("a", "b", "c")
     pairs = cut(pairs)
     # one row of documents for each node that may link
     wanted = pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id"))).distinct()
-    wanted = cut(info.join(wanted, "id").groupBy("id").agg(F.min("doc_id").alias("w_id")))
-    sets = with_small(d.where("doc_id is not null"), wanted, F.col("doc_id") == F.col("w_id"), "inner", 200_000).select("id", "text").mapInArrow(_elements(n), "id long, n long, sketch binary, el array<long>")
+    wanted = cut(info.join(wanted, "id").groupBy("id").agg(F.min(F.struct("doc_id", "text_hash")).alias("w")).select("id", F.col("w.doc_id").alias("w_doc"), F.col("w.text_hash").alias("w_text")))
+    row = F.col("doc_id").eqNullSafe(F.col("w_doc")) & (F.col("text_hash") == F.col("w_text"))
+    sets = with_small(d, wanted, row, "inner").select("id", "text").mapInArrow(_elements(n), "id long, n long, sketch binary, el array<long>")
     sets = written(sets.dropDuplicates(["id"]))
     tidy(docs.sparkSession)
     # the likeliest partner first
@@ -295,24 +299,32 @@ def classes(docs: DataFrame, n: int = 4, percent: int = 85) -> DataFrame:
     labels = cut(components(_verified(best, sets, percent)))
     # then other nodes of each key that holds several components, while that joins any, last all pairs between components
     members = meets.select("key", "id").unionByName(meets.select("key", F.col("lid").alias("id"))).distinct()
+    labels = joined_by_key(members, labels, sets, percent)
+    nodes = info.groupBy("id").agg(F.min("doc_id").alias("first")).join(labels, F.col("id") == F.col("node"), "left").select("id", "first", F.coalesce("label", "id").alias("label"))
+    nodes = cut(nodes)
+    least = nodes.groupBy("label").agg(F.min("first").alias("component_id"))
+    by_node = nodes.join(least, "label").select(F.col("id").alias("n_id"), "component_id")
+    component = F.when(F.col("n_shingles") == 0, F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id")
+    return info.join(by_node, F.col("id") == F.col("n_id"), "left").select("doc_id", *["text_hash"] * tell_text, "n_shingles", component)
+
+
+def joined_by_key(members: DataFrame, labels: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """labels (node, label) after the links between nodes (key, id) of one key in different components: LEADERS turns against another node of each key, while that joins any, then all pairs."""
     turn, n_links = 0, 1
     while True:
         turn += 1
         last = turn > LEADERS or not n_links
         members = cut(_several(members, labels))  # components only merge, so keys only leave
+        if members.isEmpty():
+            return labels
         found = cut(_verified(_between(members, sets, percent) if last else _to_leaders(members, turn), sets, percent))
         n_links = found.count()
         if n_links:
             labels = merged(labels, found)
         members = members.select("key", "id")
-        tidy(docs.sparkSession)
+        tidy(members.sparkSession)
         if last:
-            break
-    nodes = info.groupBy("id").agg(F.min("doc_id").alias("first")).join(labels, F.col("id") == F.col("node"), "left").select("id", "first", F.coalesce("label", "id").alias("label"))
-    nodes = cut(nodes)
-    least = nodes.groupBy("label").agg(F.min("first").alias("component_id"))
-    by_node = nodes.join(least, "label").select(F.col("id").alias("n_id"), "component_id")
-    return info.join(by_node, F.col("id") == F.col("n_id"), "left").select("doc_id", "n_shingles", F.when(F.col("n_shingles") == 0, F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"))
+            return labels
 
 
 def _sized(info: DataFrame, k: str) -> tuple[DataFrame, str]:
@@ -334,9 +346,14 @@ def _to_leaders(members: DataFrame, turn: int) -> DataFrame:
 
 
 def _between(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Likely pairs of one key in different components."""
-    rows = members.join(sets.select("id", "n", "sketch"), "id").select("key", "id", "label", "n", "sketch")
-    return rows.repartition("key").sortWithinPartitions("key").mapInArrow(_cross(percent), "a long, b long").distinct()
+    """Likely pairs of one key in different components. A key's sets go by hash into blocks of some IN_BLOCK, and each pair of blocks is compared for itself, wherever there is room: no task gets all of a frequent key."""
+    rows = members.join(sets.select("id", "n", "sketch"), "id")
+    blocks = rows.groupBy("key").agg(F.ceil(F.count("*") / IN_BLOCK).cast("int").alias("blocks"))
+    rows = rows.join(blocks, "key").withColumn("block", F.pmod(F.xxhash64("key", "id"), "blocks").cast("int"))
+    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    rows = rows.select("key", F.least("block", "other").alias("one"), F.greatest("block", "other").alias("two"), "id", "label", "n", "sketch", "block")
+    dealt = rows.repartition("key", "one", "two").sortWithinPartitions("key", "one", "two")
+    return dealt.mapInArrow(_cross(percent), "a long, b long").distinct()
 
 
 def op4_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -92,10 +92,10 @@ def known_digests(spark: SparkSession, known: list[tuple[str, str]] = KNOWN) ->
     return k.groupBy(digest(F.col("text")).alias("known_digest")).agg(F.min("license_id").alias("license_id"))
 
 
-def scan(docs: DataFrame, known: DataFrame | None = None, limit: int = 50_000) -> DataFrame:
+def scan(docs: DataFrame, known: DataFrame | None = None, limit: int = 32 << 20) -> DataFrame:
     """Each row of docs with `digest` and `license_id`: that of the licence whose entire canonical text equals the row's, else null.
 
-    Null texts have neither; an empty text has the digest of the empty string. Repeated rows are alike. known: as from known_digests(); it is broadcast if it holds at most `limit` rows. Columns of docs named digest, license_id or known_digest give way.
+    Null texts have neither; an empty text has the digest of the empty string. Repeated rows are alike. known: as from known_digests(); it is broadcast if its rows hold at most `limit` bytes. Columns of docs named digest, license_id or known_digest give way.
     """
     d = docs.drop("digest", "license_id", "known_digest").withColumn("digest", digest(F.col("text")))
     known = cut(known if known is not None else known_digests(docs.sparkSession))
