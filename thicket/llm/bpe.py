@@ -10,10 +10,12 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
-from thicket.llm.common import table
+from thicket.llm.common import slices, table
 
-#: Pieces a worker remembers before it starts anew; bounds its memory, never the result.
-REMEMBERED = 400_000
+#: Bytes of stretches and their ids that a worker remembers; bounds its memory, never the result.
+REMEMBERED = 48 << 20
+#: Bytes that Python's strings and dicts take for one remembered stretch besides its characters.
+EACH = 200
 
 
 def merge_piece(piece: bytes, ranks: dict[bytes, int]) -> list[int]:
@@ -74,8 +76,8 @@ def pair_table(ranks: dict[bytes, int]) -> tuple[np.ndarray, np.ndarray]:
     return keys, np.array([pairs[k] for k in keys.tolist()], np.int64)
 
 
-def merge_pieces(pieces: list[bytes], of_byte: np.ndarray, keys: np.ndarray, made: np.ndarray) -> list[list[int]]:
-    """merge_piece for many short pieces at once: a segment tree a row, one merge of every row a turn. A token's id is its rank."""
+def merge_pieces(pieces: list[bytes], of_byte: np.ndarray, keys: np.ndarray, made: np.ndarray) -> tuple[list[int], list[int]]:
+    """merge_piece for many short pieces at once: a segment tree a row, one merge of every row a turn. A token's id is its rank. Returns the ids of all pieces, and where each piece's end."""
     n = np.fromiter(map(len, pieces), np.int64, len(pieces))
     width = int(n.max())
     size = 1 << max(width - 1, 1).bit_length()
@@ -120,8 +122,7 @@ def merge_pieces(pieces: list[bytes], of_byte: np.ndarray, keys: np.ndarray, mad
                 k = k >> 1
                 tree[r, k] = np.minimum(tree[r, 2 * k], tree[r, 2 * k + 1])
         rows = rows[tree[rows, 1] != none]
-    flat, ends = tok[live].tolist(), np.cumsum(live.sum(1)).tolist()
-    return [flat[a:b] for a, b in zip([0, *ends], ends)]
+    return tok[live].tolist(), np.cumsum(live.sum(1)).tolist()
 
 
 def matcher(pattern: str):
@@ -131,52 +132,77 @@ def matcher(pattern: str):
     return regex.compile(pattern.replace(r"[^\s", r"[^\p{White_Space}").replace(r"\s", r"\p{White_Space}").replace(r"\S", r"\P{White_Space}"))
 
 
+def parsed(rank_file: bytes) -> dict[bytes, int]:
+    """The ranks in the lines of a rank file."""
+    return {base64.b64decode(a): int(b) for a, b in map(bytes.split, rank_file.splitlines())}
+
+
 class Codec:
-    """Encoder and decoder of one vocabulary. rank_file: the lines of a rank file; pattern: what splits texts.
+    """Encoder and decoder of one vocabulary. rank_file: the lines of a rank file; pattern: what splits texts; table: its pair_table(), if made before.
 
-    Ids are remembered by piece, and by the stretch from one single space to the next: the patterns take a space only at the start of a piece, so a text may be cut before a space between two characters that aren't white space, and each stretch be matched by itself. Texts with other spaces are matched whole.
+    Ids are remembered by the stretch from one single space to the next: the patterns take a space only at the start of a piece, so a text may be cut before a space between two characters that aren't white space, and each stretch be matched by itself. Texts with other spaces are matched whole. Stretches are remembered in two halves: when the young half is full it becomes the old one, which is forgotten but for what is used again meanwhile.
     """
 
-    def __init__(self, rank_file: bytes, pattern: str, remembered: int = REMEMBERED):
-        self.ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, rank_file.splitlines())}
+    def __init__(self, rank_file: bytes, pattern: str, table: tuple | None = None, remembered: int = REMEMBERED):
+        self.ranks = parsed(rank_file)
         self.vocab = {str(v): k for k, v in self.ranks.items()}
+        self.said = {v: f" {v}" for v in self.ranks.values()}
         self.of_byte = np.array([self.ranks[bytes([b])] for b in range(256)], np.int64)
-        self.table = pair_table(self.ranks)
+        self.table = table or pair_table(self.ranks)
         self.pieces = matcher(pattern).findall
-        self.known: dict[str, str] = {}
-        self.stretches: dict[str, str | None] = {}
-        self.remembered = remembered
-
-    def learn(self, pieces: set[str]) -> None:
-        """Remembers the ids of pieces, each as its decimal ids after a space each."""
-        by_width: dict[int, list[tuple[str, bytes]]] = {}
+        self.young: dict[str, str | None] = {}
+        self.old: dict[str, str | None] = {}
+        self.size, self.most = 0, remembered // 2
+
+    def learnt(self, pieces: set[str]) -> dict[str, str]:
+        """The ids of pieces, decimal, a space before each."""
+        known: dict[str, str] = {}
+        by_width: dict[int, list[str]] = {}
+        said, ranks = self.said.__getitem__, self.ranks.get
         for p in pieces:
             raw = p.encode()
-            if (r := self.ranks.get(raw)) is not None:
-                self.known[p] = f" {r}"
+            if (r := ranks(raw)) is not None:
+                known[p] = said(r)
             elif len(raw) > 64:
-                self.known[p] = "".join(f" {x}" for x in merge_piece(raw, self.ranks))
+                known[p] = "".join(map(said, merge_piece(raw, self.ranks)))
             else:
-                by_width.setdefault((len(raw) + 3) // 4, []).append((p, raw))
+                by_width.setdefault((len(raw) + 3) // 4, []).append(p)
         for group in by_width.values():
             for k in range(0, len(group), 20_000):
                 part = group[k : k + 20_000]
-                for (p, _), ids in zip(part, merge_pieces([raw for _, raw in part], self.of_byte, *self.table), strict=True):
-                    self.known[p] = "".join([f" {x}" for x in ids])
+                flat, ends = merge_pieces([p.encode() for p in part], self.of_byte, *self.table)
+                ids, first = list(map(said, flat)), 0
+                for p, end in zip(part, ends, strict=True):
+                    known[p] = "".join(ids[first:end])
+                    first = end
+        return known
 
     def join(self, split: list[list[str]]) -> list[str]:
         """The ids of texts given as their pieces."""
-        known = self.known
-        new = {p for x in split for p in x if p not in known}
-        if new and len(known) + len(new) > self.remembered:
-            known.clear()
-            new = set().union(*split)
-        if new:
-            self.learn(new)
-        get = known.__getitem__
+        get = self.learnt(set().union(*split)).__getitem__
         return ["".join(map(get, x)) for x in split]
 
-    def encode_batch(self, texts: list[str], at_once: int = 2_000_000) -> Iterator[str]:
+    def recall(self, stretches: set[str]) -> None:
+        """Sees to it that the young half holds all these stretches."""
+        young, old = self.young, self.old
+        lacking = stretches.difference(young)
+        again = {p: old[p] for p in lacking if p in old}
+        new = [p for p in lacking if p not in again]
+        plain = [p for p in new if p and not p[0].isspace() and not p[-1].isspace()]
+        # matched as one text: each space in it begins a stretch
+        pieces = self.pieces("".join([" " + p for p in plain]))
+        ids = list(map(self.learnt(set(pieces)).__getitem__, pieces))
+        begins = [i for i, p in enumerate(pieces) if p[0] == " "]
+        again.update(dict.fromkeys(new))
+        again.update((p, ids[i] if j == i + 1 else "".join(ids[i:j])) for p, i, j in zip(plain, begins, [*begins, len(ids)][1:], strict=True))
+        young.update(again)
+        self.size += sum(map(len, again)) + sum([len(v) for v in again.values() if v]) + EACH * len(again)
+
+    def forget(self) -> None:
+        if self.size > self.most:
+            self.old, self.young, self.size = self.young, {}, 0
+
+    def encode_batch(self, texts: list[str], at_once: int = 1_000_000) -> Iterator[str]:
         """The ids of each text, decimal, a space before each. Works over some `at_once` characters at a time."""
         k = 0
         while k < len(texts):
@@ -185,15 +211,9 @@ class Codec:
                 parts.append(texts[k].split(" "))
                 chars += len(texts[k])
                 k += 1
-            every = set().union(*(x[1:] for x in parts))
-            new = {p for p in every if p not in self.stretches}
-            if len(self.stretches) + len(new) > self.remembered:
-                self.stretches.clear()
-                new = every
-            plain = [p for p in new if p and not p[0].isspace() and not p[-1].isspace()]
-            self.stretches.update(zip(plain, self.join([self.pieces(" " + p) for p in plain]), strict=True))
-            self.stretches.update(dict.fromkeys(new.difference(plain)))
-            get = self.stretches.__getitem__
+            self.forget()
+            self.recall(set().union(*(x[1:] for x in parts)))
+            get = self.young.__getitem__
             heads = self.join([self.pieces(x[0]) for x in parts])
             for head, x in zip(heads, parts, strict=True):
                 try:
@@ -222,23 +242,24 @@ def read_ranks(path: str) -> bytes:
 
 
 def _per_text(docs: DataFrame, rank_file: bytes, pattern: str, of: Callable[[Codec, str, str], tuple], names: list[str], types: str) -> DataFrame:
-    """docs without text, with the columns that `of` makes of the ids (as encode_batch gives them) and the text of each row."""
+    """docs without text, with the columns that `of` makes of the ids (as encode_batch gives them) and the text of each row. A worker holds a few MB of texts and their ids at a time."""
     rest = [c for c in docs.columns if c != "text" and c not in names]
-    sent = docs.sparkSession.sparkContext.broadcast(rank_file)
-    fields = ", ".join(f"`{n}` {t}" for n, t in docs.select(*rest).dtypes)
+    sent = docs.sparkSession.sparkContext.broadcast((rank_file, pair_table(parsed(rank_file))))  # its size is the vocabulary's
+    fields = ", ".join(f"`{n}` {t}" for n, t in docs.select(*[f"`{c}`" for c in rest]).dtypes)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        codec = Codec(sent.value, pattern)
-        kinds = None
-        for b in batches:
-            texts = [t or "" for t in b.column("text").to_pylist()]
-            made = [of(codec, x, t) for x, t in zip(codec.encode_batch(texts), texts, strict=True)]
-            kept = [b.column(c) for c in rest]
-            kinds = kinds or {"long": pa.int64(), "string": pa.string(), "array<int>": pa.list_(pa.int32()), "boolean": pa.bool_()}
-            cols = [pa.array([m[i] for m in made], kinds[t.split(" ")[1]]) for i, t in enumerate(types.split(", "))]
-            yield pa.RecordBatch.from_arrays(kept + cols, names=rest + names)
-
-    return docs.select(*rest, "text").mapInArrow(run, ", ".join(x for x in (fields, types) if x))
+        file, pairs = sent.value
+        codec = Codec(file, pattern, pairs)
+        kinds = {"long": pa.int64(), "string": pa.string(), "array<int>": pa.list_(pa.int32()), "boolean": pa.bool_()}
+        for whole in batches:
+            for b in slices(whole, "text"):
+                texts = [t or "" for t in b.column("text").to_pylist()]
+                made = [of(codec, x, t) for x, t in zip(codec.encode_batch(texts), texts, strict=True)]
+                kept = [b.column(c) for c in rest]
+                cols = [pa.array([m[i] for m in made], kinds[t.split(" ")[1]]) for i, t in enumerate(types.split(", "))]
+                yield pa.RecordBatch.from_arrays(kept + cols, names=rest + names)
+
+    return docs.select(*[f"`{c}`" for c in rest], "text").mapInArrow(run, ", ".join(x for x in (fields, types) if x))
 
 
 def encode(docs: DataFrame, rank_file: bytes, pattern: str) -> DataFrame:
