@@ -108,17 +108,19 @@ def test_bpe_trees_agree(codec):
     rng = random.Random(4)
     pieces = [bytes(rng.randrange(256) for _ in range(rng.randrange(2, 40))) for _ in range(500)] + [b"".join(rng.choice([b"th", b"e", b"re", b"ing"]) for _ in range(9)) for _ in range(500)]
     pieces = [p for p in pieces if p not in codec.ranks]
-    assert bpe.merge_pieces(pieces, codec.of_byte, *codec.table) == [bpe.merge_piece(p, codec.ranks) for p in pieces]
+    flat, ends = bpe.merge_pieces(pieces, codec.of_byte, *codec.table)
+    assert [flat[a:b] for a, b in zip([0, *ends], ends)] == [bpe.merge_piece(p, codec.ranks) for p in pieces]
 
 
 def test_bpe_forgets(codec):
     import public_tokenizers as P
 
-    small = bpe.Codec(bpe.read_ranks(P.path("byte_bpe_50k.tiktoken")), P.PATTERN, remembered=5)
+    small = bpe.Codec(bpe.read_ranks(P.path("byte_bpe_50k.tiktoken")), P.PATTERN, remembered=5000)
     rng = random.Random(5)
-    for _ in range(20):
+    for _ in range(40):
         t = prose(rng, 30)
         assert small.encode(t) == codec.encode(t)
+        assert len(small.young) + len(small.old) <= 60
 
 
 def test_bpe_tables(spark, codec):
@@ -250,6 +252,31 @@ def test_one_deletion_schemes_share_a_key():
 def test_jaccard_odd(spark):
     out = {(r["doc_id"], r["n_shingles"], r["component_id"]) for r in jaccard_join.classes(odd(spark)).collect()}
     assert (1, 0, 1) in out and (2, 0, 2) in out and (5, 1, 5) in out and (None, 1, None) in out
+    p = prose(random.Random(17), 100, 10**6)
+    near = [(1, p, "en", "a", 1), (None, p + " b", "en", "a", 1), (2, p + " b c d e f g h i j", "en", "a", 1)]  # 1 and 2 link through the row without doc_id too
+    assert {(r["doc_id"], r["component_id"]) for r in jaccard_join.classes(docs_of(spark, near)).collect()} == {(1, 1), (None, 1), (2, 1)}
+    alone = [(None, p, "en", "a", 1), (None, p + " b", "en", "a", 1)]
+    assert {r["component_id"] for r in jaccard_join.classes(docs_of(spark, alone)).collect()} == {None}
+
+
+def test_jaccard_blocks_of_a_key(spark, monkeypatch):
+    """All pairs of one frequent key, whatever the number of blocks."""
+    rng = random.Random(18)
+    rows = [(i, edited(rng, prose(random.Random(i // 2), 60, 10**6), 0 if i % 2 else 0.01), "en", "a", 1) for i in range(60)]
+    want = brute_classes(rows)
+    d = docs_of(spark, rows)
+    sets = []
+    for i, t, *_ in rows:
+        w = t.split()
+        sets.append((i, len(w) - 3, bytearray(64), sorted({hash(tuple(w[k : k + 4])) for k in range(len(w) - 3)})))
+    for blocks in (1000, 7):
+        monkeypatch.setattr(jaccard_join, "IN_BLOCK", blocks)
+        members = d.select(F.lit(1).cast("long").alias("key"), F.col("doc_id").alias("id"), F.col("doc_id").alias("label"))
+        s = spark.createDataFrame([(i, len(el), bytes(b), el) for i, _, b, el in sets], "id long, n long, sketch binary, el array<long>")
+        likely = {tuple(sorted((r["a"], r["b"]))) for r in jaccard_join._between(members, s, 85).collect()}
+        assert likely == {(a, b) for a in range(60) for b in range(a + 1, 60)}
+    monkeypatch.setattr(jaccard_join, "LEADERS", 0)
+    assert {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in jaccard_join.classes(d).collect()} == want
     assert jaccard_join.classes(none(spark)).count() == 0
 
 
@@ -373,6 +400,28 @@ def test_viterbi_like_brute_force():
             assert abs(value(got) - max(value(p) for p in product(range(3), repeat=len(s)))) < 1e-9
 
 
+def test_settled_texts_like_viterbi():
+    """The shortcut never differs from the best path, with NEVER scores and texts without words among the rest."""
+    rng = np.random.default_rng(15)
+    scores = rng.normal(size=(300, 3)) * 2 + np.array([1.5, 0, 0])
+    scores[::50, 0] = language_id.NEVER
+    ahead = np.stack([np.delete(scores, i, 1).max(1) - scores[:, i] for i in range(3)], axis=1)
+    sizes = rng.integers(0, 30, 500)
+    flat = rng.integers(0, 300, sizes.sum())
+    one = language_id.settled(flat, sizes, scores, ahead, 4.0)
+    ends = np.cumsum(sizes)
+    best = language_id.viterbi([scores[flat[e - n : e]] for e, n in zip(ends, sizes)], 4.0)
+    assert all(one[i] < 0 or set(x.tolist()) == {one[i]} for i, x in enumerate(best))
+    assert (one >= 0).sum() > 50 and all(one[sizes == 0] == -1)
+
+
+def test_scripts_narrow_languages():
+    m = language_id.fitted([("en", "the day and the night " * 5), ("ru", "это был день и ночь " * 5), ("el", "η μέρα και η νύχτα " * 5)])
+    s = m.scores(["day", "день", "νύχτα", "日", "a" * 5000])
+    assert [m.langs[i] for i in s[:3].argmax(1)] == ["en", "ru", "el"]
+    assert [int((x > language_id.NEVER).sum()) for x in s] == [1, 1, 1, 3, 1]
+
+
 def test_language_held_out(spark):
     r = language_id.op8_language_id(spark, "/root/testdata/sf0.01").join(spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "lang"), "doc_id")
     x = r.where("held_out").agg(F.avg((F.col("lang") == F.col("lang_pred")).cast("double")).alias("a"), F.count("*").alias("n")).first()

@@ -20,7 +20,7 @@ def docs_of(spark, texts):
 def test_units_are_dense_and_bands_find_similar_ones():
     words = np.random.default_rng(1).integers(0, 1 << 62, 50_000, dtype=np.uint64)
     at = substring_dedup.starts_of(words, np.array([len(words)]))
-    assert np.diff(at).max() <= substring_dedup.UNIT  # no words between units
+    assert np.diff(at).max() <= substring_dedup.WINDOW  # every window has an anchor
     assert 1 - (1 - 0.8**substring_dedup.ROWS) ** substring_dedup.BANDS >= 0.97
 
 
@@ -75,3 +75,58 @@ def test_short_texts(spark):
         texts += [" ".join(p), " ".join(p[:-1] + ["changed"])]
     found = {r["doc_id"]: r["kept"] for r in substring_dedup.repeats(docs_of(spark, texts)).collect()}
     assert found == {i: [i - 1] for i in range(1, len(texts), 2)}
+
+
+def test_words_are_removed_whatever_the_edits(spark):
+    """Shares of the words of a copied passage that go, by its length and edits."""
+    rng = random.Random(6)
+    kinds = [(25, 0), (60, 0), (200, 0), (60, 20), (100, 20), (200, 20), (200, 50)]
+    texts, passages = [], []
+    for n, gap in kinds * 25:
+        p = prose(rng, n)
+        q = [f"edit{i}" if gap and i % gap == gap - 1 else w for i, w in enumerate(p)]
+        passages.append(set(p))
+        texts += [" ".join(prose(rng, rng.randrange(30, 90), "x") + x + prose(rng, rng.randrange(30, 90), "x")) for x in (p, q)]
+    clean = {r["doc_id"]: r["text"].split() for r in substring_dedup.cleaned(docs_of(spark, texts)).collect()}
+    left, size = dict.fromkeys(kinds, 0), dict.fromkeys(kinds, 0)
+    for k, p in enumerate(passages):
+        kind = (kinds * 25)[k]
+        size[kind] += sum(w in p for w in texts[2 * k + 1].split())
+        left[kind] += sum(w in p for w in clean[2 * k + 1])
+        assert clean[2 * k] == texts[2 * k].split()  # the first document keeps it
+    share = {k: 1 - left[k] / size[k] for k in kinds}
+    assert all(share[k] >= (0.9 if k[1] == 20 else 0.95) for k in kinds), share
+
+
+def test_like_brute_force(spark):
+    """Random texts with shared stretches: a word goes only if it lies in a stretch of 20 words or so that an earlier document has, and every such stretch of 23 words or more goes."""
+    rng = random.Random(7)
+    pool = [prose(rng, 80, "p") for _ in range(15)]
+    texts = []
+    for _ in range(60):
+        out = prose(rng, rng.randrange(5, 40), "x")
+        for _ in range(rng.randrange(3)):
+            p = rng.choice(pool)
+            a = rng.randrange(60)
+            out += p[a : a + rng.randrange(5, 60)] + prose(rng, rng.randrange(3, 30), "x")
+        texts.append(" ".join(out))
+    seen, must = {}, {}
+    for i, t in enumerate(texts):
+        w = t.split()
+        must[i] = {w[k + j] for k in range(len(w) - 22) if tuple(w[k : k + 23]) in seen for j in range(23)}
+        for k in range(len(w) - 22):
+            seen.setdefault(tuple(w[k : k + 23]), i)
+    clean = {r["doc_id"]: set(r["text"].split()) for r in substring_dedup.cleaned(docs_of(spark, texts)).collect()}
+    assert sum(map(len, must.values())) > 300
+    # an anchor's first holder may have less of the stretch than a later text: a few words beside it are left then
+    assert sum(len(must[i] & clean.get(i, set())) for i in must) <= 0.02 * sum(map(len, must.values()))
+    for i, t in enumerate(texts):
+        assert all(w.startswith("p") for w in set(t.split()) - clean.get(i, set()) - must[i])
+
+
+def test_frequent_lines_and_repeats_inside(spark):
+    line, rng = " ".join(prose(random.Random(8), 11)), random.Random(9)
+    texts = ["\n".join([" ".join(prose(rng, 30, "x")), line, " ".join(prose(rng, 30, "x"))]) for _ in range(40)]  # too short to go
+    p = " ".join(prose(rng, 40))
+    texts.append("\n".join([p, " ".join(prose(rng, 30, "x")), p]))  # a repeat inside one document stays
+    assert substring_dedup.repeats(docs_of(spark, texts)).count() == 0

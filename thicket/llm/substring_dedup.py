@@ -1,4 +1,4 @@
-"""Substring dedup: MinHash banding over paragraph-sized units, exact Jaccard, and removal by connected components."""
+"""Substring dedup: MinHash banding of paragraphs with exact Jaccard and components, and anchors whose matches are grown to the whole shared passage."""
 
 from __future__ import annotations
 
@@ -7,233 +7,287 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from thicket.llm import jaccard_join
-from thicket.llm.common import WORD, WordHashes, combined, components, cut, index_schema, links_by_key, merged, mixed, packed, shingles, table, tidy, unpacked, with_small, word_batches, written
-
-#: Words of a unit, and the window from which one start is picked: passages of UNIT + WINDOW - 1 words or more share a whole unit wherever they stand, and starts are at most UNIT apart, so no words lie between units. Documents don't mark where a passage begins, so content does.
-UNIT, WINDOW = 20, 20
-#: Bands and rows: units of similarity 0.8 share a band with probability 1 - (1 - 0.8^3)^5 = 0.97, of 0.9 with 0.999, equal ones always, and a passage has several units.
-BANDS, ROWS = 5, 3
-VALS = {"h": "long"}
+from thicket.llm.common import (
+    GOLDEN,
+    WORD,
+    combined,
+    components,
+    cut,
+    index_schema,
+    links_by_key,
+    mixed,
+    packed,
+    shingles,
+    table,
+    tidy,
+    unpacked,
+    with_small,
+    word_batches,
+    written,
+)
+
+#: Words of the shortest passage and of the shortest paragraph (line) that are removed. Shorter texts take part as a whole.
+UNIT = 20
+#: Words of an anchor, and the window of places from which one is picked, by content: a run of SEED + WINDOW - 1 equal words has an anchor in common wherever it stands.
+SEED, WINDOW = 8, 16
+#: Bands and rows: paragraphs of similarity 0.8 share a band with probability 1 - (1 - 0.8^3)^8 = 0.997, of 0.9 with 0.99999, equal ones always.
+BANDS, ROWS = 8, 3
 SHINGLE = 5
-#: Words beside a match that are compared when it grows. Where a shared run goes on for longer, its next unit is shared too and grows from there.
-REACH = UNIT + WINDOW + 2
+#: Matches are grown inside blocks of the kept text: BLOCK words, and REACH more on either side. A run that goes on for longer has its next anchor in the next block.
+BLOCK, REACH = 128, 48
+WIDE = BLOCK + SEED + 2 * REACH
+#: Growing goes on behind an edit of at most two words on either side if this many words after it are equal.
+CONFIRM = 5
+#: The edits that are tried, as words skipped in the one and the other text.
+EDITS = [(1, 1), (1, 0), (0, 1), (2, 2), (2, 1), (1, 2), (2, 0), (0, 2)]
+#: A grown match counts if this share of its words is equal, in percent; else the run of equal words alone.
+ALIKE = 80
+VALS = {"h": "long"}
+SEEDS = {"id": "long", "pos": "int"}
 
 
 def starts_of(words: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """Places (over all texts) where units start: of each WINDOW places in a row the one with the least hash of its three words, if UNIT words of its text follow."""
-    fp = shingles(words, 3)
-    if len(fp) < WINDOW:
-        return np.zeros(0, np.int64)
-    first = np.concatenate(([0], ends[:-1]))
-    text = np.repeat(np.arange(len(ends)), ends - first)
-    w = np.arange(len(fp) - WINDOW + 1)
-    at = w + np.lib.stride_tricks.sliding_window_view(fp, WINDOW).argmin(1)
-    at = at[w + WINDOW + 2 <= ends[text[w]]]  # windows inside one text
-    at = at[np.concatenate(([True], at[1:] != at[:-1]))] if len(at) else at
-    at = np.unique(at)
-    return at[at + UNIT <= ends[text[at]]]
-
-
-def units_of(texts: list, words: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(place over all texts, words) of the units of texts: stretches of UNIT words from the starts the content picks, lines of UNIT words or more, and the whole of each text that may be too short for a start."""
-    at, n = [starts_of(words, ends)], []
-    n.append(np.full(len(at[0]), UNIT))
-    size = [[len(x.split()) for x in (t or "").encode().split(b"\n")] for t in texts]
-    size = np.array([x for t in size for x in t], np.int64)  # lines cover all words, so places run on
-    long = size >= UNIT
-    at.append((np.cumsum(size) - size)[long])
-    n.append(size[long])
+    """Places (over all texts) of the anchors: of each WINDOW places in a row the one with the least hash of its SEED words; the one of the whole text where it has fewer places."""
+    fp = shingles(words, SEED)
+    begin = np.concatenate(([0], ends[:-1]))
+    places = np.maximum(ends - begin - SEED + 1, 0)
+    at = [np.zeros(0, np.int64)]
+    if len(fp) >= WINDOW:
+        w = np.arange(len(fp) - WINDOW + 1)
+        at.append((w + np.lib.stride_tricks.sliding_window_view(fp, WINDOW).argmin(1))[w + WINDOW + SEED - 1 <= np.repeat(ends, ends - begin)[: len(w)]])
+    few = np.flatnonzero((places > 0) & (places < WINDOW))
+    if len(few):
+        own = np.repeat(few, places[few])
+        i = np.arange(len(own)) - np.repeat(np.cumsum(places[few]) - places[few], places[few]) + begin[own]
+        order = np.lexsort((i, fp[i], own))
+        at.append(i[order][np.concatenate(([True], own[order][1:] != own[order][:-1]))])
+    return np.unique(np.concatenate(at))
+
+
+def _once(ids: np.ndarray) -> np.ndarray:
+    """Which texts are the first of their id."""
+    once = np.zeros(len(ids), bool)
+    once[np.unique(ids, return_index=True)[1]] = True
+    return once
+
+
+def _anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Index rows of all anchors: where they are, under the hash of their words. Copies in the batch give theirs once."""
+    for b in batches:
+        ids = b.column("id").to_numpy(zero_copy_only=False)
+        for first, last, words, ends, _ in word_batches(b.column("text")):
+            at = starts_of(words, ends)
+            text = np.searchsorted(ends, at, side="right")
+            pos = at - np.concatenate(([0], ends[:-1]))[text]
+            key = shingles(words, SEED)[at]
+            # of equal anchors in WINDOW places of a text, which is periodic there, one is enough
+            near = np.zeros(len(at), bool)
+            near[np.unique(mixed(key + mixed((text << 32 | pos // WINDOW).astype(np.uint64))), return_index=True)[1]] = True
+            use = near & _once(ids[first:last])[text]
+            if use.any():
+                yield combined(list(SEEDS), key[use].view(np.int64), [ids[first + text[use]], pos[use].astype(np.int32)])
+
+
+def paragraphs(words: np.ndarray, ends: np.ndarray, line: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(place over all texts, words) of the paragraphs of texts: lines of UNIT words or more, and the whole of each text that may have too few words for anchors to tell."""
     begin = np.concatenate(([0], ends[:-1]))
-    short = (ends > begin) & (ends - begin < UNIT + WINDOW + 2)
-    at.append(begin[short])
-    n.append((ends - begin)[short])
-    at, n = np.unique(np.stack((np.concatenate(at), np.concatenate(n))), axis=1)
+    lines = np.flatnonzero(line)
+    size = np.diff(np.concatenate((lines, [len(words)])))
+    short = (ends > begin) & (ends - begin < UNIT + SEED + WINDOW - 2)
+    at = np.concatenate((lines[size >= UNIT], begin[short]))
+    n = np.concatenate((size[size >= UNIT], (ends - begin)[short]))
+    at, n = np.unique(np.stack((at, n)), axis=1)
     return at, n
 
 
-def _told(b: pa.RecordBatch, hashes: WordHashes) -> Iterator[tuple]:
-    """For some texts of the batch at a time: (words, places of the units, their words, hashes of their texts, their texts' numbers in the batch, positions in these). Copies in the batch give their units once."""
-    texts = b.column("text").to_pylist()
-    ids_all = b.column("id").to_numpy(zero_copy_only=False)
-    for first, last, words, ends in word_batches(texts, hashes):
-        at, n = units_of(texts[first:last], words, ends)
-        text = np.searchsorted(ends, at, side="right")
-        once = np.zeros(last - first, bool)
-        once[np.unique(ids_all[first:last], return_index=True)[1]] = True
-        at, n, text = at[once[text]], n[once[text]], text[once[text]]
-        if len(at):
-            yield words, at, n, _texts(words, at, n), first + text, (at - np.concatenate(([0], ends[:-1]))[text]).astype(np.int32)
+def _texts(words: np.ndarray, at: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """A hash of the words of each paragraph, in order."""
+    starts = np.cumsum(n) - n
+    place = np.arange(int(n.sum())) - np.repeat(starts, n)
+    each = mixed(words[np.repeat(at, n) + place] ^ mixed(place.astype(np.uint64) * GOLDEN))
+    return mixed(np.add.reduceat(each, starts) + n.astype(np.uint64)).view(np.int64) if len(n) else np.zeros(0, np.int64)
 
 
-def _texts(words: np.ndarray, at: np.ndarray, n: np.ndarray) -> np.ndarray:
-    """A hash of the words of each unit, in order."""
-    h = mixed(n.astype(np.uint64))
-    for k in np.unique(n):
-        i = np.flatnonzero(n == k)
-        if k <= 4 * UNIT:
-            for j in range(k):
-                h[i] = mixed(h[i] + words[at[i] + j] + np.uint64(0x9E3779B97F4A7C15))
-        else:
-            place = np.arange(k, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
-            for x in i:
-                h[x] = mixed(h[x : x + 1] + mixed(words[at[x] : at[x] + k] ^ mixed(place)).sum(dtype=np.uint64))[0]
-    return h.view(np.int64)
+def _measured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(doc_id, id, n_words, units): of each row its text's hash, words, and paragraphs as (h, pos, n): hash, first word, words."""
+    for b in batches:
+        for first, last, words, ends, line in word_batches(b.column("text")):
+            at, n = paragraphs(words, ends, line)
+            text = np.searchsorted(ends, at, side="right")
+            begin = np.concatenate(([0], ends[:-1]))
+            order = np.argsort(text, kind="stable")
+            at, n, text = at[order], n[order], text[order]
+            units = pa.StructArray.from_arrays([pa.array(_texts(words, at, n)), pa.array((at - begin[text]).astype(np.int32)), pa.array(n.astype(np.int32))], names=["h", "pos", "n"])
+            lists = pa.ListArray.from_arrays(pa.array(np.searchsorted(text, np.arange(last - first + 1)).astype(np.int32)), units)
+            rows = b.slice(first, last - first)
+            yield pa.RecordBatch.from_arrays([rows.column("doc_id"), rows.column("id"), pa.array(ends - begin), lists], names=["doc_id", "id", "n_words", "units"])
 
 
-def _places(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(h, id, pos, n) of all units: the hash of a unit's text, and where it is."""
-    hashes = WordHashes()
+def _banded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Index rows of the paragraphs' texts under their band keys."""
+    odd = np.random.default_rng(1).integers(1, 1 << 62, BANDS * ROWS, dtype=np.uint64) | np.uint64(1)
     for b in batches:
         ids = b.column("id").to_numpy(zero_copy_only=False)
-        for _, _, n, h, text, pos in _told(b, hashes):
-            yield pa.RecordBatch.from_arrays([pa.array(h), pa.array(ids[text]), pa.array(pos), pa.array(n.astype(np.int32))], names=["h", "id", "pos", "n"])
-
-
-def _of_bands(bands: range):
-    """Index rows of the units' texts under their keys in these bands."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes = WordHashes()
-        odd = np.random.default_rng(1).integers(1, 1 << 62, BANDS * ROWS, dtype=np.uint64) | np.uint64(1)
-        for b in batches:
-            for words, at, n, h, _, _ in _told(b, hashes):
-                fresh = np.unique(h, return_index=True)[1]
-                h, at, size = h[fresh], at[fresh], np.maximum(n[fresh] - SHINGLE + 1, 1)
-                # the shingles of all units one after the other; a unit of fewer than SHINGLE words is one, its text
-                starts = np.concatenate(([0], np.cumsum(size)[:-1]))
-                place = np.repeat(at - starts, size) + np.arange(size.sum())
-                h5 = shingles(words, SHINGLE)
-                h5 = h5[np.minimum(place, len(h5) - 1)] if len(h5) else np.zeros(len(place), np.uint64)
-                short = n[fresh] < SHINGLE
-                h5[starts[short]] = h[short].view(np.uint64)
-                keys = []
-                for k in bands:
-                    key = np.full(len(h), k + 1, np.uint64)
-                    for r in range(ROWS):
-                        key = mixed(key + np.minimum.reduceat(h5 * odd[k * ROWS + r], starts))
-                    keys.append(key.view(np.int64))
-                yield combined(list(VALS), np.concatenate(keys), [np.tile(h, len(bands))])
-
-    return run
-
-
-def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(id, n, sketch, el) of the units asked for: id is the hash of a unit's text, el its distinct 5-word shingles, n their number."""
-    hashes = WordHashes()
+        for first, last, words, ends, line in word_batches(b.column("text")):
+            at, n = paragraphs(words, ends, line)
+            once = _once(ids[first:last])[np.searchsorted(ends, at, side="right")]
+            at, n = at[once], n[once]
+            if not len(at):
+                continue
+            h = _texts(words, at, n)
+            fresh = np.unique(h, return_index=True)[1]
+            h, at, n = h[fresh], at[fresh], n[fresh]
+            # the shingles of all paragraphs one after the other; one of fewer than SHINGLE words is one, its text
+            size = np.maximum(n - SHINGLE + 1, 1)
+            starts = np.cumsum(size) - size
+            place = np.repeat(at - starts, size) + np.arange(size.sum())
+            h5 = shingles(words, SHINGLE)
+            h5 = h5[np.minimum(place, len(h5) - 1)] if len(h5) else np.zeros(len(place), np.uint64)
+            h5[starts[n < SHINGLE]] = h[n < SHINGLE].view(np.uint64)
+            keys = []
+            for k in range(BANDS):
+                key = np.full(len(h), k + 1, np.uint64)
+                for r in range(ROWS):
+                    key = mixed(key + np.minimum.reduceat(h5 * odd[k * ROWS + r], starts))
+                keys.append(key.view(np.int64))
+            yield combined(list(VALS), np.concatenate(keys), [np.tile(h, BANDS)])
+
+
+def _fetched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """What is asked of a text. For each of `units` (h, pos, n): id (that h), n, sketch, el: its distinct shingles, their number and parity sketch. For each of `blocks`, a first word s: id, start s, words: 32-bit hashes of the WIDE words from s - REACH on, 0 outside the text."""
+    empty = {"start": pa.int32(), "words": pa.list_(pa.int32()), "n": pa.int64(), "sketch": pa.binary(), "el": pa.list_(pa.int64())}
+
+    def out(ids: pa.Array, **cols: pa.Array) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([ids, *[cols.get(k, pa.nulls(len(ids), t)) for k, t in empty.items()]], names=["id", *empty])
+
     for b in batches:
-        asks = b.column("asks").to_pylist()
-        for first, last, words, ends in word_batches(b.column("text").to_pylist(), hashes):
-            h5 = shingles(words, SHINGLE).view(np.int64)
+        ids, units, blocks = (b.column(k).to_pylist() for k in ("id", "units", "blocks"))
+        for first, last, words, ends, _ in word_batches(b.column("text")):
             begin = np.concatenate(([0], ends[:-1]))
-            units = [(begin[i] + a["pos"], a["n"], a["h"]) for i in range(last - first) for a in asks[first + i]]
-            for k in range(0, len(units), 4096):
-                sets = [np.unique(h5[at : at + n - SHINGLE + 1]) if n >= SHINGLE else np.array([h]) for at, n, h in units[k : k + 4096]]
+            h5 = shingles(words, SHINGLE).view(np.int64)
+            want = [(begin[i] + u["pos"], u["n"], u["h"]) for i in range(last - first) for u in units[first + i] or ()]
+            for k in range(0, len(want), 1024):
+                part = want[k : k + 1024]
+                sets = [np.unique(h5[at : at + n - SHINGLE + 1]) if n >= SHINGLE else np.array([h]) for at, n, h in part]
+                size = np.array([len(x) for x in sets])
                 bits = np.zeros((len(sets), jaccard_join.SKETCH), np.uint8)
-                own = np.repeat(np.arange(len(sets)), [len(x) for x in sets])
-                np.add.at(bits, (own, (np.concatenate(sets) >> 8) & (jaccard_join.SKETCH - 1)), 1)
-                sketch = np.packbits(bits & 1, axis=1)
-                yield pa.RecordBatch.from_arrays([pa.array([u[2] for u in units[k : k + 4096]], pa.int64()), pa.array([len(x) for x in sets], pa.int64()), pa.array([x.tobytes() for x in sketch], pa.binary()), pa.array(sets, pa.list_(pa.int64()))], names=["id", "n", "sketch", "el"])
-
-
-def _alike(d: DataFrame, first: DataFrame, places: DataFrame, percent: int) -> DataFrame:
-    """(node, label): components of different unit texts that share a band and are similar. No link between texts that share a band is left out: where a key holds several components, its texts are tried against another of the key, and at last all pairs between its components, as in the Jaccard join."""
-    # the bands go in two passes, so that the shuffle files of one alone are on disk
-    meets = [cut(links_by_key(d.select("id", "text").mapInArrow(_of_bands(bands), index_schema(VALS)), VALS)) for bands in (range(0, BANDS // 2), range(BANDS // 2, BANDS)) if not tidy(d.sparkSession)]
-    meets = meets[0].unionByName(meets[1])
-    members = cut(meets.select("key", F.col("h").alias("id")).unionByName(meets.select("key", F.col("lh").alias("id"))).distinct())
-    wanted = members.select(F.col("id").alias("h")).distinct()
-    asks = places.join(wanted, "h", "left_semi").groupBy("h").agg(F.min(F.struct("id", "pos", "n")).alias("p")).groupBy("p.id").agg(F.collect_list(F.struct("h", "p.pos", "p.n")).alias("asks"))
-    sets = written(_asked(d, first, asks).mapInArrow(_sets, "id long, n long, sketch binary, el array<long>").dropDuplicates(["id"]))
-    tidy(d.sparkSession)
-    pairs = meets.select(F.least("h", "lh").alias("a"), F.greatest("h", "lh").alias("b")).distinct()
-    labels = cut(components(jaccard_join._verified(pairs, sets, percent)))
-    turn, n_links = 0, 1
+                np.add.at(bits, (np.repeat(np.arange(len(sets)), size), (np.concatenate(sets) >> 8) & (jaccard_join.SKETCH - 1)), 1)
+                sketch = [x.tobytes() for x in np.packbits(bits & 1, axis=1)]
+                el = pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(size))).astype(np.int32)), pa.array(np.concatenate(sets)))
+                yield out(pa.array([h for _, _, h in part], pa.int64()), n=pa.array(size), sketch=pa.array(sketch, pa.binary()), el=el)
+            low = np.maximum((words >> np.uint64(32)).astype(np.uint32), 1).view(np.int32)
+            want = [(i, s) for i in range(last - first) for s in blocks[first + i] or ()]
+            for k in range(0, len(want), 1024):
+                text, s = np.array(want[k : k + 1024]).T
+                place = (begin[text] + s - REACH)[:, None] + np.arange(WIDE)
+                inside = (place >= begin[text][:, None]) & (place < ends[text][:, None])
+                got = np.where(inside, low[np.clip(place, 0, len(low) - 1)], 0).astype(np.int32)
+                lists = pa.ListArray.from_arrays(pa.array(np.arange(len(s) + 1, dtype=np.int32) * WIDE), pa.array(got.ravel()))
+                yield out(pa.array([ids[first + i] for i in text], pa.int64()), start=pa.array(s.astype(np.int32)), words=lists)
+
+
+def _along(a: np.ndarray, b: np.ndarray, i: int, j: int) -> tuple[int, int, int]:
+    """From a[i] and b[j] on: (where a's words no longer match, how many match, how many match before the first edit)."""
+    end, same, run = i, 0, -1
     while True:
-        turn += 1
-        last = turn > jaccard_join.LEADERS or not n_links
-        members = cut(jaccard_join._several(members, labels))
-        found = cut(jaccard_join._verified(jaccard_join._between(members, sets, percent) if last else jaccard_join._to_leaders(members, turn), sets, percent))
-        n_links = found.count()
-        if n_links:
-            labels = merged(labels, found)
-        members = members.select("key", "id")
-        tidy(d.sparkSession)
-        if last:
-            return labels
+        m = min(len(a) - i, len(b) - j)
+        eq = (a[i : i + m] == b[j : j + m]) & (a[i : i + m] != 0)
+        k = m if eq.all() else int(eq.argmin())
+        same += k
+        run = k if run < 0 else run
+        i, j = i + k, j + k
+        end = i if k else end
+        for x, y in EDITS if k < m else ():
+            p, q = a[i + x : i + x + CONFIRM], b[j + y : j + y + CONFIRM]
+            if len(p) == len(q) == CONFIRM and p.all() and (p == q).all():
+                i, j = i + x, j + y
+                break
+        else:
+            return end, same, run
+
+
+def grown(a: np.ndarray, b: np.ndarray, seeds: list[int]) -> list[tuple[int, int]]:
+    """The stretches (first word, words) of a that match b around the seeds, places of SEED words that may be equal in both."""
+    out: list[tuple[int, int]] = []
+    done = 0
+    n = len(a)
+    for s in seeds:
+        if s + SEED <= done or not ((a[s : s + SEED] == b[s : s + SEED]) & (a[s : s + SEED] != 0)).all():
+            continue
+        to, right, run_right = _along(a, b, s + SEED, s + SEED)
+        back, left, run_left = _along(a[::-1], b[::-1], n - s, n - s)
+        first, same = n - back, left + SEED + right
+        if 100 * same < ALIKE * (to - first):
+            first, to, same = s - run_left, s + SEED + run_right, run_left + SEED + run_right
+        if same >= UNIT:
+            out.append((first, to - first))
+            done = to
+    return out
+
+
+def _edits_fit(a: np.ndarray, b: np.ndarray, row: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """Whether any of EDITS at these places, the same in both texts, has CONFIRM equal words after it."""
+    a, b = (np.pad(x, ((0, 0), (0, CONFIRM + 2))) for x in (a, b))
+    ok, along = np.zeros(len(row), bool), np.arange(CONFIRM)
+    for x, y in EDITS:
+        p, q = a[row[:, None], (at + x)[:, None] + along], b[row[:, None], (at + y)[:, None] + along]
+        ok |= ((p == q) & (p != 0)).all(1)
+    return ok
+
+
+def matches(a: np.ndarray, b: np.ndarray, seeds: list[list[int]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(row, first word, words): grown() for each row of a and b. Runs of equal words that no edit continues are found for all rows at once."""
+    eq, place = (a == b) & (a != 0), np.arange(a.shape[1])
+    to = np.minimum.accumulate(np.where(eq, a.shape[1], place)[:, ::-1], axis=1)[:, ::-1]
+    back = np.maximum.accumulate(np.where(eq, -1, place), axis=1)
+    row = np.repeat(np.arange(len(seeds)), [len(x) for x in seeds])
+    s = np.array([x for r in seeds for x in r], np.int64)
+    true = to[row, s] >= s + SEED
+    row, s = row[true], s[true]
+    runs = np.unique(np.stack((row, back[row, s] + 1, to[row, s])), axis=1)
+    row, first, end = runs
+    more = _edits_fit(a, b, row, end) | _edits_fit(a[:, ::-1], b[:, ::-1], row, a.shape[1] - first)
+    edited = np.unique(row[more])
+    plain = ~np.isin(row, edited) & (end - first >= UNIT)
+    slow = [(r, x, n) for r in edited.tolist() for x, n in grown(a[r], b[r], seeds[r])]
+    found = np.array(slow, np.int64).reshape(-1, 3).T
+    return tuple(np.concatenate(x) for x in zip((row[plain], first[plain], (end - first)[plain]), found, strict=True))
+
+
+def _compared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(id, kid, first, words): the grown matches of blocks (id, start, kid, seeds, words, kwords)."""
+    for whole in batches:
+        for k in range(0, whole.num_rows, 2048):
+            b = whole.slice(k, 2048)
+            mine, theirs = (b.column(k).flatten().to_numpy().reshape(-1, WIDE) for k in ("words", "kwords"))
+            ids, start, kids = (b.column(k).to_numpy(zero_copy_only=False) for k in ("id", "start", "kid"))
+            i, x, n = matches(mine, theirs, [[REACH + s for s in seeds] for seeds in b.column("seeds").to_pylist()])
+            if len(i):
+                yield pa.RecordBatch.from_arrays([pa.array(ids[i]), pa.array(kids[i]), pa.array((start[i] - REACH + x).astype(np.int32)), pa.array(n.astype(np.int32))], names=["id", "kid", "first", "words"])
 
 
 def _asked(d: DataFrame, first: DataFrame, asks: DataFrame) -> DataFrame:
-    """(id, text, asks) of the texts in asks (id, asks), one row of d for each text."""
-    asks = cut(asks.join(first, "id").select(F.col("id").alias("w_id"), "asks", "first_doc"))
+    """What is asked (id, units, blocks) of the texts, one row of d for each."""
+    asks = cut(asks.join(first, "id").select(F.col("id").alias("w_id"), "units", "blocks", "first_doc"))
     on = F.col("doc_id").eqNullSafe(F.col("first_doc")) & (F.col("id") == F.col("w_id"))
-    return with_small(d, asks, on, "inner").select("id", "text", "asks")
-
-
-def _listed(values: np.ndarray) -> pa.Array:
-    return pa.ListArray.from_arrays(pa.array(np.arange(len(values) + 1, dtype=np.int32) * values.shape[1]), pa.array(values.ravel()))
-
-
-def _beside(words: np.ndarray, begin: np.ndarray, end: np.ndarray, at: np.ndarray, step: int, none: int) -> np.ndarray:
-    """The REACH words before (step -1, nearest first) or from (step 1) each place; none outside the text, which goes from begin to end."""
-    i = at[:, None] + (np.arange(REACH) if step > 0 else -1 - np.arange(REACH))
-    return np.where((i >= begin[:, None]) & (i < end[:, None]), words[np.clip(i, 0, len(words) - 1)].view(np.int64), none)
+    found = with_small(d, asks, on, "inner").select("id", "text", "units", "blocks")
+    return found.mapInArrow(_fetched, "id long, start int, words array<int>, n long, sketch binary, el array<long>")
 
 
-def _asks_of(b: pa.RecordBatch, hashes: WordHashes) -> Iterator[tuple]:
-    """For some texts of the batch at a time: (words, the asks' columns, each ask's text, its begin and end among the words), at most 4,096 asks a time."""
-    lists = b.column("asks")
-    size = np.diff(lists.offsets.to_numpy())
-    cols = lists.flatten().flatten()
-    upto = np.concatenate(([0], np.cumsum(size)))
-    for first, last, words, ends in word_batches(b.column("text").to_pylist(), hashes):
-        text = np.repeat(np.arange(last - first), size[first:last])
-        begin = np.concatenate(([0], ends[:-1]))
-        for k in range(0, len(text), 4096):
-            t = text[k : k + 4096]
-            yield words, [c.slice(upto[first] + k, len(t)) for c in cols], first + t, begin[t], ends[t]
-
-
-def _around(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(kid, kpos, kn, left, right): hashes of the words beside each stretch asked for."""
-    hashes = WordHashes()
-    for b in batches:
-        ids = b.column("id").to_numpy(zero_copy_only=False)
-        for words, (pos, n), text, begin, end in _asks_of(b, hashes):
-            at = begin + pos.to_numpy()
-            sides = [_listed(_beside(words, begin, end, at, -1, 0)), _listed(_beside(words, begin, end, at + n.to_numpy(), 1, 0))]
-            yield pa.RecordBatch.from_arrays([pa.array(ids[text]), pos, n, *sides], names=["kid", "kpos", "kn", "left", "right"])
+def _labelled(meets: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """(node, label): components of different paragraphs that share a band and are similar. No link between paragraphs that share a band is left out."""
+    members = cut(meets.select("key", F.col("h").alias("id")).unionByName(meets.select("key", F.col("lh").alias("id"))).distinct())
+    pairs = meets.select(F.least("h", "lh").alias("a"), F.greatest("h", "lh").alias("b")).distinct()
+    labels = cut(components(jaccard_join._verified(pairs, sets, percent)))
+    return jaccard_join.joined_by_key(members, labels, sets, percent)
 
 
-def _grown(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(id, first, words): each stretch asked for, longer by the words on either side that equal those beside what it matches."""
-    hashes = WordHashes()
-    for b in batches:
-        ids = b.column("id").to_numpy(zero_copy_only=False)
-        for words, (pos, n, left, right), text, begin, end in _asks_of(b, hashes):
-            at, to = begin + pos.to_numpy(), begin + pos.to_numpy() + n.to_numpy()
-            more = []
-            for place, step, theirs in ((at, -1, left), (to, 1, right)):
-                same = _beside(words, begin, end, place, step, 1) == theirs.flatten().to_numpy().reshape(-1, REACH)
-                more.append(np.logical_and.accumulate(same, axis=1).sum(1))
-            yield pa.RecordBatch.from_arrays([pa.array(ids[text]), pa.array((at - begin - more[0]).astype(np.int32)), pa.array((to - at + more[0] + more[1]).astype(np.int32))], names=["id", "first", "words"])
-
-
-def _spans(d: DataFrame, first: DataFrame, gone: DataFrame) -> DataFrame:
-    """(id, spans): what goes from each text, for units gone (id, pos, n) that match (kid, kpos, kn). Each match is grown to the whole run of words that both texts share there; units that follow each other in both texts grow as one."""
-    run = Window.partitionBy("id", "kid", F.col("kpos") - F.col("pos"), F.when(F.col("n") != F.col("kn"), F.col("pos"))).orderBy("pos", "n")
-    before = F.max(F.col("pos") + F.col("n")).over(run.rowsBetween(Window.unboundedPreceding, -1))
-    runs = gone.distinct().withColumn("new", F.when(F.col("pos") <= before, 0).otherwise(1)).withColumn("run", F.sum("new").over(run.rowsBetween(Window.unboundedPreceding, 0)))
-    long = lambda p, n: (F.max(F.col(p) + F.col(n)) - F.min(p)).alias(n)
-    runs = runs.groupBy("id", "kid", F.col("kpos") - F.col("pos"), F.when(F.col("n") != F.col("kn"), F.col("pos")), "run").agg(F.min("pos").alias("pos"), long("pos", "n"), F.min("kpos").alias("kpos"), long("kpos", "kn"))
-    runs = cut(runs.select("id", "pos", "n", "kid", "kpos", "kn").distinct())
-    kept = runs.select("kid", "kpos", "kn").distinct().groupBy(F.col("kid").alias("id")).agg(F.collect_list(F.struct("kpos", "kn")).alias("asks"))
-    around = written(_asked(d, first, kept).mapInArrow(_around, "kid long, kpos int, kn int, left array<long>, right array<long>").dropDuplicates(["kid", "kpos", "kn"]))
-    asks = runs.join(around, ["kid", "kpos", "kn"]).groupBy("id").agg(F.collect_list(F.struct("pos", "n", "left", "right")).alias("asks"))
-    grown = _asked(d, first, asks).mapInArrow(_grown, "id long, first int, words int")
+def _merged(spans: DataFrame) -> DataFrame:
+    """(id, spans) of (id, first, words): stretches that overlap or touch as one, in order."""
 
     @F.pandas_udf("array<struct<first:int,words:int>>")
     def joined(parts):
@@ -250,33 +304,62 @@ def _spans(d: DataFrame, first: DataFrame, gone: DataFrame) -> DataFrame:
 
         return pd.Series([one(p) for p in parts])
 
-    return grown.groupBy("id").agg(F.sort_array(F.collect_set(F.array("first", "words"))).alias("parts")).select("id", joined("parts").alias("spans"))
+    return spans.groupBy("id").agg(F.sort_array(F.collect_set(F.array("first", "words"))).alias("parts")).select("id", joined("parts").alias("spans"))
 
 
 def repeats(docs: DataFrame, similarity_percent: int = 80) -> DataFrame:
     """(doc_id, id, spans, kept, copy): one row for each document that repeats what another holds. spans: array of (first word, words) to remove, in order, apart from each other; kept: doc_ids of the documents that keep it, sorted; copy: the whole text is a copy of the document kept.
 
-    A unit is UNIT words from a place that the content picks, a line (paragraph) of UNIT words or more, or the whole of a text of fewer than UNIT + WINDOW + 2 words. Units that share a MinHash band are compared by exact Jaccard similarity of their 5-word shingles (equal ones by hash), linked, and each component of links is kept in the document of least doc_id alone. Equal texts are one; all but the least doc_id are copies if they have a word. Each match with the kept document is grown to the whole run of words shared there. Repeats inside one document stay. Texts that are null or without words have no units; null doc_ids come first, as least. id: hash of the text.
+    Paragraphs: lines of UNIT words or more, and whole texts of fewer than UNIT + SEED + WINDOW - 2 words. Those that share a MinHash band are compared by exact Jaccard similarity of their 5-word shingles (equal ones by hash), linked, and each component of links is kept in the document of least doc_id alone.
+
+    Passages that don't fill a line: anchors are places of SEED words that the content picks. Each anchor that several texts share is compared, in the other texts, with the text of least doc_id that holds it: the match is grown on both sides, through edits of up to two words, to the whole stretch that both texts share, and goes if it has UNIT equal words, ALIKE percent or more of it.
 
-    Each band key links its units' texts to a first one; equal units meet by their text alone, so a passage in k documents costs k rows. Keys that still hold several components compare all their members.
+    Equal texts are one; all but the least doc_id are copies if they have a word. Repeats inside one document stay. Texts that are null or without words have neither; null doc_ids come first, as least. id: hash of the text. Other columns aren't looked at; an empty table gives an empty result. Words and texts are told apart by 64-bit hashes, the words beside an anchor by 32 bits.
+
+    Each key of an index links its rows to a first one, so a passage in k documents costs k rows. Band keys that still hold several components compare all their members.
     """
     d = docs.select("doc_id", F.xxhash64(F.coalesce("text", F.lit(""))).alias("id"), F.coalesce("text", F.lit("")).alias("text"))
-    info = cut(d.select("doc_id", "id", F.regexp_count("text", F.lit(WORD)).alias("n_words")).where(F.col("n_words") > 0))
-    first = info.groupBy("id").agg(F.min(F.struct("doc_id", "n_words")).alias("f")).select("id", F.col("f.doc_id").alias("first_doc"))
-    first = cut(first)
-    places = written(d.select("id", "text").mapInArrow(_places, "h long, id long, pos int, n int"))
-    # a unit's text is its node
-    labels = _alike(d, first, places, similarity_percent)
+    kind = dict(d.dtypes)["doc_id"]
+    info = written(d.mapInArrow(_measured, f"doc_id {kind}, id long, n_words long, units array<struct<h:long,pos:int,n:int>>"))
+    first = cut(info.where("n_words > 0").groupBy("id").agg(F.min(F.struct("doc_id")).alias("f")).select("id", F.col("f.doc_id").alias("first_doc")))
+    places = info.select("id", F.explode("units").alias("u")).select("u.h", "id", "u.pos", "u.n")
+    narrow = d.select("id", "text")
+    shared = written(links_by_key(narrow.mapInArrow(_anchors, index_schema(SEEDS)), SEEDS).select("key", "id", "pos", "lid", "lpos"))
+    tidy(docs.sparkSession)
+    meets = written(links_by_key(narrow.mapInArrow(_banded, index_schema(VALS)), VALS).select("key", "h", "lh"))
+    tidy(docs.sparkSession)
+    # anchors: each against the text of least doc_id that holds it, by blocks of that text
+    held = shared.select("key", "id", "pos").unionByName(shared.select("key", F.col("lid").alias("id"), F.col("lpos").alias("pos"))).distinct().join(first, "id")
+    held = cut(held)
+    keep = held.groupBy("key").agg(F.min(F.struct("first_doc", "id", "pos")).alias("k")).select("key", F.col("k.id").alias("kid"), F.col("k.pos").alias("kpos"))
+    inside = F.col("kpos") % BLOCK
+    pairs = held.join(keep, "key").where("id <> kid").groupBy("id", "kid", (F.col("kpos") - inside).alias("kstart"), (F.col("pos") - inside).alias("start")).agg(F.sort_array(F.collect_set(inside)).alias("seeds"))
+    pairs = written(pairs)
+    blocks = pairs.select("id", "start").unionByName(pairs.select(F.col("kid").alias("id"), F.col("kstart").alias("start"))).groupBy("id").agg(F.collect_set("start").alias("blocks"))
+    wanted = meets.select("h").unionByName(meets.select(F.col("lh").alias("h"))).distinct()
+    units = places.join(wanted, "h", "left_semi").groupBy("h").agg(F.min(F.struct("id", "pos", "n")).alias("p")).groupBy("p.id").agg(F.collect_list(F.struct("h", "p.pos", "p.n")).alias("units"))
+    got = written(_asked(d, first, units.join(blocks, "id", "full")))
+    if info.groupBy("doc_id", "id").count().where("count > 1").limit(1).count():  # repeated rows are asked each
+        got = written(got.dropDuplicates(["id", "start"]))
+    tidy(docs.sparkSession)
+    sets = got.where("start is null").select("id", "n", "sketch", "el")
+    of = got.where("start is not null")
+    mine, theirs = of.select("id", "start", "words"), of.select(F.col("id").alias("kid"), F.col("start").alias("kstart"), F.col("words").alias("kwords"))
+    spans = cut(pairs.join(mine, ["id", "start"]).join(theirs, ["kid", "kstart"]).select("id", "start", "kid", "seeds", "words", "kwords").mapInArrow(_compared, "id long, kid long, first int, words int"))
+    # paragraphs: by their components, equal ones among them
+    labels = _labelled(meets, sets, similarity_percent)
     several = places.groupBy("h").agg(F.min("id").alias("x"), F.max("id").alias("y")).where("x <> y").select("h")
-    shared = cut(several.join(labels, F.col("h") == F.col("node"), "full").select(F.coalesce("h", "node").alias("h"), F.coalesce("label", "h").alias("label")))
-    units = written(places.distinct().join(shared, "h").join(first, "id").select("id", "pos", "n", "label", "first_doc"))
+    nodes = cut(several.join(labels, F.col("h") == F.col("node"), "full").select(F.coalesce("h", "node").alias("h"), F.coalesce("label", "h").alias("label")))
+    rows = cut(places.join(nodes, "h").select("id", "pos", "n", "label").distinct().join(first, "id"))
+    keeper = rows.groupBy("label").agg(F.min(F.struct("first_doc", "id", "pos")).alias("k")).select("label", F.col("k.id").alias("kid"))
+    gone = rows.join(keeper, "label").where("id <> kid").select("id", "kid", F.col("pos").alias("first"), F.col("n").alias("words"))
+    spans = cut(spans.unionByName(gone))
     tidy(docs.sparkSession)
-    keep = units.groupBy("label").agg(F.min(F.struct("first_doc", "id", "pos", "n")).alias("k")).select("label", F.col("k.first_doc").alias("kept_doc"), F.col("k.id").alias("kid"), F.col("k.pos").alias("kpos"), F.col("k.n").alias("kn"))
-    gone = cut(units.join(keep, "label").where("id <> kid").select("id", "pos", "n", "kid", "kpos", "kn", "kept_doc"))
-    kept = gone.groupBy(F.col("id").alias("k_id")).agg(F.sort_array(F.collect_set("kept_doc")).alias("g_kept"))
-    spans = _spans(d, first, gone).join(kept, F.col("id") == F.col("k_id")).select(F.col("id").alias("g_id"), "spans", "g_kept")
-    rows = info.join(first.select(F.col("id").alias("f_id"), "first_doc"), F.col("id") == F.col("f_id")).withColumn("copy", ~F.col("doc_id").eqNullSafe(F.col("first_doc")))
-    rows = rows.join(spans, F.col("id") == F.col("g_id"), "left").where("copy or g_id is not null")
+    whose = first.select(F.col("id").alias("kid"), F.col("first_doc").alias("kept_doc"))
+    kept = spans.select("id", "kid").distinct().join(whose, "kid").groupBy(F.col("id").alias("k_id")).agg(F.sort_array(F.collect_set("kept_doc")).alias("g_kept"))
+    found = _merged(spans).join(kept, F.col("id") == F.col("k_id")).select(F.col("id").alias("g_id"), "spans", "g_kept")
+    rows = info.where("n_words > 0").select("doc_id", "id", "n_words").join(first.select(F.col("id").alias("f_id"), "first_doc"), F.col("id") == F.col("f_id")).withColumn("copy", ~F.col("doc_id").eqNullSafe(F.col("first_doc")))
+    rows = rows.join(found, F.col("id") == F.col("g_id"), "left").where("copy or g_id is not null")
     whole = F.array(F.struct(F.lit(0).alias("first"), F.col("n_words").cast("int").alias("words")))
     return rows.select("doc_id", "id", F.when(F.col("copy"), whole).otherwise(F.col("spans")).alias("spans"), F.when(F.col("copy"), F.array("first_doc")).otherwise(F.col("g_kept")).alias("kept"), "copy")
 
