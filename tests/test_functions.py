@@ -88,3 +88,14 @@ def test_scores(spark):
     d = spark.createDataFrame([([1.0, 0.0], [1.0, 1.0])], "a array<double>, b array<double>")
     r = d.select(score.cosine(F.col("a"), F.col("b")).alias("c"), score.aggregated(F.col("b"), "mean").alias("m"), score.shrunk_mean(F.col("b")).alias("s")).first()
     assert abs(r["c"] - 0.5**0.5) < 1e-9 and r["m"] == 1 and abs(r["s"] - 2 / 3) < 1e-9
+
+
+def test_maths_forms(spark):
+    from thicket.functions import maths
+
+    forms = {r"\frac12": r"\frac{1}{2}", r"\dfrac{1}{2}": r"\frac{1}{2}", "1/2": r"\frac{1}{2}", "5 miles": "5", "10 square feet": "10", "x=5.00": "5", "twenty-one": "21", r"\sqrt3": r"\sqrt{3}", r"5\text{ cm}": "5", ".5": "0.5", "feet": "feet", "$12$": "12", "7\\%": "7"}
+    d = spark.createDataFrame([(k, v) for k, v in forms.items()] + [(None, None)], "a string, want string")
+    assert [tuple(r) for r in d.select("a", "want", maths.normal_form(F.col("a")).alias("f")).where("not f <=> want").collect()] == []
+    pairs = [(r"\frac{1}{2}", "0.5", True), ("(1, 2)", r"\left(1,2\right)", True), ("(1,3)", "(1,2)", False), ("the answer is (B)", "B", True), ("0.07", "7%", True), (r"\begin{bmatrix}1&2\\3&4\end{bmatrix}", r"\begin{pmatrix} 1 & 2 \\ 3 & 4.0 \end{pmatrix}", True), (None, "5", False), ("6", "5", False), (r"-\frac{3}{4}", "-3/4", True)]
+    d = spark.createDataFrame(pairs, "a string, g string, want boolean")
+    assert d.where(judge.maths_equal(F.col("a"), F.col("g")) != F.col("want")).collect() == []

@@ -65,6 +65,54 @@ def test_mcts_trace(model, spark):
     assert v.count() == len(visits)
 
 
+def test_mcts_strategies(spark):
+    rows = [("r", None, 0.0, False), ("a", "r", 1.0, False), ("b", "r", 2.0, False), ("d", "a", 9.0, True), ("f", "b", 3.0, False)]
+    d = frame(spark, [(7, *r, i) for i, r in enumerate(rows)], "example_id int, node_id string, parent_id string, reward double, terminal boolean, pos int")
+    v = search.mcts(d, n_iters=2, uct_with_fast_reward=False)  # first r b f, which doesn't end at a terminal; then r a d
+    path = lambda s: [r["path"] for r in search.output_path(v, strategy=s).collect()]
+    assert path("max_iter") == path("last_terminal_iter") == path("max_reward") == path("last_iter") == [["r", "a", "d"]]
+    assert path("follow_max") == [["r", "b", "f"]]
+    none = search.mcts(d, n_iters=1, uct_with_fast_reward=False)
+    assert search.output_path(none, strategy="max_iter").count() == 0 and search.output_path(none, strategy="last_iter").count() == 1
+    last = search.snapshots(v).where("iter = 1 and node_id = 'r'").first()
+    assert (last["n_visits"], last["q"]) == (2, 7.5)
+
+
+def test_mcts_running_values_like_lists():
+    """Running sums give what the lists of all returns would."""
+    rng = np.random.default_rng(1)
+    nodes = pd.DataFrame([("n0", None, 0.0, False)] + [(f"n{i}", f"n{(i - 1) // 3}", float(rng.integers(0, 9)), i > 60) for i in range(1, 120)], columns=["node_id", "parent_id", "reward", "terminal"])
+    for q in ("mean", "max", "sum"):
+        visits, tree = search.search_tree(nodes, n_iters=30, calc_q=q, w_exp=5.0)
+        want = visits.groupby("node_id")["ret"].agg(["size", q])
+        got = tree[tree.n_visits > 0].set_index("node_id")
+        assert (want.iloc[:, 0] == got["n_visits"].loc[want.index]).all() and np.allclose(want.iloc[:, 1], got["q"].loc[want.index])
+
+
+def test_dfs_caps(model, spark):
+    roots, children, _ = model
+    ids = lambda **o: [r["path_ids"][-1] for r in search.dfs(roots, children, 2, 2, **o).orderBy("rank").collect()]
+    assert ids(total_states=3) == ["f", "g"]  # b, f, g come first
+    assert ids(total_states=5) == ["d", "f", "g"] and ids(max_terminals=1) == ["f"]
+    one = frame(spark, [("r", "a", 1.0, False), ("a", "d", 9.0, True)], "parent_id string, node_id string, reward double, terminal boolean").withColumn("action", F.col("node_id")).withColumn("pos", F.lit(0))
+    found = search.dfs(roots, lambda f: f.join(one, "parent_id"), 2, 2, single_first=True).collect()
+    assert [r["path_ids"] for r in found] == [["r", "a"]]
+
+
+def test_beam_draws(model):
+    roots, children, _ = model
+    r = search.beam_search(roots, lambda f: children(f).withColumn("prob", F.lit(0.5)), 3, 1, strategy="sample", replace=True, unbiased=True, return_beam=True).collect()
+    assert len(r) == 3 and {x["path_ids"][-1] for x in r} <= {"a", "b", "c"}
+
+
+def test_closure_of_a_cycle(spark):
+    loop = frame(spark, [(1, "a", "b"), (1, "b", "a")], "example_id int, node_id string, parent_id string")
+    with pytest.raises(ValueError):
+        trees.closure(loop)
+    chain = frame(spark, [(1, str(i), str(i - 1) if i else None) for i in range(70)], "example_id int, node_id string, parent_id string")
+    assert trees.closure(chain).count() == 70 * 71 // 2
+
+
 def test_trees(spark):
     good = frame(spark, [(1, "r", None, 0.0), (1, "a", "r", 1.0), (1, "b", "r", 1.0), (1, "c", "a", None)], "example_id int, node_id string, parent_id string, q double")
     assert trees.valid(good).first()["is_tree"]

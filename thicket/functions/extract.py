@@ -84,6 +84,86 @@ def labelled_answer(text: Column) -> Column:
     return F.coalesce(F.nullif(matched(text, PATTERNS["answer_label"]), F.lit("")), text)
 
 
+def lettered_gold(text: Column) -> Column:
+    """The letters after the first gold marker."""
+    return matched(text, PATTERNS["gold_letters"])
+
+
+def free_answer(text: Column) -> Column:
+    """What follows "the answer is" on the first line."""
+    return matched(text, PATTERNS["answer_free"])
+
+
+def closed_answer(text: Column) -> Column:
+    """What stands between "So the answer is" and the dot that ends the first line."""
+    return matched(text, PATTERNS["answer_closed"])
+
+
+def finished(text: Column) -> Column:
+    """The argument of the first Finish[...]."""
+    return matched(text, PATTERNS["finish"])
+
+
+def wide_answer(text: Column) -> Column:
+    """A free-form answer: letters, digits and signs after "the answer is", up to the last dot, spaces, commas and dollar signs dropped."""
+    found = matched(text, r"(?s)^.*[Tt]he answer is .*?([ $.0-9,\-=A-Za-z/]+)\.")
+    return F.translate(found, ", $", "")
+
+
+def confidence_section(text: Column, heading: str = "Confidence score") -> Column:
+    """struct(body, score): what stands before the heading, and the first number after it."""
+    there = text.contains(heading)
+    score = F.when(there, F.regexp_extract(F.substring_index(text, heading, -1), r"([0-9]*\.?[0-9]+)", 1).try_cast("double"))
+    return F.struct(F.regexp_replace(F.substring_index(text, heading, 1), r"^\s+|\s+$", "").alias("body"), score.alias("score"))
+
+
+def overall_question(example: Column) -> Column:
+    """The last sentence of a word problem, its first letter upper-case: what is asked in the end."""
+    asked = matched(F.trim(example), r"(?s)^.*[.,] ([^.,]+[?.])$")
+    return F.coalesce(F.concat(F.upper(F.substring(asked, 1, 1)), F.substr(asked, F.lit(2))), example)
+
+
+def unescaped_argument(call: Column) -> Column:
+    """The quoted argument of a call, with its escaped quotes and line ends written out; null without one."""
+    found = matched(call, r"(?s)\(\s*['\"](.*)['\"]\s*\)")
+    return F.replace(F.replace(F.replace(found, F.lit("\\'"), F.lit("'")), F.lit('\\"'), F.lit('"')), F.lit("\\n"), F.lit("\n"))
+
+
+def repaired_yaml(text: Column) -> Column:
+    """Lines `key: value` whose value holds a colon or a quote get the value quoted, so that a parser takes it as text."""
+    return F.regexp_replace(text, r"(?m)^(\s*[A-Za-z_]+): ([^'\"|>\[{\n][^\n]*: [^\n]*)$", "$1: '$2'")
+
+
+def yaml_field(text: Column, key: str) -> Column:
+    """The value of a top-level key in simple YAML, without quotes around it; null without the key."""
+    value = matched(repaired_yaml(text), rf"(?m)^{key}: *(.*)$")
+    return F.regexp_replace(value, "^['\"](.*)['\"]$", "$1")
+
+
+def unescaped(text: Column) -> Column:
+    """Backslash sequences of quotes, tabs and line ends as what they stand for."""
+    for mark, to in (("\\n", "\n"), ("\\t", "\t"), ("\\'", "'"), ('\\"', '"')):
+        text = F.replace(text, F.lit(mark), F.lit(to))
+    return text
+
+
+def first_token_confidence(tokens: Column, accepted: list[str]) -> Column:
+    """Of the first token's candidates (struct(token, log_prob)) the probability of the accepted ones, upper and lower case and spaces alike."""
+    ok = F.filter(tokens, lambda t: F.lower(F.trim(t["token"])).isin([a.lower() for a in accepted]))
+    return F.aggregate(ok, F.lit(0.0), lambda s, t: s + F.exp(t["log_prob"]))
+
+
+def plain_entry(text: Column) -> Column:
+    """Lower case, commas inside numbers and punctuation dropped, spaces squeezed."""
+    t = F.regexp_replace(F.lower(text), r"([0-9]),([0-9])", "$1$2")
+    return F.trim(F.regexp_replace(F.regexp_replace(t, r"[^\w\s]", ""), r"\s+", " "))
+
+
+def without_banned(text: Column, banned: list[str]) -> Column:
+    """Whether none of the words, split at white space, is a banned one; upper and lower case alike."""
+    return ~F.arrays_overlap(F.split(F.lower(text), r"\s+"), F.array(*[F.lit(b.lower()) for b in banned]))
+
+
 def last_number(text: Column) -> Column:
     found = F.regexp_extract_all(text, F.lit(f"({PATTERNS['number']})"), F.lit(1))
     return F.when(F.size(found) > 0, F.element_at(found, -1))

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
 
 from thicket.functions.extract import normalised, spelled_number
+from thicket.functions.maths import choice, fraction_value, matrix_rows, normal_form
 
 
 def numeric_ladder(answer: Column, gold: Column) -> Column:
@@ -43,16 +44,33 @@ def exact_normalised(answer: Column, gold: Column) -> Column:
 
 
 def maths_equal(answer: Column, gold: Column, percent: bool = True) -> Column:
-    """Rungs: the same text; the same number, gold also taken as a hundredth or a hundredfold; the same text without brackets; the same tuple, place by place. Symbolic equality isn't decided."""
-    a, g = F.trim(answer), F.trim(gold)
-    x, y = spelled_number(a), spelled_number(g)
+    r"""Whether two mathematics answers are equal. Rungs, on the texts and on their normal forms: the same text; the choice letter gold asks for; the same number (a fraction of numbers is one), gold also taken as a hundredth or a hundredfold; the same text without brackets; the same tuple or matrix, place by place; the right side of an equation whose left side is a name. Equality that needs algebra isn't decided; null answers are wrong."""
     close = lambda p, q: F.abs(p - q) <= 1e-4 * F.greatest(F.abs(p), F.abs(q))
-    number = close(x, y) | (close(x, y / 100) | close(x, y * 100) if percent else F.lit(False))
-    bare = lambda c: F.translate(c, "()[]{} ", "")
-    parts = lambda c: F.split(bare(c), ",")
-    same_place = F.zip_with(parts(a), parts(g), lambda p, q: F.coalesce(close(p.try_cast("double"), q.try_cast("double")), p == q, F.lit(False)))
-    tuples = (F.size(parts(a)) == F.size(parts(g))) & (F.size(parts(a)) > 1) & F.forall(same_place, lambda v: v)
-    return F.coalesce(F.lower(a) == F.lower(g), F.lit(False)) | F.coalesce(number, F.lit(False)) | F.coalesce((bare(a) == bare(g)) & (bare(a) != ""), F.lit(False)) | F.coalesce(tuples, F.lit(False))
+    value = lambda c: F.coalesce(spelled_number(c), fraction_value(c))
+
+    def number(a: Column, g: Column) -> Column:
+        x, y = value(a), value(g)
+        return close(x, y) | (close(x, y / 100) | close(x, y * 100) if percent else F.lit(False))
+
+    def flat(a: Column, g: Column) -> Column:
+        bare = lambda c: F.lower(F.translate(c, "()[]{} ", ""))
+        return F.coalesce(number(a, g), F.lit(False)) | F.coalesce((bare(a) == bare(g)) & (bare(a) != ""), F.lit(False))
+
+    def parts(x: Column, y: Column) -> Column:
+        return F.coalesce((F.size(x) == F.size(y)) & F.forall(F.zip_with(x, y, flat), lambda v: v), F.lit(False))
+
+    def rungs(a: Column, g: Column) -> Column:
+        inside = lambda c: F.when(c.rlike(r"^[(\[].+,.+[)\]]$"), F.transform(F.split(F.substring(c, 2, F.length(c) - 2), ","), F.trim))
+        rows, gold_rows = matrix_rows(a), matrix_rows(g)
+        matrix = F.coalesce((F.size(rows) == F.size(gold_rows)) & F.forall(F.zip_with(rows, gold_rows, parts), lambda v: v), F.lit(False))
+        return flat(a, g) | F.coalesce(parts(inside(a), inside(g)), F.lit(False)) | matrix
+
+    a, g = F.trim(answer), F.trim(gold)
+    right = lambda c: F.when(c.rlike(r"^[^=]{1,2}=[^=]+$"), F.trim(F.substring_index(c, "=", -1))).otherwise(c)
+    same_text = F.coalesce(F.lower(a) == F.lower(g), F.lit(False))
+    letter = g.isin("A", "B", "C", "D", "E") & (choice(a) == g)
+    pairs = F.array(F.struct(right(a).alias("a"), right(g).alias("g")), F.struct(normal_form(a).alias("a"), normal_form(g).alias("g")))
+    return same_text | F.coalesce(letter, F.lit(False)) | F.coalesce(F.exists(pairs, lambda p: rungs(p["a"], p["g"])), F.lit(False))
 
 
 _OPS = {ast.Add: operator.add, ast.Sub: operator.sub, ast.Mult: operator.mul, ast.Div: operator.truediv, ast.USub: operator.neg, ast.UAdd: operator.pos}
@@ -95,3 +113,16 @@ def recalled(references: Column, text: Column) -> Column:
     padded = F.concat(F.lit(" "), normalised(text), F.lit(" "))
     hit = F.transform(there, lambda r: F.when(F.contains(padded, F.concat(F.lit(" "), normalised(r), F.lit(" "))), 1.0).otherwise(0.0))
     return F.when(F.size(there) > 0, F.aggregate(hit, F.lit(0.0), lambda a, v: a + v) / F.size(there))
+
+
+def same_multiset(a: Column, b: Column) -> Column:
+    """Whether two arrays hold the same elements as often."""
+    return F.coalesce(F.array_sort(a) == F.array_sort(b), F.lit(False))
+
+
+def quasi_equal(answer: Column, gold: Column, unit: Column, relative: float = 0.03) -> Column:
+    """Whether an answer is a gold number within a share of it, also when the gold unit holds a power of ten (`10^3 m`) that the answer has worked in; a unit without one changes nothing."""
+    power = F.regexp_extract(F.coalesce(unit, F.lit("")), r"10\^\{?(-?[0-9]+)\}?", 1).try_cast("int")
+    a, g = answer.try_cast("double"), gold.try_cast("double")
+    close = lambda y: F.abs(a - y) <= relative * F.abs(y)
+    return F.coalesce(close(g) | F.coalesce(close(g * F.pow(F.lit(10.0), power)), F.lit(False)), F.lit(False))

@@ -82,3 +82,19 @@ def at_leaf(score: Column, depth: Column, leaf_depth: int) -> Column:
 
 def temperature(start: float, decay: float, depth: Column) -> Column:
     return start * F.pow(F.lit(decay), depth)
+
+
+def logical(intuition: Column, yes: Column, no: Column) -> Column:
+    """Half the intuition and half the share of yes in its log-odds against no."""
+    return 0.5 * intuition + 0.5 * F.exp(yes) / (F.exp(yes) + F.exp(no))
+
+
+def outcome(score: Column) -> Column:
+    """An outcome model's score as it is; null counts as 0."""
+    return F.coalesce(score, F.lit(0.0))
+
+
+def chosen_step(steps: Column, score: str = "score") -> Column:
+    """Of an array of structs the first of highest score; null for none."""
+    best = F.array_max(F.transform(steps, lambda s: s[score]))
+    return F.get(F.filter(steps, lambda s: s[score] == best), 0)

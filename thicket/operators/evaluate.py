@@ -35,12 +35,28 @@ def unfinished(jobs: DataFrame, done: DataFrame, keys: list[str]) -> DataFrame:
     return jobs.join(done, keys, "left_anti")
 
 
-def prompt_accuracy(prompts: DataFrame, questions: DataFrame, prompt: str, correct: Column, limit: int = 1_000) -> DataFrame:
-    """(prompt, n, accuracy) over all questions. Prompts are a stated set of at most `limit`."""
-    if (n := prompts.count()) > limit:
-        raise ValueError(f"{n} prompts; at most {limit} are compared at once")
-    j = questions.join(F.broadcast(prompts))
-    return j.groupBy(F.col(prompt).alias("prompt")).agg(F.count("*").alias("n"), F.round(F.avg(correct.cast("double")), 6).alias("accuracy"))
+def prompt_accuracy(prompts: DataFrame, questions: DataFrame, prompt: str, correct: Column, at_once: int = 1_000) -> DataFrame:
+    """(prompt, n, accuracy) over all questions. Prompts are a stated set; it goes in blocks of some at_once, each broadcast."""
+    blocks = max(1, -(-prompts.count() // at_once))
+    out = None
+    for b in range(blocks):
+        part = prompts.where(F.pmod(F.xxhash64(prompt), F.lit(blocks)) == b) if blocks > 1 else prompts
+        each = questions.join(F.broadcast(part)).groupBy(F.col(prompt).alias("prompt")).agg(F.count("*").alias("n"), F.round(F.avg(correct.cast("double")), 6).alias("accuracy"))
+        out = each if out is None else out.unionByName(each)
+    return out
+
+
+def asked_for(trajectories: DataFrame, questions: DataFrame, goal: str, question: str) -> DataFrame:
+    """trajectories with the columns of the question their goal is; those without one are left out."""
+    return trajectories.join(questions, F.col(goal) == F.col(question)).drop(question)
+
+
+def numbered_rows(results: DataFrame, index: str, dataset: DataFrame, order: list[str]) -> DataFrame:
+    """results with the columns of the dataset row their 1-based number is, in order; rows are numbered without a window over all."""
+    from thicket.sources.readers import ranged
+
+    rows = ranged(dataset, order).withColumn("_n", F.col("row") + 1).drop("row")
+    return results.join(rows, F.col(index) == F.col("_n")).drop("_n")
 
 
 def self_consistency(examples: DataFrame, key: str, prompt: str, gold: str, extract: Callable[[Column], Column], judge: Callable[[Column, Column], Column], n: int = 5, model: LanguageModel | None = None) -> DataFrame:

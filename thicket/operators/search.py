@@ -5,6 +5,7 @@ A model is a function children(frontier) -> DataFrame: the frontier's rows with
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable
 
 import numpy as np
@@ -12,7 +13,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from thicket.functions.score import aggregated
+from thicket.functions.score import aggregated, softmax, unbiased_softmax
 
 Model = Callable[[DataFrame], DataFrame]
 _NEW = ("node_id", "action", "reward", "terminal", "pos")
@@ -28,16 +29,27 @@ def _grown(frontier: DataFrame, children: Model) -> DataFrame:
     return c.withColumn("depth", F.col("depth") + 1).withColumn("path_ids", F.concat("path_ids", F.array(F.col("node_id").cast("string")))).withColumn("path_rewards", F.concat("path_rewards", F.array(F.col("reward").cast("double")))).drop("parent_id")
 
 
+def _redrawn(grown: DataFrame, share: Column, beam_size: int, seed: int) -> DataFrame:
+    """beam_size draws with replacement for each example, in proportion to share; a row drawn k times comes k times."""
+    w = Window.partitionBy("example_id").orderBy("path_ids")
+    mass = F.sum("_s").over(Window.partitionBy("example_id"))
+    run = grown.withColumn("_s", share).withColumn("_hi", F.sum("_s").over(w) / mass).withColumn("_lo", F.col("_hi") - F.col("_s") / mass)
+    n = F.least(F.lit(beam_size), F.count("*").over(Window.partitionBy("example_id")))
+    u = F.transform(F.sequence(F.lit(1).cast("long"), n), lambda k: (F.pmod(F.xxhash64(F.lit(seed), "example_id", k), F.lit(1 << 30)) + 0.5) / float(1 << 30))
+    hits = run.withColumn("_u", F.filter(u, lambda x: (x > F.col("_lo")) & (x <= F.col("_hi"))))
+    return hits.withColumn("_u", F.explode("_u")).drop("_s", "_hi", "_lo", "_u")
+
+
 def _draw(p: Column, seed: int) -> Column:
     """Key of a draw without replacement in proportion to p: the largest keys win. Seeded, so that reruns agree."""
     u = (F.pmod(F.xxhash64(F.lit(seed), "example_id", F.array_join("path_ids", "/")), F.lit(1 << 30)) + 0.5) / float(1 << 30)
     return F.ln(F.greatest(p, F.lit(1e-12))) - F.ln(-F.ln(u))
 
 
-def beam_search(roots: DataFrame, children: Model, beam_size: int, max_depth: int, aggregator: str = "sum", strategy: str = "argmax", temperature: float = 1.0, temperature_decay: float = 1.0, min_reward: float | None = None, dedup: bool = False, early_terminate: bool = True, return_beam: bool = False, seed: int = 0, keep: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
+def beam_search(roots: DataFrame, children: Model, beam_size: int, max_depth: int, aggregator: str = "sum", strategy: str = "argmax", temperature: float = 1.0, temperature_decay: float = 1.0, min_reward: float | None = None, dedup: bool = False, early_terminate: bool = True, return_beam: bool = False, seed: int = 0, keep: Callable[[DataFrame], DataFrame] | None = None, replace: bool = False, unbiased: bool = False) -> DataFrame:
     """(example_id, node_id, depth, path_ids, path_rewards, score, rank): the best finished path of each example, or the whole last beam.
 
-    strategy: argmax, or sample (drawn in proportion to the softmax of the score at the level's temperature). min_reward: paths below are rejected; when sampling, the bound is no higher than just below the best. dedup: of a level's equal actions in an example the best stays. With early_terminate terminal nodes leave the beam; at max_depth all are terminal. Ties go by path. keep: called on each level, to cut its lineage.
+    strategy: argmax, or sample (drawn in proportion to the softmax of the score at the level's temperature; with replacement if asked for; unbiased: the children's column `prob`, with which they were proposed, is divided out). min_reward: paths below are rejected; when sampling, the bound is no higher than just below the best. dedup: of a level's equal actions in an example the best stays. With early_terminate terminal nodes leave the beam; at max_depth all are terminal. Ties go by path. keep: called on each level, to cut its lineage.
     """
     if strategy not in ("argmax", "sample") or (strategy == "sample" and 0 < temperature < 1e-4):
         strategy = "argmax"
@@ -54,8 +66,10 @@ def beam_search(roots: DataFrame, children: Model, beam_size: int, max_depth: in
             grown = grown.withColumn("_r", F.row_number().over(w)).where("_r = 1").drop("_r")
         if strategy == "sample":
             t = temperature * temperature_decay**level
-            share = F.exp((F.col("score") - F.max("score").over(ex)) / t)
-            grown = grown.withColumn("_key", _draw(share, seed + level))
+            share = unbiased_softmax(F.col("score"), F.col("prob"), ex, t) if unbiased else softmax(F.col("score"), ex, t)
+            if replace:
+                grown = _redrawn(grown, share, beam_size, seed + level)
+            grown = grown.withColumn("_key", F.lit(0.0) if replace else _draw(share, seed + level))
             order = [F.desc("_key")]
         else:
             order = [F.desc("score")]
@@ -78,18 +92,35 @@ def greedy_search(roots: DataFrame, children: Model, max_depth: int, **options)
     return beam_search(roots, children, 1, max_depth, **options)
 
 
-def dfs(roots: DataFrame, children: Model, max_per_state: int, depth: int, prior: bool = True) -> DataFrame:
-    """(example_id, node_id, depth, path_ids, path_rewards, score, rank): terminals of the depth-bounded search, best path sum first. Each state keeps its max_per_state children of highest reward (prior), else the first ones; without caps on all states that is what depth-first order reaches, level by level."""
-    frontier, done = _start(roots), None
+def dfs(roots: DataFrame, children: Model, max_per_state: int, depth: int, prior: bool = True, total_states: int | None = None, max_terminals: int | None = None, single_first: bool = False) -> DataFrame:
+    """(example_id, node_id, depth, path_ids, path_rewards, score, rank): terminals of the depth-bounded search, best path sum first.
+
+    Each state keeps its max_per_state children of highest reward (prior), else the first ones. The search goes level by level over all examples; what depth-first order would have reached within its caps is cut afterwards by the pre-order of the nodes: the first total_states of an example, and of the terminals among these the first max_terminals. single_first: a root with one child answers with that child.
+    """
+    frontier, levels = _start(roots).withColumn("_order", F.array().cast("array<int>")), []
+    cols = ["example_id", "node_id", "depth", "path_ids", "path_rewards", "_order"]
     for level in range(depth):
         grown = _grown(frontier, children)
         up = F.slice("path_ids", 1, level + 1)
         w = Window.partitionBy("example_id", up).orderBy(*([F.desc("reward")] if prior else []), "pos", "node_id")
-        grown = grown.withColumn("_r", F.row_number().over(w)).where(F.col("_r") <= max_per_state).drop("_r")
-        ended = grown if level == depth - 1 else grown.where("terminal")
-        ended = ended.select("example_id", "node_id", "depth", "path_ids", "path_rewards", aggregated(F.col("path_rewards"), "sum").alias("score"))
-        done = ended if done is None else done.unionByName(ended)
+        grown = grown.withColumn("_r", F.row_number().over(w)).where(F.col("_r") <= max_per_state)
+        grown = grown.withColumn("_order", F.array_append("_order", F.col("_r"))).drop("_r")
+        ends = F.lit(True) if level == depth - 1 else F.col("terminal")
+        if single_first and level == 0:
+            ends = ends | (F.count("*").over(Window.partitionBy("example_id", up)) == 1)
+        grown = grown.withColumn("terminal", ends)
+        levels.append(grown.select(*cols, "terminal"))
         frontier = grown.where("not terminal").drop(*(c for c in _NEW if c not in ("node_id", "terminal")))
+    nodes = levels[0]
+    for level in levels[1:]:
+        nodes = nodes.unionByName(level)
+    preorder = Window.partitionBy("example_id").orderBy("_order")
+    if total_states is not None:
+        nodes = nodes.withColumn("_n", F.row_number().over(preorder)).where(F.col("_n") <= total_states)
+    done = nodes.where("terminal")
+    if max_terminals is not None:
+        done = done.withColumn("_n", F.row_number().over(preorder)).where(F.col("_n") <= max_terminals)
+    done = done.select("example_id", "node_id", "depth", "path_ids", "path_rewards", aggregated(F.col("path_rewards"), "sum").alias("score"))
     return done.withColumn("rank", F.row_number().over(Window.partitionBy("example_id").orderBy(F.desc("score"), "path_ids")))
 
 
@@ -105,56 +136,75 @@ def random_shooting(steps: DataFrame, example: str, order: list[str], reward: st
     return total.withColumn("_r", F.row_number().over(w)).where("_r = 1").drop("_r")
 
 
-def search_tree(nodes: pd.DataFrame, n_iters: int = 10, w_exp: float = 1.0, depth_limit: int = 5, cum_reward: str = "sum", calc_q: str = "mean", simulate: str = "max", seed: int = 0) -> tuple[pd.DataFrame, pd.DataFrame]:
+VISIT = "iter long, pos long, node_id {0}, ret double, reward double, terminal boolean, sibling long"
+
+
+def search_tree(
+    nodes: pd.DataFrame, n_iters: int = 10, w_exp: float = 1.0, depth_limit: int = 5, cum_reward: str = "sum", calc_q: str = "mean", simulate: str = "max", seed: int = 0, uct_with_fast_reward: bool = True
+) -> tuple[pd.DataFrame, pd.DataFrame]:
     """Monte-Carlo tree search over one example's table-driven model: nodes (node_id, parent_id, reward, terminal), root with null parent, siblings in row order.
 
-    Returns (visits, tree): visits (iter, pos, node_id, ret), the back-propagated returns of each iteration's path; tree (node_id, n_visits, q). Selection follows the highest q + w_exp * sqrt(ln N / max(1, n)), unvisited children counting their reward as q; simulation follows the highest reward, or a seeded draw. Ties go to the first child.
+    Returns (visits, tree): visits (iter, pos, node_id, ret, reward, terminal, sibling), the back-propagated returns of each iteration's path; tree (node_id, n_visits, q).
+
+    Selection goes down expanded nodes by the highest q + w_exp * sqrt(ln N / max(1, n)), unvisited children counting their reward as q; without uct_with_fast_reward the unvisited child of highest reward comes first while there is one. What it ends at is expanded; simulation goes on by the highest reward, or a seeded draw (sample: in proportion, random: even), and expands what it visits. Terminal nodes and those at depth_limit have no children. Ties go to the first child.
     """
     rng = np.random.default_rng(seed)
-    reward = dict(zip(nodes["node_id"], nodes["reward"].astype(float)))
-    terminal = dict(zip(nodes["node_id"], nodes["terminal"].astype(bool)))
-    below: dict = {}
-    root = None
-    for n, p in zip(nodes["node_id"], nodes["parent_id"]):
+    ids = list(nodes["node_id"])
+    at = {n: i for i, n in enumerate(ids)}
+    reward, terminal = nodes["reward"].astype(float).tolist(), nodes["terminal"].astype(bool).tolist()
+    below: list[list[int]] = [[] for _ in ids]
+    sibling, root = [0] * len(ids), None
+    for i, p in enumerate(nodes["parent_id"]):
         if pd.isna(p):
-            root = n if root is None else root
-        else:
-            below.setdefault(p, []).append(n)
-    returns: dict = {n: [] for n in reward}
-    q_of = {"mean": np.mean, "max": np.max, "sum": np.sum}[calc_q]
-    out = []
+            root = i if root is None else root
+        elif p in at:
+            sibling[i] = len(below[at[p]])
+            below[at[p]].append(i)
+    visits, total, most = [0] * len(ids), [0.0] * len(ids), [-math.inf] * len(ids)
+    expanded = [False] * len(ids)
+
+    def q(i: int) -> float:
+        return reward[i] if not visits[i] else most[i] if calc_q == "max" else total[i] if calc_q == "sum" else total[i] / visits[i]
+
+    out: tuple[list, ...] = ([], [], [], [])
     for it in range(n_iters if root is not None else 0):
-        path, node = [root], root
-        while below.get(node) and not terminal[node] and len(path) <= depth_limit:
-            fresh = [c for c in below[node] if not returns[c]]
-            if fresh and not any(returns[c] for c in below[node]):
-                break
-            total = max(1, len(returns[node]))
-            score = [(q_of(returns[c]) if returns[c] else reward[c]) + w_exp * np.sqrt(np.log(total) / max(1, len(returns[c]))) for c in below[node]]
-            node = below[node][int(np.argmax(score))]
-            path.append(node)
-            if not returns[node]:
+        path = [root]
+        while expanded[path[-1]] and below[path[-1]] and len(path) <= depth_limit:
+            kids = below[path[-1]]
+            fresh = [] if uct_with_fast_reward else [c for c in kids if not visits[c]]
+            if fresh:
+                path.append(max(fresh, key=reward.__getitem__))
+            else:
+                log = math.log(max(1, visits[path[-1]]))
+                path.append(max(kids, key=lambda c: q(c) + w_exp * math.sqrt(log / max(1, visits[c]))))
+        while not terminal[path[-1]] and len(path) <= depth_limit:
+            expanded[path[-1]] = True
+            kids = below[path[-1]]
+            if not kids:
                 break
-        while below.get(node) and not terminal[node] and len(path) <= depth_limit:
-            kids = below[node]
             if simulate == "max":
-                node = kids[int(np.argmax([reward[c] for c in kids]))]
+                path.append(max(kids, key=reward.__getitem__))
             else:
                 w = np.array([max(reward[c], 0.0) for c in kids]) if simulate == "sample" else np.ones(len(kids))
-                node = kids[int(rng.choice(len(kids), p=w / w.sum() if w.sum() else None))]
-            path.append(node)
-        rs = [reward[n] for n in path]
-        for pos, n in enumerate(path):
-            ret = float(sum(rs[pos:]) if cum_reward == "sum" else np.mean(rs[pos:]))
-            returns[n].append(ret)
-            out.append((it, pos, n, ret))
-    visits = pd.DataFrame(out, columns=["iter", "pos", "node_id", "ret"])
-    tree = pd.DataFrame([(n, len(r), float(q_of(r)) if r else reward[n]) for n, r in returns.items()], columns=["node_id", "n_visits", "q"])
-    return visits, tree
+                path.append(kids[int(rng.choice(len(kids), p=w / w.sum() if w.sum() else None))])
+        run = 0.0
+        for pos in range(len(path) - 1, -1, -1):
+            i = path[pos]
+            run += reward[i]
+            ret = run if cum_reward == "sum" else run / (len(path) - pos)
+            visits[i] += 1
+            total[i] += ret
+            most[i] = max(most[i], ret)
+            for column, v in zip(out, (it, pos, i, ret), strict=True):
+                column.append(v)
+    i = np.array(out[2], int)
+    told = pd.DataFrame({"iter": out[0], "pos": out[1], "node_id": [ids[k] for k in i], "ret": out[3], "reward": np.array(reward)[i], "terminal": np.array(terminal, bool)[i], "sibling": np.array(sibling, int)[i]})
+    told = told.sort_values(["iter", "pos"], kind="stable", ignore_index=True)
+    return told, pd.DataFrame([(n, visits[k], q(k)) for k, n in enumerate(ids)], columns=["node_id", "n_visits", "q"])
 
 
 def mcts(nodes: DataFrame, example: str = "example_id", **options) -> DataFrame:
-    """(example, iter, pos, node_id, ret): search_tree() of every example; searches are sequential inside an example and run in parallel across examples. nodes: (example, node_id, parent_id, reward, terminal, pos)."""
+    """(example, iter, pos, node_id, ret, reward, terminal, sibling): search_tree() of every example; searches are sequential inside an example and run in parallel across examples. nodes: (example, node_id, parent_id, reward, terminal, pos)."""
 
     def one(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         visits, _ = search_tree(pdf.sort_values(["pos", "node_id"]), **options)
@@ -162,19 +212,46 @@ def mcts(nodes: DataFrame, example: str = "example_id", **options) -> DataFrame:
         return visits
 
     kinds = dict(nodes.dtypes)
-    return nodes.groupBy(example).applyInPandas(one, f"{example} {kinds[example]}, iter long, pos long, node_id {kinds['node_id']}, ret double")
+    return nodes.groupBy(example).applyInPandas(one, f"{example} {kinds[example]}, " + VISIT.format(kinds["node_id"]))
+
 
+def snapshots(visits: DataFrame, example: str = "example_id") -> DataFrame:
+    """(example, iter, node_id, n_visits, q): the visited tree as it is after each iteration, q the mean of its returns so far."""
+    iters = visits.select(example, F.col("iter").alias("_k")).distinct()
+    upto = iters.join(visits, example).where(F.col("iter") <= F.col("_k"))
+    return upto.groupBy(example, F.col("_k").alias("iter"), "node_id").agg(F.count("*").alias("n_visits"), F.avg("ret").alias("q"))
 
-def output_path(visits: DataFrame, example: str = "example_id", strategy: str = "max_iter") -> DataFrame:
-    """The path that a search answers with: max_iter (the iteration of highest return), last_iter, or max_visit (from the root the most visited node of each depth on the path most visited)."""
+
+def output_path(visits: DataFrame, example: str = "example_id", strategy: str = "max_iter", max_depth: int = 64) -> DataFrame:
+    """(example, iter, path): what a search answers with; iter: the first iteration that goes that way.
+
+    max_iter: of the iterations that end at a terminal that of highest return, the first on ties. max_reward: of the visited terminals' paths that of highest reward sum without the root, the first in pre-order on ties. last_iter; last_terminal_iter: the last iteration (that ends at a terminal). follow_max: from the root the visited child of highest reward, the first on ties, down to a terminal or a node without visited children. max_visit: the iteration whose nodes are visited most. Examples without such an iteration have no row.
+    """
+    paths = visits.groupBy(example, "iter").agg(
+        F.sort_array(F.collect_list(F.struct("pos", "node_id", "reward", "sibling"))).alias("p"), F.max_by("terminal", "pos").alias("ended"), F.max_by("ret", -F.col("pos")).alias("ret")
+    )
+    paths = paths.select(example, "iter", "ended", "ret", F.transform("p", lambda x: x["node_id"]).alias("path"), F.transform("p", lambda x: x["reward"]).alias("rewards"), F.transform("p", lambda x: x["sibling"]).alias("siblings"))
+    first = lambda d, *order: d.withColumn("_r", F.row_number().over(Window.partitionBy(example).orderBy(*order))).where("_r = 1").select(example, "iter", "path")
     if strategy == "last_iter":
-        best = visits.groupBy(example).agg(F.max("iter").alias("iter"))
-    else:
-        if strategy == "max_visit":
-            n = visits.groupBy(example, "node_id").agg(F.count("*").alias("_n"))
-            score = visits.join(n, [example, "node_id"]).groupBy(example, "iter").agg(F.sum("_n").alias("_s"))
-        else:
-            score = visits.where("pos = 0").select(example, "iter", F.col("ret").alias("_s"))
-        w = Window.partitionBy(example).orderBy(F.desc("_s"), "iter")
-        best = score.withColumn("_r", F.row_number().over(w)).where("_r = 1").select(example, "iter")
-    return visits.join(best, [example, "iter"]).groupBy(example, "iter").agg(F.transform(F.sort_array(F.collect_list(F.struct("pos", "node_id"))), lambda x: x["node_id"]).alias("path"))
+        return first(paths, F.desc("iter"))
+    if strategy == "last_terminal_iter":
+        return first(paths.where("ended"), F.desc("iter"))
+    if strategy == "max_iter":
+        return first(paths.where("ended"), F.desc("ret"), "iter")
+    if strategy == "max_reward":
+        below = aggregated(F.slice("rewards", 2, F.greatest(F.size("rewards") - 1, F.lit(0))), "sum")
+        return first(paths.where("ended").withColumn("_s", below), F.desc("_s"), "siblings", "iter")
+    if strategy == "max_visit":
+        n = visits.groupBy(example, "node_id").agg(F.count("*").alias("_n"))
+        score = visits.join(n, [example, "node_id"]).groupBy(example, "iter").agg(F.sum("_n").alias("_s"))
+        return first(paths.join(score, [example, "iter"]), F.desc("_s"), "iter")
+    if strategy != "follow_max":
+        raise ValueError(f"unknown strategy {strategy}")
+    # paths that agree with the best child at each depth stay; the longest of them ends where the walk does
+    best = F.struct(F.get("rewards", F.col("_d")).alias("r"), (-F.get("siblings", F.col("_d"))).alias("s"))
+    longest = paths.agg(F.max(F.size("path"))).first()[0] or 0
+    for d in range(1, min(longest, max_depth)):
+        here = paths.withColumn("_d", F.lit(d)).withColumn("_b", F.when(F.size("path") > d, best))
+        top = F.max("_b").over(Window.partitionBy(example))
+        paths = here.withColumn("_t", top).where(F.col("_t").isNull() | (F.col("_b") == F.col("_t"))).drop("_d", "_b", "_t")
+    return first(paths, F.desc(F.size("path")), "iter")

@@ -59,3 +59,25 @@ def rolled_up(freq: DataFrame, members: DataFrame, by: list[str], action: str, c
 
 def canonical_yes_no(answer: Column, yes: list[str], no: list[str]) -> Column:
     return F.when(F.lower(answer).isin(yes), "yes").when(F.lower(answer).isin(no), "no")
+
+
+def numeric_majority(samples: DataFrame, by: list[str], answer: str, pos: str) -> DataFrame:
+    """majority() of the answers that are numbers; groups without any keep a row of null and 0 votes."""
+    return majority(samples.withColumn(answer, F.col(answer).try_cast("double")), by, answer, pos, drop_null=True)
+
+
+def candidate_scores(samples: DataFrame, by: list[str], candidate: str, score: str, pos: str) -> DataFrame:
+    """(by, candidate, score, first): the scores of each candidate summed over samples, and where it is seen first."""
+    return samples.groupBy(*by, candidate).agg(F.sum(score).alias("score"), F.min(pos).alias("first"))
+
+
+def first_of_each(samples: DataFrame, by: list[str], code: Column, pos: str) -> DataFrame:
+    """Of samples with the same canonical code the first by pos, other columns with it."""
+    w = Window.partitionBy(*by, code).orderBy(pos)
+    return samples.withColumn("_r", F.row_number().over(w)).where("_r = 1").drop("_r")
+
+
+def all_sampled(visited: DataFrame, unvisited: DataFrame, keys: list[str]) -> DataFrame:
+    """The distinct answers of a state, sampled or only proposed, with whether it was visited."""
+    both = visited.select(*keys, F.lit(1).alias("_v")).unionByName(unvisited.select(*keys, F.lit(0).alias("_v")))
+    return both.groupBy(*keys).agg((F.max("_v") == 1).alias("visited"))

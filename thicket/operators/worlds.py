@@ -153,3 +153,25 @@ def calls_valid(code: Column, allowed: list[str]) -> Column:
 def answer_of(state: Column) -> Column:
     """The last number of the last element."""
     return last_number(last(state))
+
+
+# prompts
+
+
+def rewritten_prompt(state: Column, prompt: Column) -> Column:
+    """The state one prompt further: struct(prompt, depth)."""
+    return F.struct(prompt.alias("prompt"), (state["depth"] + 1).alias("depth"))
+
+
+def ends_by_score(depth: Column, score: Column, parent: Column, root: Column, best: Column, max_depth: int, min_depth: int) -> Column:
+    """A prompt search stops at the depth limit; beyond the least depth also below the mean of parent and root, or above the best so far."""
+    return (depth >= max_depth) | ((depth > min_depth) & F.coalesce((score < (parent + root) / 2) | (score > best), F.lit(False)))
+
+
+def refined(state: Column, body: Column, confidence: Column) -> Column:
+    """A refinement joins the array of struct(body, confidence) only if its confidence isn't below the last one's."""
+    return F.when(F.coalesce(confidence >= F.element_at(state, -1)["confidence"], F.lit(True)), F.array_append(state, F.struct(body.alias("body"), confidence.alias("confidence")))).otherwise(state)
+
+
+def ends_by_environment(terminated: Column, truncated: Column, step: Column, max_steps: int) -> Column:
+    return F.coalesce(terminated, F.lit(False)) | F.coalesce(truncated, F.lit(False)) | (step >= max_steps)

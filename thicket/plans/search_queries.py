@@ -233,11 +233,6 @@ SELECT CAST(example_id AS INTEGER) AS example_id, node_id, ancestor_id, distance
 """
 
 
-def nodes_to_json(spark: SparkSession, sf_dir: str) -> DataFrame:
-    o = read(spark, sf_dir, "orders").select(F.col("o_custkey").alias("example_id"), F.col("o_orderkey").cast("string").alias("node_id"), F.col("o_custkey").cast("string").alias("parent_id"), F.col("o_orderpriority").alias("action"))
-    return trees.to_json(o, "example_id", ["action"])
-
-
 QUERIES = {
     "beam_topk_path": _beam(beam_size=3),
     "greedy_path": _beam(beam_size=1),
@@ -260,7 +255,6 @@ QUERIES = {
     "tree_selected_edge": tree_selected_edge,
     "tree_valid": tree_valid,
     "tree_closure": tree_closure,
-    "nodes_to_json": nodes_to_json,
 }
 ORACLES = {
     "beam_topk_path": _beam_sql(3),

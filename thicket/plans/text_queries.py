@@ -58,11 +58,13 @@ def judge_numeric_ladder(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("SELECT item_id, count(doc_id) AS n_docs, coalesce(min(doc_id), -1) AS first_doc FROM benchmark b LEFT JOIN documents d ON contains(d.text, b.text) GROUP BY item_id")
 def judge_answer_in_text(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Documents that hold a benchmark item word for word; the items are a stated set, broadcast after a check of its size."""
+    """Documents that hold a benchmark item word for word; the items are a stated set, which goes in blocks of some thousand, each broadcast and counted before the next joins."""
     b = read(spark, sf_dir, "benchmark").select("item_id", F.col("text").alias("item"))
-    if b.count() > 10_000:
-        raise ValueError("too many items to look for at once")
-    hits = read(spark, sf_dir, "documents").select("doc_id", "text").join(F.broadcast(b), F.contains("text", "item")).groupBy("item_id").agg(F.count("*").alias("n_docs"), F.min("doc_id").alias("first_doc"))
+    docs, blocks, hits = read(spark, sf_dir, "documents").select("doc_id", "text"), max(1, -(-b.count() // 1_000)), None
+    for k in range(blocks):
+        part = b.where(F.pmod(F.xxhash64("item_id"), F.lit(blocks)) == k) if blocks > 1 else b
+        each = docs.join(F.broadcast(part), F.contains("text", "item")).groupBy("item_id").agg(F.count("*").alias("n_docs"), F.min("doc_id").alias("first_doc"))
+        hits = each if hits is None else hits.unionByName(each)
     return b.select("item_id").join(hits, "item_id", "left").fillna(0, ["n_docs"]).fillna(-1, ["first_doc"])
 
 
@@ -80,13 +82,9 @@ def topk_cosine(spark: SparkSession, sf_dir: str) -> DataFrame:
     return similarity.top_k_cosine(e.where("vec_id % 100 = 0"), e, "vec_id", "embedding", 5)
 
 
-def _pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    b = read(spark, sf_dir, "benchmark").select("item_id", F.col("text").alias("a"))
-    return b.join(read(spark, sf_dir, "documents").select(F.col("doc_id").alias("item_id"), F.col("text").alias("b")), "item_id")
-
-
 _TOKENS = "list_filter(string_split_regex(lower(regexp_replace({0}, '[^A-Za-zÀ-ÿ0-9]+', ' ', 'g')), ' +'), lambda x: x <> '')"
-_OVERLAP = f"""WITH p AS (SELECT item_id, {_TOKENS.format('b.text')} AS a, {_TOKENS.format('d.text')} AS b FROM benchmark b JOIN documents d ON d.doc_id = b.item_id),
+_OVERLAP = f"""WITH q AS (SELECT conv_id * 1000 + turn AS item_id, text AS x, lead(text) OVER (PARTITION BY conv_id ORDER BY turn) AS y FROM conversations),
+p AS (SELECT item_id, {_TOKENS.format('x')} AS a, {_TOKENS.format('y')} AS b FROM q WHERE y IS NOT NULL),
 x AS (SELECT item_id, t, count(*) AS n FROM (SELECT item_id, unnest(a) AS t FROM p) GROUP BY ALL), y AS (SELECT item_id, t, count(*) AS n FROM (SELECT item_id, unnest(b) AS t FROM p) GROUP BY ALL),
 c AS (SELECT x.item_id, CAST(sum(least(x.n, y.n)) AS BIGINT) AS common FROM x JOIN y ON x.item_id = y.item_id AND x.t = y.t GROUP BY x.item_id),
 r AS (SELECT p.item_id, coalesce(common, 0) AS common, coalesce(common / len(a), 0.0) AS precision, coalesce(common / len(b), 0.0) AS recall FROM p LEFT JOIN c ON p.item_id = c.item_id)"""
@@ -98,13 +96,13 @@ def _tokens(c):
 
 @query(_OVERLAP + " SELECT item_id, common, round(precision, 6) AS precision, round(recall, 6) AS recall, round(CASE WHEN common > 0 THEN 2 * precision * recall / (precision + recall) ELSE 0.0 END, 6) AS f1 FROM r")
 def token_f1(spark: SparkSession, sf_dir: str) -> DataFrame:
-    o = similarity.token_overlap(_pairs(spark, sf_dir), ["item_id"], "a", "b", _tokens)
+    o = similarity.token_overlap(_turn_pairs(spark, sf_dir).withColumn("item_id", F.col("conv_id") * 1000 + F.col("turn")), ["item_id"], "a", "b", _tokens)
     return o.select("item_id", "common", *[F.round(c, 6).alias(c) for c in ("precision", "recall", "f1")])
 
 
 @query(_OVERLAP + " SELECT count(*) AS n, round(avg(precision), 6) AS precision, round(avg(recall), 6) AS recall FROM r")
 def rouge1(spark: SparkSession, sf_dir: str) -> DataFrame:
-    o = similarity.token_overlap(_pairs(spark, sf_dir), ["item_id"], "a", "b", _tokens)
+    o = similarity.token_overlap(_turn_pairs(spark, sf_dir).withColumn("item_id", F.col("conv_id") * 1000 + F.col("turn")), ["item_id"], "a", "b", _tokens)
     return o.agg(F.count("*").alias("n"), F.round(F.avg("precision"), 6).alias("precision"), F.round(F.avg("recall"), 6).alias("recall"))
 
 
@@ -114,12 +112,6 @@ def _turn_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return c.select("conv_id", "turn", F.col("text").alias("a"), F.col("reply").alias("b"))
 
 
-@query()
-def rouge_l(spark: SparkSession, sf_dir: str) -> DataFrame:
-    p = _turn_pairs(spark, sf_dir).withColumn("x", _tokens(F.col("a"))).withColumn("y", _tokens(F.col("b")))
-    return p.select("conv_id", "turn", similarity.lcs_length("x", "y").alias("lcs"), F.size("x").alias("n_a"), F.size("y").alias("n_b"))
-
-
 @query()
 def step_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     p = _turn_pairs(spark, sf_dir)
@@ -163,9 +155,3 @@ def normalise_answer(spark: SparkSession, sf_dir: str) -> DataFrame:
     b = read(spark, sf_dir, "benchmark").select("item_id", extract.normalised(F.col("text")).alias("normal"))
     return b.withColumn("n_chars", F.length("normal").cast("long"))
 
-
-@query()
-def rule_extractors(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every named extractor over the conversations."""
-    c = read(spark, sf_dir, "conversations")
-    return c.select("conv_id", "turn", *[f(F.col("text")).alias(k) for k, f in extract.FORMS.items()])

@@ -56,10 +56,10 @@ def constrained_questions(spark: SparkSession, path: str) -> DataFrame:
     return d.select(F.col("num_constraints").cast("int").alias("num_constraints"), items.alias("constraints"), "question", F.col("seed_id").cast("int").alias("seed_id"))
 
 
-def trajectories(spark: SparkSession, path: str) -> DataFrame:
-    """Session files, one JSON object each: goal, instance_id, steps, last action, error, result."""
+def trajectories(spark: SparkSession, path: str, whole: bool = True) -> DataFrame:
+    """Session files, one JSON object each (or one a line, if not whole): goal, instance_id, steps, last action, error, result."""
     schema = "goal string, instance_id string, history array<array<string>>, is_complete boolean, error string, rewards array<double>, test_result double"
-    d = spark.read.schema(schema).option("multiLine", True).json(path)
+    d = spark.read.schema(schema).option("multiLine", whole).json(path)
     return d.select("goal", "instance_id", F.size("history").alias("n_steps"), F.get(F.element_at("history", -1), 1).alias("last_action"), "is_complete", "error", "test_result", F.input_file_name().alias("file"))
 
 
