@@ -107,3 +107,36 @@ def stringified(answer: Column, kind: str) -> Column:
     if kind == "bool":
         return F.when(answer, "yes").when(~answer, "no").otherwise("")
     return F.coalesce(answer.cast("string"), F.lit(""))
+
+
+def demonstration(question: Column, steps: Column, answer: Column, delimiter: str = " | ") -> Column:
+    """A worked example: the question, its steps by the delimiter, and the answer."""
+    return F.concat(F.lit("Q: "), question, F.lit("\nA: "), F.array_join(steps, delimiter), F.lit(" The answer is "), answer, F.lit("."))
+
+
+def browsing_prompt(goal: Column, observation: Column, actions: Column, error: Column) -> Column:
+    """The prompt of a browsing step: goal, page, what was done before and, if there is one, the last error."""
+    trouble = F.when(F.coalesce(error, F.lit("")) != "", F.concat(F.lit("\n# Error of the last action:\n"), error)).otherwise("")
+    return F.concat(F.lit("# Goal:\n"), goal, F.lit("\n# Page:\n"), observation, F.lit("\n# Actions so far:\n"), F.array_join(actions, "\n"), trouble)
+
+
+def prompts_along(trace: Column) -> Column:
+    """The prompts of the states on a path."""
+    return F.transform(trace, lambda s: s["prompt"])
+
+
+def logic_example(facts: Column, query: Column, claims: Column, next_steps: Column) -> Column:
+    """A few-shot example of claims that follow from facts, each with the claim that comes next."""
+    pairs = F.transform(F.arrays_zip(claims.alias("c"), next_steps.alias("n")), lambda z, i: F.concat(F.lit("Claim "), (i + 1).cast("string"), F.lit(": "), z["c"], F.lit("\nNext "), (i + 1).cast("string"), F.lit(": "), z["n"]))
+    return F.concat(F.lit("Facts: "), facts, F.lit("\nQuery: "), query, F.lit("\n"), F.array_join(pairs, "\n"))
+
+
+def zipped_pool(first: Column, second: Column, seed: int, key: Column, n: int) -> Column:
+    """n pairs of examples of like place from two pools, in an order drawn by seeded hash of the key and place."""
+    pairs = F.transform(F.arrays_zip(first.alias("a"), second.alias("b")), lambda z, i: F.struct(F.xxhash64(F.lit(seed), key, i).alias("h"), z.alias("z")))
+    return F.transform(F.slice(F.array_sort(pairs), 1, n), lambda p: p["z"])
+
+
+def chosen_answer(of_tree: Column, of_state: Column, use_tree: bool) -> Column:
+    """The answer that the tree's terminals agree on, or the terminal state's; the other one where it is null."""
+    return F.coalesce(of_tree, of_state) if use_tree else F.coalesce(of_state, of_tree)

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, WindowSpec
 from pyspark.sql import functions as F
 
+from thicket.functions.extract import normalised
 from thicket.functions.score import blended, geometric, planning, softmax
 
 DEFAULT_CONFIDENCE = 0.8
@@ -98,3 +99,8 @@ def chosen_step(steps: Column, score: str = "score") -> Column:
     """Of an array of structs the first of highest score; null for none."""
     best = F.array_max(F.transform(steps, lambda s: s[score]))
     return F.get(F.filter(steps, lambda s: s[score] == best), 0)
+
+
+def label_reward(answer: Column, gold: Column) -> Column:
+    """1 if the labels are equal in normal form, else 0."""
+    return F.when(normalised(answer) == normalised(gold), 1.0).otherwise(0.0)

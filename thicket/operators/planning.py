@@ -84,3 +84,63 @@ def plan_valid(start: Column, plan: Column, goals: Column) -> Column:
 def facts(text: Column) -> Column:
     """The facts of a state text, split at commas and "and"."""
     return F.filter(F.transform(F.split(F.rtrim(F.lower(text), F.lit(".")), r",\s*(?:and )?|\s+and\s+"), lambda x: F.trim(x)), lambda x: x != "")
+
+
+# problems in the planning domain language, as text
+
+#: Names of the first objects, as texts call them; fixed values.
+COLOURS = ["red", "blue", "orange", "yellow", "white", "magenta", "black", "cyan", "green", "violet", "silver", "gold"]
+
+
+def _section(text: Column, name: str) -> Column:
+    """What stands after `(:name` up to the next section."""
+    return F.regexp_extract(text, rf"(?s)\(:{name}(.*?)(?:\(:|$)", 1)
+
+
+def _named(symbol: Column) -> Column:
+    """a is the first colour, b the second, and so on; other symbols stay."""
+    k = F.ascii(symbol) - 97
+    return F.when((F.length(symbol) == 1) & (k >= 0) & (k < len(COLOURS)), F.get(F.array(*map(F.lit, COLOURS)), k)).otherwise(symbol)
+
+
+def _fact(words: Column) -> Column:
+    """A fact of the language as a sentence; unknown ones stay as they are."""
+    x, y = _named(F.get(words, 1)), _named(F.get(words, 2))
+    kind = words[0]
+    return (
+        F.when(kind == "handempty", EMPTY)
+        .when(kind == "clear", F.concat(F.lit("the "), x, F.lit(" block is clear")))
+        .when(kind == "ontable", F.concat(F.lit("the "), x, F.lit(" block is on the table")))
+        .when(kind == "holding", F.concat(F.lit("the hand is currently holding the "), x, F.lit(" block")))
+        .when(kind == "on", F.concat(F.lit("the "), x, F.lit(" block is on top of the "), y, F.lit(" block")))
+        .otherwise(F.array_join(words, " "))
+    )
+
+
+def problem(text: Column) -> Column:
+    """struct(objects, init, goals) of a problem file: its objects, and the facts of its start and goal as sentences in order."""
+    words = lambda t: F.split(F.trim(t), r"\s+")
+    all_facts = lambda t: F.array_sort(F.transform(F.regexp_extract_all(t, F.lit(r"\(([a-z][^()]*)\)"), F.lit(1)), lambda f: _fact(words(f))))
+    objects = F.filter(words(F.regexp_extract(_section(text, "objects"), r"([^()]*)", 1)), lambda o: o != "")
+    return F.struct(objects.alias("objects"), all_facts(_section(text, "init")).alias("init"), all_facts(_section(text, "goal")).alias("goals"))
+
+
+def sentence(facts: Column) -> Column:
+    """Facts as one text: by commas, the last after "and"."""
+    n = F.size(facts)
+    head = F.array_join(F.slice(facts, 1, F.greatest(n - 1, F.lit(0))), ", ")
+    return F.when(n <= 1, F.array_join(facts, "")).otherwise(F.concat(head, F.lit(" and "), F.element_at(facts, -1)))
+
+
+def statement(template: Column, parsed: Column) -> Column:
+    """A problem template with <init> and <goals> filled in."""
+    return F.replace(F.replace(template, F.lit("<init>"), sentence(parsed["init"])), F.lit("<goals>"), sentence(parsed["goals"]))
+
+
+def grounded(plan: Column) -> Column:
+    """The lines of a text plan in the planning language: `(pick-up a)`, `(stack a b)`; lines that are no action are left out."""
+    letter = F.create_map(*[F.lit(v) for i, c in enumerate(COLOURS) for v in (c, chr(97 + i))])
+    of = lambda line, k: F.coalesce(F.try_element_at(letter, F.get(F.regexp_extract_all(line, F.lit(r"the (\w+) block"), F.lit(1)), k)), F.get(F.regexp_extract_all(line, F.lit(r"the (\w+) block"), F.lit(1)), k))
+    verb = lambda line: F.replace(F.regexp_extract(line, r"^\s*(pick up|put down|unstack|stack)\b", 1), F.lit(" "), F.lit("-"))
+    lines = F.filter(F.split(F.lower(plan), "\n"), lambda x: verb(x) != "")
+    return F.transform(lines, lambda x: F.concat(F.lit("("), F.concat_ws(" ", verb(x), of(x, 0), F.when(verb(x).endswith("stack"), of(x, 1))), F.lit(")")))

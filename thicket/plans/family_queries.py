@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from thicket.functions import extract, judge, maths, render, rewards, score
-from thicket.operators import planning, worlds
+from thicket.operators import planning, programs, worlds
 from thicket.plans.tables import read
 
 QUERIES, ORACLES = {}, {}
@@ -523,3 +523,94 @@ def _plans_sql() -> dict[str, str]:
 
 
 family("planning_rules", ["documents"], PLANS, ["doc_id"], _plans, _plans_sql())
+
+PROGRAMS = """SELECT doc_id, lang, source, CAST(doc_id % 4 AS INT) AS n FROM {documents}"""
+
+
+def _programs() -> dict[str, Column]:
+    c = F.col
+    long_as = lambda p: F.concat(F.lit("n"), F.length(p).cast("string"))
+    solved = programs.decomposed_then_solved(F.array("lang", "source"), long_as)
+    policy = lambda history, n: F.when(n <= c("n"), F.concat(F.lit("Search["), "lang", F.lit("]"))).otherwise(F.concat(F.lit("Finish["), "source", F.lit("]")))
+    ran = programs.acted(c("lang"), policy, lambda tool, argument: F.when(tool == "search", F.upper(argument)), 3)
+    step = programs.agent_step(c("lang"), F.array("source"), F.upper, lambda state, memory: F.concat(state, F.element_at(memory, -1)), lambda state, plan: F.concat(F.lit("do "), plan))
+    demo = render.demonstration(c("lang"), F.array("lang", "source"), c("source"))
+    page = render.browsing_prompt(c("lang"), c("source"), F.array("lang"), F.when(c("n") == 1, "bad"))
+    logic = render.logic_example(c("lang"), c("source"), F.array("lang"), F.array("source"))
+    zipped = render.zipped_pool(F.array("lang", F.lit("x")), F.array("source", F.lit("y")), 1, c("doc_id"), 2)
+    return {
+        "history": solved["history"],
+        "answer": solved["answer"],
+        "react": ran["history"],
+        "react_n": ran["n"],
+        "react_answer": ran["answer"],
+        "agent_plan": step["plan"],
+        "agent_action": step["action"],
+        "agent_memory": F.array_join(step["memory"], "|"),
+        "demonstration": demo,
+        "page": page,
+        "logic": logic,
+        "pairs": F.array_join(F.array_sort(F.transform(zipped, lambda z: F.concat(z["a"], z["b"]))), "|"),
+        "prompts": F.array_join(render.prompts_along(F.array(F.struct(F.lit("p0").alias("prompt")), F.struct(c("lang").alias("prompt")))), ">"),
+        "tree_answer": render.chosen_answer(F.when(c("n") == 0, c("lang")), c("source"), True),
+        "label_reward": rewards.label_reward(F.concat(F.lit("The "), F.upper("lang")), F.lit("en")),
+    }
+
+
+def _programs_sql() -> dict[str, str]:
+    h1 = "'Q: ' || lang || chr(10) || 'A: n' || (length(lang) + 6) || chr(10)"
+    q2 = f"{h1} || 'Q: ' || source || chr(10) || 'A:'"
+    search = lambda k: f"'Action {k}: Search[' || lang || ']' || chr(10) || 'Observation {k}: ' || upper(lang) || chr(10)"
+    finish = lambda k: f"'Action {k}: Finish[' || source || ']' || chr(10) || 'Observation {k}: done' || chr(10)"
+    runs = f"CASE n WHEN 0 THEN {finish(1)} WHEN 1 THEN {search(1)} || {finish(2)} WHEN 2 THEN {search(1)} || {search(2)} || {finish(3)} ELSE {search(1)} || {search(2)} || {search(3)} END"
+    return {
+        "history": f"{q2} || ' n' || length({q2}) || chr(10)",
+        "answer": f"'n' || length({q2})",
+        "react": f"'Question: ' || lang || chr(10) || {runs}",
+        "react_n": "least(n + 1, 3)",
+        "react_answer": "CASE WHEN n < 3 THEN source END",
+        "agent_plan": "upper(lang) || source",
+        "agent_action": "'do ' || upper(lang) || source",
+        "agent_memory": "source || '|' || upper(lang) || ' -> ' || upper(lang) || source",
+        "demonstration": "'Q: ' || lang || chr(10) || 'A: ' || lang || ' | ' || source || ' The answer is ' || source || '.'",
+        "page": "'# Goal:' || chr(10) || lang || chr(10) || '# Page:' || chr(10) || source || chr(10) || '# Actions so far:' || chr(10) || lang || CASE WHEN n = 1 THEN chr(10) || '# Error of the last action:' || chr(10) || 'bad' ELSE '' END",
+        "logic": "'Facts: ' || lang || chr(10) || 'Query: ' || source || chr(10) || 'Claim 1: ' || lang || chr(10) || 'Next 1: ' || source",
+        "pairs": "array_to_string(list_sort([lang || source, 'xy']), '|')",
+        "prompts": "'p0>' || lang",
+        "tree_answer": "CASE WHEN n = 0 THEN lang ELSE source END",
+        "label_reward": "CASE WHEN lang = 'en' THEN 1.0 ELSE 0.0 END::DOUBLE",
+    }
+
+
+family("program_rules", ["documents"], PROGRAMS, ["doc_id"], _programs, _programs_sql())
+
+PROBLEMS = """SELECT doc_id, lang, '(define (problem p' || CAST(doc_id AS STRING) || ') (:domain blocks) (:objects a b c )' || chr(10) || '(:init (handempty) (ontable a) (on b a) (clear b)' || CASE WHEN doc_id % 2 = 0 THEN ' (ontable c) (clear c)' ELSE ' (holding c)' END || ')' || chr(10) || '(:goal (and (on a b))))' AS problem,
+  'pick up the red block' || chr(10) || 'think' || chr(10) || 'stack the red block on top of the ' || CASE WHEN doc_id % 2 = 0 THEN 'blue' ELSE 'gold' END || ' block' AS plan FROM {documents}"""
+
+
+def _problems() -> dict[str, Column]:
+    p = planning.problem(F.col("problem"))
+    return {
+        "objects": F.array_join(p["objects"], " "),
+        "init": F.array_join(p["init"], "|"),
+        "goals": F.array_join(p["goals"], "|"),
+        "question": planning.statement(F.concat("lang", F.lit(": <goals>. From: <init>.")), p),
+        "actions": F.array_join(planning.grounded(F.col("plan")), ""),
+    }
+
+
+def _problems_sql() -> dict[str, str]:
+    more = "CASE WHEN doc_id % 2 = 0 THEN {0} ELSE {1} END"
+    held = ["the blue block is clear", "the blue block is on top of the red block", "the hand is currently holding the orange block", "the hand is empty", "the red block is on the table"]
+    free = ["the blue block is clear", "the blue block is on top of the red block", "the hand is empty", "the orange block is clear", "the orange block is on the table", "the red block is on the table"]
+    told = lambda f: _q(", ".join(f[:-1]) + " and " + f[-1])
+    return {
+        "objects": "'a b c'",
+        "init": more.format(_q("|".join(free)), _q("|".join(held))),
+        "goals": "'the red block is on top of the blue block'",
+        "question": "lang || ': the red block is on top of the blue block. From: ' || " + more.format(told(free), told(held)) + " || '.'",
+        "actions": "'(pick-up a)(stack a ' || CASE WHEN doc_id % 2 = 0 THEN 'b' ELSE 'l' END || ')'",
+    }
+
+
+family("planning_problems", ["documents"], PROBLEMS, ["doc_id"], _problems, _problems_sql())

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from thicket.operators import evaluate, search, similarity, votes
+from thicket.operators import evaluate, programs, search, similarity, votes
 from thicket.plans.search_queries import LINE_ID, _by_level, _order_levels, _table_model
 from thicket.plans.tables import STEPS, folder, read, steps
 from thicket.sources import readers, writers
@@ -342,3 +342,40 @@ def nodes_to_json(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     o = read(spark, sf_dir, "orders").select(F.col("o_custkey").alias("example_id"), F.col("o_orderkey").cast("string").alias("node_id"), F.col("o_custkey").cast("string").alias("parent_id"), F.col("o_orderpriority").alias("action"))
     return trees.to_json(o, "example_id", ["action"])
+
+
+@query("""SELECT n_nationkey || '.pddl' AS instance_path, n_name AS plan, CAST(n_nationkey AS INTEGER) AS n_steps, 1 AS n_goals, 'Start: the red block is clear and the red block is on the table. End: the red block is clear.' AS question FROM nation WHERE n_nationkey >= 3""")
+def read_planning_problems(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Cases with their problem files: a file for each nation, cases for all but three."""
+    path, n = folder(spark), read(spark, sf_dir, "nation")
+    text = "(define (problem x) (:objects a ) (:init (ontable a) (clear a)) (:goal (and (clear a))))"
+    n.select(F.lit(text).alias("value"), F.concat("n_nationkey", F.lit(".pddl")).alias("file")).write.partitionBy("file").text(path + "/all")
+    files = spark.read.text(path + "/all", wholetext=True)
+    n.where("n_nationkey >= 3").select(F.concat("n_nationkey", F.lit(".pddl")).alias("instance_path"), F.col("n_name").alias("plan"), F.col("n_nationkey").alias("n_steps")).write.json(path + "/cases")
+    got = readers.planning_cases(spark.read.schema("instance_path string, plan string, n_steps int").json(path + "/cases"), files.select(F.col("file").alias("_file"), "value"), "Start: <init>. End: <goals>.")
+    return got.select("instance_path", "plan", "n_steps", F.size("goals").alias("n_goals"), "question")
+
+
+@query("SELECT 'beam' || n_nationkey AS key, n_name AS value FROM nation")
+def read_settings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = folder(spark) + "/y"
+    line = F.concat(F.lit("beam"), "n_nationkey", F.lit(": '"), "n_name", F.lit("'\n  nested: no\n# remark"))
+    read(spark, sf_dir, "nation").select(line.alias("value")).write.text(path)
+    return readers.settings(spark, path)
+
+
+@query("SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN 1.0 WHEN doc_id % 3 = 1 THEN 0.5 ELSE 0.0 END::DOUBLE AS score, (doc_id % 3 = 0) = (quality = 1) AS agrees FROM labels")
+def chain_grading(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Chains scored by the verdicts on their steps, and whether a person agrees."""
+    k = F.col("doc_id") % 3
+    texts = F.array(F.when(k == 2, "step 1 INCORRECT").otherwise("step 1 right"), F.when(k == 0, "step 2 right").otherwise("step 2: INCORRECT"))
+    d = read(spark, sf_dir, "labels").withColumn("v", texts).withColumn("human", F.col("quality") == 1)
+    return programs.graded(d, "v", "human").select("doc_id", "score", "agrees")
+
+
+@query("SELECT CAST(o_custkey AS VARCHAR) AS example_id, 'dfs' AS algorithm, round(max(o_totalprice), 4) AS score FROM orders GROUP BY o_custkey")
+def search_results(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What a search found in the form all searches share."""
+    roots, up, _ = _order_levels(spark, sf_dir)
+    found = search.dfs(roots, _by_level([up]), max_per_state=1, depth=1)
+    return programs.as_result(found.where("rank = 1"), "dfs").select("example_id", "algorithm", F.round("score", 4).alias("score"))

@@ -114,3 +114,27 @@ def paragraphs(pages: DataFrame, html: str = "html") -> DataFrame:
     """pages with the texts of their paragraphs and list items, tags dropped."""
     raw = F.regexp_extract_all(html, F.lit(r"(?s)<(?:p|li)>(.*?)(?=<(?:p|li|/p|/li|/ul|/article)>)"), F.lit(1))
     return pages.withColumn("paragraphs", F.filter(F.transform(raw, lambda x: F.trim(F.regexp_replace(x, "<[^>]*>", " "))), lambda x: x != ""))
+
+
+def planning_problems(spark: SparkSession, cases: str, folder: str, template: str) -> DataFrame:
+    """planning_cases() of a JSON file of cases and a folder of problem files."""
+    listed = spark.read.schema("instance_path string, plan string, n_steps int").json(cases)
+    files = spark.read.text(folder, wholetext=True).select(F.element_at(F.split(F.input_file_name(), "/"), -1).alias("_file"), "value")
+    return planning_cases(listed, files, template)
+
+
+def planning_cases(cases: DataFrame, files: DataFrame, template: str) -> DataFrame:
+    """Planning cases (instance_path, plan, n_steps) with their problem files (_file, value), parsed: objects, init, goals, and the question that the template makes of them. Files that no case names are left out."""
+    from thicket.operators import planning
+
+    parsed = files.select("_file", planning.problem(F.col("value")).alias("_p"))
+    j = cases.join(parsed, F.element_at(F.split("instance_path", "/"), -1) == F.col("_file"))
+    return j.select("instance_path", "plan", "n_steps", "_p.*", planning.statement(F.lit(template), F.col("_p")).alias("question"))
+
+
+def settings(spark: SparkSession, path: str) -> DataFrame:
+    """(key, value) of the top-level entries of simple YAML files, quotes dropped; nested lines belong to no entry."""
+    line = F.col("value")
+    kept = spark.read.text(path).where(line.rlike(r"^[A-Za-z_][A-Za-z0-9_]*:"))
+    value = F.trim(F.regexp_extract(line, r"^[^:]*:(.*)$", 1))
+    return kept.select(F.regexp_extract(line, r"^([^:]*):", 1).alias("key"), F.regexp_replace(value, "^['\"](.*)['\"]$", "$1").alias("value"))
