@@ -5,12 +5,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from thicket.llm.common import SPACE, cut, let, packed, table, unpacked, with_small, words_of
+from thicket.llm.common import SPACE, cut, let, table, with_small, words_of, written
 
 #: The rates, in thousandths (word length: tenths of a character), that the adaptive thresholds bound from above. A sketch is the count of each whole rate, so its size is bounded and sketches merge by addition.
 RATES = ("symbol_rate", "dup_line_rate", "repeat_rate", "word_len")
-#: The least room above the upper quartile: groups whose rates hardly vary don't reject what is barely above them.
-ROOM = {"symbol_rate": 100, "dup_line_rate": 500, "repeat_rate": 400, "word_len": 60}
+#: The least room above the upper quartile: groups whose rates hardly vary don't reject what is barely above them. Repeats are rare and uneven in good documents too (three in a hundred have any repeated line, and one such line may be a third of a short text), so quartiles say little of them and their room is wide.
+ROOM = {"symbol_rate": 20, "dup_line_rate": 500, "repeat_rate": 400, "word_len": 15}
 
 
 def _repeated(w: Column) -> Column:
@@ -72,8 +72,7 @@ def thresholds(measures: DataFrame, reach: int = 6, min_group: int = 100) -> Dat
 
     A group of fewer than min_group documents takes the limits of the merged sketch of its language, and a language of fewer those of the merged sketch of all. Documents that fail the base rules aren't counted.
     """
-    # no filter on _m, nor one that Spark infers from explode(): either would be pushed below the measures and compute them twice
-    counted = measures.select("lang", "source", F.explode_outer(F.when(~base_failed(), _rates())).alias("r")).where("r is not null")
+    counted = measures.where(~base_failed()).select("lang", "source", F.explode(_rates()).alias("r"))
     cells = counted.groupBy("lang", "source", "r.rule", "r.rate").agg(F.count("*").alias("n"))
     cells = cut(cells)
     limit = F.col("q3") + F.greatest(reach * (F.col("q3") - F.col("q1")), F.create_map(*[x for k, v in ROOM.items() for x in (F.lit(k), F.lit(v))])[F.col("rule")])
@@ -85,22 +84,26 @@ def thresholds(measures: DataFrame, reach: int = 6, min_group: int = 100) -> Dat
     return picked.groupBy("lang", "source").agg(F.map_from_entries(F.collect_list(F.struct("rule", best))).alias("limits"))
 
 
-def judged(docs: DataFrame, reach: int = 6, min_group: int = 100) -> DataFrame:
-    """docs with the struct `_m` of counts, `_base` (failed the base rules) and `_kept`.
+def judged(docs: DataFrame, reach: int = 6, min_group: int = 100, keep: list[str] | None = None) -> DataFrame:
+    """docs (of its columns those in keep; all if not given) with the struct `_m` of counts, `_base` (failed the base rules) and `_kept`.
 
-    docs needs text, lang and source; null languages and sources are groups of their own. A document is kept if it passes the base rules and no rate is over its group's limit. Repeated rows are judged alike; an empty table gives an empty result.
+    docs needs text, lang and source; null languages and sources are groups of their own. A document is kept if it passes the base rules and no rate is over its group's limit. Null and empty texts have no words and fail. Repeated rows are judged alike; columns named _m, _base or _kept give way; an empty table gives an empty result. Texts are measured once: rows and counts are written, and read for the sketches and again for the verdicts.
     """
-    m = measured(packed(docs, "_m", "_base", "_kept").select("_row", *[F.col(f"_row.{c}").alias(c) for c in ("text", "lang", "source")]))
-    lim = cut(thresholds(measured(docs.select("text", "lang", "source")), reach, min_group)).select(F.col("lang").alias("_lang"), F.col("source").alias("_source"), "limits")
+    keep = [c for c in (docs.columns if keep is None else keep) if c not in ("_m", "_base", "_kept")]
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in keep]).alias("_row"), "text", "lang", "source")
+    m = written(measured(rows).select("_row", "lang", "source", "_m"))
+    lim = cut(thresholds(m.select("lang", "source", "_m"), reach, min_group)).select(F.col("lang").alias("_lang"), F.col("source").alias("_source"), "limits")
     m = m.withColumn("_base", base_failed()).withColumn("_rates", _rates())
     j = with_small(m, lim, F.col("lang").eqNullSafe(F.col("_lang")) & F.col("source").eqNullSafe(F.col("_source")))
     over = F.exists("_rates", lambda r: r["rate"] > F.coalesce(F.try_element_at("limits", r["rule"]), F.lit(1000)))
-    return unpacked(j, "_m", "_base", (~F.col("_base") & ~over).alias("_kept"))
+    return j.select("_row.*", "_m", "_base", (~F.col("_base") & ~over).alias("_kept"))
 
 
 def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d = judged(table(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source"))
-    return d.select("doc_id", *[F.col(f"_m.{c}").alias(c) for c in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")], F.col("_base").alias("base_failed"), F.col("_kept").alias("kept"))
+    """The contract's counts and verdict of every document, by judged()."""
+    d = judged(table(spark, sf_dir, "documents"), keep=["doc_id"])
+    counts = [F.col(f"_m.{c}").alias(c) for c in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")]
+    return d.select("doc_id", *counts, F.col("_base").alias("base_failed"), F.col("_kept").alias("kept"))
 
 
 ORACLE = r"""
@@ -140,7 +143,7 @@ pick AS (
          CASE WHEN o.n >= 100 THEN o.q3 WHEN b.n >= 100 THEN b.q3 ELSE a.q3 END AS q3
   FROM own o JOIN byl b ON o.lang IS NOT DISTINCT FROM b.lang AND o.rule = b.rule JOIN alls a ON o.rule = a.rule),
 lim AS (
-  SELECT *, q3 + greatest(6 * (q3 - q1), CASE rule WHEN 'symbol_rate' THEN 100 WHEN 'dup_line_rate' THEN 500 WHEN 'repeat_rate' THEN 400 ELSE 60 END) AS lim FROM pick),
+  SELECT *, q3 + greatest(6 * (q3 - q1), CASE rule WHEN 'symbol_rate' THEN 20 WHEN 'dup_line_rate' THEN 500 WHEN 'repeat_rate' THEN 400 ELSE 15 END) AS lim FROM pick),
 v AS (
   SELECT r.doc_id, bool_or(r.rate > coalesce(l.lim, 1000)) AS over_it
   FROM r LEFT JOIN lim l ON r.lang IS NOT DISTINCT FROM l.lang AND r.source IS NOT DISTINCT FROM l.source AND r.rule = l.rule
