@@ -292,7 +292,7 @@ def decode(encoded: DataFrame, rank_file: bytes) -> DataFrame:
 
 
 def digests(docs: DataFrame, rank_file: bytes, pattern: str) -> DataFrame:
-    """docs with `text` replaced by n_tokens, ids_sha256 and decoded_sha256: encoded, decoded and digested in one pass, so that the ids needn't leave the worker."""
+    """docs with `text` replaced by n_tokens, ids_sha256 and decoded_sha256: encoded, decoded and digested in one pass, so that the ids needn't leave the worker. Null and empty texts have no tokens and the digests of nothing; repeated rows are alike; columns with these names give way."""
 
     def of(codec: Codec, ids: str, text: str) -> tuple:
         return ids.count(" "), hashlib.sha256(ids[1:].encode()).hexdigest(), hashlib.sha256(codec.decode_text(ids)).hexdigest()
@@ -301,6 +301,7 @@ def digests(docs: DataFrame, rank_file: bytes, pattern: str) -> DataFrame:
 
 
 def op2_byte_bpe(spark: SparkSession, sf_dir: str, ranks: str = "byte_bpe_50k.tiktoken") -> DataFrame:
+    """The contract's digests of every document, by digests()."""
     import public_tokenizers
 
     return digests(table(spark, sf_dir, "documents").select("doc_id", "text"), read_ranks(public_tokenizers.path(ranks)), public_tokenizers.PATTERN)

@@ -83,5 +83,6 @@ def write_shards(docs: DataFrame, path: str, n_shards: int = 16, bits: int = 6)
 
 
 def op7_hilbert_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents in 16 shards along the curve; the law is `rows`."""
     d = hilbert_shards(table(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source"))
     return d.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"), "curve")

@@ -282,6 +282,7 @@ def held_out(doc_id: Column) -> Column:
 
 
 def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The contract's predictions, learned from the rows that aren't held out."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
     model = fitted(sample(docs.where(~held_out(F.col("doc_id")))))
     return labelled(docs.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "text"), model)

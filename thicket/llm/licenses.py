@@ -92,6 +92,12 @@ def known_digests(spark: SparkSession, known: list[tuple[str, str]] = KNOWN) ->
     return k.groupBy(digest(F.col("text")).alias("known_digest")).agg(F.min("license_id").alias("license_id"))
 
 
+def known_from(spark: SparkSession, path: str) -> DataFrame:
+    """known_digests() of a folder of licence texts, one file each, named by the licence (`MIT.txt`)."""
+    files = spark.read.text(path, wholetext=True).select(F.regexp_extract(F.input_file_name(), r"([^/]+?)(?:\.[A-Za-z]+)?$", 1).alias("license_id"), F.col("value").alias("text"))
+    return files.groupBy(digest(F.col("text")).alias("known_digest")).agg(F.min("license_id").alias("license_id"))
+
+
 def scan(docs: DataFrame, known: DataFrame | None = None, limit: int = 32 << 20) -> DataFrame:
     """Each row of docs with `digest` and `license_id`: that of the licence whose entire canonical text equals the row's, else null.
 
@@ -103,6 +109,7 @@ def scan(docs: DataFrame, known: DataFrame | None = None, limit: int = 32 << 20)
 
 
 def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The digest of every document and the licence whose whole text it is."""
     return scan(table(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", "digest", "license_id", F.col("license_id").isNotNull().alias("is_license"))
 
 

@@ -143,6 +143,7 @@ def words(text: Column) -> Column:
 
 
 def op3_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The contract's mix of all documents: each row as often as mix() takes it."""
     d = cut(table(spark, sf_dir, "documents").select("doc_id", "source", words(F.col("text")).alias("size")))
     sizes, targets = shares(d, F.col("size"))
     m = mix(d, F.array("source"), F.col("size"), {s: int(t) for s, t in targets.items()})
