@@ -204,6 +204,12 @@ def gold_chain(chain: Column) -> Column:
     return F.filter(chain, lambda x, i: (i >= 2) & (i % 2 == 0))
 
 
+def solution_steps(text: Column) -> Column:
+    """The steps of a solution written as `Step 1: ..`, `## Step 2: ..`, without their numbers; what comes before the first is left out."""
+    parts = F.split(text, r"(?:## *)?Step [0-9]+[:.]")
+    return F.filter(F.transform(F.slice(parts, 2, F.greatest(F.size(parts) - 1, F.lit(1))), lambda x: F.regexp_replace(x, r"^\s+|\s+$", "")), lambda x: x != "")
+
+
 def fenced(text: Column) -> Column:
     """The content of the first triple-backtick block, without a language name."""
     return matched(text, r"(?s)```(?:\w+\n)?(.*?)```")

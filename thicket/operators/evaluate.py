@@ -64,3 +64,13 @@ def self_consistency(examples: DataFrame, key: str, prompt: str, gold: str, extr
     drawn = (model or HashModel()).generate(examples.select(key, prompt), prompt, n)
     voted = votes.majority(drawn.withColumn("_a", extract(F.col("text"))), [key], "_a", "sample", drop_null=True)
     return examples.join(voted.select(key, "answer", "confidence"), key, "left").withColumn("correct", judge(F.col("answer"), F.col(gold)))
+
+
+def flag_means(rows: DataFrame, by: list[str], flags: list[str]) -> DataFrame:
+    """(by, n, flags): the share of each boolean column that is true; null counts as false."""
+    return rows.groupBy(*by).agg(F.count("*").alias("n"), *[F.round(F.avg(F.coalesce(F.col(f), F.lit(False)).cast("double")), 6).alias(f) for f in flags])
+
+
+def reevaluated(answers: DataFrame, golds: DataFrame, key: str, answer: str, gold: str, judge: Callable[[Column, Column], Column]) -> DataFrame:
+    """golds with what saved searches answered and whether it is right; examples without an answer are wrong."""
+    return golds.join(answers.select(key, F.col(answer).alias("answer")), key, "left").withColumn("correct", F.coalesce(judge(F.col("answer"), F.col(gold)), F.lit(False)))

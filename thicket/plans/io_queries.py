@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from thicket.operators import evaluate, programs, search, similarity, votes
+from thicket.functions import extract, judge
+from thicket.model import few_shot, filled
+from thicket.operators import evaluate, programs, search, similarity, trees, votes
 from thicket.plans.search_queries import LINE_ID, _by_level, _order_levels, _table_model
 from thicket.plans.tables import STEPS, folder, read, steps
 from thicket.sources import readers, writers
@@ -338,8 +340,6 @@ def rouge_l(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("SELECT o_custkey AS example_id, CAST(to_json(list({'node_id': CAST(o_orderkey AS VARCHAR), 'parent_id': CAST(o_custkey AS VARCHAR), 'action': o_orderpriority} ORDER BY CAST(o_orderkey AS VARCHAR))) AS VARCHAR) AS tree FROM orders GROUP BY o_custkey")
 def nodes_to_json(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from thicket.operators import trees
-
     o = read(spark, sf_dir, "orders").select(F.col("o_custkey").alias("example_id"), F.col("o_orderkey").cast("string").alias("node_id"), F.col("o_custkey").cast("string").alias("parent_id"), F.col("o_orderpriority").alias("action"))
     return trees.to_json(o, "example_id", ["action"])
 
@@ -379,3 +379,91 @@ def search_results(spark: SparkSession, sf_dir: str) -> DataFrame:
     roots, up, _ = _order_levels(spark, sf_dir)
     found = search.dfs(roots, _by_level([up]), max_per_state=1, depth=1)
     return programs.as_result(found.where("rank = 1"), "dfs").select("example_id", "algorithm", F.round("score", 4).alias("score"))
+
+
+# more composites
+
+
+@query("SELECT CAST(o_orderkey AS VARCHAR) AS node_id, CAST(o_custkey AS VARCHAR) AS parent_id, o_orderpriority AS action FROM orders")
+def read_tree_logs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Trees saved as gzipped JSON and read back as nodes."""
+    path = folder(spark) + "/t"
+    writers.compressed(nodes_to_json(spark, sf_dir).select("tree"), path)
+    return readers.tree_logs(spark, path)
+
+
+@query("SELECT 'q' || n_nationkey AS qid, n_name AS question, n_regionkey = 1 AS answer, CASE WHEN n_regionkey = 1 THEN 'yes' ELSE 'no' END AS gold FROM nation")
+def read_strategy_questions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = folder(spark) + "/s"
+    row = F.struct(F.concat(F.lit("q"), "n_nationkey").alias("qid"), F.col("n_name").alias("question"), (F.col("n_regionkey") == 1).alias("answer"), F.lit("x").alias("extra"))
+    read(spark, sf_dir, "nation").agg(F.to_json(F.collect_list(row)).alias("value")).write.text(path)
+    return readers.strategy_questions(spark, path)
+
+
+TURNS = """t AS (SELECT conv_id, turn, text AS a, lead(text) OVER (PARTITION BY conv_id ORDER BY turn) AS b FROM conversations),
+w AS (SELECT *, list_distinct(list_filter(string_split_regex(lower(a), '\\s+'), lambda x: x <> '')) AS x, list_distinct(list_filter(string_split_regex(lower(b), '\\s+'), lambda x: x <> '')) AS y FROM t WHERE b IS NOT NULL)"""
+
+
+def _replies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    w = Window.partitionBy("conv_id").orderBy("turn")
+    return read(spark, sf_dir, "conversations").withColumn("b", F.lead("text").over(w)).where("b is not null").withColumnRenamed("text", "a")
+
+
+@query(f"WITH {TURNS} SELECT conv_id, turn, round(1 - len(list_intersect(x, y)) / len(list_distinct(list_concat(x, y))), 6) AS cost FROM w WHERE 1 - len(list_intersect(x, y)) / len(list_distinct(list_concat(x, y))) <= 0.97")
+def alignment_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Turns and replies whose alignment, as one step each, isn't too dear."""
+    d = _replies(spark, sf_dir).withColumn("cost", similarity.alignment_cost(F.array("a"), F.array("b")))
+    return d.where("cost <= 0.97").select("conv_id", "turn", F.round("cost", 6).alias("cost"))
+
+
+@query(f"WITH {TURNS} SELECT conv_id, turn, 0::BIGINT AS n_prefix, a AS positive, b AS negative FROM w WHERE a <> b")
+def step_label_triples(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Training triples of a gold step and the sampled one in its place."""
+    d = _replies(spark, sf_dir)
+    t = d.select("conv_id", "turn", F.explode(similarity.step_labels(similarity.step_alignment(F.array("a"), F.array("b")), F.array("a"), F.array("b"))).alias("t"))
+    return t.select("conv_id", "turn", F.size("t.prefix").cast("long").alias("n_prefix"), "t.positive", "t.negative")
+
+
+@query("SELECT doc_id % 5 AS n_constraints, count(*) AS n, round(avg(CASE WHEN quality = 1 THEN 1.0 ELSE 0.0 END), 6) AS grounded, round(avg(CASE WHEN toxic = 0 THEN 1.0 ELSE 0.0 END), 6) AS relevant FROM labels GROUP BY 1")
+def flight_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Shares of grounded and relevant answers by the number of constraints."""
+    d = read(spark, sf_dir, "labels").select((F.col("doc_id") % 5).alias("n_constraints"), (F.col("quality") == 1).alias("grounded"), (F.col("toxic") == 0).alias("relevant"))
+    return evaluate.flag_means(d, ["n_constraints"], ["grounded", "relevant"])
+
+
+@query("""WITH s AS (SELECT conv_id, count(*) AS n, string_agg(text, ' ' ORDER BY turn) AS said FROM conversations GROUP BY conv_id)
+SELECT conv_id, CASE WHEN n >= 6 THEN 'max steps reached' ELSE 'response returned' END AS outcome, (CAST(contains(' ' || trim(regexp_replace(regexp_replace(lower(said), '[^a-z0-9à-ÿ]+', ' ', 'g'), ' +', ' ', 'g')) || ' ', ' of ') AS INTEGER) + CAST(contains(' ' || trim(regexp_replace(regexp_replace(lower(said), '[^a-z0-9à-ÿ]+', ' ', 'g'), ' +', ' ', 'g')) || ' ', ' zzz ') AS INTEGER)) / 2.0 AS recall FROM s""")
+def fanout_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How sessions end, and the share of the asked entries that their text recalls."""
+    g = read(spark, sf_dir, "conversations").groupBy("conv_id").agg(F.count("*").alias("n"), F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("turn", "text"))), lambda x: x["text"]), " ").alias("said"))
+    return g.select("conv_id", extract.outcome(F.lit("fine"), F.col("n"), 6).alias("outcome"), judge.recalled(F.array(F.lit("of"), F.lit("zzz")), F.col("said")).alias("recall"))
+
+
+REEVALUATED = """WITH t AS (SELECT o_custkey AS example_id, l_returnflag AS answer, count(*) AS w FROM lineitem JOIN orders ON l_orderkey = o_orderkey GROUP BY ALL),
+a AS (SELECT * FROM t QUALIFY row_number() OVER (PARTITION BY example_id ORDER BY w DESC, answer) = 1)"""
+
+
+@query(REEVALUATED + " SELECT c_custkey AS example_id, a.answer, coalesce(a.answer = CASE WHEN c_custkey % 2 = 0 THEN 'A' ELSE 'N' END, false) AS correct FROM customer LEFT JOIN a ON a.example_id = c_custkey")
+def reevaluated(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Saved trees, their terminals counted alike, judged against golds; customers without a tree are wrong."""
+    o, li = read(spark, sf_dir, "orders"), read(spark, sf_dir, "lineitem")
+    leaves = li.join(o, F.col("l_orderkey") == F.col("o_orderkey")).select(F.col("o_custkey").alias("example_id"), F.col("l_returnflag").alias("answer"), F.col("l_extendedprice").alias("reward"))
+    best = trees.best_answer(trees.answer_weights(leaves, "example_id", [], "answer", "reward", 1, "uniform"), "example_id", "answer")
+    golds = read(spark, sf_dir, "customer").select(F.col("c_custkey").alias("example_id"), F.when(F.col("c_custkey") % 2 == 0, "A").otherwise("N").alias("gold"))
+    return evaluate.reevaluated(best, golds, "example_id", "answer", "gold", judge.same).select("example_id", "answer", "correct")
+
+
+@query("""WITH l AS (SELECT lang, substr('ABCDE', CAST(n_chars % 5 AS INTEGER) + 1, 1) AS answer, count(*) AS votes, min(doc_id) AS first FROM documents GROUP BY ALL) SELECT lang, answer, votes FROM l QUALIFY row_number() OVER (PARTITION BY lang ORDER BY votes DESC, first) = 1""")
+def vote_letters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The letter most sampled answers give."""
+    said = F.concat(F.lit("Thus the answer is ("), F.substr(F.lit("ABCDE"), (F.col("n_chars") % 5 + 1).cast("int"), F.lit(1)), F.lit(")."))
+    d = _numbered(spark, sf_dir).select("lang", "doc_id", extract.choice_letter(said).alias("a"))
+    return votes.majority(d, ["lang"], "a", "doc_id").select("lang", "answer", "votes")
+
+
+@query("SELECT doc_id, 'Q: ' || lang || '?' AS asked, 'P one;two;' || source AS shown, 2::BIGINT AS n_steps, 'then ' || lang AS last_step FROM documents")
+def prompt_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Templates filled, few-shot prompts, and the steps of a written solution."""
+    text = F.concat(F.lit("Plan. ## Step 1: first\n## Step 2: then "), "lang", F.lit("\n"))
+    d = _numbered(spark, sf_dir).withColumn("s", extract.solution_steps(text))
+    return d.select("doc_id", filled("Q: <q>?", q=F.col("lang")).alias("asked"), few_shot(["one;", "two;", "three;"], F.col("source"), 2, "P ").alias("shown"), F.size("s").cast("long").alias("n_steps"), F.element_at("s", -1).alias("last_step"))

@@ -138,3 +138,15 @@ def settings(spark: SparkSession, path: str) -> DataFrame:
     kept = spark.read.text(path).where(line.rlike(r"^[A-Za-z_][A-Za-z0-9_]*:"))
     value = F.trim(F.regexp_extract(line, r"^[^:]*:(.*)$", 1))
     return kept.select(F.regexp_extract(line, r"^([^:]*):", 1).alias("key"), F.regexp_replace(value, "^['\"](.*)['\"]$", "$1").alias("value"))
+
+
+def tree_logs(spark: SparkSession, path: str) -> DataFrame:
+    """Saved trees, a JSON array of nodes a line (gzipped or not): a row a node (node_id, parent_id, action)."""
+    nodes = F.from_json("value", "array<struct<node_id:string,parent_id:string,action:string>>")
+    return spark.read.text(path).select(F.explode(nodes).alias("n")).select("n.*")
+
+
+def strategy_questions(spark: SparkSession, path: str) -> DataFrame:
+    """JSON arrays of (qid, question, answer), the answer a boolean, with gold `yes` or `no`."""
+    d = spark.read.schema("qid string, question string, answer boolean").json(path)
+    return d.withColumn("gold", F.when(F.col("answer"), "yes").otherwise("no"))

@@ -53,3 +53,8 @@ def disagreements(rows: DataFrame, path: str, kind: str, text: str, dataset: str
 def by_key(rows: DataFrame, key: str, value: str) -> DataFrame:
     """One JSON object a row, {key: value}: answers keyed by id, a line each."""
     return rows.select(F.to_json(F.map_from_entries(F.array(F.struct(F.col(key).cast("string"), F.col(value))))).alias("value"))
+
+
+def compressed(rows: DataFrame, path: str) -> None:
+    """A table of one text column as gzipped text files, such as tree logs that are sent elsewhere."""
+    rows.write.option("compression", "gzip").text(path)
