@@ -10,7 +10,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
-from thicket.llm.common import slices, table
+from thicket.llm.common import short_batches, slices, table
 
 #: Bytes of stretches and their ids that a worker remembers; bounds its memory, never the result.
 REMEMBERED = 48 << 20
@@ -243,6 +243,7 @@ def read_ranks(path: str) -> bytes:
 
 def _per_text(docs: DataFrame, rank_file: bytes, pattern: str, of: Callable[[Codec, str, str], tuple], names: list[str], types: str) -> DataFrame:
     """docs without text, with the columns that `of` makes of the ids (as encode_batch gives them) and the text of each row. A worker holds a few MB of texts and their ids at a time."""
+    short_batches(docs.sparkSession)
     rest = [c for c in docs.columns if c != "text" and c not in names]
     sent = docs.sparkSession.sparkContext.broadcast((rank_file, pair_table(parsed(rank_file))))  # its size is the vocabulary's
     fields = ", ".join(f"`{n}` {t}" for n, t in docs.select(*[f"`{c}`" for c in rest]).dtypes)

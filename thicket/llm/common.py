@@ -69,7 +69,7 @@ def word_hashes(text: bytes, cuts: np.ndarray) -> tuple[np.ndarray, np.ndarray,
     return h, first, line
 
 
-def word_batches(texts: pa.Array, at_once: int = 2_000_000) -> Iterator[tuple[int, int, np.ndarray, np.ndarray, np.ndarray]]:
+def word_batches(texts: pa.Array, at_once: int = 500_000) -> Iterator[tuple[int, int, np.ndarray, np.ndarray, np.ndarray]]:
     """(first text, one past the last, hashes of their words, ends of the texts among these, which words begin a line) for some `at_once` bytes of texts at a time, read from the column's buffer; null texts have no words."""
     texts = pc.fill_null(texts, "")
     wide = pa.types.is_large_string(texts.type)
@@ -85,6 +85,13 @@ def word_batches(texts: pa.Array, at_once: int = 2_000_000) -> Iterator[tuple[in
         k = end
 
 
+def short_batches(spark: SparkSession, rows: int = 2000) -> None:
+    """Texts go to Python in Arrow batches of at most so many rows, for this session: a batch is held whole on both sides, twice over while it grows."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if int(spark.conf.get(key, "10000")) > rows:
+        spark.conf.set(key, str(rows))
+
+
 def slices(b: pa.RecordBatch, column: str, at_once: int = 2_000_000) -> Iterator[pa.RecordBatch]:
     """The batch in runs of rows whose texts have some `at_once` bytes together, so that a worker's memory doesn't follow the batch; a longer text is a run of its own."""
     size = np.cumsum(pc.fill_null(pc.binary_length(b.column(column)), 0).to_numpy(zero_copy_only=False).astype(np.int64))

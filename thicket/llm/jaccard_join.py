@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from thicket.llm.common import combined, components, cut, index_schema, links_by_key, merged, mixed, shingles, table, tidy, with_small, word_batches, written
+from thicket.llm.common import combined, components, cut, index_schema, links_by_key, merged, mixed, shingles, short_batches, table, tidy, with_small, word_batches, written
 
 VALS = {"id": "long"}
 #: Bits of a set's parity sketch: each element flips one bit, so two sets differ in no fewer elements than their sketches in bits.
@@ -40,10 +40,10 @@ def most_apart(smaller: int, percent: int) -> int:
     return (smaller + smaller * 100 // percent) * (100 - percent) // (100 + percent)
 
 
-def schemes(sizes: dict[int, int], percent: int, shared: float = 0.05) -> list[Scheme]:
+def schemes(sizes: dict[int, int], percent: int, shared: float = 0.01) -> list[Scheme]:
     """Schemes for all bands up to the largest size. sizes: how many sets there are of each size.
 
-    Allocation by cost: of some numbers of one-deletion segments the one that makes rows + expected chance meetings least; shared: the chance that an element of one set is in an unrelated one.
+    Allocation by cost: of some numbers of one-deletion segments the one that makes rows + expected chance meetings least; shared: an upper estimate of the chance that an element of one set is in an unrelated one (of word shingles of running text, 99 in 100 are in less than 0.3 % of all texts). It moves cost alone, never the result.
     """
     out, lo, top = [], 1, max(sizes, default=0)
     while lo <= top:
@@ -273,12 +273,13 @@ def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 
 
 def classes(docs: DataFrame, n: int = 4, percent: int = 85, tell_text: bool = False) -> DataFrame:
-    """(doc_id, n_shingles, component_id) of every row of docs: the size of its set of distinct n-word shingles, and the least doc_id that links reach from it, its own included. Two sets link when 100 * intersection >= percent * union. With tell_text also text_hash, the xxhash64 of the text (null: empty), which tells rows of a doc_id apart.
+    """(doc_id, n_shingles, component_id) of every row of docs: the size of its set of distinct n-word shingles, and the least doc_id that links reach from it, its own included. Two sets link when 100 * intersection >= percent * union. With tell_text also text_hash, the xxhash64 of the text (null: empty), which tells rows of a doc_id apart, and class_hash, which tells classes apart (null without words).
 
     Words are runs of other than the six ASCII spaces, A-Z lower-cased. A text of fewer than n words is one shingle; without words, or null, it has none and links with nothing. Repeated rows and equal sets are one class. A row without doc_id links like any other, but is no class's least doc_id; a class of such rows alone has null. Other columns aren't looked at; an empty table gives an empty result. Elements are 64-bit hashes of shingles.
 
     1. Equal sets become one node. 2. Nodes go by their segment keys into stars, a first node of each key, so that a group of k costs k links; copies and frequent keys are combined before the shuffle. 3. Each node's link to its likeliest first node is verified. 4. Where a key holds several components, its nodes are tried against another node of the key, and at last all pairs between its components are compared by size and sketch, block by block, and the rest verified. No link between components is left out.
     """
+    short_batches(docs.sparkSession)
     d = docs.select("doc_id", "text", F.xxhash64(F.coalesce("text", F.lit(""))).alias("text_hash"))
     info = cut(d.mapInArrow(_measured(n), "doc_id " + dict(d.dtypes)["doc_id"] + ", text_hash long, id long, n_shingles long"))
     sizes = {r["n_shingles"]: r["c"] for r in info.where("n_shingles > 0").groupBy("n_shingles").agg(F.count("*").alias("c")).collect()}  # one row a size
@@ -303,9 +304,9 @@ def classes(docs: DataFrame, n: int = 4, percent: int = 85, tell_text: bool = Fa
     nodes = info.groupBy("id").agg(F.min("doc_id").alias("first")).join(labels, F.col("id") == F.col("node"), "left").select("id", "first", F.coalesce("label", "id").alias("label"))
     nodes = cut(nodes)
     least = nodes.groupBy("label").agg(F.min("first").alias("component_id"))
-    by_node = nodes.join(least, "label").select(F.col("id").alias("n_id"), "component_id")
+    by_node = nodes.join(least, "label").select(F.col("id").alias("n_id"), "component_id", F.col("label").alias("class_hash"))
     component = F.when(F.col("n_shingles") == 0, F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id")
-    return info.join(by_node, F.col("id") == F.col("n_id"), "left").select("doc_id", *["text_hash"] * tell_text, "n_shingles", component)
+    return info.join(by_node, F.col("id") == F.col("n_id"), "left").select("doc_id", "n_shingles", component, *["text_hash", F.when(F.col("n_shingles") > 0, F.col("class_hash")).alias("class_hash")][: 2 * tell_text])
 
 
 def joined_by_key(members: DataFrame, labels: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -334,13 +335,13 @@ def _sized(info: DataFrame, k: str) -> tuple[DataFrame, str]:
 def _several(members: DataFrame, labels: DataFrame) -> DataFrame:
     """(key, id, label) of the keys that hold several components."""
     members = members.join(labels, F.col("id") == F.col("node"), "left").select("key", "id", F.coalesce("label", "id").alias("label"))
-    several = members.groupBy("key").agg(F.min("label").alias("x"), F.max("label").alias("y")).where("x <> y").select("key")
+    several = cut(members.groupBy("key").agg(F.min("label").alias("x"), F.max("label").alias("y")).where("x <> y").select("key"))
     return members.join(several, "key", "left_semi")
 
 
 def _to_leaders(members: DataFrame, turn: int) -> DataFrame:
     """(a, b): each node of a key with another node of the key, the same for all, picked by a hash that differs from turn to turn. As many pairs as members."""
-    lead = members.groupBy("key").agg(F.min(F.struct(F.xxhash64(F.lit(turn), "key", "id").alias("h"), "id", "label")).alias("l"))
+    lead = cut(members.groupBy("key").agg(F.min(F.struct(F.xxhash64(F.lit(turn), "key", "id").alias("h"), "id", "label")).alias("l")))
     j = members.join(lead, "key").where(F.col("label") != F.col("l.label"))
     return j.select(F.least("id", "l.id").alias("a"), F.greatest("id", "l.id").alias("b")).distinct()
 
@@ -348,7 +349,7 @@ def _to_leaders(members: DataFrame, turn: int) -> DataFrame:
 def _between(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """Likely pairs of one key in different components. A key's sets go by hash into blocks of some IN_BLOCK, and each pair of blocks is compared for itself, wherever there is room: no task gets all of a frequent key."""
     rows = members.join(sets.select("id", "n", "sketch"), "id")
-    blocks = rows.groupBy("key").agg(F.ceil(F.count("*") / IN_BLOCK).cast("int").alias("blocks"))
+    blocks = cut(members.groupBy("key").agg(F.ceil(F.count("*") / IN_BLOCK).cast("int").alias("blocks")))
     rows = rows.join(blocks, "key").withColumn("block", F.pmod(F.xxhash64("key", "id"), "blocks").cast("int"))
     rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     rows = rows.select("key", F.least("block", "other").alias("one"), F.greatest("block", "other").alias("two"), "id", "label", "n", "sketch", "block")
@@ -357,4 +358,5 @@ def _between(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 
 
 def op4_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The contract's classes of all documents: four words, 85 percent."""
     return classes(table(spark, sf_dir, "documents"))

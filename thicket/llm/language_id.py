@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from thicket.llm.common import mixed, slices, table
+from thicket.llm.common import mixed, short_batches, slices, table
 
 #: Script ranges by first and last code point; fixed values. What is in none of them is of the script "other".
 SCRIPTS = [
@@ -209,6 +209,7 @@ def labelled(docs: DataFrame, model: Model, spans: bool = False) -> DataFrame:
 
     lang_pred: the language that labels most letters of the whole text (ties to the first by name), score its share of the letters; `und` and 0 if text is null or has no letter, or nothing was learned. Other columns stay unless they have these names. Texts that one language surely labels throughout don't go through the Viterbi pass, which would label them so.
     """
+    short_batches(docs.sparkSession)
     rest = [c for c in docs.columns if c not in ("text", "lang_pred", "score", "spans")]
     sent = docs.sparkSession.sparkContext.broadcast(model.args())  # its size is bounded by the training sample's
     kept = docs.select(*[f"`{c}`" for c in rest], "text")

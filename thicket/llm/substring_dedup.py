@@ -22,6 +22,7 @@ from thicket.llm.common import (
     mixed,
     packed,
     shingles,
+    short_batches,
     table,
     tidy,
     unpacked,
@@ -318,6 +319,7 @@ def repeats(docs: DataFrame, similarity_percent: int = 80) -> DataFrame:
 
     Each key of an index links its rows to a first one, so a passage in k documents costs k rows. Band keys that still hold several components compare all their members.
     """
+    short_batches(docs.sparkSession)
     d = docs.select("doc_id", F.xxhash64(F.coalesce("text", F.lit(""))).alias("id"), F.coalesce("text", F.lit("")).alias("text"))
     kind = dict(d.dtypes)["doc_id"]
     info = written(d.mapInArrow(_measured, f"doc_id {kind}, id long, n_words long, units array<struct<h:long,pos:int,n:int>>"))
@@ -331,7 +333,7 @@ def repeats(docs: DataFrame, similarity_percent: int = 80) -> DataFrame:
     # anchors: each against the text of least doc_id that holds it, by blocks of that text
     held = shared.select("key", "id", "pos").unionByName(shared.select("key", F.col("lid").alias("id"), F.col("lpos").alias("pos"))).distinct().join(first, "id")
     held = cut(held)
-    keep = held.groupBy("key").agg(F.min(F.struct("first_doc", "id", "pos")).alias("k")).select("key", F.col("k.id").alias("kid"), F.col("k.pos").alias("kpos"))
+    keep = cut(held.groupBy("key").agg(F.min(F.struct("first_doc", "id", "pos")).alias("k")).select("key", F.col("k.id").alias("kid"), F.col("k.pos").alias("kpos")))
     inside = F.col("kpos") % BLOCK
     pairs = held.join(keep, "key").where("id <> kid").groupBy("id", "kid", (F.col("kpos") - inside).alias("kstart"), (F.col("pos") - inside).alias("start")).agg(F.sort_array(F.collect_set(inside)).alias("seeds"))
     pairs = written(pairs)
@@ -351,7 +353,7 @@ def repeats(docs: DataFrame, similarity_percent: int = 80) -> DataFrame:
     several = places.groupBy("h").agg(F.min("id").alias("x"), F.max("id").alias("y")).where("x <> y").select("h")
     nodes = cut(several.join(labels, F.col("h") == F.col("node"), "full").select(F.coalesce("h", "node").alias("h"), F.coalesce("label", "h").alias("label")))
     rows = cut(places.join(nodes, "h").select("id", "pos", "n", "label").distinct().join(first, "id"))
-    keeper = rows.groupBy("label").agg(F.min(F.struct("first_doc", "id", "pos")).alias("k")).select("label", F.col("k.id").alias("kid"))
+    keeper = cut(rows.groupBy("label").agg(F.min(F.struct("first_doc", "id", "pos")).alias("k")).select("label", F.col("k.id").alias("kid")))
     gone = rows.join(keeper, "label").where("id <> kid").select("id", "kid", F.col("pos").alias("first"), F.col("n").alias("words"))
     spans = cut(spans.unionByName(gone))
     tidy(docs.sparkSession)
@@ -395,5 +397,6 @@ def cleaned(docs: DataFrame, similarity_percent: int = 80) -> DataFrame:
 
 
 def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What repeats() finds in all documents: a row for each document that loses words."""
     r = repeats(table(spark, sf_dir, "documents"))
     return r.select("doc_id", F.aggregate("spans", F.lit(0), lambda a, s: a + s["words"]).cast("long").alias("removed_words"), "spans", F.col("kept").alias("kept_doc_ids"), F.col("copy").alias("whole_copy"))
