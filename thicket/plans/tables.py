@@ -2,9 +2,15 @@
 
 from __future__ import annotations
 
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+import thicket
+
+#: Executor-side code must not depend on how the package was installed there.
+cloudpickle.register_pickle_by_value(thicket)
+
 
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
