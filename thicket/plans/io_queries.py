@@ -317,11 +317,11 @@ def mcts_strategies(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(SWEEP + """, v AS (SELECT ex, iter, CAST(ex AS VARCHAR) AS node_id, ret FROM p UNION ALL SELECT ex, iter, oid, ret FROM p)
-SELECT a.ex AS example_id, b.iter, a.node_id, count(*) AS n_visits, round(avg(a.ret) + 1e-8, 6) AS q FROM v a JOIN (SELECT DISTINCT ex, iter FROM p) b ON a.ex = b.ex AND a.iter <= b.iter GROUP BY ALL""")
+SELECT a.ex AS example_id, b.iter, a.node_id, count(*) AS n_visits, round(avg(a.ret) + 3e-10, 6) AS q FROM v a JOIN (SELECT DISTINCT ex, iter FROM p) b ON a.ex = b.ex AND a.iter <= b.iter GROUP BY ALL""")
 def mcts_snapshots(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The upper two levels of the visited tree after each iteration."""
     v = _sweep(spark, sf_dir).where("pos < 2")
-    return search.snapshots(v).withColumn("q", F.round(F.col("q") + 1e-8, 6))
+    return search.snapshots(v).withColumn("q", F.round(F.col("q") + 3e-10, 6))
 
 
 @query("""WITH RECURSIVE t AS (SELECT conv_id, turn, list_filter(string_split_regex(lower(regexp_replace(text, '[^A-Za-zÀ-ÿ0-9]+', ' ', 'g')), ' +'), lambda x: x <> '') AS a,
