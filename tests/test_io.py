@@ -66,8 +66,13 @@ def test_streaming_guards(spark, tmp_path):
     assert rows[-1]["cut_off"] and rows[3]["errors"] == 1
 
 
-def test_bad_prompt_set(spark):
+def test_prompts_in_blocks(spark):
     from thicket.operators import evaluate
 
-    with pytest.raises(ValueError):
-        evaluate.prompt_accuracy(spark.range(5), spark.range(2).withColumnRenamed("id", "q"), "id", F.lit(True), limit=3)
+    prompts = spark.range(5)
+    questions = spark.range(6).withColumnRenamed("id", "q")
+    right = F.col("q") % (F.col("id") + 1) == 0
+    want = {p: (6, round(sum(q % (p + 1) == 0 for q in range(6)) / 6, 6)) for p in range(5)}
+    for at_once in (1, 2, 100):
+        got = evaluate.prompt_accuracy(prompts, questions, "id", right, at_once=at_once).collect()
+        assert {r["prompt"]: (r["n"], r["accuracy"]) for r in got} == want
