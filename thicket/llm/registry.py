@@ -1,6 +1,6 @@
 """Queries and oracle SQL of this folder."""
 
-from thicket.llm import bpe, chat, hilbert_shards, jaccard_join, language_id, licenses, mixing, quality_rules, substring_dedup, topk
+from thicket.llm import bpe, chat, hilbert_shards, jaccard_join, kmeans, language_id, licenses, mixing, quality_rules, substring_dedup, topk
 
 QUERIES = {
     "op1_substring_dedup": substring_dedup.op1_substring_dedup,
@@ -13,10 +13,12 @@ QUERIES = {
     "op8_language_id": language_id.op8_language_id,
     "op9_quality_rules": quality_rules.op9_quality_rules,
     "op10_license_scan": licenses.op10_license_scan,
+    "op13_centroid_clustering": kmeans.op13_centroid_clustering,
 }
 ORACLES = {
     "op5_exact_topk": topk.ORACLE,
     "op6_chat_formatting": chat.ORACLE,
     "op9_quality_rules": quality_rules.ORACLE,
     "op10_license_scan": licenses.ORACLE,
+    "op13_centroid_clustering": kmeans.ORACLE,
 }
