@@ -1,6 +1,6 @@
 """Queries and oracle SQL of this folder."""
 
-from thicket.llm import bpe, chat, hilbert_shards, jaccard_join, kmeans, language_id, licenses, mixing, quality_rules, substring_dedup, topk
+from thicket.llm import bpe, chat, hilbert_shards, jaccard_join, kmeans, language_id, licenses, merkle, mixing, quality_rules, substring_dedup, topk
 
 QUERIES = {
     "op1_substring_dedup": substring_dedup.op1_substring_dedup,
@@ -13,6 +13,7 @@ QUERIES = {
     "op8_language_id": language_id.op8_language_id,
     "op9_quality_rules": quality_rules.op9_quality_rules,
     "op10_license_scan": licenses.op10_license_scan,
+    "op11_merkle_manifest": merkle.op11_merkle_manifest,
     "op13_centroid_clustering": kmeans.op13_centroid_clustering,
 }
 ORACLES = {
@@ -20,5 +21,6 @@ ORACLES = {
     "op6_chat_formatting": chat.ORACLE,
     "op9_quality_rules": quality_rules.ORACLE,
     "op10_license_scan": licenses.ORACLE,
+    "op11_merkle_manifest": merkle.ORACLE,
     "op13_centroid_clustering": kmeans.ORACLE,
 }
