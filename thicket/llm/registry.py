@@ -1,6 +1,6 @@
 """Queries and oracle SQL of this folder."""
 
-from thicket.llm import bpe, chat, hilbert_shards, jaccard_join, kmeans, language_id, licenses, merkle, mixing, quality_rules, substring_dedup, topk
+from thicket.llm import bpe, chat, context_tree, hilbert_shards, jaccard_join, kmeans, language_id, licenses, merkle, mixing, quality_rules, substring_dedup, topk
 
 QUERIES = {
     "op1_substring_dedup": substring_dedup.op1_substring_dedup,
@@ -14,6 +14,7 @@ QUERIES = {
     "op9_quality_rules": quality_rules.op9_quality_rules,
     "op10_license_scan": licenses.op10_license_scan,
     "op11_merkle_manifest": merkle.op11_merkle_manifest,
+    "op12_lm_scoring": context_tree.op12_lm_scoring,
     "op13_centroid_clustering": kmeans.op13_centroid_clustering,
 }
 ORACLES = {
