@@ -12,6 +12,7 @@ from pyspark.sql.types import DoubleType
 
 from thicket.functions.extract import normalised, spelled_number
 from thicket.functions.maths import choice, fraction_value, matrix_rows, normal_form
+from thicket.functions.symbolic import settled
 
 
 def numeric_ladder(answer: Column, gold: Column) -> Column:
@@ -43,8 +44,8 @@ def exact_normalised(answer: Column, gold: Column) -> Column:
     return F.coalesce(normalised(answer) == normalised(gold), F.lit(False))
 
 
-def maths_equal(answer: Column, gold: Column, percent: bool = True) -> Column:
-    r"""Whether two mathematics answers are equal. Rungs, on the texts and on their normal forms: the same text; the choice letter gold asks for; the same number (a fraction of numbers is one), gold also taken as a hundredth or a hundredfold; the same text without brackets; the same tuple or matrix, place by place; the right side of an equation whose left side is a name. Equality that needs algebra isn't decided; null answers are wrong."""
+def maths_equal(answer: Column, gold: Column, percent: bool = True, symbolic: bool = False) -> Column:
+    r"""Whether two mathematics answers are equal. Rungs, on the texts and on their normal forms: the same text; the choice letter gold asks for; the same number (a fraction of numbers is one), gold also taken as a hundredth or a hundredfold; the same text without brackets; the same tuple or matrix, place by place; the right side of an equation whose left side is a name. With symbolic, what is left is decided by identity testing (functions/symbolic.py), on the texts and on their normal forms; only those rows are looked at. Null answers are wrong."""
     close = lambda p, q: F.abs(p - q) <= 1e-4 * F.greatest(F.abs(p), F.abs(q))
     value = lambda c: F.coalesce(spelled_number(c), fraction_value(c))
 
@@ -60,7 +61,7 @@ def maths_equal(answer: Column, gold: Column, percent: bool = True) -> Column:
         return F.coalesce((F.size(x) == F.size(y)) & F.forall(F.zip_with(x, y, flat), lambda v: v), F.lit(False))
 
     def rungs(a: Column, g: Column) -> Column:
-        inside = lambda c: F.when(c.rlike(r"^[(\[].+,.+[)\]]$"), F.transform(F.split(F.substring(c, 2, F.length(c) - 2), ","), F.trim))
+        inside = lambda c: F.when(c.rlike(r"^[(\[].+,.+[)\]]$"), F.transform(F.split(F.substring(c, 2, F.length(c) - 2), ","), lambda x: F.trim(x)))
         rows, gold_rows = matrix_rows(a), matrix_rows(g)
         matrix = F.coalesce((F.size(rows) == F.size(gold_rows)) & F.forall(F.zip_with(rows, gold_rows, parts), lambda v: v), F.lit(False))
         return flat(a, g) | F.coalesce(parts(inside(a), inside(g)), F.lit(False)) | matrix
@@ -70,7 +71,11 @@ def maths_equal(answer: Column, gold: Column, percent: bool = True) -> Column:
     same_text = F.coalesce(F.lower(a) == F.lower(g), F.lit(False))
     letter = g.isin("A", "B", "C", "D", "E") & (choice(a) == g)
     pairs = F.array(F.struct(right(a).alias("a"), right(g).alias("g")), F.struct(normal_form(a).alias("a"), normal_form(g).alias("g")))
-    return same_text | F.coalesce(letter, F.lit(False)) | F.coalesce(F.exists(pairs, lambda p: rungs(p["a"], p["g"])), F.lit(False))
+    by_rule = same_text | F.coalesce(letter, F.lit(False)) | F.coalesce(F.exists(pairs, lambda p: rungs(p["a"], p["g"])), F.lit(False))
+    if not symbolic:
+        return by_rule
+    plain = lambda c: F.translate(c, "$", "")
+    return settled(by_rule, plain(a), plain(g), normal_form(a), normal_form(g))
 
 
 _OPS = {ast.Add: operator.add, ast.Sub: operator.sub, ast.Mult: operator.mul, ast.Div: operator.truediv, ast.USub: operator.neg, ast.UAdd: operator.pos}
