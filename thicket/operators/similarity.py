@@ -4,11 +4,8 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, DoubleType, IntegerType, LongType, StructField, StructType
 
 from thicket.functions.score import cosine
 
@@ -37,78 +34,7 @@ def token_overlap(pairs: DataFrame, id_: list[str], a: str, b: str, tokens: Call
     return s.withColumn("f1", F.when(F.col("common") > 0, 2 * F.col("precision") * F.col("recall") / (F.col("precision") + F.col("recall"))).otherwise(0.0))
 
 
-@F.pandas_udf(LongType())
-def lcs_length(a: pd.Series, b: pd.Series) -> pd.Series:
-    """Length of the longest common subsequence of two arrays, a row of the table at a time."""
-
-    def one(x, y) -> int:
-        if x is None or y is None or not len(x) or not len(y):
-            return 0
-        names = {t: i for i, t in enumerate(dict.fromkeys([*x, *y]))}
-        v = np.array([names[t] for t in y])
-        row = np.zeros(len(v) + 1, np.int64)
-        for t in x:
-            row[1:] = np.maximum.accumulate(np.maximum(row[1:], np.where(v == names[t], row[:-1] + 1, 0)))
-        return int(row[-1])
-
-    return pd.Series([one(x, y) for x, y in zip(a, b, strict=True)], dtype="int64")
-
-
-def aligned(cost: np.ndarray, gap: float) -> list[tuple[int, int]]:
-    """Global alignment of two sequences at least cost: pairs of places, -1 for a gap. Ties: a match before a gap in the second, before one in the first."""
-    n, m = cost.shape
-    best = np.zeros((n + 1, m + 1))
-    best[:, 0], best[0, :] = np.arange(n + 1) * gap, np.arange(m + 1) * gap
-    for i in range(1, n + 1):
-        for j in range(1, m + 1):
-            best[i, j] = min(best[i - 1, j - 1] + cost[i - 1, j - 1], best[i - 1, j] + gap, best[i, j - 1] + gap)
-    out, i, j = [], n, m
-    while i or j:
-        if i and j and np.isclose(best[i, j], best[i - 1, j - 1] + cost[i - 1, j - 1]):
-            i, j = i - 1, j - 1
-            out.append((i, j))
-        elif i and np.isclose(best[i, j], best[i - 1, j] + gap):
-            i -= 1
-            out.append((i, -1))
-        else:
-            j -= 1
-            out.append((-1, j))
-    return out[::-1]
-
-
-GAP = 0.6
-
-
-def _costs(x, y) -> np.ndarray:
-    """1 less the Jaccard similarity of the words of each step of x and of y."""
-    sets = [[set((t or "").lower().split()) for t in s] for s in (x, y)]
-    return np.array([[1 - (len(p & q) / len(p | q) if p | q else 1.0) for q in sets[1]] for p in sets[0]]).reshape(len(x), len(y))
-
-
-@F.pandas_udf(DoubleType())
-def alignment_cost(a: pd.Series, b: pd.Series) -> pd.Series:
-    """What the best alignment of two arrays of steps costs, as step_alignment() finds it; null arrays have no steps."""
-
-    def one(x, y) -> float:
-        x, y = (list(s) if s is not None else [] for s in (x, y))
-        cost = _costs(x, y)
-        return float(sum(cost[i, j] if i >= 0 and j >= 0 else GAP for i, j in aligned(cost, GAP)))
-
-    return pd.Series([one(x, y) for x, y in zip(a, b, strict=True)], dtype="float64")
-
-
 def step_labels(pairs: Column, gold: Column, sampled: Column) -> Column:
     """Of an alignment (a: place in gold, b: in sampled, -1 a gap) the array of struct(prefix, positive, negative): the sampled steps so far, the gold step and the sampled one in its place, wherever both are there and differ."""
     both = F.filter(pairs, lambda p: (p["a"] >= 0) & (p["b"] >= 0) & (F.get(gold, p["a"]) != F.get(sampled, p["b"])))
     return F.transform(both, lambda p: F.struct(F.slice(sampled, F.lit(1), p["b"]).alias("prefix"), F.get(gold, p["a"]).alias("positive"), F.get(sampled, p["b"]).alias("negative")))
-
-
-@F.pandas_udf(ArrayType(StructType([StructField("a", IntegerType()), StructField("b", IntegerType())])))
-def step_alignment(a: pd.Series, b: pd.Series) -> pd.Series:
-    """Alignment of two arrays of steps; a pair costs 1 less the Jaccard similarity of its words, a gap 0.6."""
-
-    def one(x, y) -> list[dict]:
-        x, y = (list(s) if s is not None else [] for s in (x, y))
-        return [{"a": i, "b": j} for i, j in aligned(_costs(x, y), GAP)]
-
-    return pd.Series([one(x, y) for x, y in zip(a, b, strict=True)])

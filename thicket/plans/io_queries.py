@@ -7,8 +7,8 @@ from pyspark.sql import functions as F
 
 from thicket.functions import extract, judge
 from thicket.model import few_shot, filled
-from thicket.operators import evaluate, programs, search, similarity, trees, votes
-from thicket.plans.search_queries import LINE_ID, _by_level, _order_levels, _table_model
+from thicket.operators import alignment, evaluate, programs, search, trees, votes
+from thicket.plans.search_queries import LINE_ID, _by_level, _order_levels
 from thicket.plans.tables import STEPS, folder, read, steps
 from thicket.sources import readers, writers
 from thicket.streaming import guards
@@ -283,47 +283,6 @@ def dfs_capped(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("example_id", "node_id", F.round("score", 4).alias("score"), "rank")
 
 
-SWEEP = f"""WITH o AS (SELECT o_custkey AS ex, 'o' || o_orderkey AS oid, o_orderkey AS k, o_totalprice / 1e6 AS r, row_number() OVER (PARTITION BY o_custkey ORDER BY o_totalprice / 1e6 DESC, 'o' || o_orderkey) - 1 AS iter, count(*) OVER (PARTITION BY o_custkey) AS n FROM orders),
-l AS (SELECT l_orderkey AS k, {LINE_ID} AS id, l_extendedprice / 1e6 AS lr FROM lineitem QUALIFY row_number() OVER (PARTITION BY l_orderkey ORDER BY l_extendedprice / 1e6 DESC, l_linenumber, {LINE_ID}) = 1),
-p AS (SELECT ex, iter, CAST(ex AS VARCHAR) || '>' || oid || coalesce('>' || id, '') AS path, r, lr, r + coalesce(lr, 0) AS ret, id IS NOT NULL AS ended, oid FROM o LEFT JOIN l USING (k) WHERE n >= 4 AND iter < 4)"""
-
-
-def _sweep(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Four iterations that each take a fresh child of the root, of the examples with four at least."""
-    model = _table_model(spark, sf_dir)
-    several = model.where("parent_id = cast(example_id as string)").groupBy("example_id").count().where("count >= 4").select("example_id")
-    return search.mcts(model.join(several, "example_id"), n_iters=4, depth_limit=3, uct_with_fast_reward=False)
-
-
-@query(SWEEP + " SELECT ex AS example_id, iter, path, round(ret + 1e-8, 6) AS ret FROM p")
-def mcts_sweep(spark: SparkSession, sf_dir: str) -> DataFrame:
-    v = _sweep(spark, sf_dir)
-    path = F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("pos", "node_id"))), lambda x: x["node_id"]), ">")
-    return v.groupBy("example_id", "iter").agg(path.alias("path"), F.round(F.max_by("ret", -F.col("pos")) + 1e-8, 6).alias("ret"))
-
-
-@query(SWEEP + """ SELECT ex AS example_id, 'last_iter' AS strategy, path FROM p WHERE iter = 3
-UNION ALL SELECT ex, 'last_terminal_iter', arg_max(path, iter) FROM p WHERE ended GROUP BY ex
-UNION ALL SELECT ex, 'max_iter', path FROM (SELECT *, row_number() OVER (PARTITION BY ex ORDER BY ret DESC, iter) AS b FROM p WHERE ended) WHERE b = 1
-UNION ALL SELECT ex, 'max_reward', path FROM (SELECT *, row_number() OVER (PARTITION BY ex ORDER BY ret DESC, oid) AS b FROM p WHERE ended) WHERE b = 1
-UNION ALL SELECT ex, 'follow_max', path FROM p WHERE iter = 0""")
-def mcts_strategies(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """What each strategy answers with."""
-    v, out = _sweep(spark, sf_dir), None
-    for s in ("last_iter", "last_terminal_iter", "max_iter", "max_reward", "follow_max"):
-        d = search.output_path(v, strategy=s).select("example_id", F.lit(s).alias("strategy"), F.array_join("path", ">").alias("path"))
-        out = d if out is None else out.unionByName(d)
-    return out
-
-
-@query(SWEEP + """, v AS (SELECT ex, iter, CAST(ex AS VARCHAR) AS node_id, ret FROM p UNION ALL SELECT ex, iter, oid, ret FROM p)
-SELECT a.ex AS example_id, b.iter, a.node_id, count(*) AS n_visits, round(avg(a.ret) + 3e-10, 6) AS q FROM v a JOIN (SELECT DISTINCT ex, iter FROM p) b ON a.ex = b.ex AND a.iter <= b.iter GROUP BY ALL""")
-def mcts_snapshots(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The upper two levels of the visited tree after each iteration."""
-    v = _sweep(spark, sf_dir).where("pos < 2")
-    return search.snapshots(v).withColumn("q", F.round(F.col("q") + 3e-10, 6))
-
-
 @query("""WITH RECURSIVE t AS (SELECT conv_id, turn, list_filter(string_split_regex(lower(regexp_replace(text, '[^A-Za-zÀ-ÿ0-9]+', ' ', 'g')), ' +'), lambda x: x <> '') AS a,
   lead(list_filter(string_split_regex(lower(regexp_replace(text, '[^A-Za-zÀ-ÿ0-9]+', ' ', 'g')), ' +'), lambda x: x <> '')) OVER (PARTITION BY conv_id ORDER BY turn) AS b FROM conversations),
 d AS (SELECT conv_id, turn, a, b, 0 AS i, list_transform(b, lambda x: 0) AS row FROM t WHERE b IS NOT NULL
@@ -335,7 +294,7 @@ def rouge_l(spark: SparkSession, sf_dir: str) -> DataFrame:
     w = Window.partitionBy("conv_id").orderBy("turn")
     c = read(spark, sf_dir, "conversations").withColumn("reply", F.lead("text").over(w)).where("reply is not null")
     p = c.select("conv_id", "turn", tokens(F.col("text")).alias("x"), tokens(F.col("reply")).alias("y"))
-    return p.select("conv_id", "turn", similarity.lcs_length("x", "y").alias("lcs"), F.size("x").alias("n_a"), F.size("y").alias("n_b"))
+    return p.select("conv_id", "turn", alignment.lcs_length("x", "y").alias("lcs"), F.size("x").alias("n_a"), F.size("y").alias("n_b"))
 
 
 @query("SELECT o_custkey AS example_id, CAST(to_json(list({'node_id': CAST(o_orderkey AS VARCHAR), 'parent_id': CAST(o_custkey AS VARCHAR), 'action': o_orderpriority} ORDER BY CAST(o_orderkey AS VARCHAR))) AS VARCHAR) AS tree FROM orders GROUP BY o_custkey")
@@ -400,30 +359,6 @@ def read_strategy_questions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return readers.strategy_questions(spark, path)
 
 
-TURNS = """t AS (SELECT conv_id, turn, text AS a, lead(text) OVER (PARTITION BY conv_id ORDER BY turn) AS b FROM conversations),
-w AS (SELECT *, list_distinct(list_filter(string_split_regex(lower(a), '\\s+'), lambda x: x <> '')) AS x, list_distinct(list_filter(string_split_regex(lower(b), '\\s+'), lambda x: x <> '')) AS y FROM t WHERE b IS NOT NULL)"""
-
-
-def _replies(spark: SparkSession, sf_dir: str) -> DataFrame:
-    w = Window.partitionBy("conv_id").orderBy("turn")
-    return read(spark, sf_dir, "conversations").withColumn("b", F.lead("text").over(w)).where("b is not null").withColumnRenamed("text", "a")
-
-
-@query(f"WITH {TURNS} SELECT conv_id, turn, round(1 - len(list_intersect(x, y)) / len(list_distinct(list_concat(x, y))), 6) AS cost FROM w WHERE 1 - len(list_intersect(x, y)) / len(list_distinct(list_concat(x, y))) <= 0.97")
-def alignment_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Turns and replies whose alignment, as one step each, isn't too dear."""
-    d = _replies(spark, sf_dir).withColumn("cost", similarity.alignment_cost(F.array("a"), F.array("b")))
-    return d.where("cost <= 0.97").select("conv_id", "turn", F.round("cost", 6).alias("cost"))
-
-
-@query(f"WITH {TURNS} SELECT conv_id, turn, 0::BIGINT AS n_prefix, a AS positive, b AS negative FROM w WHERE a <> b")
-def step_label_triples(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Training triples of a gold step and the sampled one in its place."""
-    d = _replies(spark, sf_dir)
-    t = d.select("conv_id", "turn", F.explode(similarity.step_labels(similarity.step_alignment(F.array("a"), F.array("b")), F.array("a"), F.array("b"))).alias("t"))
-    return t.select("conv_id", "turn", F.size("t.prefix").cast("long").alias("n_prefix"), "t.positive", "t.negative")
-
-
 @query("SELECT doc_id % 5 AS n_constraints, count(*) AS n, round(avg(CASE WHEN quality = 1 THEN 1.0 ELSE 0.0 END), 6) AS grounded, round(avg(CASE WHEN toxic = 0 THEN 1.0 ELSE 0.0 END), 6) AS relevant FROM labels GROUP BY 1")
 def flight_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Shares of grounded and relevant answers by the number of constraints."""

@@ -109,11 +109,6 @@ def _table_model(spark: SparkSession, sf_dir: str) -> DataFrame:
     return top.unionByName(mid).unionByName(leaf)
 
 
-def mcts_search(spark: SparkSession, sf_dir: str) -> DataFrame:
-    visits = search.mcts(_table_model(spark, sf_dir), n_iters=8, depth_limit=3)
-    return search.output_path(visits).select("example_id", "iter", F.array_join("path", ">").alias("path"))
-
-
 def _backprop(how: str) -> Callable[[SparkSession, str], DataFrame]:
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         return windows.returns(steps(spark, sf_dir), ["user_id"], "pos", "value", how).select("user_id", "pos", F.round(F.col("ret") + 1e-7, 4).alias("ret"))  # off exact ties of rounding
@@ -242,7 +237,6 @@ QUERIES = {
     "beam_action_dedup": _beam(beam_size=4, dedup=True, return_beam=True),
     "dfs_bounded_width": dfs_bounded_width,
     "random_shooting": random_shooting,
-    "mcts_search": mcts_search,
     "mcts_backprop_sum": _backprop("sum"),
     "mcts_backprop_mean": _backprop("mean"),
     "mcts_uct_rank": mcts_uct_rank,

@@ -7,6 +7,9 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 import thicket
+from thicket.storage import folder
+
+__all__ = ["STEPS", "folder", "labelled", "read", "steps"]
 
 #: Executor-side code must not depend on how the package was installed there.
 cloudpickle.register_pickle_by_value(thicket)
@@ -29,12 +32,3 @@ STEPS = """s AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts,
 
 def labelled(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read(spark, sf_dir, "labels").join(read(spark, sf_dir, "documents").select("doc_id", "lang", "source"), "doc_id")
-
-
-def folder(spark: SparkSession) -> str:
-    """A new folder for what a query writes and reads back: in the session's spark.checkpoint.dir, or a temporary one where that is unset (a local session)."""
-    import tempfile
-    import uuid
-
-    shared = spark.sparkContext.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None)
-    return f"{shared}/thicket-{uuid.uuid4().hex}" if shared else tempfile.mkdtemp(prefix="thicket-")

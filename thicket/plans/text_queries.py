@@ -112,12 +112,6 @@ def _turn_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return c.select("conv_id", "turn", F.col("text").alias("a"), F.col("reply").alias("b"))
 
 
-@query()
-def step_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
-    p = _turn_pairs(spark, sf_dir)
-    return p.select("conv_id", "turn", similarity.step_alignment(F.split("a", r"(?<=\.) "), F.split("b", r"(?<=\.) ")).alias("pairs"))
-
-
 @query("""WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line FROM documents), c AS (SELECT doc_id, line, count(*) AS n FROM l WHERE length(line) > 10 GROUP BY ALL)
 SELECT doc_id, count(*) AS n_chunks, CAST(sum(n) AS BIGINT) AS n_uses, CAST(sum((n - 1) * length(line)) AS BIGINT) AS saved FROM c WHERE n > 1 GROUP BY doc_id""")
 def compress_chunks_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
