@@ -167,7 +167,19 @@ def written(df: DataFrame) -> DataFrame:
     df.write.option("compression", "zstd").parquet(path)
     there = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     there.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(there)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._written_at = path
+    return out
+
+
+def discarded(*tables: DataFrame) -> None:
+    """Deletes what written() made, once nothing reads it any more; other tables stay."""
+    for df in tables:
+        path = getattr(df, "_written_at", None)
+        if path:
+            sc = df.sparkSession.sparkContext
+            there = sc._jvm.org.apache.hadoop.fs.Path(path)
+            there.getFileSystem(sc._jsc.hadoopConfiguration()).delete(there, True)
 
 
 def bytes_of(df: DataFrame) -> int:

@@ -11,19 +11,20 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from thicket.llm.common import cut, short_batches, table, tidy, word_hashes, written
+from thicket.llm.common import discarded, short_batches, table, tidy, word_hashes, written
 
 #: Bytes of context.
 DEPTH = 5
 #: Stands before and after every text; no UTF-8 text has it.
 EDGE = 0xFF
-#: Bytes of the texts of a block, about, and of a text that is a block of its own.
-BLOCK_BYTES, LONG_BYTES = 16 << 20, 4 << 20
+#: Bytes of the texts of a block, about, and of a text that is a block of its own. A larger block tells fewer keys a byte, but is in one task's memory.
+BLOCK_BYTES, LONG_BYTES = 32 << 20, 4 << 20
 #: Bytes of texts that go through numpy at a time.
-AT_ONCE = 8 << 20
-#: Distinct keys that a task holds before it passes them on.
+AT_ONCE = 2 << 20
+#: Keys that a task holds before it merges them, and distinct ones before it passes them on.
 HOLD = 1 << 21
-GRAM, WORD = 0, 1
+#: Keys of words have this bit, so they are negative; those of grams don't.
+IS_WORD = np.int64(-1 << 63)
 _SPACE = re.compile(rb"[\x20\x09-\x0D]+")
 
 
@@ -79,37 +80,46 @@ def text_batches(b: pa.RecordBatch, depth: int) -> Iterator[tuple[int, int, byte
 
 
 def words(data: bytes, ends: np.ndarray, lo: int) -> tuple[np.ndarray, np.ndarray]:
-    """(64-bit hash of each word, text it is in) of texts as joined(), without what is before the gram lo; the edges part words."""
+    """(key of each word, a 63-bit hash, text it is in) of texts as joined(), without what is before the gram lo; the edges part words."""
     plain = b"\n" * (lo + 1) + data[lo + 1 :].replace(bytes([EDGE]), b"\n")
     h, first, _ = word_hashes(plain, np.array([0, len(plain)]))
-    return h.view(np.int64), np.searchsorted(ends, first, side="right")
+    return h.view(np.int64) | IS_WORD, np.searchsorted(ends, first, side="right")
 
 
 class _Counts:
-    """Counts of the distinct keys of a block, merged as they come."""
+    """Counts of the distinct keys of a block: (keys, counts) as they come, merged when they are many."""
 
     def __init__(self) -> None:
-        self.keys, self.n = np.zeros(0, np.int64), np.zeros(0, np.int64)
+        self.parts: list[tuple[np.ndarray, np.ndarray]] = []
+        self.size = 0
 
     def add(self, keys: np.ndarray, train: bool) -> None:
         keys, n = np.unique(keys, return_counts=True)
-        keys, at = np.unique(np.concatenate((self.keys, keys)), return_inverse=True)
-        self.n = np.bincount(at, weights=np.concatenate((self.n, n * train)), minlength=len(keys)).astype(np.int64)
-        self.keys = keys
+        self.parts.append((keys, n * train))
+        self.size += len(keys)
+
+    def merge(self) -> tuple[np.ndarray, np.ndarray]:
+        keys, n = (np.concatenate(x) for x in zip(*self.parts, strict=True)) if self.parts else (np.zeros(0, np.int64),) * 2
+        order = np.argsort(keys, kind="stable")
+        keys, n = keys[order], n[order]
+        first = np.flatnonzero(np.concatenate(([True], keys[1:] != keys[:-1]))) if len(keys) else np.zeros(0, np.int64)
+        self.parts = [(keys[first], np.add.reduceat(n, first) if len(first) else n)]
+        self.size = len(first)
+        return self.parts[0]
 
 
 def _keyed(depth: int):
-    """(kind, key, block, n): the distinct grams and words of each block's texts with how often training texts have them (0 too)."""
+    """(key, block, n): the distinct grams and words of each block's texts with how often training texts have them (0 too)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict[int, tuple[_Counts, _Counts]] = {}
+        held: dict[int, _Counts] = {}
 
         def out() -> Iterator[pa.RecordBatch]:
-            for block, kinds in held.items():
-                for kind, c in enumerate(kinds):
-                    m = len(c.keys)
-                    if m:
-                        yield pa.RecordBatch.from_arrays([pa.array(np.full(m, kind, np.int8)), pa.array(c.keys), pa.array(np.full(m, block)), pa.array(c.n)], names=["kind", "key", "block", "n"])
+            for block, c in held.items():
+                keys, n = c.merge()
+                for k in range(0, len(keys), 1 << 18):
+                    part = keys[k : k + (1 << 18)]
+                    yield pa.RecordBatch.from_arrays([pa.array(part), pa.array(np.full(len(part), block)), pa.array(n[k : k + (1 << 18)])], names=["key", "block", "n"])
             held.clear()
 
         for b in batches:
@@ -117,16 +127,18 @@ def _keyed(depth: int):
             train = ~b.column("held_out").to_numpy(zero_copy_only=False).astype(bool)
             for block in np.unique(blocks):
                 rows = np.flatnonzero(blocks == block)
-                mine = held.setdefault(int(block), (_Counts(), _Counts()))
+                mine = held.setdefault(int(block), _Counts())
                 for first, last, data, ends, lo, hi in text_batches(b.take(pa.array(rows)), depth):
                     learn = train[rows[first:last]]
                     of_grams = np.repeat(learn, np.diff(np.concatenate(([1], ends))))[lo:hi]
                     keys = grams(data, ends, depth)[lo:hi]
                     h, text = words(data, ends, lo)
                     for yes in (True, False):
-                        mine[GRAM].add(keys[of_grams == yes], yes)
-                        mine[WORD].add(h[learn[text] == yes], yes)
-                if sum(len(c.keys) for kinds in held.values() for c in kinds) > HOLD or len(held) > 64:
+                        mine.add(keys[of_grams == yes], yes)
+                        mine.add(h[learn[text] == yes], yes)
+                    if mine.size > HOLD:
+                        mine.merge()
+                if sum(c.size for c in held.values()) > HOLD or len(held) > 64:
                     yield from out()
         yield from out()
 
@@ -241,7 +253,7 @@ def top_levels(rows) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 
 def _priced(depth: int, top: tuple[np.ndarray, np.ndarray, np.ndarray]):
-    """(kind, key, value): log10 of the chance of each key's byte after its context. Each bit's chance mixes the estimates of all its contexts by their weights; a context that training texts don't have hands on to the next shorter one."""
+    """(key, value): log10 of the chance of each key's byte after its context. Each bit's chance mixes the estimates of all its contexts by their weights; a context that training texts don't have hands on to the next shorter one."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for key, n in _runs(depth, batches):
@@ -260,7 +272,7 @@ def _priced(depth: int, top: tuple[np.ndarray, np.ndarray, np.ndarray]):
                     p = np.where(hit, stays + left * kt, p)
                     stays, left = np.where(hit, stays + left * own[i] * kt, stays), np.where(hit, left * (1 - own[i]), left)
                 value += np.log10(np.where((byte >> (7 - j)) & 1 == 1, p, 1 - p))
-            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(key), GRAM, np.int8)), pa.array(key), pa.array(value)], names=["kind", "key", "value"])
+            yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(value)], names=["key", "value"])
 
     return run
 
@@ -269,26 +281,21 @@ def _priced(depth: int, top: tuple[np.ndarray, np.ndarray, np.ndarray]):
 
 
 def _scored(depth: int):
-    """Scores of a block's texts (row, text) by the values of its keys (kind, key, value): (row, score, words_score, n_words, n_known, n_bytes)."""
+    """Scores of a block's texts (row, text) by the values of its keys (key, value): (row, score, words_score, n_words, n_known, n_bytes)."""
 
     def run(texts: pa.Table, values: pa.Table) -> pa.Table:
-        by_kind = []
-        kind, key, value = (values.column(c).to_numpy() for c in ("kind", "key", "value"))
-        for k in (GRAM, WORD):
-            mine = kind == k
-            order = np.argsort(key[mine])
-            by_kind.append((key[mine][order], value[mine][order]))
+        keys, value = (values.column(c).to_numpy() for c in ("key", "value"))
+        order = np.argsort(keys)
+        keys, value = keys[order], value[order]
         out: list[list[np.ndarray]] = []
-        for b in texts.combine_chunks().to_batches():
+        for b in texts.to_batches():
             row = b.column("row").to_numpy(zero_copy_only=False)
             for first, last, data, ends, lo, hi in text_batches(b, depth):
-                keys, values_ = by_kind[GRAM]
                 each = np.zeros(len(data) - 1)
-                each[lo:hi] = values_[np.searchsorted(keys, grams(data, ends, depth)[lo:hi])]
+                each[lo:hi] = value[np.searchsorted(keys, grams(data, ends, depth)[lo:hi])]
                 starts = np.concatenate(([1], ends[:-1])) - 1
                 h, text = words(data, ends, lo)
-                keys, values_ = by_kind[WORD]
-                of_words = values_[np.searchsorted(keys, h)] if len(h) else np.zeros(0)
+                of_words = value[np.searchsorted(keys, h)] if len(h) else np.zeros(0)
                 count = lambda w=None: np.bincount(text, weights=w, minlength=last - first)  # noqa: B023, E731
                 n_bytes = ends - starts - 2 - lo if last - first == 1 else ends - starts - 2
                 out.append([row[first:last], np.add.reduceat(each, starts), count(of_words), count(), count((of_words > 0).astype(float)), n_bytes])
@@ -304,45 +311,51 @@ def _scored(depth: int):
 def scores(docs: DataFrame, depth: int = DEPTH) -> DataFrame:
     """(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score, bits_per_byte): every row of docs, scored by models of the rows that aren't held out.
 
-    score: log10 of the probability of the text's UTF-8 bytes, A-Z lower-cased, and its end, by context-tree weighting: each byte is eight binary decisions, each with a tree of the contexts of 0 to `depth` bytes before (2 to 6) and the bits so far; a node mixes, half and half, Krichevsky and Trofimov's estimate of its own counts with the product of its children's, and training fixes what share each depth has in a prediction. A node without counts hands on to the shorter context. bits_per_byte: the code length of text and end over their bytes. base_score: tokens are words and an end; add-one unigram counts, words told apart by 64-bit hashes.
+    score: log10 of the probability of the text's UTF-8 bytes, A-Z lower-cased, and its end, by context-tree weighting: each byte is eight binary decisions, each with a tree of the contexts of 0 to `depth` bytes before (2 to 6) and the bits so far; a node mixes, half and half, Krichevsky and Trofimov's estimate of its own counts with the product of its children's, and training fixes what share each depth has in a prediction. A node without counts hands on to the shorter context. bits_per_byte: the code length of text and end over their bytes. base_score: tokens are words and an end; add-one unigram counts, words told apart by 63-bit hashes.
 
     Null texts count as empty: their end alone is scored. Null doc_ids are trained on. Repeated rows are trained on and scored each. Without training rows every bit has chance one half and base_score is 0. An empty table gives an empty result; other columns aren't looked at.
 
-    Texts are written once, in blocks of some 16 MB. Each block tells its distinct keys (contexts with their byte, words); these are counted over all blocks, the tree is weighted by contexts of two bytes (one byte and none come to the driver, 65,280 rows at most), and each block's keys come back with their values to the block's texts. So what is shuffled is a part of the texts' size, the model is never in one place, and no key's rows are more than the blocks.
+    Texts are written once, in blocks of some 32 MB. Each block tells its distinct keys (contexts with their byte, words); these are counted over all blocks, the tree is weighted by contexts of two bytes (one byte and none come to the driver, 65,280 rows at most), and each block's keys come back with their values to the block's texts. So what is shuffled is a part of the texts' size, the model is never in one place, and no key's rows are more than the blocks.
     """
     if not 2 <= depth <= 6:
         raise ValueError("depth is from 2 to 6 bytes")
     spark = docs.sparkSession
     short_batches(spark)
     size = F.coalesce(F.octet_length("text"), F.lit(0)).cast("long")
-    d = docs.select(F.monotonically_increasing_id().alias("row"), "doc_id", F.col("text").alias("text"), held_out(F.col("doc_id")).alias("held_out"), size.alias("size"))
-    d = written(d)
-    mean = d.where(F.col("size") < LONG_BYTES).agg(F.avg("size")).first()[0] or 1.0
+    measured = docs.agg(F.sum(size).alias("total"), F.avg(F.when(size < LONG_BYTES, size)).alias("mean")).first()
+    total, mean = measured["total"] or 0, measured["mean"] or 1.0
+    d = docs.select("doc_id", "text", held_out(F.col("doc_id")).alias("held_out"), size.alias("size"))
+    # a block is in one partition: small ones go together, as far as all cores have one
+    d = d.coalesce(max(int(total / BLOCK_BYTES) + 1, spark.sparkContext.defaultParallelism))
+    copy = written(d.select(F.monotonically_increasing_id().alias("row"), "*"))
     rows = max(1, int(BLOCK_BYTES / max(mean, 1.0)))
     part = F.shiftright("row", 33) * (1 << 33)
     block = F.when(F.col("size") >= LONG_BYTES, -1 - F.col("row")).otherwise(part + F.expr(f"(row & {(1 << 33) - 1}) div {rows}"))
-    d = d.withColumn("block", block)
-    keyed = written(d.select("text", "held_out", "block").mapInArrow(_keyed(depth), "kind byte, key long, block long, n long"))
-    counts = written(keyed.groupBy("kind", "key").agg(F.sum("n").alias("n")))
+    d = copy.withColumn("block", block)
+    keyed = written(d.select("text", "held_out", "block").mapInArrow(_keyed(depth), "key long, block long, n long"))
+    counts = written(keyed.groupBy("key").agg(F.sum("n").alias("n")))
     tidy(spark)
-    vocabulary = counts.where(f"kind = {WORD} and n > 0").agg(F.count("*").alias("v"), F.coalesce(F.sum("n"), F.lit(0)).alias("n")).first()
+    vocabulary = counts.where("key < 0 and n > 0").agg(F.count("*").alias("v"), F.coalesce(F.sum("n"), F.lit(0)).alias("n")).first()
     trained = d.where("not held_out").count()
     total, distinct = vocabulary["n"] + trained, vocabulary["v"] + (trained > 0)
     # the tree: by the two nearest bytes of context
     near = F.shiftright("key", 8 * (depth - 1))
-    tree = counts.where(f"kind = {GRAM}").select("key", "n").repartition(near).sortWithinPartitions("key")
+    tree = counts.where("key >= 0").repartition(near).sortWithinPartitions("key")
     tops = tree.mapInArrow(_tops(depth), "node long, zeros long, ones long, below double")
     # decimals: a sum that doesn't depend on the order
     tops = tops.groupBy("node").agg(F.sum("zeros").alias("zeros"), F.sum("ones").alias("ones"), F.sum(F.col("below").cast("decimal(38,9)")).alias("below"))
     top = top_levels(tops.collect())  # at most 256 * 255 rows
-    priced = tree.mapInArrow(_priced(depth, top), "kind byte, key long, value double")
-    known = counts.where(f"kind = {WORD}").select("kind", "key", F.log10(F.col("n") + F.lit(1.0)).alias("value"))
+    priced = tree.mapInArrow(_priced(depth, top), "key long, value double")
+    known = counts.where("key < 0").select("key", F.log10(F.col("n") + F.lit(1.0)).alias("value"))
     values = written(priced.unionByName(known))
     tidy(spark)
-    back = keyed.select("kind", "key", "block").join(values, ["kind", "key"]).select("block", "kind", "key", "value")
+    back = written(keyed.select("key", "block").join(values, "key").select("block", "key", "value"))
+    discarded(keyed, counts, values)
+    tidy(spark)
     texts = d.select("block", "row", "text")
     told = texts.groupBy("block").cogroup(back.groupBy("block")).applyInArrow(_scored(depth), "row long, score double, words_score double, n_words long, n_known long, n_bytes long")
     told = written(told)
+    discarded(back)
     tidy(spark)
     j = d.select("row", "doc_id", "held_out").join(told, "row")
     n = (F.col("n_words") + 1).alias("n_tokens")
