@@ -199,8 +199,7 @@ def search_tree(
                 column.append(v)
     i = np.array(out[2], int)
     told = pd.DataFrame({"iter": out[0], "pos": out[1], "node_id": [ids[k] for k in i], "ret": out[3], "reward": np.array(reward)[i], "terminal": np.array(terminal, bool)[i], "sibling": np.array(sibling, int)[i]})
-    kinds = {"iter": "int64", "pos": "int64", "ret": "float64", "reward": "float64", "terminal": "bool", "sibling": "int64"}  # of no rows too
-    told = told.astype(kinds).sort_values(["iter", "pos"], kind="stable", ignore_index=True)
+    told = told.sort_values(["iter", "pos"], kind="stable", ignore_index=True)
     return told, pd.DataFrame([(n, visits[k], q(k)) for k, n in enumerate(ids)], columns=["node_id", "n_visits", "q"])
 
 
@@ -209,6 +208,8 @@ def mcts(nodes: DataFrame, example: str = "example_id", **options) -> DataFrame:
 
     def one(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         visits, _ = search_tree(pdf.sort_values(["pos", "node_id"]), **options)
+        if visits.empty:  # an example without a root
+            return pd.DataFrame()
         visits.insert(0, example, key[0])
         return visits
 
