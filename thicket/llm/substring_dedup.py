@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 import re
 from collections.abc import Iterator
 
@@ -240,8 +241,8 @@ def _edits_fit(a: np.ndarray, b: np.ndarray, row: np.ndarray, at: np.ndarray) ->
     return ok
 
 
-def matches(a: np.ndarray, b: np.ndarray, seeds: list[list[int]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(row, first word, words): grown() for each row of a and b. Runs of equal words that no edit continues are found for all rows at once."""
+def matches(a: np.ndarray, b: np.ndarray, seeds: list[list[int]]) -> tuple[tuple[np.ndarray, ...], tuple[np.ndarray, ...]]:
+    """((row, first word, words), (row, seed, side, offset, word)): grown() for each row of a and b, with runs of equal words that no edit continues found for all rows at once; and of each run that ends inside its text and isn't continued, where: after (side 1) the last seed in it or before (side 0) the first, by so many words, with what word of a."""
     eq, place = (a == b) & (a != 0), np.arange(a.shape[1])
     to = np.minimum.accumulate(np.where(eq, a.shape[1], place)[:, ::-1], axis=1)[:, ::-1]
     back = np.maximum.accumulate(np.where(eq, -1, place), axis=1)
@@ -249,26 +250,43 @@ def matches(a: np.ndarray, b: np.ndarray, seeds: list[list[int]]) -> tuple[np.nd
     s = np.array([x for r in seeds for x in r], np.int64)
     true = to[row, s] >= s + SEED
     row, s = row[true], s[true]
-    runs = np.unique(np.stack((row, back[row, s] + 1, to[row, s])), axis=1)
+    runs, of = np.unique(np.stack((row, back[row, s] + 1, to[row, s])), axis=1, return_inverse=True)
+    last, least = np.full(runs.shape[1], -1), np.full(runs.shape[1], a.shape[1])
+    np.maximum.at(last, of.ravel(), s)
+    np.minimum.at(least, of.ravel(), s)
     row, first, end = runs
-    more = _edits_fit(a, b, row, end) | _edits_fit(a[:, ::-1], b[:, ::-1], row, a.shape[1] - first)
-    edited = np.unique(row[more])
+    right, left = _edits_fit(a, b, row, end), _edits_fit(a[:, ::-1], b[:, ::-1], row, a.shape[1] - first)
+    edited = np.unique(row[right | left])
     plain = ~np.isin(row, edited) & (end - first >= UNIT)
     slow = [(r, x, n) for r in edited.tolist() for x, n in grown(a[r], b[r], seeds[r])]
     found = np.array(slow, np.int64).reshape(-1, 3).T
-    return tuple(np.concatenate(x) for x in zip((row[plain], first[plain], (end - first)[plain]), found, strict=True))
+    spans = tuple(np.concatenate(x) for x in zip((row[plain], first[plain], (end - first)[plain]), found, strict=True))
+    after, before = a[row, np.minimum(end, a.shape[1] - 1)] * (end < a.shape[1]), a[row, np.maximum(first - 1, 0)] * (first > 0)
+    r, f = np.flatnonzero(~right & (after != 0)), np.flatnonzero(~left & (before != 0))
+    ends = (np.concatenate((row[r], row[f])), np.concatenate((last[r], least[f])), np.repeat([1, 0], [len(r), len(f)]), np.concatenate(((end - last)[r], (least - first)[f])), np.concatenate((after[r], before[f])))
+    return spans, ends
 
 
 def _compared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(id, kid, first, words): the grown matches of blocks (id, start, kid, seeds, words, kwords)."""
+    """Of blocks (id, start, kid, kstart, seeds, words, kwords) the grown matches (id, kid, first, words), and (id, first, key) of each place first whose match ends where the text goes on: a key of what is equal and of the next word, so that texts of one key agree further with each other than with kid."""
     for whole in batches:
         for k in range(0, whole.num_rows, 2048):
             b = whole.slice(k, 2048)
             mine, theirs = (b.column(k).flatten().to_numpy().reshape(-1, WIDE) for k in ("words", "kwords"))
-            ids, start, kids = (b.column(k).to_numpy(zero_copy_only=False) for k in ("id", "start", "kid"))
-            i, x, n = matches(mine, theirs, [[REACH + s for s in seeds] for seeds in b.column("seeds").to_pylist()])
-            if len(i):
-                yield pa.RecordBatch.from_arrays([pa.array(ids[i]), pa.array(kids[i]), pa.array((start[i] - REACH + x).astype(np.int32)), pa.array(n.astype(np.int32))], names=["id", "kid", "first", "words"])
+            ids, start, kids, kstart = (b.column(k).to_numpy(zero_copy_only=False) for k in ("id", "start", "kid", "kstart"))
+            (i, x, n), (j, seed, side, off, word) = matches(mine, theirs, [[REACH + s for s in seeds] for seeds in b.column("seeds").to_pylist()])
+            key = mixed(kids[j].view(np.uint64) + mixed((kstart[j] + seed).astype(np.uint64) * GOLDEN + mixed((side << 32 | off).astype(np.uint64)) + mixed(word.astype(np.uint64))))
+            rows, none = len(i), len(j)
+            yield pa.RecordBatch.from_arrays(
+                [
+                    pa.array(np.concatenate((ids[i], ids[j]))),
+                    pa.array(np.concatenate((kids[i], kids[j]))),
+                    pa.array(np.concatenate((start[i] - REACH + x, start[j] - REACH + seed)).astype(np.int32)),
+                    pa.array(np.concatenate((n, np.zeros(none, np.int64))).astype(np.int32)),
+                    pa.array(np.concatenate((np.zeros(rows, np.int64), key.view(np.int64))), mask=np.repeat([True, False], [rows, none])),
+                ],
+                names=["id", "kid", "first", "words", "key"],
+            )
 
 
 def _asked(d: DataFrame, first: DataFrame, asks: DataFrame) -> DataFrame:
@@ -279,6 +297,25 @@ def _asked(d: DataFrame, first: DataFrame, asks: DataFrame) -> DataFrame:
     return found.mapInArrow(_fetched, "id long, start int, words array<int>, n long, sketch binary, el array<long>")
 
 
+def _paired(held: DataFrame) -> DataFrame:
+    """(id, kid, kstart, start, seeds): holders (key, id, pos, first_doc) of each key against the one of least doc_id, by blocks of that one's text; start: where such a block would begin in id's text."""
+    keep = cut(held.groupBy("key").agg(F.min(F.struct("first_doc", "id", "pos")).alias("k")).select("key", F.col("k.id").alias("kid"), F.col("k.pos").alias("kpos")))
+    inside = F.col("kpos") % BLOCK
+    pairs = held.join(keep, "key").where("id <> kid").groupBy("id", "kid", (F.col("kpos") - inside).alias("kstart"), (F.col("pos") - inside).alias("start"))
+    return written(pairs.agg(F.sort_array(F.collect_set(inside)).alias("seeds")))
+
+
+def _blocks(pairs: DataFrame) -> DataFrame:
+    both = pairs.select("id", "start").unionByName(pairs.select(F.col("kid").alias("id"), F.col("kstart").alias("start")))
+    return both.groupBy("id").agg(F.collect_set("start").alias("blocks"))
+
+
+def _matched(pairs: DataFrame, of: DataFrame) -> DataFrame:
+    mine, theirs = of.select("id", "start", "words"), of.select(F.col("id").alias("kid"), F.col("start").alias("kstart"), F.col("words").alias("kwords"))
+    j = pairs.join(mine, ["id", "start"]).join(theirs, ["kid", "kstart"]).select("id", "start", "kid", "kstart", "seeds", "words", "kwords")
+    return j.mapInArrow(_compared, "id long, kid long, first int, words int, key long")
+
+
 def _labelled(meets: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """(node, label): components of different paragraphs that share a band and are similar. No link between paragraphs that share a band is left out."""
     members = cut(meets.select("key", F.col("h").alias("id")).unionByName(meets.select("key", F.col("lh").alias("id"))).distinct())
@@ -313,7 +350,7 @@ def repeats(docs: DataFrame, similarity_percent: int = 80) -> DataFrame:
 
     Paragraphs: lines of UNIT words or more, and whole texts of fewer than UNIT + SEED + WINDOW - 2 words. Those that share a MinHash band are compared by exact Jaccard similarity of their 5-word shingles (equal ones by hash), linked, and each component of links is kept in the document of least doc_id alone.
 
-    Passages that don't fill a line: anchors are places of SEED words that the content picks. Each anchor that several texts share is compared, in the other texts, with the text of least doc_id that holds it: the match is grown on both sides, through edits of up to two words, to the whole stretch that both texts share, and goes if it has UNIT equal words, ALIKE percent or more of it.
+    Passages that don't fill a line: anchors are places of SEED words that the content picks. Each anchor that several texts share is compared, in the other texts, with the text of least doc_id that holds it; where texts go on alike beyond what they share with that one, they are compared with the first of them, and so on until none do. The match is grown on both sides, through edits of up to two words, to the whole stretch that both texts share, and goes if it has UNIT equal words, ALIKE percent or more of it.
 
     Equal texts are one; all but the least doc_id are copies if they have a word. Repeats inside one document stay. Texts that are null or without words have neither; null doc_ids come first, as least. id: hash of the text. Other columns aren't looked at; an empty table gives an empty result. Words and texts are told apart by 64-bit hashes, the words beside an anchor by 32 bits.
 
@@ -332,22 +369,29 @@ def repeats(docs: DataFrame, similarity_percent: int = 80) -> DataFrame:
     tidy(docs.sparkSession)
     # anchors: each against the text of least doc_id that holds it, by blocks of that text
     held = shared.select("key", "id", "pos").unionByName(shared.select("key", F.col("lid").alias("id"), F.col("lpos").alias("pos"))).distinct().join(first, "id")
-    held = cut(held)
-    keep = cut(held.groupBy("key").agg(F.min(F.struct("first_doc", "id", "pos")).alias("k")).select("key", F.col("k.id").alias("kid"), F.col("k.pos").alias("kpos")))
-    inside = F.col("kpos") % BLOCK
-    pairs = held.join(keep, "key").where("id <> kid").groupBy("id", "kid", (F.col("kpos") - inside).alias("kstart"), (F.col("pos") - inside).alias("start")).agg(F.sort_array(F.collect_set(inside)).alias("seeds"))
-    pairs = written(pairs)
-    blocks = pairs.select("id", "start").unionByName(pairs.select(F.col("kid").alias("id"), F.col("kstart").alias("start"))).groupBy("id").agg(F.collect_set("start").alias("blocks"))
+    pairs = _paired(cut(held))
+    blocks = _blocks(pairs)
     wanted = meets.select("h").unionByName(meets.select(F.col("lh").alias("h"))).distinct()
     units = places.join(wanted, "h", "left_semi").groupBy("h").agg(F.min(F.struct("id", "pos", "n")).alias("p")).groupBy("p.id").agg(F.collect_list(F.struct("h", "p.pos", "p.n")).alias("units"))
-    got = written(_asked(d, first, units.join(blocks, "id", "full")))
-    if info.groupBy("doc_id", "id").count().where("count > 1").limit(1).count():  # repeated rows are asked each
-        got = written(got.dropDuplicates(["id", "start"]))
+    twice = info.groupBy("doc_id", "id").count().where("count > 1").limit(1).count() > 0
+    fetched = lambda asks: written(once(_asked(d, first, asks)))
+    once = lambda got: got.dropDuplicates(["id", "start"]) if twice else got  # noqa: E731  # repeated rows are asked each
+    got = fetched(units.join(blocks, "id", "full"))
     tidy(docs.sparkSession)
     sets = got.where("start is null").select("id", "n", "sketch", "el")
-    of = got.where("start is not null")
-    mine, theirs = of.select("id", "start", "words"), of.select(F.col("id").alias("kid"), F.col("start").alias("kstart"), F.col("words").alias("kwords"))
-    spans = cut(pairs.join(mine, ["id", "start"]).join(theirs, ["kid", "kstart"]).select("id", "start", "kid", "seeds", "words", "kwords").mapInArrow(_compared, "id long, kid long, first int, words int"))
+    spans = []
+    while True:
+        found = written(_matched(pairs, got.where("start is not null")))
+        spans.append(found.where("words > 0").select("id", "kid", "first", "words"))
+        # texts that go on alike where the one they were compared with goes on otherwise are compared with the first of them
+        alike = found.where("words = 0").select("key", "id", F.col("first").alias("pos")).distinct()
+        several = alike.groupBy("key").agg(F.min("id").alias("x"), F.max("id").alias("y")).where("x <> y").select("key")
+        pairs = _paired(cut(alike.join(several, "key").join(first, "id")))
+        if pairs.isEmpty():
+            break
+        got = fetched(_blocks(pairs).withColumn("units", F.lit(None).cast("array<struct<h:long,pos:int,n:int>>")))
+        tidy(docs.sparkSession)
+    spans = cut(functools.reduce(DataFrame.unionByName, spans))
     # paragraphs: by their components, equal ones among them
     labels = _labelled(meets, sets, similarity_percent)
     several = places.groupBy("h").agg(F.min("id").alias("x"), F.max("id").alias("y")).where("x <> y").select("h")
