@@ -262,7 +262,7 @@ def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
 
     Large-star and small-star steps in turn until nothing changes; each is an aggregation and a join, both split by Spark where a node is hot. Edges are cut after each turn.
     """
-    edges = cut(links.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).where("u <> v").distinct())
+    edges = written(links.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).where("u <> v").distinct())
     before = None
     while True:
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
@@ -270,7 +270,8 @@ def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
         large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(low.select("u", F.col("m").alias("v"))).where("u <> v").distinct()
-        edges = cut(small)
+        old, edges = edges, written(small)
+        discarded(old)
         now = edges.agg(F.count("*").alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("h")).first()
         del both, least, large, low, small
         tidy(links.sparkSession)
@@ -286,4 +287,4 @@ def merged(labels: DataFrame, found: DataFrame) -> DataFrame:
     new = found.join(one, "a", "left").join(two, "b", "left").select("a", "b", F.coalesce("la", "a").alias("x"), F.coalesce("lb", "b").alias("y"))
     ends = new.select(F.col("a").alias("node"), F.col("x").alias("label")).unionByName(new.select(F.col("b").alias("node"), F.col("y").alias("label")))
     joined = components(new, "x", "y").select(F.col("node").alias("label"), F.col("label").alias("to"))
-    return cut(labels.unionByName(ends).distinct().join(joined, "label", "left").select("node", F.coalesce("to", "label").alias("label")))
+    return written(labels.unionByName(ends).distinct().join(joined, "label", "left").select("node", F.coalesce("to", "label").alias("label")))

@@ -22,7 +22,7 @@ BLOCK_BYTES, LONG_BYTES = 32 << 20, 4 << 20
 #: Bytes of texts that go through numpy at a time.
 AT_ONCE = 2 << 20
 #: Keys that a task holds before it merges them, and distinct ones before it passes them on.
-HOLD = 1 << 21
+HOLD = 3 << 19
 #: Keys of words have this bit, so they are negative; those of grams don't.
 IS_WORD = np.int64(-1 << 63)
 _SPACE = re.compile(rb"[\x20\x09-\x0D]+")

@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from thicket.llm.common import combined, components, cut, index_schema, links_by_key, merged, mixed, shingles, short_batches, table, tidy, with_small, word_batches, written
+from thicket.llm.common import combined, components, discarded, index_schema, links_by_key, merged, mixed, shingles, short_batches, table, tidy, with_small, word_batches, written
 
 VALS = {"id": "long"}
 #: Bits of a set's parity sketch: each element flips one bit, so two sets differ in no fewer elements than their sketches in bits.
@@ -281,28 +281,29 @@ def classes(docs: DataFrame, n: int = 4, percent: int = 85, tell_text: bool = Fa
     """
     short_batches(docs.sparkSession)
     d = docs.select("doc_id", "text", F.xxhash64(F.coalesce("text", F.lit(""))).alias("text_hash"))
-    info = cut(d.mapInArrow(_measured(n), "doc_id " + dict(d.dtypes)["doc_id"] + ", text_hash long, id long, n_shingles long"))
+    info = written(d.mapInArrow(_measured(n), "doc_id " + dict(d.dtypes)["doc_id"] + ", text_hash long, id long, n_shingles long"))
     sizes = {r["n_shingles"]: r["c"] for r in info.where("n_shingles > 0").groupBy("n_shingles").agg(F.count("*").alias("c")).collect()}  # one row a size
     plan = schemes(sizes, percent)
     index = d.select("text").mapInArrow(_indexed(n, plan, percent), index_schema(VALS))
-    meets = cut(links_by_key(index, VALS))
+    meets = written(links_by_key(index, VALS))
     pairs = meets.groupBy(F.least("id", "lid").alias("a"), F.greatest("id", "lid").alias("b")).agg(F.count("*").alias("c")).join(*_sized(info, "a")).join(*_sized(info, "b")).where(100 * F.least("na", "nb") >= percent * F.greatest("na", "nb")).select("a", "b", "c")
-    pairs = cut(pairs)
+    pairs = written(pairs)
     # one row of documents for each node that may link
     wanted = pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id"))).distinct()
-    wanted = cut(info.join(wanted, "id").groupBy("id").agg(F.min(F.struct("doc_id", "text_hash")).alias("w")).select("id", F.col("w.doc_id").alias("w_doc"), F.col("w.text_hash").alias("w_text")))
+    wanted = written(info.join(wanted, "id").groupBy("id").agg(F.min(F.struct("doc_id", "text_hash")).alias("w")).select("id", F.col("w.doc_id").alias("w_doc"), F.col("w.text_hash").alias("w_text")))
     row = F.col("doc_id").eqNullSafe(F.col("w_doc")) & (F.col("text_hash") == F.col("w_text"))
     sets = with_small(d, wanted, row, "inner").select("id", "text").mapInArrow(_elements(n), "id long, n long, sketch binary, el array<long>")
     sets = written(sets.dropDuplicates(["id"]))
     tidy(docs.sparkSession)
     # the likeliest partner first
     best = pairs.groupBy("b").agg(F.max(F.struct("c", "a")).alias("m")).select(F.col("m.a").alias("a"), "b")
-    labels = cut(components(_verified(best, sets, percent)))
+    labels = written(components(_verified(best, sets, percent)))
     # then other nodes of each key that holds several components, while that joins any, last all pairs between components
     members = meets.select("key", "id").unionByName(meets.select("key", F.col("lid").alias("id"))).distinct()
     labels = joined_by_key(members, labels, sets, percent)
     nodes = info.groupBy("id").agg(F.min("doc_id").alias("first")).join(labels, F.col("id") == F.col("node"), "left").select("id", "first", F.coalesce("label", "id").alias("label"))
-    nodes = cut(nodes)
+    nodes = written(nodes)
+    discarded(meets, pairs, wanted, sets, labels)
     least = nodes.groupBy("label").agg(F.min("first").alias("component_id"))
     by_node = nodes.join(least, "label").select(F.col("id").alias("n_id"), "component_id", F.col("label").alias("class_hash"))
     component = F.when(F.col("n_shingles") == 0, F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id")
@@ -315,13 +316,15 @@ def joined_by_key(members: DataFrame, labels: DataFrame, sets: DataFrame, percen
     while True:
         turn += 1
         last = turn > LEADERS or not n_links
-        members = cut(_several(members, labels))  # components only merge, so keys only leave
+        members = written(_several(members, labels))  # components only merge, so keys only leave
         if members.isEmpty():
             return labels
-        found = cut(_verified(_between(members, sets, percent) if last else _to_leaders(members, turn), sets, percent))
+        found = written(_verified(_between(members, sets, percent) if last else _to_leaders(members, turn), sets, percent))
         n_links = found.count()
         if n_links:
-            labels = merged(labels, found)
+            old, labels = labels, merged(labels, found)
+            discarded(old)
+        discarded(found)
         members = members.select("key", "id")
         tidy(members.sparkSession)
         if last:
@@ -335,13 +338,13 @@ def _sized(info: DataFrame, k: str) -> tuple[DataFrame, str]:
 def _several(members: DataFrame, labels: DataFrame) -> DataFrame:
     """(key, id, label) of the keys that hold several components."""
     members = members.join(labels, F.col("id") == F.col("node"), "left").select("key", "id", F.coalesce("label", "id").alias("label"))
-    several = cut(members.groupBy("key").agg(F.min("label").alias("x"), F.max("label").alias("y")).where("x <> y").select("key"))
+    several = written(members.groupBy("key").agg(F.min("label").alias("x"), F.max("label").alias("y")).where("x <> y").select("key"))
     return members.join(several, "key", "left_semi")
 
 
 def _to_leaders(members: DataFrame, turn: int) -> DataFrame:
     """(a, b): each node of a key with another node of the key, the same for all, picked by a hash that differs from turn to turn. As many pairs as members."""
-    lead = cut(members.groupBy("key").agg(F.min(F.struct(F.xxhash64(F.lit(turn), "key", "id").alias("h"), "id", "label")).alias("l")))
+    lead = written(members.groupBy("key").agg(F.min(F.struct(F.xxhash64(F.lit(turn), "key", "id").alias("h"), "id", "label")).alias("l")))
     j = members.join(lead, "key").where(F.col("label") != F.col("l.label"))
     return j.select(F.least("id", "l.id").alias("a"), F.greatest("id", "l.id").alias("b")).distinct()
 
@@ -349,7 +352,7 @@ def _to_leaders(members: DataFrame, turn: int) -> DataFrame:
 def _between(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """Likely pairs of one key in different components. A key's sets go by hash into blocks of some IN_BLOCK, and each pair of blocks is compared for itself, wherever there is room: no task gets all of a frequent key."""
     rows = members.join(sets.select("id", "n", "sketch"), "id")
-    blocks = cut(members.groupBy("key").agg(F.ceil(F.count("*") / IN_BLOCK).cast("int").alias("blocks")))
+    blocks = written(members.groupBy("key").agg(F.ceil(F.count("*") / IN_BLOCK).cast("int").alias("blocks")))
     rows = rows.join(blocks, "key").withColumn("block", F.pmod(F.xxhash64("key", "id"), "blocks").cast("int"))
     rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     rows = rows.select("key", F.least("block", "other").alias("one"), F.greatest("block", "other").alias("two"), "id", "label", "n", "sketch", "block")

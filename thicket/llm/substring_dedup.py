@@ -17,7 +17,7 @@ from thicket.llm.common import (
     WORD,
     combined,
     components,
-    cut,
+    discarded,
     index_schema,
     links_by_key,
     mixed,
@@ -291,7 +291,7 @@ def _compared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _asked(d: DataFrame, first: DataFrame, asks: DataFrame) -> DataFrame:
     """What is asked (id, units, blocks) of the texts, one row of d for each."""
-    asks = cut(asks.join(first, "id").select(F.col("id").alias("w_id"), "units", "blocks", "first_doc"))
+    asks = written(asks.join(first, "id").select(F.col("id").alias("w_id"), "units", "blocks", "first_doc"))
     on = F.col("doc_id").eqNullSafe(F.col("first_doc")) & (F.col("id") == F.col("w_id"))
     found = with_small(d, asks, on, "inner").select("id", "text", "units", "blocks")
     return found.mapInArrow(_fetched, "id long, start int, words array<int>, n long, sketch binary, el array<long>")
@@ -299,7 +299,7 @@ def _asked(d: DataFrame, first: DataFrame, asks: DataFrame) -> DataFrame:
 
 def _paired(held: DataFrame) -> DataFrame:
     """(id, kid, kstart, start, seeds): holders (key, id, pos, first_doc) of each key against the one of least doc_id, by blocks of that one's text; start: where such a block would begin in id's text."""
-    keep = cut(held.groupBy("key").agg(F.min(F.struct("first_doc", "id", "pos")).alias("k")).select("key", F.col("k.id").alias("kid"), F.col("k.pos").alias("kpos")))
+    keep = written(held.groupBy("key").agg(F.min(F.struct("first_doc", "id", "pos")).alias("k")).select("key", F.col("k.id").alias("kid"), F.col("k.pos").alias("kpos")))
     inside = F.col("kpos") % BLOCK
     pairs = held.join(keep, "key").where("id <> kid").groupBy("id", "kid", (F.col("kpos") - inside).alias("kstart"), (F.col("pos") - inside).alias("start"))
     return written(pairs.agg(F.sort_array(F.collect_set(inside)).alias("seeds")))
@@ -318,9 +318,9 @@ def _matched(pairs: DataFrame, of: DataFrame) -> DataFrame:
 
 def _labelled(meets: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """(node, label): components of different paragraphs that share a band and are similar. No link between paragraphs that share a band is left out."""
-    members = cut(meets.select("key", F.col("h").alias("id")).unionByName(meets.select("key", F.col("lh").alias("id"))).distinct())
+    members = written(meets.select("key", F.col("h").alias("id")).unionByName(meets.select("key", F.col("lh").alias("id"))).distinct())
     pairs = meets.select(F.least("h", "lh").alias("a"), F.greatest("h", "lh").alias("b")).distinct()
-    labels = cut(components(jaccard_join._verified(pairs, sets, percent)))
+    labels = written(components(jaccard_join._verified(pairs, sets, percent)))
     return jaccard_join.joined_by_key(members, labels, sets, percent)
 
 
@@ -360,7 +360,7 @@ def repeats(docs: DataFrame, similarity_percent: int = 80) -> DataFrame:
     d = docs.select("doc_id", F.xxhash64(F.coalesce("text", F.lit(""))).alias("id"), F.coalesce("text", F.lit("")).alias("text"))
     kind = dict(d.dtypes)["doc_id"]
     info = written(d.mapInArrow(_measured, f"doc_id {kind}, id long, n_words long, units array<struct<h:long,pos:int,n:int>>"))
-    first = cut(info.where("n_words > 0").groupBy("id").agg(F.min(F.struct("doc_id")).alias("f")).select("id", F.col("f.doc_id").alias("first_doc")))
+    first = written(info.where("n_words > 0").groupBy("id").agg(F.min(F.struct("doc_id")).alias("f")).select("id", F.col("f.doc_id").alias("first_doc")))
     places = info.select("id", F.explode("units").alias("u")).select("u.h", "id", "u.pos", "u.n")
     narrow = d.select("id", "text")
     shared = written(links_by_key(narrow.mapInArrow(_anchors, index_schema(SEEDS)), SEEDS).select("key", "id", "pos", "lid", "lpos"))
@@ -369,14 +369,14 @@ def repeats(docs: DataFrame, similarity_percent: int = 80) -> DataFrame:
     tidy(docs.sparkSession)
     # anchors: each against the text of least doc_id that holds it, by blocks of that text
     held = shared.select("key", "id", "pos").unionByName(shared.select("key", F.col("lid").alias("id"), F.col("lpos").alias("pos"))).distinct().join(first, "id")
-    pairs = _paired(cut(held))
+    pairs = _paired(written(held))
     blocks = _blocks(pairs)
     wanted = meets.select("h").unionByName(meets.select(F.col("lh").alias("h"))).distinct()
     units = places.join(wanted, "h", "left_semi").groupBy("h").agg(F.min(F.struct("id", "pos", "n")).alias("p")).groupBy("p.id").agg(F.collect_list(F.struct("h", "p.pos", "p.n")).alias("units"))
     twice = info.groupBy("doc_id", "id").count().where("count > 1").limit(1).count() > 0
     fetched = lambda asks: written(once(_asked(d, first, asks)))
     once = lambda got: got.dropDuplicates(["id", "start"]) if twice else got  # noqa: E731  # repeated rows are asked each
-    got = fetched(units.join(blocks, "id", "full"))
+    got = all_asked = fetched(units.join(blocks, "id", "full"))
     tidy(docs.sparkSession)
     sets = got.where("start is null").select("id", "n", "sketch", "el")
     spans = []
@@ -386,20 +386,22 @@ def repeats(docs: DataFrame, similarity_percent: int = 80) -> DataFrame:
         # texts that go on alike where the one they were compared with goes on otherwise are compared with the first of them
         alike = found.where("words = 0").select("key", "id", F.col("first").alias("pos")).distinct()
         several = alike.groupBy("key").agg(F.min("id").alias("x"), F.max("id").alias("y")).where("x <> y").select("key")
-        pairs = _paired(cut(alike.join(several, "key").join(first, "id")))
+        old, pairs = pairs, _paired(written(alike.join(several, "key").join(first, "id")))
+        discarded(old, *[got] * (len(spans) > 1))  # the first also has the paragraphs
         if pairs.isEmpty():
             break
         got = fetched(_blocks(pairs).withColumn("units", F.lit(None).cast("array<struct<h:long,pos:int,n:int>>")))
         tidy(docs.sparkSession)
-    spans = cut(functools.reduce(DataFrame.unionByName, spans))
+    spans = written(functools.reduce(DataFrame.unionByName, spans))
     # paragraphs: by their components, equal ones among them
     labels = _labelled(meets, sets, similarity_percent)
     several = places.groupBy("h").agg(F.min("id").alias("x"), F.max("id").alias("y")).where("x <> y").select("h")
-    nodes = cut(several.join(labels, F.col("h") == F.col("node"), "full").select(F.coalesce("h", "node").alias("h"), F.coalesce("label", "h").alias("label")))
-    rows = cut(places.join(nodes, "h").select("id", "pos", "n", "label").distinct().join(first, "id"))
-    keeper = cut(rows.groupBy("label").agg(F.min(F.struct("first_doc", "id", "pos")).alias("k")).select("label", F.col("k.id").alias("kid")))
+    nodes = written(several.join(labels, F.col("h") == F.col("node"), "full").select(F.coalesce("h", "node").alias("h"), F.coalesce("label", "h").alias("label")))
+    rows = written(places.join(nodes, "h").select("id", "pos", "n", "label").distinct().join(first, "id"))
+    keeper = written(rows.groupBy("label").agg(F.min(F.struct("first_doc", "id", "pos")).alias("k")).select("label", F.col("k.id").alias("kid")))
     gone = rows.join(keeper, "label").where("id <> kid").select("id", "kid", F.col("pos").alias("first"), F.col("n").alias("words"))
-    spans = cut(spans.unionByName(gone))
+    spans = written(spans.unionByName(gone))
+    discarded(all_asked, shared, meets, nodes, rows)
     tidy(docs.sparkSession)
     whose = first.select(F.col("id").alias("kid"), F.col("first_doc").alias("kept_doc"))
     kept = spans.select("id", "kid").distinct().join(whose, "kid").groupBy(F.col("id").alias("k_id")).agg(F.sort_array(F.collect_set("kept_doc")).alias("g_kept"))
@@ -422,7 +424,7 @@ def removed(text: str, spans: list[tuple[int, int]], word: re.Pattern = re.compi
 
 def cleaned(docs: DataFrame, similarity_percent: int = 80) -> DataFrame:
     """docs without what repeats() finds: spans cut out of the texts, n_chars (if there is such a column) counted anew, and rows left without a word dropped. Other columns and rows without repeats stay as they are."""
-    found = cut(repeats(docs, similarity_percent).select(F.col("doc_id").alias("_doc"), F.col("id").alias("_id"), F.transform("spans", lambda s: F.array(s["first"], s["words"])).alias("_spans")).distinct())
+    found = written(repeats(docs, similarity_percent).select(F.col("doc_id").alias("_doc"), F.col("id").alias("_id"), F.transform("spans", lambda s: F.array(s["first"], s["words"])).alias("_spans")).distinct())
 
     @F.pandas_udf("string")
     def without(text, spans):
