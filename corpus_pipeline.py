@@ -52,9 +52,12 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     out = again(j.where("_rows = 1"), F.col("_times"))
     if times.where("_rows > 1").isEmpty():
         return out
-    ranked = j.where("_rows > 1").withColumn("_r", F.row_number().over(Window.partitionBy("_doc", "_k").orderBy(F.to_json("_row"))))
-    own = F.expr("_times div _rows") + (F.col("_r") <= F.expr("_times % _rows")).cast("long")
-    return out.unionByName(again(ranked.withColumn("_own", own).where("_own > 0"), F.col("_own")))
+    # equal rows are counted first, so that a row that comes very often is one
+    whole = F.to_json("_row")
+    each = j.where("_rows > 1").groupBy("_doc", "_k", "_times", "_rows", whole.alias("_json")).agg(F.first("_row").alias("_row"), F.count("*").alias("_c"))
+    before = F.sum("_c").over(Window.partitionBy("_doc", "_k").orderBy("_json")) - F.col("_c")
+    more = F.greatest(F.lit(0).cast("long"), F.least(F.expr("_times % _rows") - before, F.col("_c")))
+    return out.unionByName(again(each.withColumn("_own", F.expr("_times div _rows") * F.col("_c") + more).where("_own > 0"), F.col("_own")))
 
 
 def byte_bpe(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -76,10 +79,13 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The stages applied to documents, each written to the shared folder and read again."""
+    """The stages applied to documents, each written to the shared folder and read again; a stage's input goes once its output is written."""
     docs = common.table(spark, sf_dir, "documents")
     for i, (_, stage) in enumerate(STAGES):
-        docs = stage(spark, docs, sf_dir)
+        out = stage(spark, docs, sf_dir)
         if i + 1 < len(STAGES):
-            docs = common.written(docs)
+            before, docs = docs, common.written(out)
+            common.discarded(before)
+        else:
+            docs = out
     return docs
