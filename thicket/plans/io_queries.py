@@ -156,11 +156,13 @@ def write_merged_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return writers.merged(spark, [path + "/a", path + "/b"], ["doc_id"], "version").select("doc_id", "state", "version")
 
 
-@query("SELECT 'r1' AS run_id, 'beam' AS algorithm, '3' AS width")
+@query("SELECT source AS run_id, 'beam' AS algorithm, CAST(count(*) AS VARCHAR) AS n_examples FROM documents GROUP BY source")
 def write_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A manifest for the run of each source, with its number of examples among the settings."""
     path = folder(spark) + "/m"
-    writers.manifest(spark, path, "r1", {"algorithm": "beam", "width": 3})
-    return spark.read.schema("run_id string, settings struct<algorithm:string,width:string>").json(path).select("run_id", "settings.*")
+    runs = read(spark, sf_dir, "documents").groupBy("source").agg(F.lit("beam").alias("algorithm"), F.count("*").alias("n_examples"))
+    writers.manifests(runs, path, "source", ["algorithm", "n_examples"])
+    return spark.read.schema("run_id string, settings struct<algorithm:string,n_examples:string>").json(path).select("run_id", "settings.*")
 
 
 @query("""SELECT '{"' || doc_id || '":"' || lang || '"}' AS value FROM documents""")

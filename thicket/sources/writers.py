@@ -23,6 +23,12 @@ def manifest(spark: SparkSession, path: str, run_id: str, settings: dict[str, An
     spark.createDataFrame([(run_id, {k: str(v) for k, v in settings.items()})], "run_id string, settings map<string,string>").coalesce(1).write.mode("append").json(path)
 
 
+def manifests(runs: DataFrame, path: str, run_id: str, settings: list[str]) -> None:
+    """A row like manifest()'s for each row of runs, its settings from the columns named."""
+    of = F.create_map(*[x for c in settings for x in (F.lit(c), F.col(c).cast("string"))])
+    runs.select(F.col(run_id).alias("run_id"), of.alias("settings")).write.mode("append").json(path)
+
+
 def merged(spark: SparkSession, paths: list[str], keys: list[str], version: str) -> DataFrame:
     """Chunks of results as one table: of each key the row of highest version."""
     rows = None
