@@ -59,3 +59,46 @@ def test_wide_and_empty(spark):
     assert tree_search.search(spark.createDataFrame([], NODE), n_iters=2)[0].collect() == []
     with pytest.raises(ValueError):
         tree_search.search(wide, n_iters=0)
+
+
+def test_adaptive_beam(spark):
+    """Against one example at a time: budgets that rise, terminal nodes, dead ends, ties, examples that end at once."""
+    from pyspark.sql import functions as F
+
+    rng = random.Random(5)
+    rows, kids = [], {}
+    for e in range(8):
+        level = ["r"]
+        for depth in range(6):
+            below = []
+            for p in level[:6]:
+                for c in range(rng.randrange(4)):
+                    n = f"{p}.{c}"
+                    row = (e, p, n, float(rng.randrange(4)), rng.random() < 0.1, rng.choice([None, 0, 0, 1, 2]))
+                    rows.append(row)
+                    kids.setdefault((e, p), []).append(row)
+                    below.append(n)
+            level = below
+
+    def by_hand(e, width, depth, limit):
+        beam, budget, done, at = [(("r",), 0.0)], min(depth, limit), [], 0
+        while beam:
+            at += 1
+            grown = [((*path, n), s + r, t, more) for path, s in beam for _, _, n, r, t, more in kids.get((e, path[-1]), [])]
+            grown = sorted(grown, key=lambda x: (-x[1], x[0]))[:width]
+            budget = min(limit, budget + max([more or 0 for *_, more in grown], default=0))
+            done += [(path, s, at) for path, s, t, _ in grown if t or at >= budget]
+            beam = [(path, s) for path, s, t, _ in grown if not t and at < budget]
+        return min(done, key=lambda x: (-x[1], x[0])) if done else None
+
+    nodes = spark.createDataFrame(rows, "_e long, _p string, node_id string, reward double, terminal boolean, more int")
+
+    def children(frontier):
+        j = frontier.join(nodes, (F.col("example_id") == F.col("_e")) & (F.col("parent_id") == F.col("_p")))
+        return j.drop("_e", "_p").withColumns({"action": F.lit("a"), "pos": F.lit(0)})
+
+    roots = spark.createDataFrame([(e, "r") for e in range(9)], "example_id long, node_id string")
+    for options in ((2, 2, 5), (3, 1, 6), (1, 9, 3)):
+        got = {r["example_id"]: (tuple(r["path_ids"]), r["score"], r["depth"]) for r in search.adaptive_beam(roots, children, *options).collect()}
+        want = {e: by_hand(e, *options) for e in range(9)}
+        assert got == {e: w for e, w in want.items() if w}

@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from thicket.functions.score import aggregated, softmax, unbiased_softmax
+from thicket.storage import written
 
 Model = Callable[[DataFrame], DataFrame]
 _NEW = ("node_id", "action", "reward", "terminal", "pos")
@@ -87,6 +88,29 @@ def beam_search(roots: DataFrame, children: Model, beam_size: int, max_depth: in
     return ranked if return_beam else ranked.where("rank = 1")
 
 
+def adaptive_beam(roots: DataFrame, children: Model, beam_size: int, depth: int, limit: int, aggregator: str = "sum") -> DataFrame:
+    """(example_id, node_id, depth, budget, path_ids, path_rewards, score): the best finished path of each example, by a beam whose depth the model may raise.
+
+    Each example has a budget of `depth` levels. children() also gives `more`, levels that a child asks for beyond that (null: none); what the kept child that asks for most gets is added to its example's budget, to `limit` at most. Nodes end as terminal ones or when their example's budget is used up, and leave the beam; those without children leave it without an end. Levels are made while any example has a beam: each is written, so lineage doesn't grow. Ties go by path.
+    """
+    frontier, done = _start(roots).withColumn("budget", F.lit(min(depth, limit))), None
+    while True:
+        ex = Window.partitionBy("example_id")
+        grown = _grown(frontier, children).withColumn("score", aggregated(F.col("path_rewards"), aggregator))
+        grown = grown.withColumn("_r", F.row_number().over(ex.orderBy(F.desc("score"), "path_ids"))).where(F.col("_r") <= beam_size).drop("_r")
+        asked = F.coalesce(F.max("more").over(ex), F.lit(0))
+        grown = grown.withColumn("budget", F.least(F.lit(limit), F.col("budget") + F.greatest(asked, F.lit(0))).cast("int"))
+        grown = written(grown.drop("action", "reward", "pos", "more"))
+        over = F.col("terminal") | (F.col("depth") >= F.col("budget"))
+        ended = grown.where(over).select("example_id", "node_id", "depth", "budget", "path_ids", "path_rewards", "score")
+        done = ended if done is None else done.unionByName(ended)
+        frontier = grown.where(~over).drop("score")
+        if frontier.isEmpty():
+            break
+    best = Window.partitionBy("example_id").orderBy(F.desc("score"), "path_ids")
+    return done.withColumn("_r", F.row_number().over(best)).where("_r = 1").drop("_r")
+
+
 def greedy_search(roots: DataFrame, children: Model, max_depth: int, **options) -> DataFrame:
     """Beam search of width 1."""
     return beam_search(roots, children, 1, max_depth, **options)

@@ -1,6 +1,33 @@
 """Queries over the driver tables, each with DuckDB SQL where SQL can express it."""
 
-from thicket.plans import algebra_queries, alignment_queries, crossword_queries, family_queries, io_queries, mcts_queries, more_queries, search_queries, significance_queries, step_queries, text_queries
+from thicket.plans import (
+    adaptive_queries,
+    algebra_queries,
+    alignment_queries,
+    crossword_queries,
+    family_queries,
+    io_queries,
+    mcts_queries,
+    more_queries,
+    search_queries,
+    significance_queries,
+    step_queries,
+    text_queries,
+)
 
-QUERIES = search_queries.QUERIES | step_queries.QUERIES | text_queries.QUERIES | more_queries.QUERIES | family_queries.QUERIES | io_queries.QUERIES | algebra_queries.QUERIES | significance_queries.QUERIES | crossword_queries.QUERIES | alignment_queries.QUERIES | mcts_queries.QUERIES
-ORACLES = search_queries.ORACLES | step_queries.ORACLES | text_queries.ORACLES | more_queries.ORACLES | family_queries.ORACLES | io_queries.ORACLES | algebra_queries.ORACLES | significance_queries.ORACLES | crossword_queries.ORACLES | alignment_queries.ORACLES | mcts_queries.ORACLES
+_ALL = (
+    search_queries,
+    step_queries,
+    text_queries,
+    more_queries,
+    family_queries,
+    io_queries,
+    algebra_queries,
+    alignment_queries,
+    mcts_queries,
+    crossword_queries,
+    adaptive_queries,
+    significance_queries,
+)
+QUERIES = {name: query for part in _ALL for name, query in part.QUERIES.items()}
+ORACLES = {name: sql for part in _ALL for name, sql in part.ORACLES.items()}
