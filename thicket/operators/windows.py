@@ -5,11 +5,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from thicket.operators.scan import scan
+
 
 def running_accuracy(results: DataFrame, by: list[str], order: list[str], correct: str) -> DataFrame:
     """results with n, n_correct and accuracy up to each row."""
-    w = Window.partitionBy(*by).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-    r = results.withColumn("n", F.count("*").over(w)).withColumn("n_correct", F.sum(F.col(correct).cast("long")).over(w))
+    r = scan(results, by, order, {"n": F.lit(1).cast("long"), "n_correct": F.coalesce(F.col(correct).cast("long"), F.lit(0).cast("long"))})
     return r.withColumn("accuracy", F.round(F.col("n_correct") / F.col("n"), 6))
 
 
@@ -72,12 +73,12 @@ def rendered(steps: DataFrame, by: list[str], order: str, text: Column, heading:
 def interleaved(items: DataFrame, source: str, order: str, per_block: dict[str, int]) -> DataFrame:
     """items with block and place: each source gives its number of items to every block, sources by name inside a block."""
     size = F.create_map(*[x for k, v in per_block.items() for x in (F.lit(k), F.lit(v))])[F.col(source)]
-    i = F.row_number().over(Window.partitionBy(source).orderBy(order)) - 1
-    return items.withColumn("_i", i).withColumn("block", F.floor(F.col("_i") / size).cast("long")).withColumn("place", (F.col("_i") % size).cast("long")).drop("_i")
+    i = scan(items, [source], [order], {"_i": F.lit(1).cast("long")}).withColumn("_i", F.col("_i") - 1)
+    return i.withColumn("block", F.floor(F.col("_i") / size).cast("long")).withColumn("place", (F.col("_i") % size).cast("long")).drop("_i")
 
 
 def balanced(rows: DataFrame, label: str, order: list[str]) -> DataFrame:
     """The first rows of each class, as many as the smaller class has. The counts are one row a class."""
     n = rows.groupBy(label).agg(F.count("*").alias("_n")).agg(F.min("_n").alias("_least"), F.count("*").alias("_classes"))
-    ranked = rows.withColumn("rank", F.row_number().over(Window.partitionBy(label).orderBy(*order)))
+    ranked = scan(rows, [label], order, {"rank": F.lit(1).cast("long")}).withColumn("rank", F.col("rank").cast("int"))
     return ranked.join(F.broadcast(n), F.col("rank") <= F.col("_least")).drop("_least", "_classes")
