@@ -267,26 +267,49 @@ def matches(a: np.ndarray, b: np.ndarray, seeds: list[list[int]]) -> tuple[tuple
     return spans, ends
 
 
+def _told(ids, kids, start, found: tuple[tuple, tuple], before: np.ndarray) -> tuple[list[pa.Array], np.ndarray]:
+    """Columns (id, kid, first, n, key, start, seed) of what matches() finds of some rows: its stretches, then, with n 0, its ends, and the rows of these. key: of the key before, what is equal from the seed on and the next word, so that texts of one key agree further with each other than with kid."""
+    (i, x, n), (j, seed, side, off, word) = found
+    key = mixed(before[j] + mixed(seed.astype(np.uint64) * GOLDEN + mixed((side << 32 | off).astype(np.uint64)) + mixed(word.astype(np.uint64))))
+    more = np.repeat([True, False], [len(i), len(j)])
+    cols = [
+        pa.array(np.concatenate((ids[i], ids[j]))),
+        pa.array(np.concatenate((kids[i], kids[j]))),
+        pa.array(np.concatenate((start[i] - REACH + x, np.zeros(len(j), np.int64))).astype(np.int32)),
+        pa.array(np.concatenate((n, np.zeros(len(j), np.int64))).astype(np.int32)),
+        pa.array(np.concatenate((np.zeros(len(i), np.int64), key.view(np.int64))), mask=more),
+        pa.array(np.concatenate((start[i], start[j])).astype(np.int32), mask=more),
+        pa.array(np.concatenate((np.zeros(len(i), np.int64), seed)).astype(np.int32), mask=more),
+    ]
+    return cols, j
+
+
+TOLD = ["id", "kid", "first", "n", "key", "start", "seed"]
+TOLD_TYPES = "id long, kid long, first int, n int, key long, start int, seed int"
+
+
 def _compared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of blocks (id, start, kid, kstart, seeds, words, kwords) the grown matches (id, kid, first, words), and (id, first, key) of each place first whose match ends where the text goes on: a key of what is equal and of the next word, so that texts of one key agree further with each other than with kid."""
+    """What is told of blocks (id, start, kid, kstart, seeds, words, kwords)."""
     for whole in batches:
         for k in range(0, whole.num_rows, 2048):
             b = whole.slice(k, 2048)
             mine, theirs = (b.column(k).flatten().to_numpy().reshape(-1, WIDE) for k in ("words", "kwords"))
             ids, start, kids, kstart = (b.column(k).to_numpy(zero_copy_only=False) for k in ("id", "start", "kid", "kstart"))
-            (i, x, n), (j, seed, side, off, word) = matches(mine, theirs, [[REACH + s for s in seeds] for seeds in b.column("seeds").to_pylist()])
-            key = mixed(kids[j].view(np.uint64) + mixed((kstart[j] + seed).astype(np.uint64) * GOLDEN + mixed((side << 32 | off).astype(np.uint64)) + mixed(word.astype(np.uint64))))
-            rows, none = len(i), len(j)
-            yield pa.RecordBatch.from_arrays(
-                [
-                    pa.array(np.concatenate((ids[i], ids[j]))),
-                    pa.array(np.concatenate((kids[i], kids[j]))),
-                    pa.array(np.concatenate((start[i] - REACH + x, start[j] - REACH + seed)).astype(np.int32)),
-                    pa.array(np.concatenate((n, np.zeros(none, np.int64))).astype(np.int32)),
-                    pa.array(np.concatenate((np.zeros(rows, np.int64), key.view(np.int64))), mask=np.repeat([True, False], [rows, none])),
-                ],
-                names=["id", "kid", "first", "words", "key"],
-            )
+            found = matches(mine, theirs, [[REACH + s for s in seeds] for seeds in b.column("seeds").to_pylist()])
+            cols, _ = _told(ids, kids, start, found, kids.view(np.uint64) + mixed(kstart.astype(np.uint64)))
+            yield pa.RecordBatch.from_arrays(cols, names=TOLD)
+
+
+def _followed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The same of texts (key, id, start, seed, words, first_doc) that agree with each other around the seed, against the first of their key (kid, kwords); the ends with what is needed to go on."""
+    for whole in batches:
+        for k in range(0, whole.num_rows, 2048):
+            b = whole.slice(k, 2048)
+            mine, theirs = (b.column(k).flatten().to_numpy().reshape(-1, WIDE) for k in ("words", "kwords"))
+            ids, start, kids, seed, key = (b.column(k).to_numpy(zero_copy_only=False) for k in ("id", "start", "kid", "seed", "key"))
+            cols, j = _told(ids, kids, start, matches(mine, theirs, [[s] for s in seed.tolist()]), key.view(np.uint64))
+            at = pa.array(np.concatenate((np.zeros(len(cols[0]) - len(j), np.int64), j)), mask=np.arange(len(cols[0])) < len(cols[0]) - len(j))
+            yield pa.RecordBatch.from_arrays([*cols, b.column("words").take(at), b.column("first_doc").take(at)], names=[*TOLD, "words", "first_doc"])
 
 
 def _asked(d: DataFrame, first: DataFrame, asks: DataFrame) -> DataFrame:
@@ -310,10 +333,29 @@ def _blocks(pairs: DataFrame) -> DataFrame:
     return both.groupBy("id").agg(F.collect_set("start").alias("blocks"))
 
 
-def _matched(pairs: DataFrame, of: DataFrame) -> DataFrame:
+def _several(ends: DataFrame) -> DataFrame:
+    """The ends of keys that several texts have."""
+    several = ends.groupBy("key").agg(F.min("id").alias("x"), F.max("id").alias("y")).where("x <> y").select("key")
+    return ends.join(several, "key", "left_semi")
+
+
+def _stretches(pairs: DataFrame, of: DataFrame, first: DataFrame) -> list[DataFrame]:
+    """(id, kid, first, n) of the matches of pairs by their blocks (id, start, words), and of texts that go on alike where the one they were compared with goes on otherwise: these are compared with the first of them, and so on until none do. All of a key have the anchor at one place of their blocks, so nothing is fetched again."""
     mine, theirs = of.select("id", "start", "words"), of.select(F.col("id").alias("kid"), F.col("start").alias("kstart"), F.col("words").alias("kwords"))
     j = pairs.join(mine, ["id", "start"]).join(theirs, ["kid", "kstart"]).select("id", "start", "kid", "kstart", "seeds", "words", "kwords")
-    return j.mapInArrow(_compared, "id long, kid long, first int, words int, key long")
+    found = written(j.mapInArrow(_compared, TOLD_TYPES))
+    out = [found]
+    ends = written(_several(found.where("n = 0").select("key", "id", "start", "seed").dropDuplicates(["key", "id", "start"])))
+    ends = written(ends.join(mine, ["id", "start"]).join(first, "id"))
+    kind = dict(first.dtypes)["first_doc"]
+    while not ends.isEmpty():
+        keep = ends.groupBy("key").agg(F.min_by(F.struct("id", "words"), F.struct("first_doc", "id", "start")).alias("k"))
+        j = ends.join(keep.select("key", F.col("k.id").alias("kid"), F.col("k.words").alias("kwords")), "key").where("id <> kid")
+        found = written(j.mapInArrow(_followed, f"{TOLD_TYPES}, words array<int>, first_doc {kind}"))
+        out.append(found)
+        old, ends = ends, written(_several(found.where("n = 0").select("key", "id", "start", "seed", "words", "first_doc")))
+        discarded(old)
+    return [f.where("n > 0").select("id", "kid", "first", F.col("n").alias("words")) for f in out]
 
 
 def _labelled(meets: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -373,26 +415,15 @@ def repeats(docs: DataFrame, similarity_percent: int = 80) -> DataFrame:
     blocks = _blocks(pairs)
     wanted = meets.select("h").unionByName(meets.select(F.col("lh").alias("h"))).distinct()
     units = places.join(wanted, "h", "left_semi").groupBy("h").agg(F.min(F.struct("id", "pos", "n")).alias("p")).groupBy("p.id").agg(F.collect_list(F.struct("h", "p.pos", "p.n")).alias("units"))
-    twice = info.groupBy("doc_id", "id").count().where("count > 1").limit(1).count() > 0
-    fetched = lambda asks: written(once(_asked(d, first, asks)))
-    once = lambda got: got.dropDuplicates(["id", "start"]) if twice else got  # noqa: E731  # repeated rows are asked each
-    got = all_asked = fetched(units.join(blocks, "id", "full"))
+    got = _asked(d, first, units.join(blocks, "id", "full"))
+    if info.groupBy("doc_id", "id").count().where("count > 1").limit(1).count():  # repeated rows are asked each
+        got = got.dropDuplicates(["id", "start"])
+    got = written(got)
     tidy(docs.sparkSession)
     sets = got.where("start is null").select("id", "n", "sketch", "el")
-    spans = []
-    while True:
-        found = written(_matched(pairs, got.where("start is not null")))
-        spans.append(found.where("words > 0").select("id", "kid", "first", "words"))
-        # texts that go on alike where the one they were compared with goes on otherwise are compared with the first of them
-        alike = found.where("words = 0").select("key", "id", F.col("first").alias("pos")).distinct()
-        several = alike.groupBy("key").agg(F.min("id").alias("x"), F.max("id").alias("y")).where("x <> y").select("key")
-        old, pairs = pairs, _paired(written(alike.join(several, "key").join(first, "id")))
-        discarded(old, *[got] * (len(spans) > 1))  # the first also has the paragraphs
-        if pairs.isEmpty():
-            break
-        got = fetched(_blocks(pairs).withColumn("units", F.lit(None).cast("array<struct<h:long,pos:int,n:int>>")))
-        tidy(docs.sparkSession)
-    spans = written(functools.reduce(DataFrame.unionByName, spans))
+    spans = written(functools.reduce(DataFrame.unionByName, _stretches(pairs, got.where("start is not null"), first)))
+    discarded(pairs, shared)
+    tidy(docs.sparkSession)
     # paragraphs: by their components, equal ones among them
     labels = _labelled(meets, sets, similarity_percent)
     several = places.groupBy("h").agg(F.min("id").alias("x"), F.max("id").alias("y")).where("x <> y").select("h")
@@ -401,7 +432,7 @@ def repeats(docs: DataFrame, similarity_percent: int = 80) -> DataFrame:
     keeper = written(rows.groupBy("label").agg(F.min(F.struct("first_doc", "id", "pos")).alias("k")).select("label", F.col("k.id").alias("kid")))
     gone = rows.join(keeper, "label").where("id <> kid").select("id", "kid", F.col("pos").alias("first"), F.col("n").alias("words"))
     spans = written(spans.unionByName(gone))
-    discarded(all_asked, shared, meets, nodes, rows)
+    discarded(got, meets, nodes, rows)
     tidy(docs.sparkSession)
     whose = first.select(F.col("id").alias("kid"), F.col("first_doc").alias("kept_doc"))
     kept = spans.select("id", "kid").distinct().join(whose, "kid").groupBy(F.col("id").alias("k_id")).agg(F.sort_array(F.collect_set("kept_doc")).alias("g_kept"))
