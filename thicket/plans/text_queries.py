@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from thicket.functions import extract, judge
-from thicket.operators import similarity, windows
+from thicket.operators import contained, similarity, windows
 from thicket.plans.tables import read
 
 QUERIES, ORACLES = {}, {}
@@ -58,13 +58,10 @@ def judge_numeric_ladder(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("SELECT item_id, count(doc_id) AS n_docs, coalesce(min(doc_id), -1) AS first_doc FROM benchmark b LEFT JOIN documents d ON contains(d.text, b.text) GROUP BY item_id")
 def judge_answer_in_text(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Documents that hold a benchmark item word for word; the items are a stated set, which goes in blocks of some thousand, each broadcast and counted before the next joins."""
+    """Documents that hold a benchmark item word for word: joined on each item's rarest pair of words, then looked through."""
     b = read(spark, sf_dir, "benchmark").select("item_id", F.col("text").alias("item"))
-    docs, blocks, hits = read(spark, sf_dir, "documents").select("doc_id", "text"), max(1, -(-b.count() // 1_000)), None
-    for k in range(blocks):
-        part = b.where(F.pmod(F.xxhash64("item_id"), F.lit(blocks)) == k) if blocks > 1 else b
-        each = docs.join(F.broadcast(part), F.contains("text", "item")).groupBy("item_id").agg(F.count("*").alias("n_docs"), F.min("doc_id").alias("first_doc"))
-        hits = each if hits is None else hits.unionByName(each)
+    found = contained.holders(b, read(spark, sf_dir, "documents").select("doc_id", "text"))
+    hits = found.groupBy("item_id").agg(F.count("*").alias("n_docs"), F.min("doc_id").alias("first_doc"))
     return b.select("item_id").join(hits, "item_id", "left").fillna(0, ["n_docs"]).fillna(-1, ["first_doc"])
 
 
