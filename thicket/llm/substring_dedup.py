@@ -267,9 +267,11 @@ def matches(a: np.ndarray, b: np.ndarray, seeds: list[list[int]]) -> tuple[tuple
     return spans, ends
 
 
-def _told(ids, kids, start, found: tuple[tuple, tuple], before: np.ndarray) -> tuple[list[pa.Array], np.ndarray]:
-    """Columns (id, kid, first, n, key, start, seed) of what matches() finds of some rows: its stretches, then, with n 0, its ends, and the rows of these. key: of the key before, what is equal from the seed on and the next word, so that texts of one key agree further with each other than with kid."""
+def _told(ids, kids, start, found: tuple[tuple, tuple], before: np.ndarray, last: np.ndarray | None = None) -> tuple[list[pa.Array], np.ndarray]:
+    """Columns (id, kid, first, n, key, start, seed, side) of what matches() finds of some rows: its stretches, then, with n 0, its ends, and the rows of these. key: of the key before, what is equal from the seed on and the next word, so that texts of one key agree further with each other than with kid. last: the side of each row's key; after an end on the left only ends on the left count, so that each subset is reached in one order."""
     (i, x, n), (j, seed, side, off, word) = found
+    if last is not None:
+        j, seed, side, off, word = (v[(side == 0) | (last[j] == 1)] for v in (j, seed, side, off, word))
     key = mixed(before[j] + mixed(seed.astype(np.uint64) * GOLDEN + mixed((side << 32 | off).astype(np.uint64)) + mixed(word.astype(np.uint64))))
     more = np.repeat([True, False], [len(i), len(j)])
     cols = [
@@ -280,12 +282,13 @@ def _told(ids, kids, start, found: tuple[tuple, tuple], before: np.ndarray) -> t
         pa.array(np.concatenate((np.zeros(len(i), np.int64), key.view(np.int64))), mask=more),
         pa.array(np.concatenate((start[i], start[j])).astype(np.int32), mask=more),
         pa.array(np.concatenate((np.zeros(len(i), np.int64), seed)).astype(np.int32), mask=more),
+        pa.array(np.concatenate((np.zeros(len(i), np.int64), side)).astype(np.int32), mask=more),
     ]
     return cols, j
 
 
-TOLD = ["id", "kid", "first", "n", "key", "start", "seed"]
-TOLD_TYPES = "id long, kid long, first int, n int, key long, start int, seed int"
+TOLD = ["id", "kid", "first", "n", "key", "start", "seed", "side"]
+TOLD_TYPES = "id long, kid long, first int, n int, key long, start int, seed int, side int"
 
 
 def _compared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -306,8 +309,8 @@ def _followed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for k in range(0, whole.num_rows, 2048):
             b = whole.slice(k, 2048)
             mine, theirs = (b.column(k).flatten().to_numpy().reshape(-1, WIDE) for k in ("words", "kwords"))
-            ids, start, kids, seed, key = (b.column(k).to_numpy(zero_copy_only=False) for k in ("id", "start", "kid", "seed", "key"))
-            cols, j = _told(ids, kids, start, matches(mine, theirs, [[s] for s in seed.tolist()]), key.view(np.uint64))
+            ids, start, kids, seed, key, side = (b.column(k).to_numpy(zero_copy_only=False) for k in ("id", "start", "kid", "seed", "key", "side"))
+            cols, j = _told(ids, kids, start, matches(mine, theirs, [[s] for s in seed.tolist()]), key.view(np.uint64), side)
             at = pa.array(np.concatenate((np.zeros(len(cols[0]) - len(j), np.int64), j)), mask=np.arange(len(cols[0])) < len(cols[0]) - len(j))
             yield pa.RecordBatch.from_arrays([*cols, b.column("words").take(at), b.column("first_doc").take(at)], names=[*TOLD, "words", "first_doc"])
 
@@ -345,7 +348,7 @@ def _stretches(pairs: DataFrame, of: DataFrame, first: DataFrame) -> list[DataFr
     j = pairs.join(mine, ["id", "start"]).join(theirs, ["kid", "kstart"]).select("id", "start", "kid", "kstart", "seeds", "words", "kwords")
     found = written(j.mapInArrow(_compared, TOLD_TYPES))
     out = [found]
-    ends = written(_several(found.where("n = 0").select("key", "id", "start", "seed").dropDuplicates(["key", "id", "start"])))
+    ends = written(_several(found.where("n = 0").select("key", "id", "start", "seed", "side").dropDuplicates(["key", "id", "start"])))
     ends = written(ends.join(mine, ["id", "start"]).join(first, "id"))
     kind = dict(first.dtypes)["first_doc"]
     while not ends.isEmpty():
@@ -353,7 +356,7 @@ def _stretches(pairs: DataFrame, of: DataFrame, first: DataFrame) -> list[DataFr
         j = ends.join(keep.select("key", F.col("k.id").alias("kid"), F.col("k.words").alias("kwords")), "key").where("id <> kid")
         found = written(j.mapInArrow(_followed, f"{TOLD_TYPES}, words array<int>, first_doc {kind}"))
         out.append(found)
-        old, ends = ends, written(_several(found.where("n = 0").select("key", "id", "start", "seed", "words", "first_doc")))
+        old, ends = ends, written(_several(found.where("n = 0").select("key", "id", "start", "seed", "side", "words", "first_doc")))
         discarded(old)
     return [f.where("n > 0").select("id", "kid", "first", F.col("n").alias("words")) for f in out]
 
