@@ -280,6 +280,26 @@ def test_jaccard_blocks_of_a_key(spark, monkeypatch):
     assert jaccard_join.classes(none(spark)).count() == 0
 
 
+def test_jaccard_asks_for_the_elements_of_likely_pairs_alone(spark):
+    """Sets of pairs that size or sketch rule out are neither asked for nor written, and what is written on the way goes."""
+    rng = random.Random(8)
+    texts = [prose(rng, 200, 10**6) for _ in range(3)]
+    texts.append(texts[0] + " end")
+    d = docs_of(spark, [(i, t, "en", "a", 1) for i, t in enumerate(texts)]).withColumn("text_hash", F.lit(0).cast("long"))
+    info = common.written(d.select("doc_id", "text", "text_hash").mapInArrow(jaccard_join._measured(4), "doc_id long, text_hash long, id long, n_shingles long, sketch binary"))
+    ids = [r["id"] for r in info.orderBy("doc_id").collect()]
+    asked = []
+
+    def elements(of):
+        asked.extend(r[0] for r in of.collect())
+        return d.join(info.select("doc_id", "id"), "doc_id").join(of, "id", "left_semi").select("id", "text").mapInArrow(jaccard_join._elements(4), "id long, el array<long>")
+
+    pairs = spark.createDataFrame([(ids[0], ids[1]), (ids[1], ids[2]), (ids[0], ids[3])], "a long, b long")
+    sets = info.select("id", F.col("n_shingles").alias("n"), "sketch")
+    assert [tuple(r) for r in jaccard_join.verified(pairs, sets, elements, 85).collect()] == [(ids[0], ids[3])]
+    assert sorted(asked) == sorted([ids[0], ids[3]])
+
+
 def test_components(spark):
     rng = random.Random(9)
     links = [(rng.randrange(200), rng.randrange(200)) for _ in range(120)] + [(1000 + i, 1001 + i) for i in range(40)]

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import functools
 import math
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -102,13 +102,19 @@ def _ids(own: np.ndarray, el: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarra
     return sizes, np.where(sizes > 0, np.maximum(ids, 1), 0)
 
 
+def _sketches(own: np.ndarray, el: np.ndarray, n: int) -> np.ndarray:
+    """The parity sketch of each set, as a row of bytes."""
+    bit = own * SKETCH + ((el >> np.uint64(8)).astype(np.int64) & (SKETCH - 1))
+    return np.packbits((np.bincount(bit, minlength=n * SKETCH) & 1).astype(np.uint8).reshape(n, SKETCH), axis=1)
+
+
 def _measured(n: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            parts = [(*_ids(own, el, last - first),) for first, last, own, el in sets_of(b.column("text"), n)]
+            parts = [(*_ids(own, el, last - first), _sketches(own, el, last - first)) for first, last, own, el in sets_of(b.column("text"), n)]
             if parts:
-                sizes, ids = (np.concatenate(x) for x in zip(*parts, strict=True))
-                yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("text_hash"), pa.array(ids), pa.array(sizes.astype(np.int64))], names=["doc_id", "text_hash", "id", "n_shingles"])
+                sizes, ids, sketches = (np.concatenate(x) for x in zip(*parts, strict=True))
+                yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("text_hash"), pa.array(ids), pa.array(sizes.astype(np.int64)), pa.array([x.tobytes() for x in sketches], pa.binary())], names=["doc_id", "text_hash", "id", "n_shingles", "sketch"])
 
     return run
 
@@ -192,7 +198,7 @@ def _indexed(n: int, plan: list[Scheme], percent: int):
 
 
 def _elements(n: int):
-    """(id, n, sketch, elements) of rows whose set has the id asked for."""
+    """(id, elements) of rows whose set has the id asked for."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -200,11 +206,8 @@ def _elements(n: int):
             for first, last, own, el in sets_of(b.column("text"), n):
                 sizes, ids = _ids(own, el, last - first)
                 ok = np.flatnonzero((ids == want[first:last]) & (sizes > 0))
-                bits = np.zeros((last - first, SKETCH), np.uint8)
-                np.add.at(bits, (own, (el >> np.uint64(8)).astype(np.int64) & (SKETCH - 1)), 1)
-                packed = np.packbits(bits & 1, axis=1)
                 ends = np.cumsum(sizes)
-                yield pa.RecordBatch.from_arrays([pa.array(ids[ok]), pa.array(sizes[ok].astype(np.int64)), pa.array([packed[i].tobytes() for i in ok], pa.binary()), pa.array([el[ends[i] - sizes[i] : ends[i]].view(np.int64) for i in ok], pa.list_(pa.int64()))], names=["id", "n", "sketch", "el"])
+                yield pa.RecordBatch.from_arrays([pa.array(ids[ok]), pa.array([el[ends[i] - sizes[i] : ends[i]].view(np.int64) for i in ok], pa.list_(pa.int64()))], names=["id", "el"])
 
     return run
 
@@ -253,8 +256,8 @@ def _cross(percent: int):
     return run
 
 
-def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Which of the pairs (a, b) link, by their elements: as ruled out by size and sketch first, so that only likely pairs carry elements."""
+def _likely(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """The pairs (a, b), with their sizes (na, nb), that size and sketch don't rule out."""
     small = sets.select("id", "n", "sketch")
     left, right = (small.select(F.col("id").alias(k), F.col("n").alias(f"n{k}"), F.col("sketch").alias(f"s{k}")) for k in "ab")
 
@@ -266,10 +269,21 @@ def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
         return pd.Series(np.bitwise_count(a ^ b).sum(1).astype(np.int32))
 
     p = pairs.join(left, "a").join(right, "b").where(100 * F.least("na", "nb") >= percent * F.greatest("na", "nb"))
-    p = p.where(apart("sa", "sb") * (100 + percent) <= (F.col("na") + F.col("nb")) * (100 - percent)).select("a", "b", "na", "nb")
-    p = p.join(sets.select(F.col("id").alias("a"), F.col("el").alias("ea")), "a").join(sets.select(F.col("id").alias("b"), F.col("el").alias("eb")), "b")
-    both = F.size(F.array_intersect("ea", "eb"))
-    return p.withColumn("i", both).where(100 * F.col("i") >= percent * (F.col("na") + F.col("nb") - F.col("i"))).select("a", "b")
+    return p.where(apart("sa", "sb") * (100 + percent) <= (F.col("na") + F.col("nb")) * (100 - percent)).select("a", "b", "na", "nb")
+
+
+def verified(pairs: DataFrame, sets: DataFrame, elements: Callable[[DataFrame], DataFrame], percent: int) -> DataFrame:
+    """Which of the pairs (a, b) link, by their elements, as a written table. sets: (id, n, sketch) of all. elements: what gives (id, el) of a table of ids, asked for the likely pairs' alone, so that no other set's elements are written or shuffled."""
+    p = written(_likely(pairs, sets, percent))
+    ids = written(p.select(F.col("a").alias("id")).unionByName(p.select(F.col("b").alias("id"))).distinct())
+    el = written(elements(ids))
+    tidy(p.sparkSession)
+    both = p.join(el.select(F.col("id").alias("a"), F.col("el").alias("ea")), "a").join(el.select(F.col("id").alias("b"), F.col("el").alias("eb")), "b")
+    i = F.size(F.array_intersect("ea", "eb"))
+    out = written(both.withColumn("i", i).where(100 * F.col("i") >= percent * (F.col("na") + F.col("nb") - F.col("i"))).select("a", "b"))
+    discarded(p, ids, el)
+    tidy(p.sparkSession)
+    return out
 
 
 def classes(docs: DataFrame, n: int = 4, percent: int = 85, tell_text: bool = False) -> DataFrame:
@@ -281,63 +295,72 @@ def classes(docs: DataFrame, n: int = 4, percent: int = 85, tell_text: bool = Fa
     """
     short_batches(docs.sparkSession)
     d = docs.select("doc_id", "text", F.xxhash64(F.coalesce("text", F.lit(""))).alias("text_hash"))
-    info = written(d.mapInArrow(_measured(n), "doc_id " + dict(d.dtypes)["doc_id"] + ", text_hash long, id long, n_shingles long"))
+    info = written(d.mapInArrow(_measured(n), "doc_id " + dict(d.dtypes)["doc_id"] + ", text_hash long, id long, n_shingles long, sketch binary"))
     sizes = {r["n_shingles"]: r["c"] for r in info.where("n_shingles > 0").groupBy("n_shingles").agg(F.count("*").alias("c")).collect()}  # one row a size
     plan = schemes(sizes, percent)
     index = d.select("text").mapInArrow(_indexed(n, plan, percent), index_schema(VALS))
     meets = written(links_by_key(index, VALS))
-    pairs = meets.groupBy(F.least("id", "lid").alias("a"), F.greatest("id", "lid").alias("b")).agg(F.count("*").alias("c")).join(*_sized(info, "a")).join(*_sized(info, "b")).where(100 * F.least("na", "nb") >= percent * F.greatest("na", "nb")).select("a", "b", "c")
-    pairs = written(pairs)
-    # one row of documents for each node that may link
-    wanted = pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id"))).distinct()
-    wanted = written(info.join(wanted, "id").groupBy("id").agg(F.min(F.struct("doc_id", "text_hash")).alias("w")).select("id", F.col("w.doc_id").alias("w_doc"), F.col("w.text_hash").alias("w_text")))
-    row = F.col("doc_id").eqNullSafe(F.col("w_doc")) & (F.col("text_hash") == F.col("w_text"))
-    sets = with_small(d, wanted, row, "inner").select("id", "text").mapInArrow(_elements(n), "id long, n long, sketch binary, el array<long>")
-    sets = written(sets.dropDuplicates(["id"]))
+    tidy(docs.sparkSession)
+    # of each node that meets another: size, sketch and one row of documents
+    wanted = meets.select("id").unionByName(meets.select(F.col("lid").alias("id"))).distinct()
+    sets = written(info.join(wanted, "id").groupBy("id").agg(F.min(F.struct("doc_id", "text_hash", "n_shingles", "sketch")).alias("w")).select("id", F.col("w.n_shingles").alias("n"), F.col("w.sketch").alias("sketch"), F.col("w.doc_id").alias("w_doc"), F.col("w.text_hash").alias("w_text")))
+    repeated = not info.where("n_shingles > 0").groupBy("doc_id", "text_hash").count().where("count > 1").isEmpty()
+
+    def elements(ids: DataFrame) -> DataFrame:
+        asked = written(sets.join(ids, "id").select("id", "w_doc", "w_text"))
+        row = F.col("doc_id").eqNullSafe(F.col("w_doc")) & (F.col("text_hash") == F.col("w_text"))
+        found = with_small(d, asked, row, "inner").select("id", "text").mapInArrow(_elements(n), "id long, el array<long>")
+        return found.dropDuplicates(["id"]) if repeated else found
+
+    pairs = meets.groupBy(F.least("id", "lid").alias("a"), F.greatest("id", "lid").alias("b")).agg(F.count("*").alias("c"))
+    pairs = pairs.join(sets.select(F.col("id").alias("a"), F.col("n").alias("na")), "a").join(sets.select(F.col("id").alias("b"), F.col("n").alias("nb")), "b")
+    pairs = written(pairs.where(100 * F.least("na", "nb") >= percent * F.greatest("na", "nb")).select("a", "b", "c"))
     tidy(docs.sparkSession)
     # the likeliest partner first
     best = pairs.groupBy("b").agg(F.max(F.struct("c", "a")).alias("m")).select(F.col("m.a").alias("a"), "b")
-    labels = written(components(_verified(best, sets, percent)))
+    found = verified(best, sets, elements, percent)
+    labels = written(components(found))
     # then other nodes of each key that holds several components, while that joins any, last all pairs between components
-    members = meets.select("key", "id").unionByName(meets.select("key", F.col("lid").alias("id"))).distinct()
-    labels = joined_by_key(members, labels, sets, percent)
+    members = written(meets.select("key", "id").unionByName(meets.select("key", F.col("lid").alias("id"))).distinct())
+    discarded(meets, pairs, found)
+    tidy(docs.sparkSession)
+    labels = joined_by_key(members, labels, sets, elements, percent)
     nodes = info.groupBy("id").agg(F.min("doc_id").alias("first")).join(labels, F.col("id") == F.col("node"), "left").select("id", "first", F.coalesce("label", "id").alias("label"))
     nodes = written(nodes)
-    discarded(meets, pairs, wanted, sets, labels)
+    discarded(sets, labels)
+    tidy(docs.sparkSession)
     least = nodes.groupBy("label").agg(F.min("first").alias("component_id"))
     by_node = nodes.join(least, "label").select(F.col("id").alias("n_id"), "component_id", F.col("label").alias("class_hash"))
     component = F.when(F.col("n_shingles") == 0, F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id")
     return info.join(by_node, F.col("id") == F.col("n_id"), "left").select("doc_id", "n_shingles", component, *["text_hash", F.when(F.col("n_shingles") > 0, F.col("class_hash")).alias("class_hash")][: 2 * tell_text])
 
 
-def joined_by_key(members: DataFrame, labels: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """labels (node, label) after the links between nodes (key, id) of one key in different components: LEADERS turns against another node of each key, while that joins any, then all pairs."""
+def joined_by_key(members: DataFrame, labels: DataFrame, sets: DataFrame, elements: Callable[[DataFrame], DataFrame], percent: int) -> DataFrame:
+    """labels (node, label) after the links between nodes (key, id) of one key in different components: LEADERS turns against another node of each key, while that joins any, then all pairs. members is discarded; sets and elements as for verified()."""
     turn, n_links = 0, 1
     while True:
         turn += 1
         last = turn > LEADERS or not n_links
-        members = written(_several(members, labels))  # components only merge, so keys only leave
+        old, members = members, written(_several(members, labels))  # components only merge, so keys only leave
+        discarded(old)
+        tidy(members.sparkSession)
         if members.isEmpty():
             return labels
-        found = written(_verified(_between(members, sets, percent) if last else _to_leaders(members, turn), sets, percent))
+        found = verified(_between(members, sets, percent) if last else _to_leaders(members, turn), sets, elements, percent)
         n_links = found.count()
         if n_links:
             old, labels = labels, merged(labels, found)
             discarded(old)
         discarded(found)
-        members = members.select("key", "id")
         tidy(members.sparkSession)
         if last:
+            discarded(members)
             return labels
 
 
-def _sized(info: DataFrame, k: str) -> tuple[DataFrame, str]:
-    return info.groupBy(F.col("id").alias(k)).agg(F.max("n_shingles").alias(f"n{k}")), k
-
-
 def _several(members: DataFrame, labels: DataFrame) -> DataFrame:
     """(key, id, label) of the keys that hold several components."""
-    members = members.join(labels, F.col("id") == F.col("node"), "left").select("key", "id", F.coalesce("label", "id").alias("label"))
+    members = members.select("key", "id").join(labels, F.col("id") == F.col("node"), "left").select("key", "id", F.coalesce("label", "id").alias("label"))
     several = written(members.groupBy("key").agg(F.min("label").alias("x"), F.max("label").alias("y")).where("x <> y").select("key"))
     return members.join(several, "key", "left_semi")
 

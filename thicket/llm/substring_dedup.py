@@ -328,7 +328,9 @@ def _paired(held: DataFrame) -> DataFrame:
     keep = written(held.groupBy("key").agg(F.min(F.struct("first_doc", "id", "pos")).alias("k")).select("key", F.col("k.id").alias("kid"), F.col("k.pos").alias("kpos")))
     inside = F.col("kpos") % BLOCK
     pairs = held.join(keep, "key").where("id <> kid").groupBy("id", "kid", (F.col("kpos") - inside).alias("kstart"), (F.col("pos") - inside).alias("start"))
-    return written(pairs.agg(F.sort_array(F.collect_set(inside)).alias("seeds")))
+    pairs = written(pairs.agg(F.sort_array(F.collect_set(inside)).alias("seeds")))
+    discarded(keep)
+    return pairs
 
 
 def _blocks(pairs: DataFrame) -> DataFrame:
@@ -358,6 +360,7 @@ def _stretches(pairs: DataFrame, of: DataFrame, first: DataFrame) -> list[DataFr
         out.append(found)
         old, ends = ends, written(_several(found.where("n = 0").select("key", "id", "start", "seed", "side", "words", "first_doc")))
         discarded(old)
+        tidy(first.sparkSession)
     return [f.where("n > 0").select("id", "kid", "first", F.col("n").alias("words")) for f in out]
 
 
@@ -365,8 +368,11 @@ def _labelled(meets: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """(node, label): components of different paragraphs that share a band and are similar. No link between paragraphs that share a band is left out."""
     members = written(meets.select("key", F.col("h").alias("id")).unionByName(meets.select("key", F.col("lh").alias("id"))).distinct())
     pairs = meets.select(F.least("h", "lh").alias("a"), F.greatest("h", "lh").alias("b")).distinct()
-    labels = written(components(jaccard_join._verified(pairs, sets, percent)))
-    return jaccard_join.joined_by_key(members, labels, sets, percent)
+    elements = lambda ids: with_small(sets.select("id", "el"), ids.withColumnRenamed("id", "_id"), F.col("id") == F.col("_id"), "left_semi")
+    found = jaccard_join.verified(pairs, sets, elements, percent)
+    labels = written(components(found))
+    discarded(found)
+    return jaccard_join.joined_by_key(members, labels, sets.select("id", "n", "sketch"), elements, percent)
 
 
 def _merged(spans: DataFrame) -> DataFrame:
@@ -414,7 +420,10 @@ def repeats(docs: DataFrame, similarity_percent: int = 80) -> DataFrame:
     tidy(docs.sparkSession)
     # anchors: each against the text of least doc_id that holds it, by blocks of that text
     held = shared.select("key", "id", "pos").unionByName(shared.select("key", F.col("lid").alias("id"), F.col("lpos").alias("pos"))).distinct().join(first, "id")
-    pairs = _paired(written(held))
+    held = written(held)
+    pairs = _paired(held)
+    discarded(held)
+    tidy(docs.sparkSession)
     blocks = _blocks(pairs)
     wanted = meets.select("h").unionByName(meets.select(F.col("lh").alias("h"))).distinct()
     units = places.join(wanted, "h", "left_semi").groupBy("h").agg(F.min(F.struct("id", "pos", "n")).alias("p")).groupBy("p.id").agg(F.collect_list(F.struct("h", "p.pos", "p.n")).alias("units"))
