@@ -23,6 +23,23 @@ def test_readers(spark, tmp_path):
     assert [(x["case"], x["correct"], x["output"], x["index"]) for x in got] == [(1, True, "5", 7), (2, False, "", 7)]
 
 
+def test_ranged_where_bounds_are_sampled(spark):
+    """More rows than a range partitioning samples whole, and partitions that stay apart: two runs of it have other bounds."""
+    key = "spark.sql.adaptive.coalescePartitions.enabled"
+    before = spark.conf.get(key)
+    spark.conf.set(key, "false")
+    try:
+        _sampled(spark)
+    finally:
+        spark.conf.set(key, before)
+
+
+def _sampled(spark):
+    d = spark.range(300_000).select((F.col("id") * 7 % 300_000).alias("id")).repartition(7)
+    r = readers.ranged(d, ["id"], 20, -10)
+    assert tuple(r.agg(F.count("*"), F.countDistinct("row"), F.min("row"), F.max("row"), F.sum((F.col("row") != F.col("id")).cast("int"))).first()) == (299_970, 299_970, 20, 299_989, 0)
+
+
 def test_ranged(spark):
     d = spark.range(100).repartition(7)
     assert [r["id"] for r in readers.ranged(d, ["id"], 10, 13).orderBy("row").collect()] == [10, 11, 12]

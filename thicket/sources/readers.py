@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from thicket.storage import written
+
 KEYED = "map<string,map<string,struct<question:string,query:string,chain_of_thought:array<string>,answer:string>>>"
 
 
@@ -84,11 +86,11 @@ def numbered_files(results: DataFrame, start: int = 0, file: str = "file") -> Da
 def ranged(examples: DataFrame, order: list[str], start: int = 0, end: int | None = None, shuffle_seed: int | None = None) -> DataFrame:
     """Rows start to end (one past; negative: that many before the last) in order, or in a seeded shuffle of it, with `row` from 0.
 
-    Rows are range-partitioned and numbered inside partitions; one count a partition is gathered.
+    Rows are range-partitioned, numbered inside partitions and written, since another run may sample other bounds; one count a partition is gathered.
     """
     keys = order if shuffle_seed is None else ["_key"]
     d = examples if shuffle_seed is None else examples.withColumn("_key", F.xxhash64(F.lit(shuffle_seed), *order))
-    d = d.repartitionByRange(*keys).sortWithinPartitions(*keys).withColumn("_at", F.monotonically_increasing_id())
+    d = written(d.repartitionByRange(*keys).sortWithinPartitions(*keys).withColumn("_at", F.monotonically_increasing_id()))
     part, place = F.shiftright("_at", 33), F.col("_at").bitwiseAND((1 << 33) - 1)
     counts, total, starts = d.groupBy(part.alias("_p")).agg(F.count("*").alias("n")).collect(), 0, []
     for r in sorted(counts):
