@@ -61,3 +61,22 @@ def test_fills(spark):
 def test_no_boards(spark):
     sets = crosswords.slot_sets(spark.createDataFrame([], "board int, slot string, word string, score double"), "board", {"h1": 3})
     assert crosswords.fills(sets, "board", {"h1": [0, 1, 2]}).collect() == []
+
+
+def test_counted_like_all_fills(spark):
+    for seed in (1, 2):
+        rows = puzzles(seed)
+        want = {}
+        for board, fill, score, whole in by_hand(rows):
+            if whole:
+                n, best = want.get(board, (0, (0.0, ())))
+                want[board] = n + 1, min((-score, fill), best) if n else (-score, fill)
+        got = crosswords.counted(spark.createDataFrame(rows, "board int, slot string, word string, score double"), "board", SLOTS).collect()
+        assert {r["board"]: (r["n_fills"], (-r["score"], tuple(r["fill"]))) for r in got} == want and len(want) > 1
+
+
+def test_ends_are_one_chain_of_joins(spark):
+    """Levels aren't computed anew for each level's ends: one join a level."""
+    sets = crosswords.slot_sets(spark.createDataFrame(puzzles(1), "board int, slot string, word string, score double"), "board", {k: len(v) for k, v in SLOTS.items()})
+    plan = crosswords.fills(sets, "board", SLOTS, max_per_state=3)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Join ") == len(SLOTS)

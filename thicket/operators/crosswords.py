@@ -46,9 +46,9 @@ def fills(sets: DataFrame, board: str, slots: dict[str, list[int]], max_per_stat
 
     A level is one join of the states with their board's next slot. A state's candidates are the AND of the masks of the letters that cross it, so states that can't be filled are never made.
     """
-    names = list(slots)
-    state = sets.select(board).distinct().select(board, F.array().cast("array<string>").alias("fill"), F.lit(0.0).alias("score"), F.array().cast("array<int>").alias("_order"))
-    ends, seen = [], []
+    names, seen = list(slots), []
+    none = F.array().cast("array<int>")
+    state = sets.select(board).distinct().select(board, F.array().cast("array<string>").alias("fill"), F.lit(0.0).alias("score"), none.alias("_order"), F.lit(False).alias("_end"))
     for t, name in enumerate(names):
         here = sets.where(F.col("slot") == name).select(F.col(board).alias("_b"), "words", "scores", "every", "masks")
         bits = F.col("every")
@@ -58,21 +58,53 @@ def fills(sets: DataFrame, board: str, slots: dict[str, list[int]], max_per_stat
                     letter = F.substring(F.get("fill", F.lit(p)), slots[names[p]].index(cell) + 1, 1)
                     bits = F.zip_with(bits, F.try_element_at("masks", F.concat(F.lit(str(k)), letter)), lambda a, b: a.bitwiseAND(b))
         of_word = lambda w, i: F.filter(F.transform(F.sequence(F.lit(0), F.lit(WIDE - 1)), lambda b: F.when(w.bitwiseAND(_bit(b)) != 0, i * WIDE + b)), lambda x: x.isNotNull())
-        fit = F.coalesce(F.flatten(F.transform(bits, of_word)), F.array().cast("array<int>"))
-        j = state.join(here, F.col(board) == F.col("_b"), "left").withColumn("_fit", fit if max_per_state is None else F.slice(fit, 1, max_per_state))
-        ends.append(j.where(F.size("_fit") == 0).select(board, "fill", "score", "_order", F.lit(False).alias("complete")))
-        state = j.select(board, "fill", "score", "_order", "words", "scores", F.posexplode("_fit").alias("_n", "_i"))
-        state = state.select(board, F.array_append("fill", F.get("words", F.col("_i"))).alias("fill"), (F.col("score") + F.get("scores", F.col("_i"))).alias("score"), F.array_append("_order", F.col("_n")).alias("_order"))
-        state = keep(state) if keep else state
-        seen.append(state.select(board, "_order"))
-    ends.append(state.select(board, "fill", "score", "_order", F.lit(True).alias("complete")))
-    out = ends[0]
-    for e in ends[1:]:
-        out = out.unionByName(e)
+        fit = F.coalesce(F.flatten(F.transform(bits, of_word)), none)
+        fit = F.when(F.col("_end"), none).otherwise(fit if max_per_state is None else F.slice(fit, 1, max_per_state))
+        # what ends stays as it is, so that one chain of joins tells ends and states
+        j = state.join(here, F.col(board) == F.col("_b"), "left").withColumn("_fit", fit)
+        on = F.col("_i") >= 0
+        state = j.select(board, "fill", "score", "_order", "words", "scores", F.posexplode(F.when(F.size("_fit") > 0, F.col("_fit")).otherwise(F.array(F.lit(-1)))).alias("_n", "_i"))
+        state = state.select(
+            board, F.when(on, F.array_append("fill", F.get("words", F.col("_i")))).otherwise(F.col("fill")).alias("fill"), F.when(on, F.col("score") + F.get("scores", F.col("_i"))).otherwise(F.col("score")).alias("score"),
+            F.when(on, F.array_append("_order", F.col("_n"))).otherwise(F.col("_order")).alias("_order"), (~on).alias("_end"),
+        )
+        if keep:
+            state = state.where("_end").unionByName(keep(state.where("not _end").drop("_end")).withColumn("_end", F.lit(False)))
+        seen.append(state.where("not _end").select(board, "_order"))
+    out = state.select(board, "fill", "score", "_order", (~F.col("_end")).alias("complete"))
     if total_states is not None:
         states = seen[0]
-        for s in seen[1:]:
-            states = states.unionByName(s)
+        for more in seen[1:]:
+            states = states.unionByName(more)
         within = states.withColumn("_r", F.row_number().over(Window.partitionBy(board).orderBy("_order"))).where(F.col("_r") <= total_states).select(board, "_order")
         out = out.where(F.size("_order") == 0).unionByName(out.where(F.size("_order") > 0).join(within, [board, "_order"], "left_semi"))
     return out.select(board, "fill", "score", F.size("fill").alias("depth"), "complete")
+
+
+def counted(candidates: DataFrame, board: str, slots: dict[str, list[int]]) -> DataFrame:
+    """(board, n_fills, score, fill): of each board that can be filled how many ways there are to fill it, and the one of highest score, the first in the alphabet on ties. candidates and slots as for slot_sets() and fills(); nothing is enumerated.
+
+    Words of a slot that agree in the cells that other slots share are one: their number, and the best of them. Slots are joined in turn, and what is filled so far is summed over all cells that no later slot shares, so that a board has no more rows than letters in its open cells have patterns, nor than pairs of its words.
+    """
+    names = list(slots)
+    size = F.create_map(*[F.lit(x) for name, cells in slots.items() for x in (name, len(cells))])
+    c = candidates.where(F.length("word") == F.try_element_at(size, F.col("slot"))).groupBy(board, "slot", "word").agg(F.max("score").alias("score"))
+    state, before = None, []
+    for t, name in enumerate(names):
+        others = {x for o in names if o != name for x in slots[o]}
+        mine = [x for x in slots[name] if x in others]
+        letter = lambda x: F.substring("word", slots[name].index(x) + 1, 1).alias(f"_{x}")  # noqa: E731, B023
+        best = F.min(F.struct((-F.col("score")).alias("s"), F.array("word").alias("f")))
+        words = c.where(F.col("slot") == name).select(board, "word", "score", *[letter(x) for x in mine])
+        words = words.groupBy(board, *[f"_{x}" for x in mine]).agg(F.count("*").alias("_m"), best.alias("_w"))
+        if state is None:
+            state = words.withColumnRenamed("_m", "_n").withColumnRenamed("_w", "_f")
+            before = mine
+            continue
+        same = [x for x in mine if x in before]
+        j = state.join(words, [board, *[f"_{x}" for x in same]])
+        later = {x for o in names[t + 1 :] for x in slots[o]}
+        before = [x for x in dict.fromkeys([*before, *mine]) if x in later]
+        both = F.struct((F.col("_f.s") + F.col("_w.s")).alias("s"), F.concat("_f.f", "_w.f").alias("f"))
+        state = j.groupBy(board, *[f"_{x}" for x in before]).agg(F.sum(F.col("_n") * F.col("_m")).alias("_n"), F.min(both).alias("_f"))
+    return state.select(board, F.col("_n").alias("n_fills"), (-F.col("_f.s")).alias("score"), F.col("_f.f").alias("fill"))

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from thicket.operators import crosswords
 from thicket.plans.tables import read
+from thicket.storage import written
 
 QUERIES, ORACLES = {}, {}
 
@@ -15,19 +16,17 @@ SLOTS = {"h1": [0, 1, 2, 3, 4], "v1": [0, 5, 10, 15, 20], "v5": [4, 9, 14, 19, 2
 WORDS = "w AS MATERIALIZED (SELECT doc_id, t AS word, count(*) AS n FROM (SELECT doc_id, unnest(string_split_regex(lower(text), '[^a-z]+')) AS t FROM documents) WHERE length(t) = 5 GROUP BY ALL)"
 
 
-def _sets(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each document's words of five letters for each slot; the texts are split once for all slots."""
     d = read(spark, sf_dir, "documents").select("doc_id", F.explode(F.split(F.lower("text"), "[^a-z]+")).alias("word")).where("length(word) = 5")
-    c = d.groupBy("doc_id", "word").agg(F.count("*").cast("double").alias("score"))
-    c = c.select("*", F.explode(F.array(*map(F.lit, SLOTS))).alias("slot"))
-    return crosswords.slot_sets(c, "doc_id", {k: len(v) for k, v in SLOTS.items()})
+    c = written(d.groupBy("doc_id", "word").agg(F.count("*").cast("double").alias("score")))
+    return c.select("*", F.explode(F.array(*map(F.lit, SLOTS))).alias("slot"))
 
 
 def crossword_fills(spark: SparkSession, sf_dir: str) -> DataFrame:
     """How often each document's words fill the board, and the fill of highest score (of the words' counts), the first in the alphabet on ties."""
-    f = crosswords.fills(_sets(spark, sf_dir), "doc_id", SLOTS).where("complete")
-    best = F.min(F.struct((-F.col("score")).alias("s"), "fill"))
-    g = f.groupBy("doc_id").agg(F.count("*").alias("n_fills"), best.alias("b"))
-    return g.select("doc_id", "n_fills", (-F.col("b.s")).cast("long").alias("score"), F.array_join("b.fill", " ").alias("fill"))
+    g = crosswords.counted(_candidates(spark, sf_dir), "doc_id", SLOTS)
+    return g.select("doc_id", "n_fills", F.col("score").cast("long").alias("score"), F.array_join("fill", " ").alias("fill"))
 
 
 FILLS_SQL = f"""WITH {WORDS}
@@ -40,7 +39,8 @@ GROUP BY a.doc_id"""
 
 def crossword_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What a search that tries the three best candidates of each state ends at: whole boards and dead ends, and of each document's by the words filled, the best."""
-    f = crosswords.fills(_sets(spark, sf_dir), "doc_id", SLOTS, max_per_state=3)
+    sets = crosswords.slot_sets(_candidates(spark, sf_dir), "doc_id", {k: len(v) for k, v in SLOTS.items()})
+    f = crosswords.fills(sets, "doc_id", SLOTS, max_per_state=3)
     w = Window.partitionBy("doc_id", "depth").orderBy(F.desc("score"), "fill")
     g = f.withColumn("_r", F.row_number().over(w)).withColumn("n_ends", F.count("*").over(Window.partitionBy("doc_id", "depth"))).where("_r = 1")
     return g.select("doc_id", "depth", "complete", "n_ends", F.col("score").cast("long").alias("score"), F.array_join("fill", " ").alias("fill"))
