@@ -1,3 +1,6 @@
+import math
+import random
+
 import numpy as np
 import pandas as pd
 import pytest
@@ -143,6 +146,26 @@ def test_similarity(spark):
     assert d.select(alignment.lcs_length(F.split("a", " "), F.split("b", " ")).alias("n")).first()["n"] == 2
 
 
+def test_top_k_like_brute_force(spark):
+    """Copies, a null, a zero and a short vector; blocks of queries; no join of all pairs of rows."""
+    rng = random.Random(4)
+    rows = [(i, [float(rng.randrange(-2, 3)) + (i % 7 == 0) * rng.random() for _ in range(4)]) for i in range(1, 300)]
+    rows = [r for r in rows if any(r[1])] + [(300, None), (301, [1.0, None, 0.0, 0.0])]
+    d = frame(spark, rows, "id long, v array<double>").repartition(3)
+    norm = lambda v: math.sqrt(sum(x * x for x in v))
+    want = set()
+    for i, v in rows:
+        if i % 20 == 0 and v and None not in v:
+            near = [(round(sum(x * y for x, y in zip(v, u)) / (norm(v) * norm(u)), 6), j) for j, u in rows if j != i and u and None not in u]
+            want |= {(i, j, s, r) for r, (s, j) in enumerate(sorted(near, key=lambda x: (-x[0], x[1]))[:5], 1)}
+    q = d.where("id % 20 = 0")
+    for limit in (4, 4000):
+        out = similarity.top_k_cosine(q, d, "id", "v", 5, limit)
+        assert {tuple(r) for r in out.where("similarity is not null").collect()} == want
+    assert [r["item_id"] for r in out.where("query_id = 300").orderBy("rank").collect()] == sorted(i for i, _ in rows)[:5]
+    assert "Join" not in out._jdf.queryExecution().optimizedPlan().toString()
+
+
 def test_planning(spark):
     start = ["the red block is clear", "the red block is on the table", "the hand is empty", "the blue block is clear", "the blue block is on the table"]
     assert "pick up the red block" in planning.legal(start) and len(planning.legal(start)) == 2
