@@ -166,6 +166,17 @@ def test_top_k_like_brute_force(spark):
     assert "Join" not in out._jdf.queryExecution().optimizedPlan().toString()
 
 
+def test_answers_meet_their_leaves_once(spark):
+    rows = [(1, "a", 5.0, 3.0, "y", 1.0), (1, "a", 5.0, 3.0, "y", 2.0), (1, "a", 5.0, 3.0, "n", 4.0), (1, "b", 5.0, 7.0, "n", None), (2, "c", 1.0, 1.0, "y", 1.0)]
+    d = frame(spark, rows, "e int, o string, r_p double, r_o double, answer string, reward double").withColumn("p", F.lit("top"))
+    got = {(r["e"], r["answer"]): r["weight"] for r in trees.answer_weights(d, "e", ["p", "o"], "answer", "reward", 2, "edge", 1_200_000).collect()}
+    assert got == {(1, "y"): 11.0, (1, "n"): 19.0, (2, "y"): 3.0}
+    one = trees.answer_weights(d, "e", ["o"], "answer", "reward", 2, "edge_inverse_depth", 1_200_000)
+    assert {(r["e"], r["answer"]): r["weight"] for r in one.collect()} == {(1, "y"): 3.0, (1, "n"): 7.0, (2, "y"): 1.0}
+    plan = one._jdf.queryExecution().optimizedPlan().toString()
+    assert "Union" not in plan and "RepartitionByExpression" in plan and ", 3" in plan
+
+
 def test_planning(spark):
     start = ["the red block is clear", "the red block is on the table", "the hand is empty", "the blue block is clear", "the blue block is on the table"]
     assert "pick up the red block" in planning.legal(start) and len(planning.legal(start)) == 2

@@ -39,19 +39,29 @@ def selected_edges(nodes: DataFrame, value: str, example: str = "example_id") ->
     return nodes.where("parent_id is not null").withColumn("_r", F.row_number().over(w)).where("_r = 1").select(example, "parent_id", "node_id")
 
 
-def answer_weights(leaves: DataFrame, example: str, path: list[str], answer: str, reward: str, depth: int, how: str) -> DataFrame:
+#: Leaves of one task.
+LEAVES = 500_000
+
+
+def answer_weights(leaves: DataFrame, example: str, path: list[str], answer: str, reward: str, depth: int, how: str, n_leaves: int | None = None) -> DataFrame:
     """(example, answer, weight): answers of a tree weighed by the rewards above them.
 
     leaves: one row a terminal, with the ids of its ancestors from the root in the columns `path` and their rewards in `r_<column>`. A terminal adds its reward (by depth, for edge_inverse_depth); an ancestor adds its reward once for each distinct answer below it, over the mean depth of that answer's terminals below it. uniform: a terminal adds 1 and nothing else counts.
+
+    n_leaves, if it is known about: leaves are dealt by example to so many tasks that each has some LEAVES, whatever the session's number of partitions, and nothing is aggregated before.
     """
+    if n_leaves is not None:
+        leaves = leaves.repartition(max(1, -(-n_leaves // LEAVES)), example)
     if how == "uniform":
         return leaves.groupBy(example, answer).agg(F.count("*").cast("double").alias("weight"))
-    inverse = how == "edge_inverse_depth"
-    own = leaves.select(example, answer, (F.col(reward) / depth if inverse else F.col(reward)).alias("weight"))
-    out = own
-    for k, column in enumerate(path):
-        per = leaves.groupBy(example, *path[: k + 1], answer).agg(F.max(f"r_{column}").alias("_r"))
-        out = out.unionByName(per.select(example, answer, (F.col("_r") / depth if inverse else F.col("_r")).alias("weight")))
+    by = depth if how == "edge_inverse_depth" else 1
+    # the leaves are met once; what is above them is found from their groups
+    per = leaves.groupBy(example, *path, answer).agg(F.sum(F.col(reward) / by).alias("_own"), *[F.max(f"r_{c}").alias(f"_r{k}") for k, c in enumerate(path)])
+    last = [F.col(f"_r{len(path) - 1}") / by] if path else []
+    out = per.select(example, answer, F.explode(F.array("_own", *last)).alias("weight"))
+    for k in range(len(path) - 1):
+        up = per.groupBy(example, *path[: k + 1], answer).agg(F.max(f"_r{k}").alias("_r"))
+        out = out.unionByName(up.select(example, answer, (F.col("_r") / by).alias("weight")))
     return out.groupBy(example, answer).agg(F.sum("weight").alias("weight"))
 
 

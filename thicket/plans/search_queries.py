@@ -152,7 +152,7 @@ def _tree_answer(how: str) -> Callable[[SparkSession, str], DataFrame]:
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         o, li = read(spark, sf_dir, "orders"), read(spark, sf_dir, "lineitem")
         leaves = li.join(o, F.col("l_orderkey") == F.col("o_orderkey")).select(F.col("o_custkey").alias("example_id"), "o_orderkey", F.col("o_totalprice").alias("r_o_orderkey"), F.col("l_returnflag").alias("answer"), F.col("l_extendedprice").alias("reward"))
-        w = trees.answer_weights(leaves, "example_id", ["o_orderkey"], "answer", "reward", 2, how)
+        w = trees.answer_weights(leaves, "example_id", ["o_orderkey"], "answer", "reward", 2, how, li.count())
         return trees.best_answer(w, "example_id", "answer").select("example_id", "answer", F.round("weight", 3).alias("weight"))
 
     return run
