@@ -69,3 +69,18 @@ def test_aligned(spark, monkeypatch):
     d = spark.createDataFrame(rows, "i int, a array<string>, b array<string>").withColumn("al", alignment.aligned(F.col("a"), F.col("b")))
     for r in d.collect():
         assert (r["al"]["cost"], [tuple(p) for p in r["al"]["pairs"]]) == by_hand(r["a"], r["b"])
+
+
+def test_memory_does_not_follow_the_batch():
+    import tracemalloc
+
+    import pyarrow as pa
+
+    rng = random.Random(9)
+    steps = lambda: [[f"w{rng.randrange(50)}" for _ in range(5)] for _ in range(12)]
+    a, b = (pa.array([steps() for _ in range(3000)], pa.list_(pa.list_(pa.string()))) for _ in range(2))
+    tracemalloc.start()
+    out = alignment._aligned.func(a, b)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert len(out) == 3000 and peak < 16_000_000, peak

@@ -18,8 +18,8 @@ PLACES = StructType([StructField("a", IntegerType()), StructField("b", IntegerTy
 ALIGNED = StructType([StructField("cost", LongType()), StructField("pairs", ArrayType(PLACES))])
 #: What a gap costs, and what a pair of steps without a common word costs; whole numbers, so that ties are ties.
 GAP, WHOLE = 600_000, 1_000_000
-#: Cells of the arrays of one run of pairs.
-CELLS = 4_000_000
+#: Cells of the arrays of one run of pairs, and pairs of a batch that are taken at once.
+CELLS, AT_ONCE = 500_000, 500
 
 
 def _lists(a: pa.Array) -> tuple[np.ndarray, pa.Array]:
@@ -150,8 +150,7 @@ def jaccard_costs(x: np.ndarray, y: np.ndarray, x_step: np.ndarray, y_step: np.n
     return np.where(either > 0, WHOLE - WHOLE * common // np.maximum(either, 1), 0)
 
 
-@F.arrow_udf(ALIGNED)
-def _aligned(a: pa.Array, b: pa.Array) -> pa.Array:
+def aligned_pairs(a: pa.Array, b: pa.Array) -> pa.Array:
     """The alignment of arrays of steps, each an array of its different words."""
     (n, steps_x), (m, steps_y) = _lists(a), _lists(b)
     (wx, x), (wy, y) = _lists(steps_x), _lists(steps_y)
@@ -180,6 +179,12 @@ def _aligned(a: pa.Array, b: pa.Array) -> pa.Array:
     return pa.StructArray.from_arrays([pa.array(cost_out), pa.array(pairs_out, kind)], names=["cost", "pairs"])
 
 
+@F.arrow_udf(ALIGNED)
+def _aligned(a: pa.Array, b: pa.Array) -> pa.Array:
+    """aligned_pairs() of a batch, AT_ONCE pairs at a time: what a worker holds doesn't follow the batch."""
+    return pa.concat_arrays([aligned_pairs(a.slice(k, AT_ONCE), b.slice(k, AT_ONCE)) for k in range(0, max(len(a), 1), AT_ONCE)])
+
+
 def step_words(steps: Column) -> Column:
     """The different words of each step: lower-cased, by white space; null steps have none."""
     return F.transform(F.coalesce(steps, F.array().cast("array<string>")), lambda s: F.array_distinct(F.array_remove(F.split(F.lower(F.coalesce(s, F.lit(""))), r"\s+"), "")))
