@@ -102,3 +102,29 @@ def test_adaptive_beam(spark):
         got = {r["example_id"]: (tuple(r["path_ids"]), r["score"], r["depth"]) for r in search.adaptive_beam(roots, children, *options).collect()}
         want = {e: by_hand(e, *options) for e in range(9)}
         assert got == {e: w for e, w in want.items() if w}
+
+
+@pytest.mark.parametrize("options", [{"n_iters": 4, "depth_limit": 3}, {"n_iters": 6, "depth_limit": 2, "uct_with_fast_reward": False, "w_exp": 0.7}])
+def test_wide_like_one_by_one(spark, monkeypatch, options):
+    """Nodes of more children than there are iterations, rows repeated: the same paths as one example at a time, by one written table, however many the iterations; what is gathered of an example is bounded."""
+    import math
+
+    rng = random.Random(3)
+    rows = []
+    for e in range(4):
+        rows.append((e, "r", None, 0.0, False, 0))
+        for c in range(40):
+            rows.append((e, f"c{c}", "r", rng.choice([0.3, 0.6, rng.random()]), rng.random() < 0.2, rng.randrange(5)))
+            for g in range(rng.randrange(12)):
+                rows.append((e, f"c{c}.{g}", f"c{c}", rng.choice([0.3, rng.random()]), False, rng.randrange(3)))
+                rows += [(e, f"c{c}.{g}.{h}", f"c{c}.{g}", rng.random(), True, h) for h in range(rng.randrange(3))]
+    d = spark.createDataFrame(rows, NODE)
+    made = []
+    monkeypatch.setattr(tree_search, "written", lambda t, w=tree_search.written: made.append(t) or w(t))
+    told = lambda v: sorted((r["example_id"], r["iter"], r["pos"], r["node_id"], round(r["ret"], 9)) for r in v.collect())
+    want = told(search.mcts(d, **options))
+    assert told(tree_search.search(d.unionByName(d), **options)[0]) == want
+    assert len(made) == 1
+    n, depth = options["n_iters"], options["depth_limit"]
+    found = tree_search._reachable(d, "example_id", n, depth).selectExpr("aggregate(found, 0, (a, f) -> a + size(f.fan)) AS n").collect()
+    assert len(found) == 4 and all(r["n"] < math.comb(n + depth, depth) for r in found)
