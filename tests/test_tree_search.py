@@ -128,3 +128,15 @@ def test_wide_like_one_by_one(spark, monkeypatch, options):
     n, depth = options["n_iters"], options["depth_limit"]
     found = tree_search._reachable(d, "example_id", n, depth).selectExpr("aggregate(found, 0, (a, f) -> a + size(f.fan)) AS n").collect()
     assert len(found) == 4 and all(r["n"] < math.comb(n + depth, depth) for r in found)
+
+
+def test_strategies_at_once(spark):
+    """All strategies by one shuffle of the visits are what each is for itself."""
+    visits, _ = tree_search.search(spark.createDataFrame(trees(11), NODE), n_iters=5, depth_limit=4)
+    told = lambda d, s: sorted((r["example_id"], s or r["strategy"], r["iter"], tuple(r["path"])) for r in d.collect())
+    at_once = search.output_paths(visits)
+    assert told(at_once, None) == sorted(x for s in search.STRATEGIES for x in told(search.output_path(visits, strategy=s), s))
+    plan = search.output_paths(visits)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 1
+    with pytest.raises(ValueError):
+        search.output_path(visits, strategy="none")

@@ -248,36 +248,45 @@ def snapshots(visits: DataFrame, example: str = "example_id") -> DataFrame:
     return upto.groupBy(example, F.col("_k").alias("iter"), "node_id").agg(F.count("*").alias("n_visits"), F.avg("ret").alias("q"))
 
 
+STRATEGIES = ("max_iter", "max_reward", "last_iter", "last_terminal_iter", "follow_max", "max_visit")
+
+
 def output_path(visits: DataFrame, example: str = "example_id", strategy: str = "max_iter", max_depth: int = 64) -> DataFrame:
-    """(example, iter, path): what a search answers with; iter: the first iteration that goes that way.
+    """(example, iter, path): what a search answers with by one strategy of output_paths()."""
+    return output_paths(visits, [strategy], example, max_depth).drop("strategy")
+
+
+def output_paths(visits: DataFrame, strategies: list[str] | tuple[str, ...] = STRATEGIES, example: str = "example_id", max_depth: int = 64) -> DataFrame:
+    """(example, strategy, iter, path): what a search answers with by each strategy; iter: the first iteration that goes that way.
 
     max_iter: of the iterations that end at a terminal that of highest return, the first on ties. max_reward: of the visited terminals' paths that of highest reward sum without the root, the first in pre-order on ties. last_iter; last_terminal_iter: the last iteration (that ends at a terminal). follow_max: from the root the visited child of highest reward, the first on ties, down to a terminal or a node without visited children. max_visit: the iteration whose nodes are visited most. Examples without such an iteration have no row.
+
+    Visits are shuffled once, by example, for all strategies together.
     """
-    paths = visits.groupBy(example, "iter").agg(
-        F.sort_array(F.collect_list(F.struct("pos", "node_id", "reward", "sibling"))).alias("p"), F.max_by("terminal", "pos").alias("ended"), F.max_by("ret", -F.col("pos")).alias("ret")
+    for s in strategies:
+        if s not in STRATEGIES:
+            raise ValueError(f"unknown strategy {s}")
+    mine = visits.repartition(example).withColumn("_n", F.count("*").over(Window.partitionBy(example, "node_id")))
+    paths = mine.groupBy(example, "iter").agg(
+        F.sort_array(F.collect_list(F.struct("pos", "node_id", "reward", "sibling"))).alias("p"), F.max_by("terminal", "pos").alias("ended"), F.max_by("ret", -F.col("pos")).alias("ret"), F.sum("_n").alias("met")
     )
-    paths = paths.select(example, "iter", "ended", "ret", F.transform("p", lambda x: x["node_id"]).alias("path"), F.transform("p", lambda x: x["reward"]).alias("rewards"), F.transform("p", lambda x: x["sibling"]).alias("siblings"))
-    first = lambda d, *order: d.withColumn("_r", F.row_number().over(Window.partitionBy(example).orderBy(*order))).where("_r = 1").select(example, "iter", "path")
-    if strategy == "last_iter":
-        return first(paths, F.desc("iter"))
-    if strategy == "last_terminal_iter":
-        return first(paths.where("ended"), F.desc("iter"))
-    if strategy == "max_iter":
-        return first(paths.where("ended"), F.desc("ret"), "iter")
-    if strategy == "max_reward":
-        below = aggregated(F.slice("rewards", 2, F.greatest(F.size("rewards") - 1, F.lit(0))), "sum")
-        return first(paths.where("ended").withColumn("_s", below), F.desc("_s"), "siblings", "iter")
-    if strategy == "max_visit":
-        n = visits.groupBy(example, "node_id").agg(F.count("*").alias("_n"))
-        score = visits.join(n, [example, "node_id"]).groupBy(example, "iter").agg(F.sum("_n").alias("_s"))
-        return first(paths.join(score, [example, "iter"]), F.desc("_s"), "iter")
-    if strategy != "follow_max":
-        raise ValueError(f"unknown strategy {strategy}")
-    # paths that agree with the best child at each depth stay; the longest of them ends where the walk does
-    best = F.struct(F.get("rewards", F.col("_d")).alias("r"), (-F.get("siblings", F.col("_d"))).alias("s"))
-    longest = paths.agg(F.max(F.size("path"))).first()[0] or 0
-    for d in range(1, min(longest, max_depth)):
-        here = paths.withColumn("_d", F.lit(d)).withColumn("_b", F.when(F.size("path") > d, best))
-        top = F.max("_b").over(Window.partitionBy(example))
-        paths = here.withColumn("_t", top).where(F.col("_t").isNull() | (F.col("_b") == F.col("_t"))).drop("_d", "_b", "_t")
-    return first(paths, F.desc(F.size("path")), "iter")
+    paths = paths.select(example, "iter", "ended", "ret", "met", F.transform("p", lambda x: x["node_id"]).alias("path"), F.transform("p", lambda x: x["reward"]).alias("rewards"), F.transform("p", lambda x: x["sibling"]).alias("siblings"))
+    below = aggregated(F.slice("rewards", 2, F.greatest(F.size("rewards") - 1, F.lit(0))), "sum")
+    # arrays go by their first difference and the longer one is the greater: the greatest is where the walk by best children ends
+    walk = F.slice(F.transform("rewards", lambda r, d: F.struct(r.alias("r"), (-F.get("siblings", d)).alias("s"))), 2, max_depth - 1)
+    paths = paths.select(example, F.struct("iter", "ended", "ret", "met", "path", "siblings", below.alias("below"), walk.alias("walk"), F.size("path").alias("size")).alias("p"))
+    per = paths.groupBy(example).agg(F.collect_list("p").alias("p"))
+    all_, ended = F.col("p"), F.filter("p", lambda x: x["ended"])
+    most = lambda p, field: F.get(F.transform(F.array(F.array_max(F.transform(p, lambda x: x[field]))), lambda m: F.filter(p, lambda x: x[field].eqNullSafe(m))), 0)
+    least = lambda p, *fields: F.array_min(F.transform(p, lambda x: F.struct(*[x[f].alias(f) for f in (*fields, "iter", "path")])))
+    told = {
+        "last_iter": lambda: least(most(all_, "iter")),
+        "last_terminal_iter": lambda: least(most(ended, "iter")),
+        "max_iter": lambda: least(most(ended, "ret")),
+        "max_reward": lambda: least(most(ended, "below"), "siblings"),
+        "max_visit": lambda: least(most(all_, "met")),
+        "follow_max": lambda: least(most(most(all_, "walk"), "size")),
+    }
+    answers = [(s, told[s]()) for s in strategies]
+    out = F.array(*[F.struct(F.lit(s).alias("strategy"), a["iter"].alias("iter"), a["path"].alias("path")) for s, a in answers])
+    return per.select(example, F.inline(F.filter(out, lambda x: x["path"].isNotNull())))

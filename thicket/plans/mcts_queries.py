@@ -78,11 +78,7 @@ UNION ALL SELECT ex, 'follow_max', path FROM (SELECT *, row_number() OVER (PARTI
 UNION ALL SELECT ex, 'max_visit', path FROM (SELECT p.*, row_number() OVER (PARTITION BY p.ex ORDER BY a.n + coalesce(b.n, 0) DESC, iter) AS b FROM p JOIN n a ON p.ex = a.ex AND p.oid = a.id LEFT JOIN n b ON p.ex = b.ex AND p.lid = b.id) WHERE b = 1""")
 def mcts_strategies(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What each strategy answers with; one search serves all."""
-    v, out = _visits(spark, sf_dir), None
-    for s in STRATEGIES:
-        d = search.output_path(v, strategy=s).select("example_id", F.lit(s).alias("strategy"), F.array_join("path", ">").alias("path"))
-        out = d if out is None else out.unionByName(d)
-    return out
+    return search.output_paths(_visits(spark, sf_dir), STRATEGIES).select("example_id", "strategy", F.array_join("path", ">").alias("path"))
 
 
 @query(PLAYS + """, v AS (SELECT ex, iter, CAST(ex AS VARCHAR) AS node_id, ret FROM p UNION ALL SELECT ex, iter, oid, ret FROM p UNION ALL SELECT ex, iter, lid, CAST(round(lr * 1e8) AS BIGINT) FROM p WHERE lid IS NOT NULL)
