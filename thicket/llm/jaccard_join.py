@@ -15,8 +15,8 @@ from pyspark.sql import functions as F
 from thicket.llm.common import combined, components, discarded, index_schema, links_by_key, merged, mixed, shingles, short_batches, table, tidy, with_small, word_batches, written
 
 VALS = {"id": "long"}
-#: Bits of a set's parity sketch: each element flips one bit, so two sets differ in no fewer elements than their sketches in bits.
-SKETCH = 512
+#: Least and most bits of a set's parity sketch, a power of two from its size up: each element flips one bit, so two sets differ in no fewer elements than their sketches in bits. With fewer bits than half the difference that links allow, a sketch would rule nothing out.
+SKETCH, SKETCH_MOST = 512, 1 << 15
 #: Sets of one key in one block: beyond that, the all-pairs step deals the pairs of blocks to tasks.
 IN_BLOCK = 1000
 #: Turns at most in which keys with several components try another node of each key, before all pairs are compared. More or fewer change the work, not the result.
@@ -102,19 +102,44 @@ def _ids(own: np.ndarray, el: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarra
     return sizes, np.where(sizes > 0, np.maximum(ids, 1), 0)
 
 
-def _sketches(own: np.ndarray, el: np.ndarray, n: int) -> np.ndarray:
-    """The parity sketch of each set, as a row of bytes."""
-    bit = own * SKETCH + ((el >> np.uint64(8)).astype(np.int64) & (SKETCH - 1))
-    return np.packbits((np.bincount(bit, minlength=n * SKETCH) & 1).astype(np.uint8).reshape(n, SKETCH), axis=1)
+def _sketches(own: np.ndarray, el: np.ndarray, sizes: np.ndarray) -> list[bytes]:
+    """The parity sketch of each set: SKETCH bits, doubled until it has as many as elements, SKETCH_MOST at most."""
+    bits = SKETCH << np.ceil(np.log2(np.clip(sizes, SKETCH, SKETCH_MOST) / SKETCH)).astype(np.int64)
+    ends = np.cumsum(bits)
+    bit = (ends - bits)[own] + ((el >> np.uint64(8)).astype(np.int64) & (bits[own] - 1))
+    packed = np.packbits((np.bincount(bit, minlength=bits.sum()) & 1).astype(np.uint8)).tobytes()
+    return [packed[(e - b) // 8 : e // 8] for b, e in zip(bits.tolist(), ends.tolist(), strict=True)]
+
+
+def _folded(sketches: list[bytes], bits: int) -> np.ndarray:
+    """Sketches of one length as rows of 64-bit words, with their halves laid over each other until they have so many bits: the sketches that sets of fewer elements get."""
+    x = np.frombuffer(b"".join(sketches), np.uint64).reshape(len(sketches), -1)
+    while x.shape[1] * 64 > bits:
+        x = x[:, : x.shape[1] // 2] ^ x[:, x.shape[1] // 2 :]
+    return x
+
+
+def bits_apart(one: list[bytes], two: list[bytes]) -> np.ndarray:
+    """In how many bits the sketches of each pair differ, the longer folded to the shorter."""
+    lengths = np.array([[len(x) for x in one], [len(x) for x in two]]) * 8
+    out = np.zeros(len(one), np.int32)
+    for a, b in np.unique(lengths, axis=1).T:
+        at = np.flatnonzero((lengths[0] == a) & (lengths[1] == b))
+        x, y = (_folded([v[i] for i in at], min(a, b)) for v in (one, two))
+        out[at] = np.bitwise_count(x ^ y).sum(1)
+    return out
 
 
 def _measured(n: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            parts = [(*_ids(own, el, last - first), _sketches(own, el, last - first)) for first, last, own, el in sets_of(b.column("text"), n)]
+            parts, sketches = [], []
+            for first, last, own, el in sets_of(b.column("text"), n):
+                parts.append(_ids(own, el, last - first))
+                sketches += _sketches(own, el, parts[-1][0])
             if parts:
-                sizes, ids, sketches = (np.concatenate(x) for x in zip(*parts, strict=True))
-                yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("text_hash"), pa.array(ids), pa.array(sizes.astype(np.int64)), pa.array([x.tobytes() for x in sketches], pa.binary())], names=["doc_id", "text_hash", "id", "n_shingles", "sketch"])
+                sizes, ids = (np.concatenate(x) for x in zip(*parts, strict=True))
+                yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("text_hash"), pa.array(ids), pa.array(sizes.astype(np.int64)), pa.array(sketches, pa.binary())], names=["doc_id", "text_hash", "id", "n_shingles", "sketch"])
 
     return run
 
@@ -265,8 +290,7 @@ def _likely(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     def apart(x, y):
         import pandas as pd
 
-        a, b = (np.frombuffer(b"".join(v), np.uint64).reshape(len(v), SKETCH // 64) for v in (x, y))
-        return pd.Series(np.bitwise_count(a ^ b).sum(1).astype(np.int32))
+        return pd.Series(bits_apart(x.tolist(), y.tolist()))
 
     p = pairs.join(left, "a").join(right, "b").where(100 * F.least("na", "nb") >= percent * F.greatest("na", "nb"))
     return p.where(apart("sa", "sb") * (100 + percent) <= (F.col("na") + F.col("nb")) * (100 - percent)).select("a", "b", "na", "nb")
@@ -275,6 +299,10 @@ def _likely(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 def verified(pairs: DataFrame, sets: DataFrame, elements: Callable[[DataFrame], DataFrame], percent: int) -> DataFrame:
     """Which of the pairs (a, b) link, by their elements, as a written table. sets: (id, n, sketch) of all. elements: what gives (id, el) of a table of ids, asked for the likely pairs' alone, so that no other set's elements are written or shuffled."""
     p = written(_likely(pairs, sets, percent))
+    if p.isEmpty():
+        out = p.select("a", "b")
+        out._written_at = p._written_at
+        return out
     ids = written(p.select(F.col("a").alias("id")).unionByName(p.select(F.col("b").alias("id"))).distinct())
     el = written(elements(ids))
     tidy(p.sparkSession)
@@ -336,12 +364,12 @@ def classes(docs: DataFrame, n: int = 4, percent: int = 85, tell_text: bool = Fa
 
 
 def joined_by_key(members: DataFrame, labels: DataFrame, sets: DataFrame, elements: Callable[[DataFrame], DataFrame], percent: int) -> DataFrame:
-    """labels (node, label) after the links between nodes (key, id) of one key in different components: LEADERS turns against another node of each key, while that joins any, then all pairs. members is discarded; sets and elements as for verified()."""
+    """labels (node, label) after the links between nodes (key, id) of one key in different components: LEADERS turns against another node of each key, while that joins any, then all pairs of keys with three nodes or more. members is discarded; sets and elements as for verified()."""
     turn, n_links = 0, 1
     while True:
         turn += 1
         last = turn > LEADERS or not n_links
-        old, members = members, written(_several(members, labels))  # components only merge, so keys only leave
+        old, members = members, written(_several(members, labels, 2 if turn == 1 else 3))  # components only merge, so keys only leave; one of two nodes has had its only pair compared
         discarded(old)
         tidy(members.sparkSession)
         if members.isEmpty():
@@ -358,10 +386,10 @@ def joined_by_key(members: DataFrame, labels: DataFrame, sets: DataFrame, elemen
             return labels
 
 
-def _several(members: DataFrame, labels: DataFrame) -> DataFrame:
-    """(key, id, label) of the keys that hold several components."""
+def _several(members: DataFrame, labels: DataFrame, least: int) -> DataFrame:
+    """(key, id, label) of the keys that hold several components, and `least` nodes or more."""
     members = members.select("key", "id").join(labels, F.col("id") == F.col("node"), "left").select("key", "id", F.coalesce("label", "id").alias("label"))
-    several = written(members.groupBy("key").agg(F.min("label").alias("x"), F.max("label").alias("y")).where("x <> y").select("key"))
+    several = written(members.groupBy("key").agg(F.min("label").alias("x"), F.max("label").alias("y"), F.count("*").alias("c")).where(f"x <> y and c >= {least}").select("key"))
     return members.join(several, "key", "left_semi")
 
 
@@ -374,7 +402,14 @@ def _to_leaders(members: DataFrame, turn: int) -> DataFrame:
 
 def _between(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """Likely pairs of one key in different components. A key's sets go by hash into blocks of some IN_BLOCK, and each pair of blocks is compared for itself, wherever there is room: no task gets all of a frequent key."""
-    rows = members.join(sets.select("id", "n", "sketch"), "id")
+
+    @functools.partial(F.pandas_udf, returnType="binary")
+    def folded(x):  # to one length; verified() looks at the whole sketches of the pairs that are left
+        import pandas as pd
+
+        return pd.Series([_folded([v], SKETCH).tobytes() for v in x])
+
+    rows = members.join(sets.select("id", "n", folded("sketch").alias("sketch")), "id")
     blocks = written(members.groupBy("key").agg(F.ceil(F.count("*") / IN_BLOCK).cast("int").alias("blocks")))
     rows = rows.join(blocks, "key").withColumn("block", F.pmod(F.xxhash64("key", "id"), "blocks").cast("int"))
     rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
